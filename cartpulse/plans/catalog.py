@@ -2,29 +2,46 @@
 
 Dates for the driver's TPC-H style tables (orders run 1995-01-01 ..
 2001-08-01): features seen from 2001-06-30, label window 2001-07-01 ..
-2001-07-21, holdout 2001-07-22 .. 2001-08-01.  Families are households
-(o_custkey mod 100) unless the name says ``by_customer``.
+2001-07-21, holdout 2001-07-22 .. 2001-08-01, an early data cutoff of
+2001-06-09 (three weeks before the reference date, as in the reference's
+two-cutoff experiments).  Families are households (o_custkey mod 100; a
+grouping key, every line is kept) unless the name says ``by_customer``.
+Every query reads the whole tables.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartpulse.functions.periods import Windows
+from cartpulse.functions.periods import Windows, shift_days, sql_date as d
+from cartpulse.operators import diagnostics as DG
+from cartpulse.operators import evaluate as EV
 from cartpulse.operators import features as FE
+from cartpulse.operators import items as IT
+from cartpulse.operators import model as MD
+from cartpulse.operators import rank as RK
 from cartpulse.plans import oracle as O
-from cartpulse.plans.present import present
-from cartpulse.sources.tables import purchase_lines
+from cartpulse.plans.present import present, r
+from cartpulse.session import scratch_path
+from cartpulse.sources import files as FI
+from cartpulse.sources.tables import event_lines, item_dimension, purchase_lines
 
 REF = dt.date(2001, 6, 30)
+EARLY_CUTOFF = dt.date(2001, 6, 9)
 LABEL_START = dt.date(2001, 7, 1)
 LABEL_END = dt.date(2001, 7, 21)
 HOLDOUT_START = dt.date(2001, 7, 22)
 HOLDOUT_END = dt.date(2001, 8, 1)
+EVENTS_REF = dt.date(2024, 1, 31)
 HOUSEHOLDS = 100
+K = 3
+LOOKUP_FAMILY = 7
+W = Windows(REF)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, Callable[[], str]] = {}
@@ -39,22 +56,727 @@ def register(name: str, oracle: Callable[[], str] | None = None):
     return deco
 
 
-def _lines(spark, sf_dir, households=HOUSEHOLDS):
-    # only rows before the reference date are read (pushed into the scan)
+# --- shared Spark inputs ---------------------------------------------------------
+
+def _hist(spark, sf_dir, households=HOUSEHOLDS):
+    """Lines before the reference date (the bound is pushed into the scan)."""
     return purchase_lines(spark, sf_dir, households=households, until=REF)
 
 
-# --- D14-D16 flagship ---------------------------------------------------------
+def _upto_ref(spark, sf_dir):
+    return purchase_lines(spark, sf_dir, households=HOUSEHOLDS, until=shift_days(REF, 1))
+
+
+def _holdout(spark, sf_dir, level="subcat_id"):
+    lines = purchase_lines(spark, sf_dir, households=HOUSEHOLDS, since=HOLDOUT_START,
+                           until=shift_days(HOLDOUT_END, 1))
+    return EV.truth_pairs(lines, HOLDOUT_START, HOLDOUT_END, level)
+
+
+def _features(spark, sf_dir, data_cutoff=None):
+    return FE.pair_features(_hist(spark, sf_dir), REF, data_cutoff=data_cutoff)
+
+
+def _labelled(spark, sf_dir):
+    labels = purchase_lines(spark, sf_dir, households=HOUSEHOLDS, since=LABEL_START,
+                            until=shift_days(LABEL_END, 1))
+    return MD.label_pairs(_features(spark, sf_dir), labels, LABEL_START, LABEL_END, data_cutoff=REF)
+
+
+def _subcat_division(spark, sf_dir):
+    return item_dimension(spark, sf_dir).groupBy("subcat_id").agg(F.min("division").alias("division"))
+
+
+def _with_division(spark, sf_dir, feats):
+    return feats.join(_subcat_division(spark, sf_dir), "subcat_id", "left")
+
+
+def _ranked_by_fixed(spark, sf_dir):
+    return MD.score_ranker(_features(spark, sf_dir), MD.fixed_ranker(), out="prob")
+
+
+def _item_scores(spark, sf_dir):
+    return IT.item_scores(_features(spark, sf_dir), _upto_ref(spark, sf_dir), REF,
+                          items_dim=item_dimension(spark, sf_dir))
+
+
+# --- shared SQL pieces -------------------------------------------------------------
+
+L = O.lines_sql(HOUSEHOLDS)
 
-def _pf_sql(households=HOUSEHOLDS):
-    return O.pair_features_sql(Windows(REF), O.lines_sql(households))
+
+def _ctes(data_cutoff=None, lines=L, w=W):
+    return O.pair_features_ctes(w, lines, data_cutoff)
+
+
+def _truth_sql(level="subcat_id"):
+    return (f"truth AS (SELECT DISTINCT family_id, {level} FROM lines "
+            f"WHERE day >= {d(HOLDOUT_START)} AND day <= {d(HOLDOUT_END)})")
+
+
+def _labels_sql():
+    return f"""
+    tgt AS (SELECT DISTINCT family_id, subcat_id FROM lines WHERE day >= {d(LABEL_START)} AND day <= {d(LABEL_END)}),
+    labelled AS (
+      SELECT s.*, CASE WHEN t.family_id IS NULL THEN 0 ELSE 1 END AS label
+      FROM scored s LEFT JOIN tgt t USING (family_id, subcat_id)),
+    splitted AS (
+      SELECT *, CASE WHEN CAST(('0x' || substr(md5(concat_ws('|', '42', family_id, subcat_id)), 1, 8)) AS BIGINT)
+                          / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS split
+      FROM labelled)"""
+
+
+def _items_sql():
+    return f"""
+    ihist AS (SELECT * FROM lines WHERE day <= {d(REF)}),
+    rep AS (
+      SELECT family_id, item_id, max(day) AS last_day, count(day) AS n_buys,
+             count(*) FILTER (WHERE day >= {d(shift_days(REF, -30))}) AS p30,
+             count(*) FILTER (WHERE day >= {d(shift_days(REF, -60))}) AS p60,
+             count(*) FILTER (WHERE day >= {d(shift_days(REF, -90))}) AS p90,
+             count(*) FILTER (WHERE day >= {d(shift_days(REF, -180))}) AS p_long
+      FROM ihist GROUP BY family_id, item_id),
+    rep2 AS (
+      SELECT *, p30 AS n30, p60 - p30 AS n60, p90 - p60 AS n90,
+             date_diff('day', last_day, {d(REF)}) AS days_since_last FROM rep),
+    rep3 AS (
+      SELECT *, 0.1 + 0.9 / (1.0 + exp(-(days_since_last - 30.0) / 5.0)) AS due,
+             least(1.0, greatest(n30, 0.5) * greatest(n60, 0.6) * greatest(n90, 0.4)
+                        * CASE WHEN p_long > 2 THEN 1.0 ELSE 0.2 END) AS penalty
+      FROM rep2),
+    rep4 AS (SELECT *, least(1.0, due * penalty) AS repurchase FROM rep3),
+    pop_i AS (
+      SELECT family_id, subcat_id, item_id, count(DISTINCT invoice_id) AS item_invoices,
+             count(invoice_id) FILTER (WHERE day >= {d(shift_days(REF, -365))}) AS last_year_lines
+      FROM ihist GROUP BY family_id, subcat_id, item_id),
+    pop_s AS (
+      SELECT family_id, subcat_id, count(DISTINCT invoice_id) AS subcat_invoices,
+             count(DISTINCT item_id) AS subcat_items
+      FROM ihist GROUP BY family_id, subcat_id),
+    pop AS (
+      SELECT i.*, s.subcat_invoices, s.subcat_items,
+             (i.item_invoices + 1.0) / (s.subcat_invoices + s.subcat_items)
+               * CASE WHEN i.item_invoices = s.subcat_invoices THEN 0.5 ELSE 1.0 END
+               * CASE WHEN i.last_year_lines < 2 THEN 0.5 ELSE 1.0 END AS popularity
+      FROM pop_i i JOIN pop_s s USING (family_id, subcat_id)),
+    its AS (
+      SELECT s.family_id, s.subcat_id, s.score AS prob, p.item_id, p.popularity, r.repurchase, idv.division
+      FROM scored s JOIN pop p USING (family_id, subcat_id)
+      LEFT JOIN rep4 r USING (family_id, item_id)
+      LEFT JOIN ({O.item_division_sql()}) idv USING (item_id)),
+    mm AS (SELECT min(repurchase) AS rmin, max(repurchase) AS rmax, min(popularity) AS pmin,
+                  max(popularity) AS pmax FROM its),
+    its2 AS (
+      SELECT its.*,
+             CASE WHEN rmax > rmin THEN (repurchase - rmin) / (rmax - rmin) ELSE 0.0 END AS repurchase_scaled,
+             CASE WHEN pmax > pmin THEN (popularity - pmin) / (pmax - pmin) ELSE 0.0 END AS popularity_scaled
+      FROM its CROSS JOIN mm),
+    its3 AS (SELECT *, 0.7 * prob + 0.15 * repurchase_scaled + 0.15 * popularity_scaled AS item_score FROM its2),
+    subr AS (
+      SELECT family_id, subcat_id,
+             row_number() OVER (PARTITION BY family_id ORDER BY round(max(prob), 12) DESC, subcat_id) AS subcat_rank
+      FROM its3 GROUP BY family_id, subcat_id),
+    items AS (
+      SELECT i.*, s.subcat_rank,
+             row_number() OVER (PARTITION BY i.family_id ORDER BY round(i.item_score, 12) DESC, i.item_id) AS item_rank,
+             CASE WHEN i.division IS NOT NULL THEN row_number() OVER (
+                  PARTITION BY i.family_id, i.division ORDER BY round(i.item_score, 12) DESC, i.item_id) END AS division_rank
+      FROM its3 i JOIN subr s USING (family_id, subcat_id))"""
+
+
+def _eval_sql(preds: str, score: str, ties: str, level: str = "subcat_id", missing: str = "skip") -> str:
+    """SELECT body for E2/E4 over CTE ``preds`` and ``truth``."""
+    flt = "FILTER (WHERE has_pred)" if missing == "skip" else ""
+    return f"""
+    recs AS (SELECT * FROM {preds} QUALIFY row_number() OVER (
+               PARTITION BY family_id ORDER BY round({score}, 12) DESC, {ties}) <= {K}),
+    nt AS (SELECT family_id, count(*) AS n_truth FROM truth GROUP BY family_id),
+    hp AS (SELECT DISTINCT family_id FROM {preds}),
+    hits AS (SELECT family_id, count(*) AS hits FROM recs JOIN truth USING (family_id, {level}) GROUP BY family_id),
+    fm AS (
+      SELECT nt.family_id, nt.n_truth, hp.family_id IS NOT NULL AS has_pred, coalesce(hits.hits, 0) AS hits
+      FROM nt LEFT JOIN hp USING (family_id) LEFT JOIN hits USING (family_id))
+    SELECT CAST({K} AS BIGINT) AS k,
+           {r(f'avg(hits / {K}.0) {flt}')} AS precision,
+           {r(f'avg(CASE WHEN n_truth > 0 THEN hits / n_truth ELSE 0.0 END) {flt}')} AS recall,
+           {r(f'avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END) {flt}')} AS hit_rate,
+           CAST(count(*) {flt} AS BIGINT) AS n_families,
+           CAST(count(*) FILTER (WHERE NOT has_pred) AS BIGINT) AS n_skipped
+    FROM fm"""
+
+
+SUBCAT_TIES_SQL = "net_sales DESC, subcat_id"
+
+
+# === D14-D16 flagship ==============================================================
+
+def _pf_sql(households=HOUSEHOLDS, data_cutoff=None):
+    return O.pair_features_sql(W, O.lines_sql(households), data_cutoff)
 
 
 @register("pair_features", lambda: _pf_sql())
 def q_pair_features(spark, sf_dir):
-    return present(FE.pair_features(_lines(spark, sf_dir), REF))
+    """The feature table with the linear score (households)."""
+    return present(_features(spark, sf_dir))
 
 
 @register("pair_features_by_customer", lambda: _pf_sql(None))
 def q_pair_features_by_customer(spark, sf_dir):
-    return present(FE.pair_features(_lines(spark, sf_dir, None), REF))
+    """D14-D16 with one family per customer (sparse: inactive families and
+    the 0.1 frequency branch are common)."""
+    return present(FE.pair_features(_hist(spark, sf_dir, None), REF))
+
+
+@register("pair_features_early_cutoff", lambda: _pf_sql(data_cutoff=EARLY_CUTOFF))
+def q_pair_features_early_cutoff(spark, sf_dir):
+    """Rows up to an earlier data cutoff, measured from the reference date."""
+    return present(_features(spark, sf_dir, data_cutoff=EARLY_CUTOFF))
+
+
+@register("event_features", lambda: O.pair_features_sql(Windows(EVENTS_REF), O.events_sql()))
+def q_event_features(spark, sf_dir):
+    """D14-D16 on the event log: user = family, event type = subcategory."""
+    lines = event_lines(spark, sf_dir, until=EVENTS_REF)
+    return present(FE.pair_features(lines, EVENTS_REF))
+
+
+# === D1-D13 standalone operators =====================================================
+
+@register("purchase_summary", lambda: f"""WITH {_ctes()}
+    SELECT family_id, subcat_id, {r('total_qty')} AS total_qty, {r('total_net')} AS total_net,
+           {r('total_discount')} AS total_discount, {r('total_list_price')} AS total_list_price,
+           {r('mean_list_price')} AS mean_list_price, CAST(n_invoices AS BIGINT) AS n_invoices,
+           CAST(n_lines AS BIGINT) AS n_lines, strftime(first_day, '%Y-%m-%d') AS first_day,
+           strftime(last_day, '%Y-%m-%d') AS last_day
+    FROM summ""")
+def q_purchase_summary(spark, sf_dir):
+    """Money and count summary per pair."""
+    return present(FE.purchase_summary(_hist(spark, sf_dir), REF))
+
+
+@register("purchase_cycles", lambda: f"""WITH {_ctes()}
+    SELECT family_id, subcat_id, {r('cycle')} AS cycle_days,
+           {r('CASE WHEN nb >= 3 THEN list_avg(g) ELSE 0.0 END')} AS cycle_days_raw,
+           {r('strength')} AS penalty_strength, {r('pmean')} AS penalty_mean, {r('pstd')} AS penalty_std,
+           {O.join_longs_sql('g')} AS gaps_days, {O.join_doubles_sql('gc')} AS gaps_clipped_days
+    FROM cyc2""")
+def q_purchase_cycles(spark, sf_dir):
+    """D3 + D2: purchase cycle from the latest weekly blocks."""
+    return present(FE.purchase_cycles(_hist(spark, sf_dir), REF))
+
+
+def _feature_select(cols: list[str]) -> Callable[[], str]:
+    def make():
+        sel = []
+        for c in cols:
+            if c in ("family_id", "subcat_id"):
+                sel.append(c)
+            elif c in ("days_since_last", "freq_lines", "sow_weighted_lines", "season_recent_invoices",
+                       "season_prior_invoices"):
+                sel.append(f"CAST({c} AS BIGINT) AS {c}")
+            else:
+                sel.append(f"{r(c)} AS {c}")
+        return f"WITH {_ctes()}\n    SELECT {', '.join(sel)} FROM scored"
+    return make
+
+
+@register("recency_scores", _feature_select(
+    ["family_id", "subcat_id", "recency", "recency_base", "recency_penalty", "last_over_cycle",
+     "days_since_last", "cycle_days"]))
+def q_recency_scores(spark, sf_dir):
+    """D4."""
+    return present(FE.recency_scores(_hist(spark, sf_dir), REF))
+
+
+@register("frequency_scores", _feature_select(
+    ["family_id", "subcat_id", "frequency", "freq_expected", "freq_lines", "freq_ratio", "cycle_days"]))
+def q_frequency_scores(spark, sf_dir):
+    """D5."""
+    return present(FE.frequency_scores(_hist(spark, sf_dir), REF))
+
+
+@register("share_of_wallet", _feature_select(["family_id", "subcat_id", "sow", "sow_weighted_lines"]))
+def q_share_of_wallet(spark, sf_dir):
+    """D6."""
+    return present(FE.share_of_wallet(_hist(spark, sf_dir), REF))
+
+
+@register("season_need", _feature_select(
+    ["family_id", "subcat_id", "season_recent_invoices", "season_prior_invoices", "season_need",
+     "season_regularity", "season"]))
+def q_season_need(spark, sf_dir):
+    """D13."""
+    return present(FE.season_need(_hist(spark, sf_dir), REF))
+
+
+@register("month_series", lambda: f"""WITH {_ctes()}
+    SELECT family_id, subcat_id, {O.join_longs_sql('series')} AS season_series,
+           CAST(thr AS BIGINT) AS season_threshold, bits AS season_bits, thinned AS season_thinned,
+           {O.join_longs_sql('pg')} AS season_peak_gaps
+    FROM ser6""")
+def q_month_series(spark, sf_dir):
+    """Densified 13-month series, threshold, bits, thinning, gaps."""
+    return present(FE.month_series(_hist(spark, sf_dir), REF))
+
+
+@register("seasonal_regularity", lambda: f"""WITH {_ctes()}
+    SELECT family_id, subcat_id, {r('cv')} AS season_cv, {r('pmean_s')} AS season_gap_mean,
+           {r('pstd_s')} AS season_gap_std, {r('reg')} AS season_regularity
+    FROM ser6""")
+def q_seasonal_regularity(spark, sf_dir):
+    """D12."""
+    return present(FE.seasonal_regularity(_hist(spark, sf_dir), REF))
+
+
+# === D17, M1-M3, M6 ===================================================================
+
+@register("label_pairs", lambda: f"""WITH {_ctes()}, {_labels_sql()}
+    SELECT family_id, subcat_id, {r('score')} AS score, CAST(label AS BIGINT) AS label FROM labelled""")
+def q_label_pairs(spark, sf_dir):
+    """Features with the label 'bought in the label window'."""
+    return present(_labelled(spark, sf_dir).select("family_id", "subcat_id", "score", "label"))
+
+
+@register("class_balance", lambda: f"""WITH {_ctes()}, {_labels_sql()}
+    SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(label) AS BIGINT) AS positives,
+           {r('avg(label)')} AS positive_rate FROM labelled""")
+def q_class_balance(spark, sf_dir):
+    """A19."""
+    return present(MD.class_balance(_labelled(spark, sf_dir)))
+
+
+@register("stratified_split", lambda: f"""WITH {_ctes()}, {_labels_sql()}
+    SELECT family_id, subcat_id, CAST(label AS BIGINT) AS label, split FROM splitted""")
+def q_stratified_split(spark, sf_dir):
+    """M1: reproducible hash split, 20 % test."""
+    return present(MD.stratified_split(_labelled(spark, sf_dir)).select("family_id", "subcat_id", "label", "split"))
+
+
+def _std_sql():
+    cols = MD.FEATURES
+    stats = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END AS s_{c}"
+                      for c in cols)
+    z = ", ".join(f"{r(f'({c} - m_{c}) / s_{c}')} AS {c}_z" for c in cols)
+    return f"""WITH {_ctes()}, {_labels_sql()},
+    st AS (SELECT {stats} FROM splitted WHERE split = 'train')
+    SELECT family_id, subcat_id, split, {z} FROM splitted CROSS JOIN st"""
+
+
+@register("standardized_features", _std_sql)
+def q_standardized_features(spark, sf_dir):
+    """M2: z-scores with mean and population std fitted on the train split."""
+    df = MD.stratified_split(_labelled(spark, sf_dir))
+    stats = MD.fit_scaler(df.filter(F.col("split") == "train"))
+    out = MD.apply_scaler(df, stats)
+    return present(out.select("family_id", "subcat_id", "split", *[f"{c}_z" for c in MD.FEATURES]))
+
+
+def _fixed_ranker_ctes():
+    return O.ranker_ctes(MD.fixed_ranker(), "scored", MD.FEATURES, "prob")
+
+
+@register("score_fixed_ranker", lambda: f"""WITH {_ctes()}, {_fixed_ranker_ctes()}
+    SELECT family_id, subcat_id, {r('prob')} AS prob FROM rk_out""")
+def q_score_fixed_ranker(spark, sf_dir):
+    """M6: batch scoring with fixed weights (forward pass on Arrow batches)."""
+    return present(_ranked_by_fixed(spark, sf_dir).select("family_id", "subcat_id", "prob"))
+
+
+# === M4/M5/M7/M8/M9 (not SQL-expressible: rows-only) ========================================
+
+def _trained(spark, sf_dir, epochs=100):
+    df = MD.stratified_split(_labelled(spark, sf_dir))
+    train = df.filter(F.col("split") == "train")
+    val = df.filter(F.col("split") == "test")
+    return df, MD.train_ranker(spark, train, val, epochs=epochs)
+
+
+@register("train_ranker")
+def q_train_ranker(spark, sf_dir):
+    """M4/M5/M9: data-parallel training, early stopping; the epoch history."""
+    _, model = _trained(spark, sf_dir)
+    return MD.history_frame(spark, model)
+
+
+@register("ranker_split_evaluation")
+def q_ranker_split_evaluation(spark, sf_dir):
+    """M6 + E1 + M8: score the test split with the trained ranker (weights
+    saved and reloaded through the shared folder) and evaluate top-3."""
+    df, model = _trained(spark, sf_dir)
+    path = scratch_path(spark, f"ranker_{uuid.uuid4().hex}")
+    MD.save_ranker(spark, model, REF, path)
+    model = MD.load_ranker(spark, path, REF)
+    test = MD.score_ranker(df.filter(F.col("split") == "test"), model, out="prob")
+    return present(EV.split_evaluation(test, K, score="prob"))
+
+
+@register("history_diagnostics")
+def q_history_diagnostics(spark, sf_dir):
+    """W6-W9 on the training history."""
+    _, model = _trained(spark, sf_dir)
+    return present(DG.history_changes(MD.history_frame(spark, model)))
+
+
+# === E1-E8, D27 ===================================================================================
+
+@register("split_evaluation", lambda: f"""WITH {_ctes()}, {_labels_sql()},
+    t AS (SELECT * FROM splitted WHERE split = 'test'),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY round(score, 12) DESC, {SUBCAT_TIES_SQL}) AS rn FROM t),
+    fm AS (SELECT family_id, count(*) AS n, sum(label) AS pos,
+                  sum(CASE WHEN rn <= {K} THEN label ELSE 0 END) AS hits
+           FROM rk GROUP BY family_id HAVING count(*) >= {K} AND sum(label) > 0)
+    SELECT CAST({K} AS BIGINT) AS k, {r(f'avg(hits / {K}.0)')} AS precision, {r('avg(hits / pos)')} AS recall,
+           {r('avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END)')} AS hit_rate,
+           CAST(count(*) AS BIGINT) AS n_families FROM fm""")
+def q_split_evaluation(spark, sf_dir):
+    """E1 with the linear score on the test split."""
+    df = MD.stratified_split(_labelled(spark, sf_dir)).filter(F.col("split") == "test")
+    return present(EV.split_evaluation(df, K, score="score"))
+
+
+@register("holdout_evaluation", lambda: f"""WITH {_ctes()}, {_truth_sql()},
+    preds AS (SELECT family_id, subcat_id, score, net_sales FROM scored),
+    {_eval_sql('preds', 'score', SUBCAT_TIES_SQL)}""")
+def q_holdout_evaluation(spark, sf_dir):
+    """Top-3 subcategories against the holdout purchases."""
+    return present(EV.holdout_evaluation(_features(spark, sf_dir), _holdout(spark, sf_dir), K))
+
+
+@register("cross_eval_precision", lambda: f"""WITH {_ctes()}, {_truth_sql()},
+    recs AS (SELECT * FROM scored QUALIFY row_number() OVER (
+               PARTITION BY family_id ORDER BY round(score, 12) DESC, {SUBCAT_TIES_SQL}) <= {K}),
+    fams AS (SELECT DISTINCT s.family_id FROM scored s JOIN (SELECT DISTINCT family_id FROM truth) t USING (family_id)),
+    hits AS (SELECT family_id, count(*) AS hits FROM recs JOIN truth USING (family_id, subcat_id) GROUP BY family_id)
+    SELECT {r(f'avg(coalesce(hits, 0) / {K}.0)')} AS precision, CAST(count(*) AS BIGINT) AS n_families
+    FROM fams LEFT JOIN hits USING (family_id)""")
+def q_cross_eval_precision(spark, sf_dir):
+    """E3."""
+    return present(EV.cross_eval_precision(_features(spark, sf_dir), _holdout(spark, sf_dir), K))
+
+
+@register("all_family_metrics", lambda: f"""WITH {_ctes()}, {_truth_sql()},
+    preds AS (SELECT family_id, subcat_id, score, net_sales FROM scored),
+    {_eval_sql('preds', 'score', SUBCAT_TIES_SQL, missing='zero')}""")
+def q_all_family_metrics(spark, sf_dir):
+    """E4 (subcategory level): families without predictions count 0."""
+    return present(EV.holdout_evaluation(_features(spark, sf_dir), _holdout(spark, sf_dir), K, missing="zero"))
+
+
+@register("all_family_metrics_items", lambda: f"""WITH {_ctes()}, {_items_sql()}, {_truth_sql('item_id')},
+    preds AS (SELECT family_id, item_id, item_score FROM items),
+    {_eval_sql('preds', 'item_score', 'item_id', level='item_id', missing='zero')}""")
+def q_all_family_metrics_items(spark, sf_dir):
+    """E4 (item level) on the blended item scores."""
+    items = _item_scores(spark, sf_dir)
+    truth = _holdout(spark, sf_dir, "item_id")
+    return present(EV.holdout_evaluation(items, truth, K, score="item_score", ties=("item_id",),
+                                         level="item_id", missing="zero"))
+
+
+def _family_metrics_sql(where=""):
+    return f"""WITH {_ctes()}, {_truth_sql()},
+    recs AS (SELECT * FROM scored QUALIFY row_number() OVER (
+               PARTITION BY family_id ORDER BY round(score, 12) DESC, {SUBCAT_TIES_SQL}) <= {K}),
+    nt AS (SELECT family_id, count(*) AS n_truth FROM truth GROUP BY family_id),
+    hp AS (SELECT DISTINCT family_id FROM scored),
+    hits AS (SELECT family_id, count(*) AS hits FROM recs JOIN truth USING (family_id, subcat_id) GROUP BY family_id)
+    SELECT nt.family_id, CAST(nt.n_truth AS BIGINT) AS n_truth,
+           CAST(CASE WHEN hp.family_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS has_pred,
+           CAST(coalesce(hits.hits, 0) AS BIGINT) AS hits,
+           {r(f'coalesce(hits.hits, 0) / {K}.0')} AS precision,
+           {r('coalesce(hits.hits, 0) / nt.n_truth')} AS recall,
+           {r('CASE WHEN coalesce(hits.hits, 0) > 0 THEN 1.0 ELSE 0.0 END')} AS hit
+    FROM nt LEFT JOIN hp USING (family_id) LEFT JOIN hits USING (family_id) {where}"""
+
+
+@register("family_metrics", lambda: _family_metrics_sql())
+def q_family_metrics(spark, sf_dir):
+    """Per-family hits, precision, recall and hit for every holdout family."""
+    return present(EV.family_metrics(_features(spark, sf_dir), _holdout(spark, sf_dir), K))
+
+
+@register("family_lookup", lambda: _family_metrics_sql(f"WHERE nt.family_id = {LOOKUP_FAMILY}"))
+def q_family_lookup(spark, sf_dir):
+    """The metrics of one family."""
+    fm = EV.family_metrics(_features(spark, sf_dir), _holdout(spark, sf_dir), K)
+    return present(fm.filter(F.col("family_id") == LOOKUP_FAMILY))
+
+
+@register("division_metrics", lambda: f"""WITH {_ctes()}, {_truth_sql()},
+    p AS (SELECT s.*, dv.division FROM scored s JOIN ({O.division_by_subcat_sql()}) dv USING (subcat_id)
+          WHERE dv.division IS NOT NULL),
+    recs AS (SELECT * FROM p QUALIFY row_number() OVER (
+               PARTITION BY family_id, division ORDER BY round(score, 12) DESC, {SUBCAT_TIES_SQL}) <= {K}),
+    nt AS (SELECT family_id, count(*) AS n_truth FROM truth GROUP BY family_id),
+    divs AS (SELECT DISTINCT division FROM p),
+    hits AS (SELECT family_id, division, count(*) AS hits FROM recs JOIN truth USING (family_id, subcat_id)
+             GROUP BY family_id, division),
+    fm AS (SELECT nt.family_id, nt.n_truth, divs.division, coalesce(hits.hits, 0) AS hits
+           FROM nt CROSS JOIN divs LEFT JOIN hits USING (family_id, division))
+    SELECT division, CAST({K} AS BIGINT) AS k, {r(f'avg(hits / {K}.0)')} AS precision,
+           {r('avg(hits / n_truth)')} AS recall, {r('avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END)')} AS hit_rate,
+           CAST(count(*) AS BIGINT) AS n_families
+    FROM fm GROUP BY division""")
+def q_division_metrics(spark, sf_dir):
+    """E5: top-3 per division, truth not restricted to the division."""
+    preds = _with_division(spark, sf_dir, _features(spark, sf_dir))
+    return present(EV.division_metrics(preds, _holdout(spark, sf_dir), K))
+
+
+@register("hit_buckets", lambda: f"""WITH {_ctes()}, {_truth_sql()},
+    recs AS (SELECT * FROM scored QUALIFY row_number() OVER (
+               PARTITION BY family_id ORDER BY round(score, 12) DESC, {SUBCAT_TIES_SQL}) <= {K}),
+    nt AS (SELECT family_id, count(*) AS n_truth FROM truth GROUP BY family_id),
+    hits AS (SELECT family_id, count(*) AS hits FROM recs JOIN truth USING (family_id, subcat_id) GROUP BY family_id),
+    fm AS (SELECT nt.family_id, nt.n_truth, coalesce(hits.hits, 0) AS hits FROM nt LEFT JOIN hits USING (family_id))
+    SELECT CAST(hits AS BIGINT) AS hits, CAST(count(*) AS BIGINT) AS n_families, {r('avg(n_truth)')} AS mean_bought
+    FROM fm GROUP BY hits""")
+def q_hit_buckets(spark, sf_dir):
+    """Families by number of hits and the mean breadth of their baskets."""
+    return present(EV.hit_buckets(_features(spark, sf_dir), _holdout(spark, sf_dir), K))
+
+
+def _model_comparison_sql():
+    metric = lambda preds, score: f"""
+      (WITH recs AS (SELECT * FROM {preds} QUALIFY row_number() OVER (
+                 PARTITION BY family_id ORDER BY round({score}, 12) DESC, {SUBCAT_TIES_SQL}) <= {K}),
+            nt AS (SELECT family_id, count(*) AS n_truth FROM truth GROUP BY family_id),
+            hp AS (SELECT DISTINCT family_id FROM {preds}),
+            hits AS (SELECT family_id, count(*) AS hits FROM recs JOIN truth USING (family_id, subcat_id) GROUP BY family_id),
+            fm AS (SELECT nt.family_id, nt.n_truth, hits.hits IS NOT NULL OR hp.family_id IS NOT NULL AS has_pred,
+                          coalesce(hits.hits, 0) AS hits
+                   FROM nt LEFT JOIN hp USING (family_id) LEFT JOIN hits USING (family_id))
+       SELECT avg(hits / {K}.0) FILTER (WHERE has_pred) AS precision,
+              avg(hits / n_truth) FILTER (WHERE has_pred) AS recall,
+              avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE has_pred) AS hit_rate FROM fm)"""
+    cols = []
+    for m in ("precision", "recall", "hit_rate"):
+        cols += [f"{r(f'a.{m}')} AS {m}_linear", f"{r(f'b.{m}')} AS {m}_ranker",
+                 f"{r(f'b.{m} - a.{m}')} AS {m}_diff",
+                 f"{r(f'CASE WHEN a.{m} <> 0 THEN (b.{m} - a.{m}) / a.{m} * 100.0 END')} AS {m}_rel_pct"]
+    return f"""WITH {_ctes()}, {_truth_sql()}, {_fixed_ranker_ctes()},
+    lin AS {metric('scored', 'score')},
+    net AS {metric('rk_out', 'prob')}
+    SELECT {', '.join(cols)},
+           CASE WHEN b.precision - a.precision > 1e-9 THEN 'ranker better'
+                WHEN b.precision - a.precision < -1e-9 THEN 'linear better' ELSE 'tie' END AS verdict
+    FROM lin a CROSS JOIN net b"""
+
+
+@register("model_comparison", _model_comparison_sql)
+def q_model_comparison(spark, sf_dir):
+    """Linear score against the (fixed-weight) ranker on the holdout."""
+    truth = _holdout(spark, sf_dir)
+    a = EV.holdout_evaluation(_features(spark, sf_dir), truth, K)
+    b = EV.holdout_evaluation(_ranked_by_fixed(spark, sf_dir), truth, K, score="prob")
+    return present(EV.compare_models(a, b, "linear", "ranker"))
+
+
+def _cutoff_matrix_sql():
+    early = O.pair_features_ctes(W, L, EARLY_CUTOFF).replace("lines AS (", "lines_e AS (", 1)
+    # rename every CTE of the early chain with an _e suffix
+    names = ["hist", "summ", "fam", "blk10", "blk", "gaps", "gstat", "cyc2", "cyc", "months", "spairs", "mcount",
+             "dense", "thr", "bits", "ser2", "ser3", "ser4", "ser5", "ser6", "ser", "base", "rec", "frq", "feat",
+             "scored"]
+    import re
+    for n in names:
+        early = re.sub(rf"\b{n}\b(?=\s+AS \()", f"{n}_e", early)
+        early = re.sub(rf"(FROM|JOIN)\s+{n}\b(?!_)", rf"\1 {n}_e", early)
+    early = early.replace("FROM lines ", "FROM lines_e ").replace("FROM lines\n", "FROM lines_e\n")
+    return f"""WITH {_ctes()}, {early}, {_truth_sql()}, {_fixed_ranker_ctes()},
+    cells AS (
+      SELECT 'linear' AS model, '{EARLY_CUTOFF}' AS cutoff, family_id, subcat_id, score, net_sales FROM scored_e
+      UNION ALL SELECT 'linear', '{REF}', family_id, subcat_id, score, net_sales FROM scored
+      UNION ALL SELECT 'ranker', '{REF}', family_id, subcat_id, prob, net_sales FROM rk_out),
+    recs AS (SELECT * FROM cells QUALIFY row_number() OVER (
+               PARTITION BY model, cutoff, family_id ORDER BY round(score, 12) DESC, {SUBCAT_TIES_SQL}) <= {K}),
+    fams AS (SELECT DISTINCT c.model, c.cutoff, c.family_id FROM cells c
+             JOIN (SELECT DISTINCT family_id FROM truth) t USING (family_id)),
+    hits AS (SELECT model, cutoff, family_id, count(*) AS hits FROM recs JOIN truth USING (family_id, subcat_id)
+             GROUP BY ALL),
+    prec AS (SELECT model, cutoff, avg(coalesce(hits, 0) / {K}.0) AS precision, count(*) AS n
+             FROM fams LEFT JOIN hits USING (model, cutoff, family_id) GROUP BY model, cutoff),
+    dif AS (SELECT *, precision - first_value(precision) OVER (PARTITION BY model ORDER BY cutoff) AS dv FROM prec)
+    SELECT model, cutoff, {r('precision')} AS precision, CAST(n AS BIGINT) AS n_families, {r('dv')} AS diff_vs_first,
+           CAST(CASE WHEN abs(dv) < 0.02 THEN 1 ELSE 0 END AS BIGINT) AS similar,
+           CAST(CASE WHEN abs(dv) > 0.05 THEN 1 ELSE 0 END AS BIGINT) AS large_gap
+    FROM dif"""
+
+
+@register("cutoff_matrix", _cutoff_matrix_sql)
+def q_cutoff_matrix(spark, sf_dir):
+    """precision@3 for linear at two data cutoffs and the ranker."""
+    lin_e = _features(spark, sf_dir, EARLY_CUTOFF).select(
+        F.lit("linear").alias("model"), F.lit(str(EARLY_CUTOFF)).alias("cutoff"),
+        "family_id", "subcat_id", "score", "net_sales")
+    lin = _features(spark, sf_dir).select(
+        F.lit("linear").alias("model"), F.lit(str(REF)).alias("cutoff"),
+        "family_id", "subcat_id", "score", "net_sales")
+    net = _ranked_by_fixed(spark, sf_dir).select(
+        F.lit("ranker").alias("model"), F.lit(str(REF)).alias("cutoff"),
+        "family_id", "subcat_id", F.col("prob").alias("score"), "net_sales")
+    cells = lin_e.unionByName(lin).unionByName(net)
+    out = EV.cutoff_matrix(cells, _holdout(spark, sf_dir), K)
+    return present(out.withColumnRenamed("diff_vs_first", "diff_vs_first"))
+
+
+# === D18-D26, O4, O5 ===============================================================================
+
+@register("item_repurchase", lambda: f"""WITH {_ctes()}, {_items_sql()}
+    SELECT family_id, item_id, strftime(last_day, '%Y-%m-%d') AS last_day, CAST(n_buys AS BIGINT) AS n_buys,
+           CAST(n30 AS BIGINT) AS n30, CAST(n60 AS BIGINT) AS n60, CAST(n90 AS BIGINT) AS n90,
+           CAST(p_long AS BIGINT) AS p_long, CAST(days_since_last AS BIGINT) AS days_since_last,
+           {r('due')} AS due, {r('penalty')} AS penalty, {r('repurchase')} AS repurchase
+    FROM rep4""")
+def q_item_repurchase(spark, sf_dir):
+    """Repurchase due-ness per (family, item)."""
+    out = IT.item_repurchase(_upto_ref(spark, sf_dir), REF)
+    return present(out.select("family_id", "item_id", "last_day", "n_buys", "n30", "n60", "n90", "p_long",
+                              "days_since_last", "due", "penalty", "repurchase"))
+
+
+@register("item_popularity", lambda: f"""WITH {_ctes()}, {_items_sql()}
+    SELECT family_id, subcat_id, item_id, CAST(item_invoices AS BIGINT) AS item_invoices,
+           CAST(subcat_invoices AS BIGINT) AS subcat_invoices, CAST(subcat_items AS BIGINT) AS subcat_items,
+           CAST(last_year_lines AS BIGINT) AS last_year_lines, {r('popularity')} AS popularity
+    FROM pop""")
+def q_item_popularity(spark, sf_dir):
+    """Item popularity inside the family's subcategory."""
+    out = IT.item_popularity(_upto_ref(spark, sf_dir), REF)
+    return present(out.select("family_id", "subcat_id", "item_id", "item_invoices", "subcat_invoices",
+                              "subcat_items", "last_year_lines", "popularity"))
+
+
+ITEM_COLS = ["family_id", "subcat_id", "item_id", "division", "prob", "repurchase", "popularity",
+             "repurchase_scaled", "popularity_scaled", "item_score", "subcat_rank", "item_rank", "division_rank"]
+
+
+def _items_select(where=""):
+    sel = []
+    for c in ITEM_COLS:
+        if c in ("family_id", "subcat_id", "item_id", "division"):
+            sel.append(c)
+        elif c.endswith("rank"):
+            sel.append(f"CAST({c} AS BIGINT) AS {c}")
+        else:
+            sel.append(f"{r(c)} AS {c}")
+    return f"WITH {_ctes()}, {_items_sql()}\n    SELECT {', '.join(sel)} FROM items {where}"
+
+
+@register("item_scores", lambda: _items_select())
+def q_item_scores(spark, sf_dir):
+    """D20 + D22 + D23 + D24: blended item scores and ranks."""
+    return present(_item_scores(spark, sf_dir).select(*ITEM_COLS))
+
+
+@register("item_rank_by_division", lambda: _items_select("WHERE division IS NOT NULL"))
+def q_item_rank_by_division(spark, sf_dir):
+    """D24 output: items of a known division with their division rank."""
+    return present(IT.items_by_division(_item_scores(spark, sf_dir)).select(*ITEM_COLS))
+
+
+@register("item_consolidation", lambda: f"""WITH lines AS ({L})
+    SELECT family_id, item_id, strftime(day, '%Y-%m-%d') AS day, subcat_id, {r('sum(qty)')} AS qty,
+           {r('avg(list_price)')} AS list_price, {r('avg(net_sales)')} AS net_sales, {r('avg(discount)')} AS discount,
+           max(invoice_id) AS invoice_id, max(store_id) AS store_id, CAST(count(*) AS BIGINT) AS n_lines,
+           any_value(subcat_name) AS subcat_name, any_value(division) AS division
+    FROM lines GROUP BY family_id, item_id, day, subcat_id""")
+def q_item_consolidation(spark, sf_dir):
+    """One row per (family, item, day, subcat), null keys kept."""
+    lines = purchase_lines(spark, sf_dir, households=HOUSEHOLDS)
+    return present(IT.consolidate_item_lines(lines))
+
+
+@register("reduction_ratio", lambda: f"""WITH lines AS ({L}),
+    g AS (SELECT 1 FROM lines GROUP BY family_id, item_id, day, subcat_id)
+    SELECT CAST((SELECT count(*) FROM lines) AS BIGINT) AS rows_before, CAST((SELECT count(*) FROM g) AS BIGINT) AS rows_after,
+           {r('1.0 - (SELECT count(*) FROM g) / (SELECT count(*) FROM lines)')} AS reduction""")
+def q_reduction_ratio(spark, sf_dir):
+    """Row reduction of the item consolidation."""
+    lines = purchase_lines(spark, sf_dir, households=HOUSEHOLDS)
+    return present(IT.reduction_ratio(lines, IT.consolidate_item_lines(lines)))
+
+
+@register("top_k_subcats", lambda: f"""WITH {_ctes()}
+    SELECT family_id, subcat_id, {r('score')} AS score,
+           CAST(row_number() OVER (PARTITION BY family_id ORDER BY round(score, 12) DESC, {SUBCAT_TIES_SQL}) AS BIGINT) AS rank
+    FROM scored QUALIFY rank <= {K}""")
+def q_top_k_subcats(spark, sf_dir):
+    """The three best subcategories of every family."""
+    top = RK.top_k(_features(spark, sf_dir), ["family_id"], "score", K, ["-net_sales", "subcat_id"])
+    return present(top.select("family_id", "subcat_id", "score", "rank"))
+
+
+@register("top_k_by_division", lambda: f"""WITH {_ctes()},
+    p AS (SELECT s.*, dv.division FROM scored s JOIN ({O.division_by_subcat_sql()}) dv USING (subcat_id)
+          WHERE dv.division IS NOT NULL)
+    SELECT family_id, division, subcat_id, {r('score')} AS score,
+           CAST(row_number() OVER (PARTITION BY family_id, division ORDER BY round(score, 12) DESC, {SUBCAT_TIES_SQL}) AS BIGINT) AS rank
+    FROM p QUALIFY rank <= {K}""")
+def q_top_k_by_division(spark, sf_dir):
+    """The three best subcategories per family and division."""
+    p = _with_division(spark, sf_dir, _features(spark, sf_dir)).filter(F.col("division").isNotNull())
+    top = RK.top_k(p, ["family_id", "division"], "score", K, ["-net_sales", "subcat_id"])
+    return present(top.select("family_id", "division", "subcat_id", "score", "rank"))
+
+
+DELIVERY_COLS = ["top", "family_id", "subcat_id", "subcat_name", "recency", "frequency", "sow", "season", "ppmi",
+                 "score", "cycle_days", "days_since_last", "season_gap_mean", "season_gap_std", "division", "top_dc"]
+
+
+@register("delivery_table", lambda: f"""WITH {_ctes()},
+    names AS (SELECT DISTINCT TRY_CAST(substring(p_brand, 7) AS BIGINT) AS subcat_id, p_brand AS subcat_name FROM part),
+    p AS (SELECT s.*, n.subcat_name, dv.division FROM scored s
+          LEFT JOIN names n USING (subcat_id)
+          LEFT JOIN ({O.division_by_subcat_sql()}) dv USING (subcat_id)
+          WHERE dv.division IN ('A', 'B'))
+    SELECT CAST(0 AS BIGINT) AS top, family_id, subcat_id, subcat_name, {r('recency')} AS recency,
+           {r('frequency')} AS frequency, {r('sow')} AS sow, {r('season')} AS season, CAST(0 AS BIGINT) AS ppmi,
+           {r('score')} AS score, {r('cycle_days')} AS cycle_days, CAST(days_since_last AS BIGINT) AS days_since_last,
+           {r('season_gap_mean')} AS season_gap_mean, {r('season_gap_std')} AS season_gap_std, division,
+           CAST(row_number() OVER (PARTITION BY family_id, division ORDER BY round(score, 12) DESC, {SUBCAT_TIES_SQL}) AS BIGINT) AS top_dc
+    FROM p""")
+def q_delivery_table(spark, sf_dir):
+    """The subcategory delivery table ranked per family and division."""
+    from cartpulse.sources.tables import subcat_names
+    feats = _with_division(spark, sf_dir, _features(spark, sf_dir)).join(
+        subcat_names(spark, sf_dir), "subcat_id", "left").filter(F.col("division").isin("A", "B"))
+    ranked = RK.rank_within(feats, ["family_id", "division"], "score", ["-net_sales", "subcat_id"], "top_dc")
+    out = ranked.withColumn("top", F.lit(0).cast("bigint")).withColumn("ppmi", F.lit(0).cast("bigint"))
+    return present(out.select(*DELIVERY_COLS))
+
+
+@register("global_ordinal", lambda: f"""WITH {_ctes()}
+    SELECT family_id, subcat_id, {r('score')} AS score,
+           CAST(row_number() OVER (ORDER BY round(score, 12) DESC, family_id, {SUBCAT_TIES_SQL}) - 1 AS BIGINT) AS top
+    FROM scored""")
+def q_global_ordinal(spark, sf_dir):
+    """0-based position over all pairs by score."""
+    out = RK.global_ordinal(_features(spark, sf_dir), "score", ["family_id", "-net_sales", "subcat_id"])
+    return present(out.select("family_id", "subcat_id", "score", "top"))
+
+
+# === sources / profile ================================================================================
+
+@register("csv_roundtrip", lambda: f"""WITH lines AS ({L})
+    SELECT family_id, subcat_id, subcat_name, item_id, invoice_id, store_id, strftime(day, '%Y-%m-%d') AS day,
+           {r('qty')} AS qty, {r('list_price')} AS list_price, {r('net_sales')} AS net_sales,
+           {r('discount')} AS discount
+    FROM lines""")
+def q_csv_roundtrip(spark, sf_dir):
+    """S1 + S3-S5 + S13/S15: lines written as latin-1 text with dd-MMM-yy
+    dates into the shared folder, read back with the history loader."""
+    lines = purchase_lines(spark, sf_dir, households=HOUSEHOLDS).drop("division")
+    path = scratch_path(spark, f"history_text_{uuid.uuid4().hex}")
+    FI.write_purchases_text(lines, path)
+    back = FI.read_purchases(spark, path)
+    return present(back.select("family_id", "subcat_id", "subcat_name", "item_id", "invoice_id", "store_id",
+                               "day", "qty", "list_price", "net_sales", "discount"))
+
+
+@register("table_profile", lambda: f"""WITH lines AS ({L})
+    SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT family_id) AS BIGINT) AS families,
+           strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day FROM lines""")
+def q_table_profile(spark, sf_dir):
+    """A18."""
+    return present(DG.table_profile(purchase_lines(spark, sf_dir, households=HOUSEHOLDS)))

@@ -213,3 +213,48 @@ def pair_features_sql(w: Windows, lines: str, data_cutoff=None) -> str:
            {r('season_cv')} AS season_cv, {r('season_gap_mean')} AS season_gap_mean,
            {r('season_gap_std')} AS season_gap_std, {r('net_sales')} AS net_sales
     FROM scored"""
+
+
+def division_by_subcat_sql() -> str:
+    return """
+    SELECT TRY_CAST(substring(p_brand, 7) AS BIGINT) AS subcat_id,
+           min(CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'A'
+                    WHEN p_type IN ('PROMO', 'SMALL') THEN 'B' END) AS division
+    FROM part GROUP BY 1"""
+
+
+def item_division_sql() -> str:
+    return """
+    SELECT p_partkey AS item_id,
+           CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'A'
+                WHEN p_type IN ('PROMO', 'SMALL') THEN 'B' END AS division
+    FROM part"""
+
+
+def _num(v: float) -> str:
+    return f"{float(v):.17e}"
+
+
+def ranker_ctes(ranker, src: str, cols, out: str = "prob") -> str:
+    """CTEs rk1..rkN computing the ranker's forward pass in plain SQL from
+    table ``src``; the last one is ``rk_out`` with column ``out``."""
+    ws = ranker.weights
+    x = [f"((coalesce({c}, 0.0) - {_num(m)}) / {_num(s)})" for c, m, s in zip(cols, ranker.mean, ranker.std)]
+    ctes = []
+    prev, names = src, x
+    n = len(ws) // 2
+    for li in range(n):
+        W, b = ws[2 * li], ws[2 * li + 1]
+        exprs = []
+        for j in range(W.shape[1]):
+            terms = " + ".join(f"{nm} * {_num(W[i, j])}" for i, nm in enumerate(names))
+            z = f"({_num(b[j])} + {terms})"
+            if li < n - 1:
+                exprs.append(f"greatest(0.0, {z}) AS h{li}_{j}")
+            else:
+                exprs.append(f"1.0 / (1.0 + exp(-{z})) AS {out}")
+        name = f"rk{li}" if li < n - 1 else "rk_out"
+        ctes.append(f"{name} AS (SELECT *, {', '.join(exprs)} FROM {prev})")
+        prev = name
+        names = [f"h{li}_{j}" for j in range(W.shape[1])]
+    return ",\n    ".join(ctes)
