@@ -18,7 +18,6 @@ Plan (no per-family loop, no joins, no UDF):
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -130,130 +129,143 @@ def pair_aggregates(lines: DataFrame, w: Windows, data_cutoff=None) -> DataFrame
 
 
 # --- per-pair column math ---------------------------------------------------
+# The math is written as lists of stages; each stage is one ``withColumns``
+# (one Project) whose expressions only read columns of earlier stages.
+# Chains that do not depend on each other share stages, so the whole
+# feature derivation is a handful of projections inside one codegen stage.
 
-def with_cycle(df: DataFrame, w: Windows, min_blocks=MIN_BLOCKS, max_blocks=MAX_BLOCKS,
-               std_threshold=STD_THRESHOLD) -> DataFrame:
+Stage = dict  # column name -> Column
+
+
+def merge_stages(*chains: list[Stage]) -> list[Stage]:
+    out: list[Stage] = []
+    for chain in chains:
+        for i, st in enumerate(chain):
+            if i == len(out):
+                out.append({})
+            out[i].update(st)
+    return out
+
+
+def apply_stages(df: DataFrame, stages: list[Stage]) -> DataFrame:
+    for st in stages:
+        if st:
+            df = df.withColumns(st)
+    return df
+
+
+def cycle_stages(w: Windows, min_blocks=MIN_BLOCKS, max_blocks=MAX_BLOCKS,
+                 std_threshold=STD_THRESHOLD) -> list[Stage]:
     """D3 + D2: cycle from the latest weekly blocks, clipped gaps."""
-    df = df.withColumn("_blocks", A.col(A.last_n("blocks_all", max_blocks)))
-    df = df.withColumn(
-        "_gaps",
-        A.col(f"CASE WHEN size(_blocks) >= {min_blocks} "
-              f"THEN {A.successive_diffs('_blocks', w.block_days)} "
-              f"ELSE CAST(array() AS ARRAY<INT>) END"),
-    )
-    df = df.withColumn("_gd", A.col("transform(_gaps, x -> CAST(x AS DOUBLE))"))
-    df = df.withColumn("_gm", A.col(A.arr_mean("_gd"))).withColumn("_gs", A.col(A.arr_std_pop("_gd")))
-    df = df.withColumn("_clip", A.col(A.clip_values("_gd", "_gm", "_gs", std_threshold)))
     active = F.col("any_active") == 1
     enough = F.size("_blocks") >= min_blocks
-    return (
-        df.withColumn("cycle_days", F.when(active & enough, A.col(A.arr_mean("_clip"))).otherwise(0.0))
-        .withColumn("cycle_days_raw", F.when(active & enough, F.col("_gm")).otherwise(0.0))
-        .withColumn("penalty_strength",
-                    F.when(~active, 0.0).when(~enough, 2.0)
-                    .otherwise(A.col(A.clip_strength("_gd", "_gm", "_gs"))))
-        .withColumn("penalty_mean", F.when(active & enough, A.col(A.clip_mean("_gd", "_gm", "_gs"))).otherwise(0.0))
-        .withColumn("penalty_std", F.when(active & enough, A.col(A.clip_std("_gd", "_gm", "_gs"))).otherwise(0.0))
-        .withColumn("gaps_days", A.col("transform(_gaps, x -> CAST(x AS BIGINT))"))
-        .withColumn("gaps_clipped_days", F.col("_clip"))
-        .drop("_blocks", "_gaps", "_gd", "_gm", "_gs", "_clip")
-    )
+    ok = active & enough
+    diffs = (f"CASE WHEN size(_blocks) >= {min_blocks} "
+             f"THEN {A.successive_diffs('_blocks', w.block_days)} ELSE CAST(array() AS ARRAY<INT>) END")
+    return [
+        {"_blocks": A.col(A.last_n("blocks_all", max_blocks))},
+        {"gaps_days": A.col(f"transform({diffs}, x -> CAST(x AS BIGINT))"),
+         "_gd": A.col(f"transform({diffs}, x -> CAST(x AS DOUBLE))")},
+        {"_gm": A.col(A.arr_mean("_gd"))},
+        {"_gs": A.col(f"sqrt(try_divide(aggregate(_gd, 0D, (acc, x) -> acc + (x - _gm) * (x - _gm)), size(_gd)))")},
+        {"gaps_clipped_days": A.col(A.clip_values("_gd", "_gm", "_gs", std_threshold)),
+         "cycle_days_raw": F.when(ok, F.col("_gm")).otherwise(0.0),
+         "penalty_strength": F.when(~active, 0.0).when(~enough, 2.0)
+         .otherwise(A.col(A.clip_strength("_gd", "_gm", "_gs"))),
+         "penalty_mean": F.when(ok, A.col(A.clip_mean("_gd", "_gm", "_gs"))).otherwise(0.0),
+         "penalty_std": F.when(ok, A.col(A.clip_std("_gd", "_gm", "_gs"))).otherwise(0.0),
+         "_cycle_ok": ok},
+        {"cycle_days": F.when(F.col("_cycle_ok"), A.col(A.arr_mean("gaps_clipped_days"))).otherwise(0.0)},
+    ]
+
+
+def series_stages(w: Windows, min_peaks=MIN_PEAKS) -> list[Stage]:
+    """13-month line series, threshold, bits, thinning, gaps, regularity.
+    Pairs without a line in the series window have no series: empty arrays,
+    zeros."""
+    present = F.col("any_series") == 1
+    empty_long = F.expr("CAST(array() AS ARRAY<BIGINT>)")
+    many = F.size("_pg") > 1
+    sentinel = F.lit(S.SEASON_CV_SENTINEL)
+    return [
+        {"_series": F.array(*[F.col(f"m{k}") for k in range(w.n_months)])},
+        {"_thr": A.col(A.positive_floor_mean("_series"))},
+        {"_bits": A.col(A.discretize("_series", "_thr"))},
+        {"_thin": A.col(A.thin_runs("_bits"))},
+        {"_peaks": A.col(A.zero_run_gaps("_thin", min_peaks))},
+        {"_pg": A.col("transform(_peaks, x -> CAST(x AS DOUBLE))")},
+        {"_pm": A.col(A.arr_mean("_pg"))},
+        {"_ps": A.col("sqrt(try_divide(aggregate(_pg, 0D, (acc, x) -> acc + (x - _pm) * (x - _pm)), size(_pg)))")},
+        {"_cv": F.when(many, F.col("_ps") / F.col("_pm")).otherwise(sentinel)},
+        {"season_series": F.when(present, F.col("_series")).otherwise(empty_long),
+         "season_threshold": F.when(present, F.col("_thr")).otherwise(F.lit(0).cast("bigint")),
+         "season_bits": F.when(present, F.col("_bits")).otherwise(F.lit("")),
+         "season_thinned": F.when(present, F.col("_thin")).otherwise(F.lit("")),
+         "season_peak_gaps": F.when(present, F.col("_peaks")).otherwise(empty_long),
+         "season_gap_mean": F.when(present, F.when(many, F.col("_pm")).otherwise(sentinel)).otherwise(0.0),
+         "season_gap_std": F.when(present, F.when(many, F.col("_ps")).otherwise(sentinel)).otherwise(0.0),
+         "season_cv": F.when(present, F.col("_cv")).otherwise(0.0),
+         "season_regularity": F.when(present, S.regularity(F.col("_cv"))).otherwise(0.0)},
+    ]
 
 
-def with_recency(df: DataFrame, w: Windows) -> DataFrame:
-    """Rises after a purchase, peaks at one cycle, decays beyond it."""
-    days = F.greatest(F.lit(0), F.datediff(F.lit(w.ref), F.col("last_day")))
+def recency_stage(w: Windows) -> Stage:
+    """Rises after a purchase, peaks at one cycle, decays beyond it
+    (reads ``cycle_days`` and ``days_since_last``)."""
     c = F.when(F.col("cycle_days") > 0, F.col("cycle_days"))
     has_c = F.col("cycle_days") > 0
     d = F.col("days_since_last").cast("double")
-    return (
-        df.withColumn("days_since_last", days.cast("bigint"))
-        .withColumn("recency_base", F.when(has_c, S.recency_base(d, c)).otherwise(0.0))
-        .withColumn("last_over_cycle", F.when(has_c, d / c).otherwise(0.0))
-        .withColumn("recency_penalty", F.when(has_c, S.recency_penalty(d, c)).otherwise(0.0))
-        .withColumn("recency", F.col("recency_base") * F.col("recency_penalty"))
-    )
+    base = F.when(has_c, S.recency_base(d, c)).otherwise(0.0)
+    pen = F.when(has_c, S.recency_penalty(d, c)).otherwise(0.0)
+    return {
+        "recency_base": base,
+        "last_over_cycle": F.when(has_c, d / c).otherwise(0.0),
+        "recency_penalty": pen,
+        "recency": base * pen,
+    }
+
+
+def days_since_last(w: Windows) -> Column:
+    return F.greatest(F.lit(0), F.datediff(F.lit(w.ref), F.col("last_day"))).cast("bigint")
 
 
-def with_frequency(df: DataFrame, w: Windows, fam_any_freq: Column) -> DataFrame:
+def frequency_stages(w: Windows, fam_any_freq: Column) -> list[Stage]:
     """Recent line count against the count the cycle predicts."""
     c = F.when(F.col("cycle_days") > 0, F.col("cycle_days"))
-    expected = S.expected_purchases(c, w.freq_days)
     in_window = F.col("any_freq") == 1
     empty_family = fam_any_freq == 0
-    df = df.withColumn("_exp", F.when(in_window, F.coalesce(expected, F.lit(0.0))).otherwise(0.0))
-    ratio = F.when(F.col("_exp") > 0, F.col("lines_freq") / F.when(F.col("_exp") > 0, F.col("_exp"))) \
-        .otherwise(S.FREQ_NO_EXPECTATION_RATIO)
-    df = df.withColumn("_ratio", F.when(in_window, ratio).otherwise(0.0))
-    score = F.when(in_window & (F.col("_exp") > 0), S.frequency_curve(F.col("_ratio"))).otherwise(0.0)
-    return (
-        df.withColumn("frequency", F.when(empty_family, S.FREQ_EMPTY_FAMILY).otherwise(score))
-        .withColumn("freq_expected", F.when(~empty_family, F.col("_exp")))
-        .withColumn("freq_lines",
-                    F.when(~empty_family, F.when(in_window, F.col("lines_freq")).otherwise(0)).cast("bigint"))
-        .withColumn("freq_ratio", F.when(~empty_family, F.col("_ratio")))
-        .drop("_exp", "_ratio")
-    )
+    exp_ = F.col("_exp")
+    ratio = F.when(exp_ > 0, F.col("lines_freq") / F.when(exp_ > 0, exp_)).otherwise(S.FREQ_NO_EXPECTATION_RATIO)
+    return [
+        {"_exp": F.when(in_window, F.coalesce(S.expected_purchases(c, w.freq_days), F.lit(0.0))).otherwise(0.0)},
+        {"_ratio": F.when(in_window, ratio).otherwise(0.0)},
+        {"frequency": F.when(empty_family, S.FREQ_EMPTY_FAMILY).otherwise(
+            F.when(in_window & (exp_ > 0), S.frequency_curve(F.col("_ratio"))).otherwise(0.0)),
+         "freq_expected": F.when(~empty_family, exp_),
+         "freq_lines": F.when(~empty_family, F.when(in_window, F.col("lines_freq")).otherwise(0)).cast("bigint"),
+         "freq_ratio": F.when(~empty_family, F.col("_ratio"))},
+    ]
 
 
-def with_sow(df: DataFrame, fam_total: Column, fam_max: Column) -> DataFrame:
+def sow_expr(fam_total: Column, fam_max: Column) -> Column:
     """Weighted line counts, share in family, rescaled by the family max."""
-    wsum = F.col("sow_weighted_lines").cast("double")
-    share = wsum / fam_total
-    sow = F.when(fam_total > 0, share * (1.0 / (fam_max / fam_total))).otherwise(0.0)
-    return df.withColumn("sow", sow)
+    share = F.col("sow_weighted_lines").cast("double") / fam_total
+    return F.when(fam_total > 0, share * (1.0 / (fam_max / fam_total))).otherwise(0.0)
 
 
 def weighted_lines() -> Column:
     return (S.SOW_RECENT_WEIGHT * F.col("lines_recent") + S.SOW_OLD_WEIGHT * F.col("lines_old")).cast("bigint")
 
 
-def with_month_series(df: DataFrame, w: Windows, min_peaks=MIN_PEAKS) -> DataFrame:
-    """13-month line series, threshold, bits, thinning, gaps, regularity."""
-    present = F.col("any_series") == 1
-    df = df.withColumn("season_series", F.array(*[F.col(f"m{k}") for k in range(w.n_months)]))
-    df = df.withColumn("season_threshold", A.col(A.positive_floor_mean("season_series")))
-    df = df.withColumn("season_bits", A.col(A.discretize("season_series", "season_threshold")))
-    df = df.withColumn("season_thinned", A.col(A.thin_runs("season_bits")))
-    df = df.withColumn("season_peak_gaps", A.col(A.zero_run_gaps("season_thinned", min_peaks)))
-    df = df.withColumn("_pg", A.col("transform(season_peak_gaps, x -> CAST(x AS DOUBLE))"))
-    many = F.size("_pg") > 1
-    gm = A.col(A.arr_mean("_pg"))
-    gs = A.col(A.arr_std_pop("_pg"))
-    df = (
-        df.withColumn("season_gap_mean", F.when(many, gm).otherwise(S.SEASON_CV_SENTINEL))
-        .withColumn("season_gap_std", F.when(many, gs).otherwise(S.SEASON_CV_SENTINEL))
-        .withColumn("season_cv",
-                    F.when(many, F.col("season_gap_std") / F.col("season_gap_mean"))
-                    .otherwise(S.SEASON_CV_SENTINEL))
-        .withColumn("season_regularity", S.regularity(F.col("season_cv")))
-        .drop("_pg")
-    )
-    # pairs without a line in the series window have no series at all
-    zero_long = F.lit(0).cast("bigint")
-    empty_long = F.expr("CAST(array() AS ARRAY<BIGINT>)")
-    return (
-        df.withColumn("season_series", F.when(present, F.col("season_series")).otherwise(empty_long))
-        .withColumn("season_threshold", F.when(present, F.col("season_threshold")).otherwise(zero_long))
-        .withColumn("season_bits", F.when(present, F.col("season_bits")).otherwise(F.lit("")))
-        .withColumn("season_thinned", F.when(present, F.col("season_thinned")).otherwise(F.lit("")))
-        .withColumn("season_peak_gaps", F.when(present, F.col("season_peak_gaps")).otherwise(empty_long))
-        .withColumn("season_gap_mean", F.when(present, F.col("season_gap_mean")).otherwise(0.0))
-        .withColumn("season_gap_std", F.when(present, F.col("season_gap_std")).otherwise(0.0))
-        .withColumn("season_cv", F.when(present, F.col("season_cv")).otherwise(0.0))
-        .withColumn("season_regularity", F.when(present, F.col("season_regularity")).otherwise(0.0))
-    )
-
-
-def with_season(df: DataFrame) -> DataFrame:
+def season_exprs() -> Stage:
     """Backlog against the same quarter a year earlier, times regularity."""
     need = S.season_need(F.col("season_prior_invoices").cast("double"),
                          F.col("season_recent_invoices").cast("double"))
     present = F.col("any_series") == 1
-    return (
-        df.withColumn("season_need", need)
-        .withColumn("season", F.when(present, need * (0.5 + 0.5 * F.col("season_regularity"))).otherwise(0.0))
-    )
+    return {
+        "season_need": need,
+        "season": F.when(present, need * (0.5 + 0.5 * F.col("season_regularity"))).otherwise(0.0),
+    }
 
 
 FEATURE_COLUMNS = [
@@ -275,26 +287,30 @@ def pair_table(lines: DataFrame, ref_date, data_cutoff=None, families: DataFrame
     if families is not None:
         lines = lines.join(families.select("family_id").distinct(), "family_id", "left_semi")
     df = pair_aggregates(lines, w, data_cutoff)
-    df = with_cycle(df, w)
-    df = with_recency(df, w)
-    df = df.withColumn("sow_weighted_lines", weighted_lines())
-    fam = Window.partitionBy("family_id")
-    df = (
-        df.withColumn("_fam_any_freq", F.max("any_freq").over(fam))
-        .withColumn("_fam_active", F.max("any_active").over(fam))
-        .withColumn("_fam_w_total", F.sum("sow_weighted_lines").over(fam).cast("double"))
-        .withColumn("_fam_w_max", F.max("sow_weighted_lines").over(fam).cast("double"))
+    per_pair = merge_stages(
+        [{"sow_weighted_lines": weighted_lines(), "days_since_last": days_since_last(w)}],
+        cycle_stages(w),
+        series_stages(w),
     )
+    df = apply_stages(df, per_pair)
+    fam = Window.partitionBy("family_id")
+    df = df.withColumns({
+        "_fam_any_freq": F.max("any_freq").over(fam),
+        "_fam_active": F.max("any_active").over(fam),
+        "_fam_w_total": F.sum("sow_weighted_lines").over(fam).cast("double"),
+        "_fam_w_max": F.max("sow_weighted_lines").over(fam).cast("double"),
+    })
     if not keep_inactive:
         df = df.filter(F.col("_fam_active") == 1)
-    df = with_frequency(df, w, F.col("_fam_any_freq"))
-    df = with_sow(df, F.col("_fam_w_total"), F.col("_fam_w_max"))
-    df = with_month_series(df, w)
-    df = with_season(df)
-    df = df.withColumn("score", S.linear_score(F.col("recency"), F.col("frequency"),
-                                               F.col("sow"), F.col("season")))
-    df = df.withColumn("net_sales", F.col("total_net"))
-    return df
+    tail = merge_stages(
+        [recency_stage(w)],
+        frequency_stages(w, F.col("_fam_any_freq")),
+        [{"sow": sow_expr(F.col("_fam_w_total"), F.col("_fam_w_max")), "net_sales": F.col("total_net"),
+          **season_exprs()}],
+    )
+    df = apply_stages(df, tail)
+    return df.withColumn("score", S.linear_score(F.col("recency"), F.col("frequency"),
+                                                 F.col("sow"), F.col("season")))
 
 
 def pair_features(lines: DataFrame, ref_date, data_cutoff=None, families: DataFrame | None = None,
@@ -324,7 +340,7 @@ def purchase_cycles(lines: DataFrame, ref_date, data_cutoff=None, months: int =
     """D3: pairs with a line in the cycle window, with cycle and gap detail."""
     w = windows_for(ref_date, cycle_months=months, block_days=block_days)
     df = pair_aggregates(lines, w, data_cutoff).filter(F.col("any_active") == 1)
-    df = with_cycle(df, w, min_blocks, max_blocks, std_threshold)
+    df = apply_stages(df, cycle_stages(w, min_blocks, max_blocks, std_threshold))
     return df.select(*KEYS, "cycle_days", "cycle_days_raw", "penalty_strength", "penalty_mean",
                      "penalty_std", "gaps_days", "gaps_clipped_days")
 
@@ -348,7 +364,7 @@ def month_series(lines: DataFrame, ref_date, data_cutoff=None, months: int = 12)
     """D7-D11 for the pairs with a line in the series window."""
     w = windows_for(ref_date, series_months=months)
     df = pair_aggregates(lines, w, data_cutoff).filter(F.col("any_series") == 1)
-    df = with_month_series(df, w)
+    df = apply_stages(df, series_stages(w))
     return df.select(*KEYS, "season_series", "season_threshold", "season_bits", "season_thinned",
                      "season_peak_gaps")
 
@@ -357,7 +373,7 @@ def seasonal_regularity(lines: DataFrame, ref_date, data_cutoff=None) -> DataFra
     """D12 for the pairs with a line in the series window."""
     w = windows_for(ref_date)
     df = pair_aggregates(lines, w, data_cutoff).filter(F.col("any_series") == 1)
-    df = with_month_series(df, w)
+    df = apply_stages(df, series_stages(w))
     return df.select(*KEYS, "season_cv", "season_gap_mean", "season_gap_std", "season_regularity")
 
 
