@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cartpulse.functions import scores as S
 from cartpulse.functions.periods import as_date, shift_days
-from cartpulse.operators.rank import rank_within, score_key
+from cartpulse.operators.rank import score_key
 
 
 def history(lines: DataFrame, ref_date, data_cutoff=None) -> DataFrame:
@@ -22,59 +22,88 @@ def history(lines: DataFrame, ref_date, data_cutoff=None) -> DataFrame:
     return lines.filter(F.col("day") <= F.lit(end))
 
 
-def item_repurchase(lines: DataFrame, ref_date, data_cutoff=None, long_days: int = 180,
-                    legacy_bucket90: bool = False) -> DataFrame:
-    """Due-date sigmoid times a bucket penalty, per (family, item)."""
+def item_aggregates(lines: DataFrame, ref_date, data_cutoff=None, long_days: int = 180,
+                    pop_days: int = 365) -> DataFrame:
+    """One row per (family, subcat, item) with everything D18 and D19 need.
+
+    Level 1 groups lines by (family, subcat, item, invoice): window counts,
+    last day, division.  Level 2 sums them per item; distinct invoices per
+    item are the non-null level-1 groups.  Distinct invoices per subcategory
+    come from the same level-1 rows regrouped by (family, subcat, invoice).
+    An item belongs to one subcategory, so (family, item) and (family,
+    subcat, item) are the same groups.
+    """
     ref = as_date(ref_date)
     day = F.col("day")
+    has_inv = F.col("invoice_id").isNotNull()
 
-    def since(n):
-        return F.sum(F.when(day >= F.lit(shift_days(ref, -n)), 1).otherwise(0)).cast("bigint")
+    def since(n, cond=None):
+        c = day >= F.lit(shift_days(ref, -n))
+        if cond is not None:
+            c = c & cond
+        return F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
 
-    g = history(lines, ref, data_cutoff).groupBy("family_id", "item_id").agg(
+    l1 = history(lines, ref, data_cutoff).groupBy("family_id", "subcat_id", "item_id", "invoice_id").agg(
         F.max("day").alias("last_day"),
-        F.count("day").cast("bigint").alias("n_buys"),
+        F.count("day").alias("rows"),
         since(30).alias("p30"), since(60).alias("p60"), since(90).alias("p90"),
         since(long_days).alias("p_long"),
+        since(pop_days, has_inv).alias("l_recent"),
+        F.max("division").alias("division"),
     )
-    n90 = (F.col("p90") - F.col("p60") - F.col("p30")) if legacy_bucket90 else (F.col("p90") - F.col("p60"))
-    t = F.datediff(F.lit(ref), F.col("last_day"))
-    return (
-        g.withColumn("n30", F.col("p30")).withColumn("n60", F.col("p60") - F.col("p30"))
-        .withColumn("n90", n90)
-        .withColumn("days_since_last", t.cast("bigint"))
-        .withColumn("due", S.due_curve(F.col("days_since_last").cast("double")))
-        .withColumn("penalty", S.repurchase_penalty(F.col("n30"), F.col("n60"), F.col("n90"), F.col("p_long")))
-        .withColumn("repurchase", F.least(F.lit(1.0), F.col("due") * F.col("penalty")))
-    )
-
-
-def item_popularity(lines: DataFrame, ref_date, data_cutoff=None, days: int = 365) -> DataFrame:
-    """Smoothed share of the subcategory's invoices, with penalties for
-    an item that holds all of them and for rare recent buying."""
-    ref = as_date(ref_date)
-    recent = F.col("day") >= F.lit(shift_days(ref, -days))
-    per_inv = history(lines, ref, data_cutoff).groupBy("family_id", "subcat_id", "item_id", "invoice_id").agg(
-        F.sum(F.when(recent & F.col("invoice_id").isNotNull(), 1).otherwise(0)).cast("bigint").alias("l_recent"))
-    items = per_inv.groupBy("family_id", "subcat_id", "item_id").agg(
+    items = l1.groupBy("family_id", "subcat_id", "item_id").agg(
+        F.max("last_day").alias("last_day"),
+        F.sum("rows").cast("bigint").alias("n_buys"),
+        *[F.sum(c).cast("bigint").alias(c) for c in ("p30", "p60", "p90", "p_long")],
         F.count("invoice_id").cast("bigint").alias("item_invoices"),
         F.sum("l_recent").cast("bigint").alias("last_year_lines"),
+        F.max("division").alias("division"),
     )
     subcat_inv = (
-        per_inv.filter(F.col("invoice_id").isNotNull())
-        .select("family_id", "subcat_id", "invoice_id").distinct()
+        l1.filter(has_inv).select("family_id", "subcat_id", "invoice_id").distinct()
         .groupBy("family_id", "subcat_id").agg(F.count(F.lit(1)).cast("bigint").alias("subcat_invoices"))
     )
     fs = Window.partitionBy("family_id", "subcat_id")
     items = items.withColumn("subcat_items", F.count(F.lit(1)).over(fs).cast("bigint"))
-    out = items.join(subcat_inv, ["family_id", "subcat_id"], "left").fillna(0, ["subcat_invoices"])
-    return out.withColumn(
+    return items.join(subcat_inv, ["family_id", "subcat_id"], "left").fillna(0, ["subcat_invoices"])
+
+
+def repurchase_stage(legacy_bucket90: bool = False, ref=None) -> dict:
+    n90 = (F.col("p90") - F.col("p60") - F.col("p30")) if legacy_bucket90 else (F.col("p90") - F.col("p60"))
+    return {"n30": F.col("p30"), "n60": F.col("p60") - F.col("p30"), "n90": n90,
+            "days_since_last": F.datediff(F.lit(ref), F.col("last_day")).cast("bigint")}
+
+
+def with_repurchase(df: DataFrame, ref_date, legacy_bucket90: bool = False) -> DataFrame:
+    """Due-date sigmoid times a bucket penalty."""
+    df = df.withColumns(repurchase_stage(legacy_bucket90, as_date(ref_date)))
+    due = S.due_curve(F.col("days_since_last").cast("double"))
+    pen = S.repurchase_penalty(F.col("n30"), F.col("n60"), F.col("n90"), F.col("p_long"))
+    df = df.withColumns({"due": due, "penalty": pen})
+    return df.withColumn("repurchase", F.least(F.lit(1.0), F.col("due") * F.col("penalty")))
+
+
+def with_popularity(df: DataFrame) -> DataFrame:
+    """Smoothed share of the subcategory's invoices, with penalties for
+    an item that holds all of them and for rare recent buying."""
+    return df.withColumn(
         "popularity",
         S.popularity(F.col("item_invoices").cast("double"), F.col("subcat_invoices").cast("double"),
                      F.col("subcat_items").cast("double"), F.col("last_year_lines")),
     )
 
 
+def item_repurchase(lines: DataFrame, ref_date, data_cutoff=None, long_days: int = 180,
+                    legacy_bucket90: bool = False) -> DataFrame:
+    """D18 per (family, item)."""
+    return with_repurchase(item_aggregates(lines, ref_date, data_cutoff, long_days), ref_date, legacy_bucket90)
+
+
+def item_popularity(lines: DataFrame, ref_date, data_cutoff=None, days: int = 365) -> DataFrame:
+    """D19 per (family, subcat, item)."""
+    return with_popularity(item_aggregates(lines, ref_date, data_cutoff, pop_days=days))
+
+
 def minmax(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame:
     """M3: global min-max scaling to [0, 1]; a constant column becomes 0."""
     stats = df.agg(*[F.min(c).alias(f"_min_{c}") for c in cols], *[F.max(c).alias(f"_max_{c}") for c in cols])
@@ -86,37 +115,28 @@ def minmax(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame
 
 
 def item_scores(subcat_scores: DataFrame, lines: DataFrame, ref_date, data_cutoff=None,
-                prob: str = "score", items_dim: DataFrame | None = None) -> DataFrame:
+                prob: str = "score") -> DataFrame:
     """D20 + D22-D24: every item a family bought in a scored subcategory with
-    its blended score and three ranks."""
-    rep = item_repurchase(lines, ref_date, data_cutoff).select(
-        "family_id", "item_id", "repurchase", "due", "penalty", "n_buys", "days_since_last")
-    pop = item_popularity(lines, ref_date, data_cutoff).select(
-        "family_id", "subcat_id", "item_id", "popularity", "item_invoices", "subcat_invoices",
-        "subcat_items", "last_year_lines")
+    its blended score and three ranks (all three windows share one
+    partitioning by family)."""
+    agg = with_popularity(with_repurchase(item_aggregates(lines, ref_date, data_cutoff), ref_date))
     sc = subcat_scores.select("family_id", "subcat_id", F.col(prob).alias("prob"))
-    items = sc.join(pop, ["family_id", "subcat_id"]).join(rep, ["family_id", "item_id"], "left")
-    if items_dim is not None:
-        items = items.join(items_dim.select("item_id", "division"), "item_id", "left")
+    items = sc.join(agg, ["family_id", "subcat_id"])
     items = minmax(items, ["repurchase", "popularity"])
     b = S.ITEM_BLEND
     items = items.withColumn(
         "item_score", b[0] * F.col("prob") + b[1] * F.col("repurchase_scaled") + b[2] * F.col("popularity_scaled"))
-    # Subcategory rank inside the family, inherited by items.  The
-    # probability is constant within a subcategory, so its mean is the value
-    # itself; max() returns it exactly (a floating mean of n equal values can
-    # drift by an ulp and break ties that the subcat id should decide).
-    sub = items.groupBy("family_id", "subcat_id").agg(F.max("prob").alias("subcat_prob"))
-    sub = rank_within(sub, ["family_id"], "subcat_prob", ["subcat_id"], "subcat_rank")
-    items = items.join(sub.select("family_id", "subcat_id", "subcat_rank"), ["family_id", "subcat_id"])
-    # Rank over all items of the family
-    items = rank_within(items, ["family_id"], "item_score", ["item_id"], "item_rank")
-    # Rank within (family, division); items without a division get none
-    if "division" in items.columns:
-        w = Window.partitionBy("family_id", "division").orderBy(score_key("item_score").desc(), F.col("item_id"))
-        items = items.withColumn("division_rank",
-                                 F.when(F.col("division").isNotNull(), F.row_number().over(w)))
-    return items
+    fam = Window.partitionBy("family_id")
+    by_item = fam.orderBy(score_key("item_score").desc(), F.col("item_id"))
+    # The probability is constant within a subcategory, so the dense rank
+    # of (probability, subcat) is the subcategory's rank inside the family
+    by_subcat = fam.orderBy(score_key("prob").desc(), F.col("subcat_id"))
+    by_div = Window.partitionBy("family_id", "division").orderBy(score_key("item_score").desc(), F.col("item_id"))
+    return items.withColumns({
+        "subcat_rank": F.dense_rank().over(by_subcat),
+        "item_rank": F.row_number().over(by_item),
+        "division_rank": F.when(F.col("division").isNotNull(), F.row_number().over(by_div)),
+    })
 
 
 def items_by_division(items: DataFrame) -> DataFrame:

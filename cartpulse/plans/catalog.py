@@ -96,8 +96,7 @@ def _ranked_by_fixed(spark, sf_dir):
 
 
 def _item_scores(spark, sf_dir):
-    return IT.item_scores(_features(spark, sf_dir), _upto_ref(spark, sf_dir), REF,
-                          items_dim=item_dimension(spark, sf_dir))
+    return IT.item_scores(_features(spark, sf_dir), _upto_ref(spark, sf_dir), REF)
 
 
 # --- shared SQL pieces -------------------------------------------------------------
@@ -146,7 +145,7 @@ def _items_sql():
       FROM rep2),
     rep4 AS (SELECT *, least(1.0, due * penalty) AS repurchase FROM rep3),
     pop_i AS (
-      SELECT family_id, subcat_id, item_id, count(DISTINCT invoice_id) AS item_invoices,
+      SELECT family_id, subcat_id, item_id, max(division) AS division, count(DISTINCT invoice_id) AS item_invoices,
              count(invoice_id) FILTER (WHERE day >= {d(shift_days(REF, -365))}) AS last_year_lines
       FROM ihist GROUP BY family_id, subcat_id, item_id),
     pop_s AS (
@@ -160,10 +159,9 @@ def _items_sql():
                * CASE WHEN i.last_year_lines < 2 THEN 0.5 ELSE 1.0 END AS popularity
       FROM pop_i i JOIN pop_s s USING (family_id, subcat_id)),
     its AS (
-      SELECT s.family_id, s.subcat_id, s.score AS prob, p.item_id, p.popularity, r.repurchase, idv.division
+      SELECT s.family_id, s.subcat_id, s.score AS prob, p.item_id, p.popularity, r.repurchase, p.division
       FROM scored s JOIN pop p USING (family_id, subcat_id)
-      LEFT JOIN rep4 r USING (family_id, item_id)
-      LEFT JOIN ({O.item_division_sql()}) idv USING (item_id)),
+      LEFT JOIN rep4 r USING (family_id, item_id)),
     mm AS (SELECT min(repurchase) AS rmin, max(repurchase) AS rmax, min(popularity) AS pmin,
                   max(popularity) AS pmax FROM its),
     its2 AS (
