@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartpulse.functions.periods import as_date
-from cartpulse.operators.rank import rank_within, top_k
+from cartpulse.operators.rank import bounded_broadcast, rank_within, top_k
 
 FAMILY = "family_id"
 
@@ -104,9 +104,8 @@ def division_metrics(preds: DataFrame, truth: DataFrame, k: int = 3, score: str
     p = preds.filter(F.col(division).isNotNull())
     recs = top_k(p, [FAMILY, division], score, k, ties).select(FAMILY, division, level)
     n_truth = truth.groupBy(FAMILY).agg(F.count(F.lit(1)).alias("n_truth"))
-    divs = p.select(division).distinct()
-    # one row per division, bounded by the number of divisions
-    grid = n_truth.crossJoin(F.broadcast(divs))
+    divs = bounded_broadcast(p.select(division).distinct(), 1000)
+    grid = n_truth.crossJoin(divs)
     fam = grid.join(family_hits(recs, truth, level, [division]), [FAMILY, division], "left")
     fam = _metrics(fam, k)
     return fam.groupBy(division).agg(

@@ -267,9 +267,12 @@ def train_ranker(spark: SparkSession, train: DataFrame, val: DataFrame | None =
     mean, std = scaler_arrays(stats, cols)
     z = lambda df: _prepare(df, cols, label).select(
         *[((F.col(c) - float(mu)) / float(sd)).alias(c) for c, mu, sd in zip(cols, mean, std)], label)
-    # iterated every epoch: cut the lineage once into the shared checkpoint folder
-    tr = z(train).checkpoint(eager=True)
-    va = _prepare(val, cols, label).checkpoint(eager=True) if monitor_val else None
+    # iterated every epoch: rows are dealt evenly over the cores (a hot family
+    # must not make one training task the straggler of every epoch) and the
+    # lineage is cut once into the shared checkpoint folder
+    cores = spark.sparkContext.defaultParallelism
+    tr = z(train).repartition(cores).checkpoint(eager=True)
+    va = _prepare(val, cols, label).repartition(cores).checkpoint(eager=True) if monitor_val else None
 
     ws = init_weights(seed)
     wv = flatten(ws)

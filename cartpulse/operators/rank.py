@@ -19,6 +19,13 @@ from pyspark.sql import functions as F
 TIE_DIGITS = 12
 
 
+def bounded_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Broadcast hint only after checking the size: counts at most
+    ``max_rows + 1`` rows; larger inputs are returned unhinted (shuffle join)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 def score_key(score: str, tie_digits: int | None = TIE_DIGITS) -> Column:
     """Scores equal to ``tie_digits`` decimals count as ties (decided by the
     tie columns), so last-bit noise of exp/pow cannot reorder equal scores."""

@@ -382,11 +382,19 @@ def q_score_fixed_ranker(spark, sf_dir):
 
 # === M4/M5/M7/M8/M9 (not SQL-expressible: rows-only) ========================================
 
+_TRAINED: dict = {}
+
+
 def _trained(spark, sf_dir, epochs=100):
+    """Split and trained ranker; the fitted weights are kept per session and
+    input folder so the three training queries train once."""
     df = MD.stratified_split(_labelled(spark, sf_dir))
-    train = df.filter(F.col("split") == "train")
-    val = df.filter(F.col("split") == "test")
-    return df, MD.train_ranker(spark, train, val, epochs=epochs)
+    key = (spark.sparkContext.applicationId, sf_dir, epochs)
+    if key not in _TRAINED:
+        train = df.filter(F.col("split") == "train")
+        val = df.filter(F.col("split") == "test")
+        _TRAINED[key] = MD.train_ranker(spark, train, val, epochs=epochs)
+    return df, _TRAINED[key]
 
 
 @register("train_ranker")
@@ -778,3 +786,96 @@ def q_csv_roundtrip(spark, sf_dir):
 def q_table_profile(spark, sf_dir):
     """A18."""
     return present(DG.table_profile(purchase_lines(spark, sf_dir, households=HOUSEHOLDS)))
+
+
+# === item-level evaluation, export, second log ==========================================
+
+def _division_metrics_sql(level="subcat_id", score="score", ties=SUBCAT_TIES_SQL, items=False):
+    if items:
+        base = f"WITH {_ctes()}, {_items_sql()}, {_truth_sql(level)},\n    p AS (SELECT * FROM items WHERE division IS NOT NULL),"
+    else:
+        base = (f"WITH {_ctes()}, {_truth_sql(level)},\n    p AS (SELECT s.*, dv.division FROM scored s JOIN "
+                f"({O.division_by_subcat_sql()}) dv USING (subcat_id) WHERE dv.division IS NOT NULL),")
+    return f"""{base}
+    recs AS (SELECT * FROM p QUALIFY row_number() OVER (
+               PARTITION BY family_id, division ORDER BY round({score}, 12) DESC, {ties}) <= {K}),
+    nt AS (SELECT family_id, count(*) AS n_truth FROM truth GROUP BY family_id),
+    divs AS (SELECT DISTINCT division FROM p),
+    hits AS (SELECT family_id, division, count(*) AS hits FROM recs JOIN truth USING (family_id, {level})
+             GROUP BY family_id, division),
+    fm AS (SELECT nt.family_id, nt.n_truth, divs.division, coalesce(hits.hits, 0) AS hits
+           FROM nt CROSS JOIN divs LEFT JOIN hits USING (family_id, division))
+    SELECT division, CAST({K} AS BIGINT) AS k, {r(f'avg(hits / {K}.0)')} AS precision,
+           {r('avg(hits / n_truth)')} AS recall, {r('avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END)')} AS hit_rate,
+           CAST(count(*) AS BIGINT) AS n_families
+    FROM fm GROUP BY division"""
+
+
+@register("division_metrics_items", lambda: _division_metrics_sql("item_id", "item_score", "item_id", items=True))
+def q_division_metrics_items(spark, sf_dir):
+    """E5 at item level: top-3 items per (family, division)."""
+    items = _item_scores(spark, sf_dir)
+    truth = _holdout(spark, sf_dir, "item_id")
+    return present(EV.division_metrics(items, truth, K, score="item_score", ties=("item_id",), level="item_id"))
+
+
+@register("family_lookup_items", lambda: f"""WITH {_ctes()}, {_items_sql()}, {_truth_sql('item_id')},
+    recs AS (SELECT * FROM items QUALIFY row_number() OVER (
+               PARTITION BY family_id ORDER BY round(item_score, 12) DESC, item_id) <= {K}),
+    nt AS (SELECT family_id, count(*) AS n_truth FROM truth GROUP BY family_id),
+    hp AS (SELECT DISTINCT family_id FROM items),
+    hits AS (SELECT family_id, count(*) AS hits FROM recs JOIN truth USING (family_id, item_id) GROUP BY family_id)
+    SELECT nt.family_id, CAST(nt.n_truth AS BIGINT) AS n_truth,
+           CAST(CASE WHEN hp.family_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS has_pred,
+           CAST(coalesce(hits.hits, 0) AS BIGINT) AS hits,
+           {r(f'coalesce(hits.hits, 0) / {K}.0')} AS precision,
+           {r('coalesce(hits.hits, 0) / nt.n_truth')} AS recall,
+           {r('CASE WHEN coalesce(hits.hits, 0) > 0 THEN 1.0 ELSE 0.0 END')} AS hit
+    FROM nt LEFT JOIN hp USING (family_id) LEFT JOIN hits USING (family_id) WHERE nt.family_id = {LOOKUP_FAMILY}""")
+def q_family_lookup_items(spark, sf_dir):
+    """E6 at item level: one family's item recommendations against its purchases."""
+    fm = EV.family_metrics(_item_scores(spark, sf_dir), _holdout(spark, sf_dir, "item_id"), K,
+                           score="item_score", ties=("item_id",), level="item_id")
+    return present(fm.filter(F.col("family_id") == LOOKUP_FAMILY))
+
+
+EXPORT_FLOATS = ["prob", "repurchase", "popularity", "repurchase_scaled", "popularity_scaled", "item_score"]
+
+
+@register("item_export", lambda: f"""WITH {_ctes()}, {_items_sql()}
+    SELECT CASE WHEN length(CAST(family_id AS VARCHAR)) < 10 THEN lpad(CAST(family_id AS VARCHAR), 10, '0')
+                ELSE CAST(family_id AS VARCHAR) END AS family_code,
+           item_id, subcat_id, division,
+           {', '.join(f"printf('%.10f', {c}) AS {c}" for c in EXPORT_FLOATS)},
+           CAST(item_rank AS BIGINT) AS item_rank
+    FROM items""")
+def q_item_export(spark, sf_dir):
+    """The item table as delivered: every double column as
+    fixed 10-decimal text, the family code zero-padded to 10 characters."""
+    from pyspark.sql import types as T
+    from cartpulse.functions.scores import fixed10, zfill10
+
+    items = _item_scores(spark, sf_dir).select("family_id", "item_id", "subcat_id", "division",
+                                                *EXPORT_FLOATS, "item_rank")
+    doubles = {f.name for f in items.schema.fields if isinstance(f.dataType, T.DoubleType)}
+    cols = [zfill10(F.col("family_id").cast("string")).alias("family_code")]
+    for c in items.columns[1:]:
+        cols.append(fixed10(F.col(c)).alias(c) if c in doubles else F.col(c))
+    return present(items.select(*cols))
+
+
+EVENTS_EVAL_REF = dt.date(2024, 1, 21)
+EVENTS_HOLDOUT = (dt.date(2024, 1, 22), dt.date(2024, 1, 30))
+
+
+@register("event_holdout_evaluation", lambda: f"""WITH {O.pair_features_ctes(Windows(EVENTS_EVAL_REF), O.events_sql())},
+    truth AS (SELECT DISTINCT family_id, subcat_id FROM lines
+              WHERE day >= {d(EVENTS_HOLDOUT[0])} AND day <= {d(EVENTS_HOLDOUT[1])}),
+    preds AS (SELECT family_id, subcat_id, score, net_sales FROM scored),
+    {_eval_sql('preds', 'score', SUBCAT_TIES_SQL)}""")
+def q_event_holdout_evaluation(spark, sf_dir):
+    """E2 on the event log: top-3 event types per user against the last week."""
+    feats = FE.pair_features(event_lines(spark, sf_dir, until=EVENTS_EVAL_REF), EVENTS_EVAL_REF)
+    later = event_lines(spark, sf_dir, since=EVENTS_HOLDOUT[0], until=shift_days(EVENTS_HOLDOUT[1], 1))
+    truth = EV.truth_pairs(later, *EVENTS_HOLDOUT)
+    return present(EV.holdout_evaluation(feats, truth, K))
