@@ -121,7 +121,10 @@ def item_scores(subcat_scores: DataFrame, lines: DataFrame, ref_date, data_cutof
     partitioning by family)."""
     agg = with_popularity(with_repurchase(item_aggregates(lines, ref_date, data_cutoff), ref_date))
     sc = subcat_scores.select("family_id", "subcat_id", F.col(prob).alias("prob"))
-    items = sc.join(agg, ["family_id", "subcat_id"])
+    # min-max scaling reads the joined item table twice (global min/max, then
+    # every row): materialise it once in the shared checkpoint folder instead
+    # of recomputing it from the purchase lines
+    items = sc.join(agg, ["family_id", "subcat_id"]).checkpoint(eager=True)
     items = minmax(items, ["repurchase", "popularity"])
     b = S.ITEM_BLEND
     items = items.withColumn(

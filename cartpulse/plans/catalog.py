@@ -59,12 +59,14 @@ def register(name: str, oracle: Callable[[], str] | None = None):
 # --- shared Spark inputs ---------------------------------------------------------
 
 def _hist(spark, sf_dir, households=HOUSEHOLDS):
-    """Lines before the reference date (the bound is pushed into the scan)."""
-    return purchase_lines(spark, sf_dir, households=households, until=REF)
+    """Lines up to the reference date (the bound is pushed into the scan; the
+    feature plan itself keeps day < ref).  Item queries use the same lines, so
+    their feature and item branches share one scan and shuffle."""
+    return purchase_lines(spark, sf_dir, households=households, until=shift_days(REF, 1))
 
 
 def _upto_ref(spark, sf_dir):
-    return purchase_lines(spark, sf_dir, households=HOUSEHOLDS, until=shift_days(REF, 1))
+    return _hist(spark, sf_dir)
 
 
 def _holdout(spark, sf_dir, level="subcat_id"):
