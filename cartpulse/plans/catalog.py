@@ -881,3 +881,62 @@ def q_event_holdout_evaluation(spark, sf_dir):
     later = event_lines(spark, sf_dir, since=EVENTS_HOLDOUT[0], until=shift_days(EVENTS_HOLDOUT[1], 1))
     truth = EV.truth_pairs(later, *EVENTS_HOLDOUT)
     return present(EV.holdout_evaluation(feats, truth, K))
+
+
+# === D16 subset, feature-table files, production fit =========================================
+
+@register("pair_features_family_subset", lambda: f"""WITH {_ctes()}, {_truth_sql()},
+    fams AS (SELECT DISTINCT family_id FROM truth)
+    SELECT family_id, subcat_id, {r('score')} AS score, {r('recency')} AS recency, {r('frequency')} AS frequency
+    FROM scored WHERE family_id IN (SELECT family_id FROM fams)""")
+def q_pair_features_family_subset(spark, sf_dir):
+    """D16 restricted to a family subset (the families seen in the holdout),
+    applied as a left-semi join on the lines before any aggregation."""
+    fams = _holdout(spark, sf_dir).select("family_id")
+    out = FE.pair_features(_hist(spark, sf_dir), REF, families=fams)
+    return present(out.select("family_id", "subcat_id", "score", "recency", "frequency"))
+
+
+ROUNDTRIP_COLS = ["family_id", "subcat_id", "recency", "frequency", "sow", "season", "score", "cycle_days",
+                  "days_since_last", "freq_lines", "season_gap_mean"]
+
+
+@register("feature_table_roundtrip", lambda: f"""WITH {_ctes()}
+    SELECT family_id, subcat_id, {', '.join(
+        f"{r(c)} AS {c}" if c not in ('days_since_last', 'freq_lines') else f"CAST({c} AS BIGINT) AS {c}"
+        for c in ROUNDTRIP_COLS[2:])}
+    FROM scored""")
+def q_feature_table_roundtrip(spark, sf_dir):
+    """S13/S14 + S15 + S7 + P2/P3: the feature table written as text under
+    the reference's column names, converted to Parquet, read back with the
+    conditional rename and the keep-existing projection."""
+    feats = _features(spark, sf_dir)
+    out_names = {k: v for k, v in FI.FEATURE_TABLE_NAMES.items() if k in feats.columns}
+    exported = feats.select(*[F.col(k).alias(v) for k, v in out_names.items()])
+    base = scratch_path(spark, f"features_{uuid.uuid4().hex}")
+    FI.write_table(exported, f"{base}/csv", fmt="csv")
+    FI.convert(spark, f"{base}/csv", f"{base}/parquet", src_fmt="csv", dst_fmt="parquet")
+    back = FI.read_table(spark, f"{base}/parquet", fmt="parquet")
+    back = FI.rename_present(back, {v: k for k, v in out_names.items()})
+    back = FI.select_present(back, ROUNDTRIP_COLS + ["not_in_table"])
+    typed = [F.col(c).cast("bigint" if c in ("family_id", "subcat_id", "days_since_last", "freq_lines") else "double")
+             .alias(c) for c in back.columns]
+    return present(back.select(*typed))
+
+
+@register("history_summary")
+def q_history_summary(spark, sf_dir):
+    """W9 + W7: epochs run, first/last losses and the final gap band."""
+    _, model = _trained(spark, sf_dir)
+    return present(DG.history_summary(MD.history_frame(spark, model)))
+
+
+@register("train_ranker_full")
+def q_train_ranker_full(spark, sf_dir):
+    """M7: production fit on every labelled pair (no split), early stopping on
+    the training loss; the epoch history."""
+    df = _labelled(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "full")
+    if key not in _TRAINED:
+        _TRAINED[key] = MD.train_ranker(spark, df, None)
+    return MD.history_frame(spark, _TRAINED[key])

@@ -28,6 +28,30 @@ RAW_COLUMNS = {
     "VENTA_NETA": "net_sales",
     "DESCUENTO": "discount",
 }
+# Column names of the reference's feature table, by our names (fixed values).
+FEATURE_TABLE_NAMES = {
+    "family_id": "nucleo",
+    "subcat_id": "COD_SUBCATEGORIA",
+    "recency": "recencia_hl",
+    "frequency": "freq_score",
+    "sow": "sow_24m",
+    "season": "season_ratio",
+    "score": "score_final",
+    "cycle_days": "Ciclos_ciclo_dias",
+    "recency_penalty": "Recencia_castigo_recencia",
+    "last_over_cycle": "Recencia_l_compra_sobre_ciclo",
+    "days_since_last": "Recencia_dias_desde_ultima_compra",
+    "recency_base": "Recencia_recencia",
+    "freq_expected": "Freq_avg_compras",
+    "freq_lines": "Freq_compras",
+    "freq_ratio": "Freq_ratio",
+    "sow_weighted_lines": "Sow_transacciones_netas",
+    "season_regularity": "Seasonality_puntaje",
+    "season_threshold": "Seasonality_umbral",
+    "season_cv": "Seasonality_CV",
+    "season_gap_mean": "Seasonality_mean_indices_picos",
+    "season_gap_std": "Seasonality_std_indices_picos",
+}
 ID_COLUMNS = ["family_id", "subcat_id", "category_id", "unit_id", "item_id", "invoice_id", "store_id"]
 MEASURES = ["qty", "list_price", "net_sales", "discount"]
 DEFAULT_DATE_FORMAT = "d-MMM-yy"

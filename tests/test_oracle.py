@@ -14,7 +14,7 @@ entry_mod = importlib.util.module_from_spec(spec)
 spec.loader.exec_module(entry_mod)
 QUERIES = entry_mod.queries()
 ORACLES = entry_mod.oracle_sql()
-SLOW = {"train_ranker", "ranker_split_evaluation", "history_diagnostics"}
+SLOW = {"train_ranker", "ranker_split_evaluation", "history_diagnostics", "history_summary", "train_ranker_full"}
 
 
 def test_every_query_has_an_oracle_or_is_declared_rows_only():
