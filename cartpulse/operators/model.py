@@ -17,6 +17,7 @@ pass on Arrow batches.
 from __future__ import annotations
 
 import io
+import json
 import sys
 from dataclasses import dataclass, field
 
@@ -188,63 +189,118 @@ class Ranker:
         return forward(self.weights, (x - self.mean) / self.std)
 
 
-def _train_partition(w0, m0, v0, t0, lr, batch, seed, epoch, cols, label):
-    """Task body: minibatch Adam over this partition's rows."""
-    b1, b2, eps = 0.9, 0.999, 1e-7
+ADAM = (0.9, 0.999, 1e-7)
+
+
+def _adam_epoch(wv, m, v, t, x, y, lr, batch, rng):
+    """One shuffled pass of minibatch Adam; returns the new state and the
+    summed minibatch loss (weighted by batch size)."""
+    b1, b2, eps = ADAM
+    ws = unflatten(wv)
+    order = rng.permutation(len(y))
+    loss_sum = 0.0
+    for s0 in range(0, len(y), batch):
+        idx = order[s0:s0 + batch]
+        loss, g = _grad(ws, x[idx], y[idx], rng)
+        gv = flatten(g)
+        t += 1
+        m = b1 * m + (1 - b1) * gv
+        v = b2 * v + (1 - b2) * gv * gv
+        wv = flatten(ws) - lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
+        ws = unflatten(wv)
+        loss_sum += loss * len(idx)
+    return wv, m, v, t, loss_sum
+
+
+class _Schedule:
+    """Early stopping (best weights kept) and learning-rate halving on a
+    monitored loss, as Keras' EarlyStopping / ReduceLROnPlateau."""
+
+    def __init__(self, lr, patience, lr_patience, lr_factor, min_delta_lr):
+        self.lr, self.patience, self.lr_patience = lr, patience, lr_patience
+        self.lr_factor, self.min_delta_lr = lr_factor, min_delta_lr
+        self.best, self.best_w, self.wait = np.inf, None, 0
+        self.best_lr_metric, self.lr_wait = np.inf, 0
+
+    def update(self, metric, wv) -> bool:
+        """Record the metric of the model ``wv``; True means stop."""
+        if metric < self.best:
+            self.best, self.best_w, self.wait = metric, wv.copy(), 0
+        else:
+            self.wait += 1
+        if metric < self.best_lr_metric - self.min_delta_lr:
+            self.best_lr_metric, self.lr_wait = metric, 0
+        else:
+            self.lr_wait += 1
+            if self.lr_wait >= self.lr_patience:
+                self.lr *= self.lr_factor
+                self.lr_wait = 0
+        return self.wait >= self.patience
+
+
+def _split_xy(pdf, cols, label, scale):
+    mean, std = scale
+    tr = pdf[pdf["_val"] == 0]
+    va = pdf[pdf["_val"] == 1]
+    return ((tr[cols].to_numpy(dtype=float) - mean) / std, tr[label].to_numpy(dtype=float),
+            (va[cols].to_numpy(dtype=float) - mean) / std, va[label].to_numpy(dtype=float))
+
+
+def _fit_in_task(w0, sched, epochs, batch, seed, cols, label, monitor_val, scale):
+    """Task body when all rows fit one partition: the whole schedule runs
+    here (plain minibatch training, one Spark job in total)."""
 
     def run(batches):
-        from pyspark import TaskContext
-        pdfs = list(batches)
-        pid = TaskContext.get().partitionId() if TaskContext.get() else 0
+        pdfs = [p for p in batches if len(p)]
         if not pdfs:
             return
-        pdf = pd.concat(pdfs, ignore_index=True)
-        if len(pdf) == 0:
-            return
-        x = pdf[cols].to_numpy(dtype=float)
-        y = pdf[label].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, epoch, pid])
-        ws = unflatten(w0.copy())
-        m, v, t = m0.copy(), v0.copy(), t0
-        order = rng.permutation(len(y))
-        losses = []
-        for s in range(0, len(y), batch):
-            idx = order[s:s + batch]
-            loss, g = _grad(ws, x[idx], y[idx], rng)
-            gv = flatten(g)
-            t += 1
-            m = b1 * m + (1 - b1) * gv
-            v = b2 * v + (1 - b2) * gv * gv
-            mh = m / (1 - b1 ** t)
-            vh = v / (1 - b2 ** t)
-            wv = flatten(ws) - lr * mh / (np.sqrt(vh) + eps)
-            ws = unflatten(wv)
-            losses.append(loss * len(idx))
+        x, y, xv, yv = _split_xy(pd.concat(pdfs, ignore_index=True), cols, label, scale)
+        rng = np.random.default_rng([seed, 0])
+        wv, m, v, t = w0.copy(), np.zeros_like(w0), np.zeros_like(w0), 0
+        hist = []
+        for epoch in range(1, epochs + 1):
+            lr = sched.lr
+            wv, m, v, t, ls = _adam_epoch(wv, m, v, t, x, y, lr, batch, rng)
+            rec = {"epoch": epoch, "train_loss": ls / len(y), "lr": lr, "val_loss": None}
+            if monitor_val and len(yv):
+                rec["val_loss"] = float(np.mean(bce(forward(unflatten(wv), xv), yv)))
+            hist.append(rec)
+            if sched.update(rec["val_loss"] if monitor_val else rec["train_loss"], wv):
+                break
         buf = io.BytesIO()
-        np.savez(buf, w=flatten(ws), m=m, v=v)
-        yield pd.DataFrame({"n": [len(y)], "loss_sum": [float(np.sum(losses))], "steps": [t - t0],
-                            "state": [buf.getvalue()]})
+        np.savez(buf, w=sched.best_w)
+        yield pd.DataFrame({"history": [json.dumps(hist)], "state": [buf.getvalue()]})
 
     return run
 
 
-def _loss_partition(w, mean, std, cols, label):
+def _epoch_task(wv, m, v, t, lr, batch, seed, epoch, cols, label, scale):
+    """Task body of one data-parallel epoch: loss of the incoming (averaged)
+    model on this partition's validation rows, then one local Adam pass."""
+
     def run(batches):
-        ws = unflatten(w)
-        n, s = 0, 0.0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = (pdf[cols].to_numpy(dtype=float) - mean) / std
-            y = pdf[label].to_numpy(dtype=float)
-            s += float(np.sum(bce(forward(ws, x), y)))
-            n += len(y)
-        yield pd.DataFrame({"n": [n], "loss_sum": [s]})
+        from pyspark import TaskContext
+        pdfs = [p for p in batches if len(p)]
+        if not pdfs:
+            return
+        x, y, xv, yv = _split_xy(pd.concat(pdfs, ignore_index=True), cols, label, scale)
+        val_sum = float(np.sum(bce(forward(unflatten(wv), xv), yv))) if len(yv) else 0.0
+        pid = TaskContext.get().partitionId() if TaskContext.get() else 0
+        rng = np.random.default_rng([seed, epoch, pid])
+        if len(y):
+            w2, m2, v2, t2, ls = _adam_epoch(wv.copy(), m.copy(), v.copy(), t, x, y, lr, batch, rng)
+        else:
+            w2, m2, v2, t2, ls = wv, m, v, t, 0.0
+        buf = io.BytesIO()
+        np.savez(buf, w=w2, m=m2, v=v2)
+        yield pd.DataFrame({"n": [len(y)], "loss_sum": [ls], "steps": [t2 - t], "n_val": [len(yv)],
+                            "val_sum": [val_sum], "state": [buf.getvalue()]})
+
     return run
 
 
-_STATE_SCHEMA = "n long, loss_sum double, steps long, state binary"
-_LOSS_SCHEMA = "n long, loss_sum double"
+_FIT_SCHEMA = "history string, state binary"
+_EPOCH_SCHEMA = "n long, loss_sum double, steps long, n_val long, val_sum double, state binary"
 
 
 def _prepare(df: DataFrame, cols, label) -> DataFrame:
@@ -255,66 +311,78 @@ def _prepare(df: DataFrame, cols, label) -> DataFrame:
 def train_ranker(spark: SparkSession, train: DataFrame, val: DataFrame | None = None, cols=FEATURES,
                  label: str = "label", epochs: int = 100, batch: int = 256, lr: float = 1e-3,
                  seed: int = 42, patience: int | None = None, lr_patience: int | None = None,
-                 lr_factor: float = 0.5, min_delta_lr: float = 1e-4) -> Ranker:
+                 lr_factor: float = 0.5, min_delta_lr: float = 1e-4, min_batches: int = 64) -> Ranker:
     """M4/M5/M7: fit the ranker; with ``val`` early stopping watches the
     validation loss (patience 20, LR halving after 10), without it the
-    training loss (30 / 15), best weights restored in both cases."""
+    training loss (30 / 15), best weights restored in both cases.
+
+    Rows are materialised once in the shared checkpoint folder and dealt over
+    as many partitions as the data fills with ``min_batches`` minibatches
+    each, at most one per core.  One partition: the whole schedule runs in
+    one task.  Several: one job per epoch, weights averaged on the driver,
+    the validation loss of each averaged model measured in the next job.
+    """
     monitor_val = val is not None
     patience = patience if patience is not None else (20 if monitor_val else 30)
     lr_patience = lr_patience if lr_patience is not None else (10 if monitor_val else 15)
 
-    stats = fit_scaler(train, cols)
-    mean, std = scaler_arrays(stats, cols)
-    z = lambda df: _prepare(df, cols, label).select(
-        *[((F.col(c) - float(mu)) / float(sd)).alias(c) for c, mu, sd in zip(cols, mean, std)], label)
-    # iterated every epoch: rows are dealt evenly over the cores (a hot family
-    # must not make one training task the straggler of every epoch) and the
-    # lineage is cut once into the shared checkpoint folder
+    # the input pipeline runs once: unscaled rows are materialised in the
+    # shared checkpoint folder, the scaler is fitted on that copy and applied
+    # inside the tasks
+    rows = _prepare(train, cols, label).withColumn("_val", F.lit(0))
+    if monitor_val:
+        rows = rows.unionByName(_prepare(val, cols, label).withColumn("_val", F.lit(1)))
+    data = rows.checkpoint(eager=True)
+    fitted = data.filter(F.col("_val") == 0)
+    stats = fit_scaler(fitted, cols).crossJoin(fitted.agg(F.count(F.lit(1)).alias("_n")))
+    srow = stats.first()  # one row
+    mean = np.array([srow[f"mean_{c}"] for c in cols], dtype=float)
+    std = np.array([srow[f"std_{c}"] for c in cols], dtype=float)
+    n_train = srow["_n"]
     cores = spark.sparkContext.defaultParallelism
-    tr = z(train).repartition(cores).checkpoint(eager=True)
-    va = _prepare(val, cols, label).repartition(cores).checkpoint(eager=True) if monitor_val else None
-
-    ws = init_weights(seed)
-    wv = flatten(ws)
-    m = np.zeros_like(wv)
-    v = np.zeros_like(wv)
-    t = 0
-    best, best_w, wait, lr_wait = np.inf, wv.copy(), 0, 0
-    best_lr_metric = np.inf
-    history = []
-    for epoch in range(1, epochs + 1):
-        rows = tr.mapInPandas(_train_partition(wv, m, v, t, lr, batch, seed, epoch, cols, label),
-                              _STATE_SCHEMA).collect()  # one small row per partition
-        total = sum(r["n"] for r in rows)
-        acc_w = np.zeros_like(wv); acc_m = np.zeros_like(wv); acc_v = np.zeros_like(wv)
-        for r in rows:
+    target = int(max(1, min(cores, n_train // (min_batches * batch))))
+    data = data.repartition(target).checkpoint(eager=True)
+    scale = (mean, std)
+
+    sched = _Schedule(lr, patience, lr_patience, lr_factor, min_delta_lr)
+    w0 = flatten(init_weights(seed))
+    if target == 1:
+        out = data.mapInPandas(_fit_in_task(w0, sched, epochs, batch, seed, cols, label, monitor_val, scale),
+                               _FIT_SCHEMA).collect()  # one row
+        history = json.loads(out[0]["history"])
+        best = np.load(io.BytesIO(out[0]["state"]))["w"]
+        return Ranker(unflatten(best), mean, std, history)
+
+    wv, m, v, t = w0, np.zeros_like(w0), np.zeros_like(w0), 0
+    history: list[dict] = []
+    prev_w = None
+    stopped = False
+    for epoch in range(1, epochs + 2):
+        final_eval = epoch == epochs + 1
+        res = data.mapInPandas(_epoch_task(wv, m, v, t, sched.lr, batch, seed, epoch, cols, label, scale),
+                               _EPOCH_SCHEMA).collect()  # one small row per partition
+        if history:
+            n_val = sum(r["n_val"] for r in res)
+            val_loss = sum(r["val_sum"] for r in res) / n_val if n_val else None
+            history[-1]["val_loss"] = val_loss
+            metric = val_loss if monitor_val else history[-1]["train_loss"]
+            if sched.update(metric, prev_w):
+                stopped = True
+        if stopped or final_eval:
+            break
+        total = sum(r["n"] for r in res)
+        acc = [np.zeros_like(wv) for _ in range(3)]
+        for r in res:
             st = np.load(io.BytesIO(r["state"]))
             f = r["n"] / total
-            acc_w += f * st["w"]; acc_m += f * st["m"]; acc_v += f * st["v"]
-        wv, m, v = acc_w, acc_m, acc_v
-        t += max(r["steps"] for r in rows)
-        train_loss = sum(r["loss_sum"] for r in rows) / total
-        rec = {"epoch": epoch, "train_loss": train_loss, "lr": lr}
-        if monitor_val:
-            agg = va.mapInPandas(_loss_partition(wv, mean, std, cols, label), _LOSS_SCHEMA) \
-                .agg(F.sum("n").alias("n"), F.sum("loss_sum").alias("s")).first()
-            rec["val_loss"] = agg["s"] / agg["n"] if agg["n"] else None
-        history.append(rec)
-        metric = rec["val_loss"] if monitor_val else train_loss
-        if metric < best:
-            best, best_w, wait = metric, wv.copy(), 0
-        else:
-            wait += 1
-        if metric < best_lr_metric - min_delta_lr:
-            best_lr_metric, lr_wait = metric, 0
-        else:
-            lr_wait += 1
-            if lr_wait >= lr_patience:
-                lr *= lr_factor
-                lr_wait = 0
-        if wait >= patience:
-            break
-    return Ranker(unflatten(best_w), mean, std, history)
+            for a, key in zip(acc, ("w", "m", "v")):
+                a += f * st[key]
+        history.append({"epoch": epoch, "train_loss": sum(r["loss_sum"] for r in res) / total,
+                        "lr": sched.lr, "val_loss": None})
+        t += max(r["steps"] for r in res)
+        wv, m, v = acc
+        prev_w = wv.copy()
+    return Ranker(unflatten(sched.best_w if sched.best_w is not None else wv), mean, std, history)
 
 
 def history_frame(spark: SparkSession, ranker: Ranker) -> DataFrame:

@@ -390,7 +390,9 @@ _TRAINED: dict = {}
 def _trained(spark, sf_dir, epochs=100):
     """Split and trained ranker; the fitted weights are kept per session and
     input folder so the three training queries train once."""
-    df = MD.stratified_split(_labelled(spark, sf_dir))
+    # split once and cut the lineage: training, evaluation and scoring all
+    # read this copy instead of recomputing the features
+    df = MD.stratified_split(_labelled(spark, sf_dir)).checkpoint(eager=True)
     key = (spark.sparkContext.applicationId, sf_dir, epochs)
     if key not in _TRAINED:
         train = df.filter(F.col("split") == "train")

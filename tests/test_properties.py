@@ -87,6 +87,15 @@ def test_training_reduces_loss(spark):
     assert 0.0 <= p[0] <= p[1] <= 1.0
 
 
+def test_data_parallel_training_path(spark):
+    df = MD.stratified_split(C._labelled(spark, SF_SMALL))
+    model = MD.train_ranker(spark, df.filter("split = 'train'"), df.filter("split = 'test'"), epochs=6,
+                            batch=8, min_batches=2, patience=50)
+    assert len(model.history) == 6
+    assert all(h["val_loss"] is not None for h in model.history)
+    assert model.history[-1]["train_loss"] < model.history[0]["train_loss"]
+
+
 def test_ranker_roundtrip(spark, tmp_path):
     r = MD.fixed_ranker()
     path = str(tmp_path / "model")
