@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cartpulse.functions import scores as S
 from cartpulse.functions.periods import as_date, shift_days
-from cartpulse.operators.rank import score_key
+from cartpulse.operators.rank import MAX_GROUP_ROWS, rank_within, score_key
 
 
 def history(lines: DataFrame, ref_date, data_cutoff=None) -> DataFrame:
@@ -115,12 +115,14 @@ def minmax(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame
 
 
 def item_scores(subcat_scores: DataFrame, lines: DataFrame, ref_date, data_cutoff=None,
-                prob: str = "score") -> DataFrame:
+                prob: str = "score", max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """D20 + D22-D24: every item a family bought in a scored subcategory with
-    its blended score and three ranks (all three windows share one
-    partitioning by family)."""
+    its blended score and three ranks."""
     agg = with_popularity(with_repurchase(item_aggregates(lines, ref_date, data_cutoff), ref_date))
     sc = subcat_scores.select("family_id", "subcat_id", F.col(prob).alias("prob"))
+    # Rank of the subcategory inside the family on the pair table (one
+    # row per subcategory bought), inherited by its items through the join
+    sc = rank_within(sc, ["family_id"], "prob", ["subcat_id"], "subcat_rank", max_group_rows=None)
     # min-max scaling reads the joined item table twice (global min/max, then
     # every row): materialise it once in the shared checkpoint folder instead
     # of recomputing it from the purchase lines
@@ -129,17 +131,13 @@ def item_scores(subcat_scores: DataFrame, lines: DataFrame, ref_date, data_cutof
     b = S.ITEM_BLEND
     items = items.withColumn(
         "item_score", b[0] * F.col("prob") + b[1] * F.col("repurchase_scaled") + b[2] * F.col("popularity_scaled"))
-    fam = Window.partitionBy("family_id")
-    by_item = fam.orderBy(score_key("item_score").desc(), F.col("item_id"))
-    # The probability is constant within a subcategory, so the dense rank
-    # of (probability, subcat) is the subcategory's rank inside the family
-    by_subcat = fam.orderBy(score_key("prob").desc(), F.col("subcat_id"))
-    by_div = Window.partitionBy("family_id", "division").orderBy(score_key("item_score").desc(), F.col("item_id"))
-    return items.withColumns({
-        "subcat_rank": F.dense_rank().over(by_subcat),
-        "item_rank": F.row_number().over(by_item),
-        "division_rank": F.when(F.col("division").isNotNull(), F.row_number().over(by_div)),
-    })
+    # Full item ranks; rank_within measures the largest family and
+    # switches to the range-partitioned rank when one family is too big for
+    # one sorted task
+    items = rank_within(items, ["family_id"], "item_score", ["item_id"], "item_rank", max_group_rows)
+    items = rank_within(items, ["family_id", "division"], "item_score", ["item_id"], "_div_rank", max_group_rows)
+    return items.withColumn("division_rank", F.when(F.col("division").isNotNull(), F.col("_div_rank"))) \
+        .drop("_div_rank")
 
 
 def items_by_division(items: DataFrame) -> DataFrame:

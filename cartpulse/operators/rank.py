@@ -45,13 +45,59 @@ def _order(score: str, ties: Sequence[str | Column]) -> list[Column]:
     return out
 
 
+MAX_GROUP_ROWS = 2_000_000
+
+
 def rank_within(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str | Column] = (),
-                name: str = "rank") -> DataFrame:
-    """1-based row number inside each group, by score desc then ties."""
+                name: str = "rank", max_group_rows: int | None = None) -> DataFrame:
+    """1-based row number inside each group, by score desc then ties.
+
+    A window sorts each group in one task.  When a group may be large
+    (``max_group_rows`` given) the largest group is measured first (one
+    aggregate) and groups beyond the bound are ranked with
+    ``distributed_rank`` instead, which splits a hot group over many tasks.
+    """
+    if keys and max_group_rows is not None:
+        biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+        if biggest is not None and biggest > max_group_rows:
+            return distributed_rank(df, keys, score, ties, name)
     w = Window.partitionBy(*keys).orderBy(*_order(score, ties))
     return df.withColumn(name, F.row_number().over(w))
 
 
+def distributed_rank(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str | Column] = (),
+                     name: str = "rank", partitions: int | None = None) -> DataFrame:
+    """Row number inside each group without sorting a group in one task.
+
+    Rows are range-partitioned on (keys, score desc, ties), so a group that
+    holds a third of the table spans a third of the partitions, and sorted
+    within partitions; ``monotonically_increasing_id`` taken right after the
+    sort gives (partition, position).  One row per (group, partition) with
+    its first position and count (at most groups + partitions rows) yields,
+    through a running sum over the partitions of a group, the offset of each
+    partition inside its group.  The tagged rows are checkpointed to the
+    shared folder so every pass sees the same partitions.  With no keys this
+    is the global ordinal (0-based there, see ``global_ordinal``).
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(k).asc_nulls_last() for k in keys] + _order(score, ties)
+    tagged = (
+        df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        .withColumn("_mid", F.monotonically_increasing_id())
+        .checkpoint(eager=True)
+    )
+    tagged = tagged.withColumns({"_p": F.shiftright(F.col("_mid"), 33),
+                                 "_pos": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))})
+    stats = tagged.groupBy(*keys, "_p").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    cond = [tagged[k].eqNullSafe(stats[k]) for k in keys] + [tagged["_p"] == stats["_p"]]
+    joined = tagged.join(stats, cond).select(tagged["*"], stats["_first"], stats["_off"])
+    rank = F.col("_off") + (F.col("_pos") - F.col("_first")) + 1
+    return joined.withColumn(name, rank.cast("int")).drop("_mid", "_p", "_pos", "_first", "_off")
+
+
 def top_k(df: DataFrame, keys: Sequence[str], score: str, k: int, ties: Sequence[str | Column] = (),
           name: str = "rank") -> DataFrame:
     """The k best rows of each group (O4; O5 with two keys)."""
@@ -60,23 +106,8 @@ def top_k(df: DataFrame, keys: Sequence[str], score: str, k: int, ties: Sequence
 
 def global_ordinal(df: DataFrame, score: str, ties: Sequence[str | Column] = (),
                    name: str = "top") -> DataFrame:
-    """0-based position of each row over the whole table by score desc.
-
-    A range-partitioned sort, then per-partition row counts (one small row
-    per partition) turned into offsets; no single-partition window.  The
-    position inside a partition comes from ``monotonically_increasing_id``
-    taken right after the sort (partition index in the upper bits, row
-    index in the lower 33 bits).  The sorted, tagged rows are checkpointed
-    to the shared checkpoint folder so both passes see the same partitions.
-    """
-    sorted_df = df.orderBy(*_order(score, ties)).withColumn("_mid", F.monotonically_increasing_id())
-    sorted_df = sorted_df.checkpoint(eager=True)
-    part = F.shiftright(F.col("_mid"), 33)
-    counts = sorted_df.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_off", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    ).select("_p", F.coalesce(F.col("_off"), F.lit(0)).alias("_off"))
-    # one row per partition of the sorted table: bounded by the partition count
-    out = sorted_df.join(F.broadcast(offsets), part == F.col("_p"))
-    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return out.withColumn(name, (F.col("_off") + local).cast("bigint")).drop("_mid", "_p", "_off")
+    """0-based position of each row over the whole table by score desc (D26):
+    a range-partitioned sort plus per-partition offsets (``distributed_rank``
+    with no group keys); never a single-partition window."""
+    out = distributed_rank(df, [], score, ties, "_rank1")
+    return out.withColumn(name, (F.col("_rank1") - 1).cast("bigint")).drop("_rank1")
