@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cartpulse.functions import scores as S
 from cartpulse.functions.periods import as_date, shift_days
-from cartpulse.operators.rank import MAX_GROUP_ROWS, rank_within, score_key
+from cartpulse.operators.rank import MAX_GROUP_ROWS, distributed_rank, rank_within, score_key
 
 
 def history(lines: DataFrame, ref_date, data_cutoff=None) -> DataFrame:
@@ -115,7 +115,8 @@ def minmax(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame
 
 
 def item_scores(subcat_scores: DataFrame, lines: DataFrame, ref_date, data_cutoff=None,
-                prob: str = "score", max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                prob: str = "score", max_group_rows: int | None = MAX_GROUP_ROWS,
+                ranks: bool = True) -> DataFrame:
     """D20 + D22-D24: every item a family bought in a scored subcategory with
     its blended score and three ranks."""
     agg = with_popularity(with_repurchase(item_aggregates(lines, ref_date, data_cutoff), ref_date))
@@ -131,11 +132,18 @@ def item_scores(subcat_scores: DataFrame, lines: DataFrame, ref_date, data_cutof
     b = S.ITEM_BLEND
     items = items.withColumn(
         "item_score", b[0] * F.col("prob") + b[1] * F.col("repurchase_scaled") + b[2] * F.col("popularity_scaled"))
-    # Full item ranks; rank_within measures the largest family and
-    # switches to the range-partitioned rank when one family is too big for
-    # one sorted task
-    items = rank_within(items, ["family_id"], "item_score", ["item_id"], "item_rank", max_group_rows)
-    items = rank_within(items, ["family_id", "division"], "item_score", ["item_id"], "_div_rank", max_group_rows)
+    if not ranks:
+        return items
+    # Full item ranks.  The largest family is measured once (a
+    # (family, division) group is never larger); beyond ``max_group_rows``
+    # the range-partitioned rank replaces the per-family window
+    big = False
+    if max_group_rows is not None:
+        biggest = items.groupBy("family_id").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+        big = biggest is not None and biggest > max_group_rows
+    rank = distributed_rank if big else rank_within
+    items = rank(items, ["family_id"], "item_score", ["item_id"], "item_rank")
+    items = rank(items, ["family_id", "division"], "item_score", ["item_id"], "_div_rank")
     return items.withColumn("division_rank", F.when(F.col("division").isNotNull(), F.col("_div_rank"))) \
         .drop("_div_rank")
 

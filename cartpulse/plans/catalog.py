@@ -97,8 +97,8 @@ def _ranked_by_fixed(spark, sf_dir):
     return MD.score_ranker(_features(spark, sf_dir), MD.fixed_ranker(), out="prob")
 
 
-def _item_scores(spark, sf_dir):
-    return IT.item_scores(_features(spark, sf_dir), _upto_ref(spark, sf_dir), REF)
+def _item_scores(spark, sf_dir, ranks=True):
+    return IT.item_scores(_features(spark, sf_dir), _upto_ref(spark, sf_dir), REF, ranks=ranks)
 
 
 # --- shared SQL pieces -------------------------------------------------------------
@@ -477,7 +477,7 @@ def q_all_family_metrics(spark, sf_dir):
     {_eval_sql('preds', 'item_score', 'item_id', level='item_id', missing='zero')}""")
 def q_all_family_metrics_items(spark, sf_dir):
     """E4 (item level) on the blended item scores."""
-    items = _item_scores(spark, sf_dir)
+    items = _item_scores(spark, sf_dir, ranks=False)  # top-k only, no full ranks
     truth = _holdout(spark, sf_dir, "item_id")
     return present(EV.holdout_evaluation(items, truth, K, score="item_score", ties=("item_id",),
                                          level="item_id", missing="zero"))
@@ -818,7 +818,7 @@ def _division_metrics_sql(level="subcat_id", score="score", ties=SUBCAT_TIES_SQL
 @register("division_metrics_items", lambda: _division_metrics_sql("item_id", "item_score", "item_id", items=True))
 def q_division_metrics_items(spark, sf_dir):
     """E5 at item level: top-3 items per (family, division)."""
-    items = _item_scores(spark, sf_dir)
+    items = _item_scores(spark, sf_dir, ranks=False)
     truth = _holdout(spark, sf_dir, "item_id")
     return present(EV.division_metrics(items, truth, K, score="item_score", ties=("item_id",), level="item_id"))
 
@@ -838,7 +838,7 @@ def q_division_metrics_items(spark, sf_dir):
     FROM nt LEFT JOIN hp USING (family_id) LEFT JOIN hits USING (family_id) WHERE nt.family_id = {LOOKUP_FAMILY}""")
 def q_family_lookup_items(spark, sf_dir):
     """E6 at item level: one family's item recommendations against its purchases."""
-    fm = EV.family_metrics(_item_scores(spark, sf_dir), _holdout(spark, sf_dir, "item_id"), K,
+    fm = EV.family_metrics(_item_scores(spark, sf_dir, ranks=False), _holdout(spark, sf_dir, "item_id"), K,
                            score="item_score", ties=("item_id",), level="item_id")
     return present(fm.filter(F.col("family_id") == LOOKUP_FAMILY))
 
