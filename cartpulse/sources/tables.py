@@ -48,10 +48,12 @@ def spread(df: DataFrame) -> DataFrame:
     On a real layout (thousands of files) the scan already has more splits
     than cores and this adds nothing.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (Spark Connect): leave the plan as is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def _ts_bound(day) -> F.Column:
