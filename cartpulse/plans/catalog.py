@@ -942,3 +942,26 @@ def q_train_ranker_full(spark, sf_dir):
     if key not in _TRAINED:
         _TRAINED[key] = MD.train_ranker(spark, df, None)
     return MD.history_frame(spark, _TRAINED[key])
+
+
+# === skew: three households, each holding about a third of all lines ===========================
+
+HOT_HOUSEHOLDS = 3
+
+
+@register("pair_features_hot_families", lambda: _pf_sql(HOT_HOUSEHOLDS))
+def q_pair_features_hot_families(spark, sf_dir):
+    """D16 with three families of about a third of all lines each (the hot-key
+    case): partial aggregation keeps every shuffle bounded by map tasks x
+    subcategories, the family window holds one row per subcategory."""
+    return present(FE.pair_features(_hist(spark, sf_dir, HOT_HOUSEHOLDS), REF))
+
+
+@register("item_scores_hot_families", lambda: f"""WITH {O.pair_features_ctes(W, O.lines_sql(HOT_HOUSEHOLDS))},
+    {_items_sql()}
+    SELECT family_id, item_id, CAST(item_rank AS BIGINT) AS item_rank, {r('item_score')} AS item_score FROM items""")
+def q_item_scores_hot_families(spark, sf_dir):
+    """D20/D23 for three families of about a third of all lines each."""
+    lines = _hist(spark, sf_dir, HOT_HOUSEHOLDS)
+    items = IT.item_scores(FE.pair_features(lines, REF), lines, REF)
+    return present(items.select("family_id", "item_id", "item_rank", "item_score"))
