@@ -86,7 +86,12 @@ def _labelled(spark, sf_dir):
 
 
 def _subcat_division(spark, sf_dir):
-    return item_dimension(spark, sf_dir).groupBy("subcat_id").agg(F.min("division").alias("division"))
+    """Division of a subcategory: the most common division among its items
+    (ties: the smaller label); items without a division do not vote."""
+    votes = (item_dimension(spark, sf_dir).filter(F.col("division").isNotNull())
+             .groupBy("subcat_id", "division").agg(F.count(F.lit(1)).alias("n")))
+    top = RK.top_k(votes, ["subcat_id"], "n", 1, ["division"])
+    return top.select("subcat_id", "division")
 
 
 def _with_division(spark, sf_dir, feats):

@@ -217,10 +217,14 @@ def pair_features_sql(w: Windows, lines: str, data_cutoff=None) -> str:
 
 def division_by_subcat_sql() -> str:
     return """
-    SELECT TRY_CAST(substring(p_brand, 7) AS BIGINT) AS subcat_id,
-           min(CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'A'
-                    WHEN p_type IN ('PROMO', 'SMALL') THEN 'B' END) AS division
-    FROM part GROUP BY 1"""
+    SELECT subcat_id, division FROM (
+      SELECT TRY_CAST(substring(p_brand, 7) AS BIGINT) AS subcat_id,
+             CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'A'
+                  WHEN p_type IN ('PROMO', 'SMALL') THEN 'B' END AS division,
+             count(*) AS n
+      FROM part GROUP BY 1, 2) v
+    WHERE division IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY subcat_id ORDER BY n DESC, division) = 1"""
 
 
 def item_division_sql() -> str:
