@@ -1,14 +1,14 @@
 """Labels, split, scaling and the small neural ranker.
 
 The ranker (4 -> 64 ReLU -> 32 ReLU -> 1 sigmoid, dropout 0.3 / 0.2, Adam,
-binary cross-entropy) is trained data-parallel: one Spark job per epoch in
-which every partition runs minibatch Adam on its own rows from the current
-weights (``mapInPandas``, NumPy inside the task), and the driver averages
-the returned weights and optimiser moments by row count (model averaging /
-local SGD).  The driver only ever holds one weight vector per partition
-(2 433 numbers each).  Validation loss is a distributed sum.  Early stopping
-and learning-rate halving run on the driver between epochs.  With one
-partition this is plain minibatch training.
+binary cross-entropy) is trained on rows materialised once in the shared
+checkpoint folder.  When the data fills a single partition the whole
+schedule (epochs, early stopping, learning-rate halving) runs in one
+``mapInPandas`` task: plain minibatch training.  Otherwise it is trained
+data-parallel: one Spark job per epoch in which every partition runs a local
+Adam pass from the current averaged weights (NumPy inside the task), and a
+Spark aggregation averages weights and optimiser moments by row count (model
+averaging / local SGD); the driver receives one averaged vector per epoch.
 
 Scoring broadcasts the weights inside the task closure and runs the forward
 pass on Arrow batches.
@@ -276,7 +276,14 @@ def _fit_in_task(w0, sched, epochs, batch, seed, cols, label, monitor_val, scale
 
 def _epoch_task(wv, m, v, t, lr, batch, seed, epoch, cols, label, scale):
     """Task body of one data-parallel epoch: loss of the incoming (averaged)
-    model on this partition's validation rows, then one local Adam pass."""
+    model on this partition's validation rows, then one local Adam pass.
+
+    Output is long format so the partitions are summed by a Spark
+    aggregation, not on the driver: rows ``pos >= 0`` carry n * (weight,
+    first moment, second moment) of one parameter; row -1 carries (training
+    rows, summed training loss), row -2 (validation rows,
+    summed validation loss); ``d`` holds the local step count (max-reduced).
+    """
 
     def run(batches):
         from pyspark import TaskContext
@@ -287,20 +294,22 @@ def _epoch_task(wv, m, v, t, lr, batch, seed, epoch, cols, label, scale):
         val_sum = float(np.sum(bce(forward(unflatten(wv), xv), yv))) if len(yv) else 0.0
         pid = TaskContext.get().partitionId() if TaskContext.get() else 0
         rng = np.random.default_rng([seed, epoch, pid])
-        if len(y):
+        n = len(y)
+        if n:
             w2, m2, v2, t2, ls = _adam_epoch(wv.copy(), m.copy(), v.copy(), t, x, y, lr, batch, rng)
         else:
             w2, m2, v2, t2, ls = wv, m, v, t, 0.0
-        buf = io.BytesIO()
-        np.savez(buf, w=w2, m=m2, v=v2)
-        yield pd.DataFrame({"n": [len(y)], "loss_sum": [ls], "steps": [t2 - t], "n_val": [len(yv)],
-                            "val_sum": [val_sum], "state": [buf.getvalue()]})
+        body = pd.DataFrame({"pos": np.arange(len(w2), dtype=np.int64), "a": n * w2, "b": n * m2, "c": n * v2,
+                             "d": 0.0})
+        head = pd.DataFrame({"pos": [-1, -2], "a": [float(n), float(len(yv))], "b": [ls, val_sum],
+                             "c": [0.0, 0.0], "d": [float(t2 - t), 0.0]})
+        yield pd.concat([head, body], ignore_index=True)
 
     return run
 
 
 _FIT_SCHEMA = "history string, state binary"
-_EPOCH_SCHEMA = "n long, loss_sum double, steps long, n_val long, val_sum double, state binary"
+_EPOCH_SCHEMA = "pos long, a double, b double, c double, d double"
 
 
 def _prepare(df: DataFrame, cols, label) -> DataFrame:
@@ -359,28 +368,31 @@ def train_ranker(spark: SparkSession, train: DataFrame, val: DataFrame | None =
     stopped = False
     for epoch in range(1, epochs + 2):
         final_eval = epoch == epochs + 1
-        res = data.mapInPandas(_epoch_task(wv, m, v, t, sched.lr, batch, seed, epoch, cols, label, scale),
-                               _EPOCH_SCHEMA).collect()  # one small row per partition
+        # partitions are summed by a Spark aggregation; the driver receives
+        # one vector whatever the number of partitions
+        res = (
+            data.mapInPandas(_epoch_task(wv, m, v, t, sched.lr, batch, seed, epoch, cols, label, scale),
+                             _EPOCH_SCHEMA)
+            .groupBy("pos").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"),
+                                F.max("d").alias("d"))
+            .toPandas().set_index("pos").sort_index()
+        )
+        n_train, loss_sum, steps = res.loc[-1, "a"], res.loc[-1, "b"], res.loc[-1, "d"]
+        n_val, val_sum = res.loc[-2, "a"], res.loc[-2, "b"]
         if history:
-            n_val = sum(r["n_val"] for r in res)
-            val_loss = sum(r["val_sum"] for r in res) / n_val if n_val else None
+            val_loss = val_sum / n_val if n_val else None
             history[-1]["val_loss"] = val_loss
             metric = val_loss if monitor_val else history[-1]["train_loss"]
             if sched.update(metric, prev_w):
                 stopped = True
         if stopped or final_eval:
             break
-        total = sum(r["n"] for r in res)
-        acc = [np.zeros_like(wv) for _ in range(3)]
-        for r in res:
-            st = np.load(io.BytesIO(r["state"]))
-            f = r["n"] / total
-            for a, key in zip(acc, ("w", "m", "v")):
-                a += f * st[key]
-        history.append({"epoch": epoch, "train_loss": sum(r["loss_sum"] for r in res) / total,
-                        "lr": sched.lr, "val_loss": None})
-        t += max(r["steps"] for r in res)
-        wv, m, v = acc
+        body = res.loc[res.index >= 0]
+        wv = body["a"].to_numpy() / n_train
+        m = body["b"].to_numpy() / n_train
+        v = body["c"].to_numpy() / n_train
+        history.append({"epoch": epoch, "train_loss": loss_sum / n_train, "lr": sched.lr, "val_loss": None})
+        t += int(steps)
         prev_w = wv.copy()
     return Ranker(unflatten(sched.best_w if sched.best_w is not None else wv), mean, std, history)
 
