@@ -21,12 +21,6 @@ def arr_mean(a: str) -> str:
     return f"try_divide(aggregate({a}, 0D, (acc, x) -> acc + x), size({a}))"
 
 
-def arr_std_pop(a: str) -> str:
-    """Population standard deviation of a numeric array."""
-    m = arr_mean(a)
-    return (
-        f"sqrt(try_divide(aggregate({a}, 0D, (acc, x) -> acc + (x - {m}) * (x - {m})), size({a})))"
-    )
 
 
 def arr_sum(a: str) -> str:

@@ -11,8 +11,6 @@ import calendar
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 def as_date(value) -> dt.date:
@@ -101,10 +99,6 @@ class Windows:
         return self.cycle_start
 
 
-def dlit(day: dt.date) -> Column:
-    return F.lit(day)
-
-
 def sql_date(day: dt.date) -> str:
     return f"DATE '{day.isoformat()}'"
 

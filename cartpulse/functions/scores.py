@@ -89,7 +89,7 @@ def popularity(item_inv: Column, subcat_inv: Column, n_items: Column, last_year:
     return base * only * rare
 
 
-# --- formatting (F17-F19) ----------------------------------------------------
+# --- formatting (F17, F18) ----------------------------------------------------
 
 def fixed10(x: Column) -> Column:
     """Fixed 10-decimal text, null kept (no thousands separators)."""
@@ -100,6 +100,3 @@ def zfill10(s: Column) -> Column:
     """Left zero pad to 10 characters without truncating longer ids."""
     return F.when(F.length(s) < 10, F.lpad(s, 10, "0")).otherwise(s)
 
-
-def mmdd_of(day: Column) -> Column:
-    return F.date_format(day, "MMdd")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartpulse.functions.periods import as_date
+from cartpulse.functions.periods import as_date, mmdd
 from cartpulse.operators.evaluate import truth_pairs
 
 from pyspark import cloudpickle
@@ -101,10 +101,6 @@ def apply_scaler(df: DataFrame, stats: DataFrame, cols=FEATURES, suffix: str = "
     return out.drop(*[f"mean_{c}" for c in cols], *[f"std_{c}" for c in cols])
 
 
-def scaler_arrays(stats: DataFrame, cols=FEATURES) -> tuple[np.ndarray, np.ndarray]:
-    row = stats.first()  # one row by construction
-    return (np.array([row[f"mean_{c}"] for c in cols], dtype=float),
-            np.array([row[f"std_{c}"] for c in cols], dtype=float))
 
 
 # --- the network ----------------------------------------------------------------
@@ -430,14 +426,15 @@ def fixed_ranker(seed: int = 7) -> Ranker:
 # --- M8 persistence -------------------------------------------------------------
 
 def model_table(spark: SparkSession, ranker: Ranker, cutoff) -> DataFrame:
-    """Weights and scaler as rows (cutoff, part, idx, value)."""
+    """Weights and scaler as rows (cutoff, suffix, part, idx, value); the
+    suffix is the cutoff's MMDD, as the reference names its model files."""
     rows = []
-    c = str(as_date(cutoff))
+    c, sfx = str(as_date(cutoff)), mmdd(cutoff)
     for i, w in enumerate(ranker.weights):
-        rows += [(c, f"w{i}", j, float(x)) for j, x in enumerate(w.ravel())]
-    rows += [(c, "mean", j, float(x)) for j, x in enumerate(ranker.mean)]
-    rows += [(c, "std", j, float(x)) for j, x in enumerate(ranker.std)]
-    return spark.createDataFrame(rows, "cutoff string, part string, idx long, value double")
+        rows += [(c, sfx, f"w{i}", j, float(x)) for j, x in enumerate(w.ravel())]
+    rows += [(c, sfx, "mean", j, float(x)) for j, x in enumerate(ranker.mean)]
+    rows += [(c, sfx, "std", j, float(x)) for j, x in enumerate(ranker.std)]
+    return spark.createDataFrame(rows, "cutoff string, suffix string, part string, idx long, value double")
 
 
 def save_ranker(spark: SparkSession, ranker: Ranker, cutoff, path: str) -> None:

@@ -227,12 +227,6 @@ def division_by_subcat_sql() -> str:
     QUALIFY row_number() OVER (PARTITION BY subcat_id ORDER BY n DESC, division) = 1"""
 
 
-def item_division_sql() -> str:
-    return """
-    SELECT p_partkey AS item_id,
-           CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'A'
-                WHEN p_type IN ('PROMO', 'SMALL') THEN 'B' END AS division
-    FROM part"""
 
 
 def _num(v: float) -> str:

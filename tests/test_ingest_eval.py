@@ -30,6 +30,17 @@ def test_parse_purchases(spark):
     assert out[2]["day"] == dt.date(1995, 1, 1)  # two-digit year pivot
 
 
+def test_rejected_rows_reasons(spark):
+    path = tempfile.mkdtemp(prefix="cartpulse-rej-", dir="/tmp")
+    rows = ["CODIGO_FAMILIA,COD_SUBCATEGORIA,DIM_PERIODO,CANTIDAD_SUELTA",
+            "1,10,24-Nov-25,1", "1,10,04-11-2025,1", ",10,24-Nov-25,1", "1,x,24-Nov-25,1"]
+    with open(os.path.join(path, "h.csv"), "w", encoding="latin-1") as f:
+        f.write("\n".join(rows) + "\n")
+    got = sorted(r["reason"] for r in FI.rejected_rows(spark, os.path.join(path, "h.csv")).collect())
+    assert got == ["day", "family", "subcat"]
+    assert FI.read_purchases(spark, os.path.join(path, "h.csv")).count() == 1
+
+
 def test_csv_roundtrip_file(spark):
     path = tempfile.mkdtemp(prefix="cartpulse-csv-", dir="/tmp")
     df = spark.createDataFrame(
