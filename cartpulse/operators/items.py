@@ -29,7 +29,8 @@ def item_aggregates(lines: DataFrame, ref_date, data_cutoff=None, long_days: int
     Level 1 groups lines by (family, subcat, item, invoice): window counts,
     last day, division.  Level 2 sums them per item; distinct invoices per
     item are the non-null level-1 groups.  Distinct invoices per subcategory
-    come from the same level-1 rows regrouped by (family, subcat, invoice).
+    come from the same level-1 rows: one row per (family, subcat, invoice)
+    is marked and the marks are summed per subcategory.
     An item belongs to one subcategory, so (family, item) and (family,
     subcat, item) are the same groups.
     """
@@ -51,6 +52,12 @@ def item_aggregates(lines: DataFrame, ref_date, data_cutoff=None, long_days: int
         since(pop_days, has_inv).alias("l_recent"),
         F.max("division").alias("division"),
     )
+    # one row of each (family, subcat, invoice) carries a 1, so the distinct
+    # invoices of a subcategory are a sum further up; the window is keyed by
+    # a subset of the level-1 keys and, with shuffle joins, by the order key
+    # the lines are already partitioned on, so the lines are read once
+    first_item = F.min("item_id").over(Window.partitionBy("family_id", "subcat_id", "invoice_id"))
+    l1 = l1.withColumn("inv_mark", F.when(has_inv & (F.col("item_id") == first_item), 1).otherwise(0))
     items = l1.groupBy("family_id", "subcat_id", "item_id").agg(
         F.max("last_day").alias("last_day"),
         F.sum("rows").cast("bigint").alias("n_buys"),
@@ -58,14 +65,13 @@ def item_aggregates(lines: DataFrame, ref_date, data_cutoff=None, long_days: int
         F.count("invoice_id").cast("bigint").alias("item_invoices"),
         F.sum("l_recent").cast("bigint").alias("last_year_lines"),
         F.max("division").alias("division"),
-    )
-    subcat_inv = (
-        l1.filter(has_inv).select("family_id", "subcat_id", "invoice_id").distinct()
-        .groupBy("family_id", "subcat_id").agg(F.count(F.lit(1)).cast("bigint").alias("subcat_invoices"))
+        F.sum("inv_mark").cast("bigint").alias("_inv_marks"),
     )
     fs = Window.partitionBy("family_id", "subcat_id")
-    items = items.withColumn("subcat_items", F.count(F.lit(1)).over(fs).cast("bigint"))
-    return items.join(subcat_inv, ["family_id", "subcat_id"], "left").fillna(0, ["subcat_invoices"])
+    return items.withColumns({
+        "subcat_items": F.count(F.lit(1)).over(fs).cast("bigint"),
+        "subcat_invoices": F.sum("_inv_marks").over(fs).cast("bigint"),
+    }).drop("_inv_marks")
 
 
 def repurchase_stage(legacy_bucket90: bool = False, ref=None) -> dict:
