@@ -1,0 +1 @@
+"""DataFrame operators: pair features, items, ranking, evaluation, model, diagnostics."""

@@ -1,0 +1 @@
+"""Registered queries, their DuckDB oracles, output shaping and plan inspection."""

@@ -1,0 +1 @@
+"""Readers and adapters: the given tables as purchase lines, text history files, sinks."""

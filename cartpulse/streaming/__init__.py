@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference reads finished files in batch and has no streaming source,
+event-time window, watermark or state.  Nothing here is needed to match it;
+the batch plans in ``cartpulse.operators`` run unchanged inside a
+``foreachBatch`` sink if a caller wants to refresh scores per micro-batch.
+"""
