@@ -286,7 +286,12 @@ def pair_table(lines: DataFrame, ref_date, data_cutoff=None, families: DataFrame
     w = windows or windows_for(ref_date)
     if families is not None:
         lines = lines.join(families.select("family_id").distinct(), "family_id", "left_semi")
-    df = pair_aggregates(lines, w, data_cutoff)
+    return derive_pair_table(pair_aggregates(lines, w, data_cutoff), w, keep_inactive)
+
+
+def derive_pair_table(df: DataFrame, w: Windows, keep_inactive: bool = False) -> DataFrame:
+    """Feature columns from the pair aggregates (any producer with the
+    ``pair_aggregates`` columns, e.g. the item-level roll-up in ``items``)."""
     per_pair = merge_stages(
         [{"sow_weighted_lines": weighted_lines(), "days_since_last": days_since_last(w)}],
         cycle_stages(w),

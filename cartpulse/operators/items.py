@@ -74,6 +74,151 @@ def item_aggregates(lines: DataFrame, ref_date, data_cutoff=None, long_days: int
     }).drop("_inv_marks")
 
 
+# --- one pass for pair features and items ----------------------------------------
+
+def shared_item_table(lines: DataFrame, ref_date, data_cutoff=None, long_days: int = 180,
+                      pop_days: int = 365) -> DataFrame:
+    """(family, subcat, item) rows carrying the item aggregates *and* every
+    pair-feature aggregate, from one pass over the lines.
+
+    Items see the rows up to the data cutoff (default: the reference date,
+    inclusive); pair features only the rows strictly before the reference
+    date, so their measures are conditional.  Distinct-invoice counts of the
+    pair level (all invoices, last quarter, same quarter a year earlier)
+    are marks on one row per (family, subcat, invoice), as for the item
+    level.  Every pair aggregate is a sum, min, max, bit_or or mark count,
+    so ``pairs_from_items`` rolls them up exactly.
+    """
+    from cartpulse.operators.features import windows_for
+
+    ref = as_date(ref_date)
+    w = windows_for(ref)
+    day = F.col("day")
+    has_inv = F.col("invoice_id").isNotNull()
+    fc = day < F.lit(ref)
+    if data_cutoff is not None:
+        fc = fc & (day <= F.lit(as_date(data_cutoff)))
+
+    def cnt(cond):
+        return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
+
+    def flag(cond):
+        return F.max(F.when(cond, 1).otherwise(0))
+
+    def since(n, cond=None):
+        c = day >= F.lit(shift_days(ref, -n))
+        return cnt(c if cond is None else c & cond)
+
+    s0 = w.series_start
+    month_idx = (F.year(day) - s0.year) * 12 + F.month(day) - s0.month
+    in_series = fc & (day >= F.lit(s0)) & (day <= F.lit(w.ref))
+    in_cycle = fc & (day >= F.lit(w.cycle_start))
+    bit = F.expr(f"shiftleft(1L, CAST(floor(datediff(day, DATE'{w.cycle_start}') / {w.block_days}) AS INT))")
+    if w.n_blocks > 63:
+        raise ValueError("cycle windows beyond 63 weekly blocks need pair_aggregates' set path")
+    l1 = history(lines, ref, data_cutoff).groupBy("family_id", "subcat_id", "item_id", "invoice_id").agg(
+        # item level (rows up to the cutoff)
+        F.max("day").alias("last_day"), F.count("day").alias("rows"),
+        since(30).alias("p30"), since(60).alias("p60"), since(90).alias("p90"),
+        since(long_days).alias("p_long"), since(pop_days, has_inv).alias("l_recent"),
+        F.max("division").alias("division"),
+        # pair level (rows before the reference date)
+        F.sum(F.when(fc, F.col("qty"))).alias("f_qty"),
+        F.sum(F.when(fc, F.col("net_sales"))).alias("f_net"),
+        F.sum(F.when(fc, F.col("discount"))).alias("f_disc"),
+        F.sum(F.when(fc, F.col("list_price"))).alias("f_price"),
+        cnt(fc).alias("f_rows"),
+        F.min(F.when(fc, day)).alias("f_first"), F.max(F.when(fc, day)).alias("f_last"),
+        cnt(fc & has_inv).alias("f_lines"),
+        cnt(fc & (day >= F.lit(w.freq_start)) & has_inv).alias("lines_freq"),
+        flag(fc & (day >= F.lit(w.freq_start))).alias("any_freq"),
+        cnt(fc & (day >= F.lit(w.sow_recent_start)) & has_inv).alias("lines_recent"),
+        cnt(fc & (day >= F.lit(w.sow_start)) & (day < F.lit(w.sow_recent_start)) & has_inv).alias("lines_old"),
+        flag(in_cycle).alias("any_active"),
+        flag(in_series).alias("any_series"),
+        flag(fc & (day > F.lit(w.season_start)) & (day <= F.lit(w.ref)) & has_inv).alias("f_season"),
+        flag(fc & (day > F.lit(w.season_prior_start)) & (day <= F.lit(w.season_prior_end)) & has_inv).alias("f_prior"),
+        F.bit_or(F.when(in_cycle, bit)).alias("mask"),
+        *[cnt(in_series & (month_idx == k) & has_inv).alias(f"m{k}") for k in range(w.n_months)],
+    )
+    inv = Window.partitionBy("family_id", "subcat_id", "invoice_id")
+    mark = has_inv & (F.col("item_id") == F.min("item_id").over(inv))
+
+    def marked(c):
+        return F.when(mark & (F.max(c).over(inv) > 0), 1).otherwise(0)
+
+    l1 = l1.withColumns({
+        "inv_mark": F.when(mark, 1).otherwise(0),
+        "f_inv_mark": marked("f_rows"),
+        "season_mark": marked("f_season"),
+        "prior_mark": marked("f_prior"),
+    })
+    sums = ["p30", "p60", "p90", "p_long", "f_qty", "f_net", "f_disc", "f_price", "f_rows", "f_lines",
+            "lines_freq", "lines_recent", "lines_old", "inv_mark", "f_inv_mark", "season_mark", "prior_mark",
+            *[f"m{k}" for k in range(w.n_months)]]
+    return l1.groupBy("family_id", "subcat_id", "item_id").agg(
+        F.max("last_day").alias("last_day"),
+        F.sum("rows").cast("bigint").alias("n_buys"),
+        F.count("invoice_id").cast("bigint").alias("item_invoices"),
+        F.sum("l_recent").cast("bigint").alias("last_year_lines"),
+        F.max("division").alias("division"),
+        F.min("f_first").alias("f_first"), F.max("f_last").alias("f_last"),
+        *[F.max(c).alias(c) for c in ("any_freq", "any_active", "any_series")],
+        F.bit_or("mask").alias("mask"),
+        *[F.sum(c).alias(c) for c in sums],
+    )
+
+
+def pairs_from_items(table: DataFrame, ref_date) -> DataFrame:
+    """The ``pair_aggregates`` columns rolled up from ``shared_item_table``."""
+    from cartpulse.functions import arrays as A
+    from cartpulse.operators.features import windows_for
+
+    w = windows_for(ref_date)
+    out = table.groupBy("family_id", "subcat_id").agg(
+        F.sum("f_qty").alias("total_qty"), F.sum("f_net").alias("total_net"),
+        F.sum("f_disc").alias("total_discount"), F.sum("f_price").alias("total_list_price"),
+        F.sum("f_rows").cast("bigint").alias("n_rows"),
+        F.sum("f_inv_mark").cast("bigint").alias("n_invoices"),
+        F.sum("f_lines").cast("bigint").alias("n_lines"),
+        F.min("f_first").alias("first_day"), F.max("f_last").alias("last_day"),
+        F.sum("lines_freq").cast("bigint").alias("lines_freq"), F.max("any_freq").alias("any_freq"),
+        F.sum("lines_recent").cast("bigint").alias("lines_recent"),
+        F.sum("lines_old").cast("bigint").alias("lines_old"),
+        F.max("any_active").alias("any_active"), F.max("any_series").alias("any_series"),
+        F.sum("season_mark").cast("bigint").alias("season_recent_invoices"),
+        F.sum("prior_mark").cast("bigint").alias("season_prior_invoices"),
+        F.bit_or("mask").alias("mask"),
+        *[F.sum(f"m{k}").cast("bigint").alias(f"m{k}") for k in range(w.n_months)],
+    ).filter(F.col("n_rows") > 0)
+    return out.withColumn("blocks_all", A.col(A.blocks_from_mask("mask", w.n_blocks))).drop("mask")
+
+
+def items_from_shared(table: DataFrame) -> DataFrame:
+    """The ``item_aggregates`` columns from ``shared_item_table``."""
+    fs = Window.partitionBy("family_id", "subcat_id")
+    return table.select(
+        "family_id", "subcat_id", "item_id", "last_day", "n_buys",
+        *[F.col(c).cast("bigint").alias(c) for c in ("p30", "p60", "p90", "p_long")],
+        "item_invoices", "last_year_lines", "division",
+        F.count(F.lit(1)).over(fs).cast("bigint").alias("subcat_items"),
+        F.sum("inv_mark").over(fs).cast("bigint").alias("subcat_invoices"),
+    )
+
+
+def features_and_items(lines: DataFrame, ref_date, data_cutoff=None, ranks: bool = True,
+                       max_group_rows: int | None = MAX_GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Pair features (linear score) and scored items from one pass over the
+    lines: the shared (family, subcat, item) table is checkpointed once to the
+    shared folder and both levels are derived from it."""
+    from cartpulse.operators.features import FEATURE_COLUMNS, derive_pair_table, windows_for
+
+    table = shared_item_table(lines, ref_date, data_cutoff).checkpoint(eager=True)
+    feats = derive_pair_table(pairs_from_items(table, ref_date), windows_for(ref_date)).select(*FEATURE_COLUMNS)
+    agg = with_popularity(with_repurchase(items_from_shared(table), ref_date))
+    return feats, score_items(feats, agg, ranks=ranks, max_group_rows=max_group_rows)
+
+
 def repurchase_stage(legacy_bucket90: bool = False, ref=None) -> dict:
     n90 = (F.col("p90") - F.col("p60") - F.col("p30")) if legacy_bucket90 else (F.col("p90") - F.col("p60"))
     return {"n30": F.col("p30"), "n60": F.col("p60") - F.col("p30"), "n90": n90,
@@ -124,8 +269,16 @@ def item_scores(subcat_scores: DataFrame, lines: DataFrame, ref_date, data_cutof
                 prob: str = "score", max_group_rows: int | None = MAX_GROUP_ROWS,
                 ranks: bool = True) -> DataFrame:
     """D20 + D22-D24: every item a family bought in a scored subcategory with
-    its blended score and three ranks."""
+    its blended score and three ranks (subcategory scores from any source,
+    e.g. the trained ranker; ``features_and_items`` does both levels in one
+    pass when the scores are the linear ones)."""
     agg = with_popularity(with_repurchase(item_aggregates(lines, ref_date, data_cutoff), ref_date))
+    return score_items(subcat_scores, agg, prob, ranks, max_group_rows)
+
+
+def score_items(subcat_scores: DataFrame, agg: DataFrame, prob: str = "score", ranks: bool = True,
+                max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+    """Blend, scale and rank item aggregates under their subcategory scores."""
     sc = subcat_scores.select("family_id", "subcat_id", F.col(prob).alias("prob"))
     # Rank of the subcategory inside the family on the pair table (one
     # row per subcategory bought), inherited by its items through the join

@@ -103,7 +103,9 @@ def _ranked_by_fixed(spark, sf_dir):
 
 
 def _item_scores(spark, sf_dir, ranks=True):
-    return IT.item_scores(_features(spark, sf_dir), _upto_ref(spark, sf_dir), REF, ranks=ranks)
+    """Linear-score items: pair features and item aggregates from one pass
+    over the lines (``items.features_and_items``)."""
+    return IT.features_and_items(_upto_ref(spark, sf_dir), REF, ranks=ranks)[1]
 
 
 # --- shared SQL pieces -------------------------------------------------------------
@@ -967,6 +969,5 @@ def q_pair_features_hot_families(spark, sf_dir):
     SELECT family_id, item_id, CAST(item_rank AS BIGINT) AS item_rank, {r('item_score')} AS item_score FROM items""")
 def q_item_scores_hot_families(spark, sf_dir):
     """D20/D23 for three families of about a third of all lines each."""
-    lines = _hist(spark, sf_dir, HOT_HOUSEHOLDS)
-    items = IT.item_scores(FE.pair_features(lines, REF), lines, REF)
+    items = IT.features_and_items(_hist(spark, sf_dir, HOT_HOUSEHOLDS), REF)[1]
     return present(items.select("family_id", "item_id", "item_rank", "item_score"))

@@ -52,3 +52,12 @@ def test_top_k_plans_a_group_limit(spark):
 
     text = formatted_plan(C.QUERIES["top_k_subcats"](spark, SF_SMALL))
     assert "WindowGroupLimit" in text
+
+
+def test_one_pass_item_table_reads_lines_once(shuffle_joins):
+    from cartpulse.operators import items as IT
+
+    s = summary(IT.shared_item_table(C._hist(shuffle_joins, SF_SMALL), C.REF))
+    keys = " ".join(s["exchanges"])
+    assert "invoice_id" not in keys
+    assert keys.count("l_orderkey") == 1 and keys.count("l_partkey") == 1

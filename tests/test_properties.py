@@ -121,3 +121,27 @@ def test_distributed_rank_equals_window(spark):
     w = RK.rank_within(feats.withColumn("_all", F.lit(1)), ["_all"], "score", ["family_id", "-net_sales", "subcat_id"])
     assert sorted((r["family_id"], r["subcat_id"], r["top"] + 1) for r in g.collect()) == \
         sorted((r["family_id"], r["subcat_id"], r["rank"]) for r in w.collect())
+
+
+def test_one_pass_features_equal_direct_features(spark):
+    from cartpulse.operators import items as IT
+
+    lines = C._hist(spark, SF_MID)
+    direct = FE.pair_features(lines, C.REF)
+    shared, items = IT.features_and_items(lines, C.REF, ranks=False)
+    cols = [c for c in FE.FEATURE_COLUMNS]
+    a = {(r["family_id"], r["subcat_id"]): r for r in direct.select(*cols).collect()}
+    b = {(r["family_id"], r["subcat_id"]): r for r in shared.select(*cols).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        for c in cols:
+            x, y = a[k][c], b[k][c]
+            if isinstance(x, float):
+                assert x == pytest.approx(y, rel=1e-9, abs=1e-12), (k, c)
+            else:
+                assert x == y, (k, c)
+    # and the item aggregates equal the dedicated item pass
+    direct_items = IT.item_aggregates(lines, C.REF).select("family_id", "item_id", "n_buys", "item_invoices",
+                                                            "subcat_invoices", "subcat_items", "last_year_lines", "p_long")
+    shared_items = IT.items_from_shared(IT.shared_item_table(lines, C.REF)).select(*direct_items.columns)
+    assert direct_items.exceptAll(shared_items).count() == 0 and shared_items.exceptAll(direct_items).count() == 0
