@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash
+from . import bagminhash, contracts_sql, decontaminate, substring
 from .tables import ready, table
 
 
@@ -15,7 +15,22 @@ def op4_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return bagminhash.near_duplicate_classes(table(ready(spark), sf_dir, "documents"))
 
 
+def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words, items and verdict of every document."""
+    ready(spark)
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that each document repeats from earlier documents, and what is left."""
+    out = substring.duplicate_spans(table(ready(spark), sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_bagminhash_near_duplicates,)
+    f.__name__: f for f in (op4_bagminhash_near_duplicates, op5_wu_manber_decontamination, op7_relative_lempel_ziv)
+}
+ORACLES: dict[str, str] = {
+    "op5_wu_manber_decontamination": contracts_sql.DECONTAMINATION,
+    "op7_relative_lempel_ziv": contracts_sql.SUBSTRINGS,
 }
-ORACLES: dict[str, str] = {}

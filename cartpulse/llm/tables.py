@@ -42,3 +42,8 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     for c in on[1:]:
         cond = cond & c
     return left.join(other, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint if ``df`` (narrow, already materialised) counts at most ``rows`` rows; else a plain shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
