@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bagminhash, contracts_sql, decontaminate, substring
+from . import bagminhash, contracts_sql, decontaminate, langid, mix, shard, substring
 from .tables import ready, table
 
 
+def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 runs of the Hilbert order."""
+    return shard.shards(table(ready(spark), sf_dir, "documents"))
+
+
+def op3_mixture_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; held-out rows are never trained on."""
+    out = langid.predictions(table(ready(spark), sf_dir, "documents"))
+    return out.withColumn("languages", F.to_json("languages"))
+
+
 def op4_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return bagminhash.near_duplicate_classes(table(ready(spark), sf_dir, "documents"))
@@ -27,10 +39,19 @@ def op7_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_budgeted_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return mix.mixture(table(ready(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_bagminhash_near_duplicates, op5_wu_manber_decontamination, op7_relative_lempel_ziv)
+    f.__name__: f for f in (
+        op1_hilbert_shards, op3_mixture_language_id, op4_bagminhash_near_duplicates, op5_wu_manber_decontamination,
+        op7_relative_lempel_ziv, op8_budgeted_mixture)
 }
 ORACLES: dict[str, str] = {
+    "op1_hilbert_shards": contracts_sql.hilbert_shards(),
+    "op8_budgeted_mixture": contracts_sql.MIXTURE,
     "op5_wu_manber_decontamination": contracts_sql.DECONTAMINATION,
     "op7_relative_lempel_ziv": contracts_sql.SUBSTRINGS,
 }

@@ -36,3 +36,79 @@ k AS (SELECT x.rid, string_agg(word, ' ' ORDER BY x.pos) AS t FROM x ANTI JOIN g
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN gl USING (rid) LEFT JOIN k USING (rid)
 """
+
+MIXTURE = f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len({SPACED_WORDS}), 0) AS size,
+    md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', coalesce(text, ''))) AS key FROM documents),
+s AS (
+  SELECT source, sum(size) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM d GROUP BY source),
+r AS (
+  SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS total, sum(weight) OVER () AS total_weight,
+    coalesce(sum(3 * source_size) OVER w, 0) AS cap_before, coalesce(sum(weight) OVER w, 0) AS weight_before
+  FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, cap <= CAST(total - cap_before AS DOUBLE) / CAST(total_weight - weight_before AS DOUBLE) * weight AS capped FROM r),
+t AS (
+  SELECT source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE
+    (SELECT CAST(any_value(total) - min(cap_before) AS DOUBLE) / CAST(any_value(total_weight) - min(weight_before) AS DOUBLE) FROM c WHERE NOT capped) * weight END AS target
+  FROM c),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // CAST(source_size AS BIGINT) ELSE 0 END AS epochs FROM t),
+b AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) - epochs * CAST(source_size AS BIGINT) AS rest FROM g),
+u AS (SELECT source, key, sum(size) AS unit, count(*) AS n FROM d WHERE size > 0 GROUP BY source, key),
+v AS (SELECT *, sum(unit) OVER (PARTITION BY source ORDER BY key) - unit AS before FROM u)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, CAST(b.source_size AS BIGINT) AS source_size, b.target,
+  CAST(b.epochs * d.size + CASE WHEN v.key IS NULL THEN 0 ELSE least(d.size, greatest(CAST(b.rest - v.before AS BIGINT), 0) // v.n) END AS BIGINT) AS taken, d.source
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+LEFT JOIN v ON d.source IS NOT DISTINCT FROM v.source AND d.key = v.key
+"""
+
+
+def hilbert_shards(bits: int = 5, count: int = 16) -> str:
+    """The curve's steps as one common table expression each."""
+    ctes, last = [], "q"
+    for level in range(bits - 1, 0, -1):
+        q = 1 << level
+        for i in range(3):
+            swap = f"CASE WHEN x{i} & {q} <> 0 THEN 0 ELSE xor(x0, x{i}) & {q - 1} END"
+            new = {0: f"xor(x0, CASE WHEN x{i} & {q} <> 0 THEN {q - 1} ELSE {swap} END)"}
+            new[i] = f"xor(x{i}, {swap})" if i else f"xor(x0, CASE WHEN x0 & {q} <> 0 THEN {q - 1} ELSE 0 END)"
+            cols = ", ".join(f"{new.get(j, f'x{j}')} AS x{j}" for j in range(3))
+            ctes.append(f"h{level}_{i} AS (SELECT c0, c1, c2, {cols} FROM {last})")
+            last = f"h{level}_{i}"
+    ctes.append(f"g1 AS (SELECT c0, c1, c2, x0, xor(x1, x0) AS x1, x2 FROM {last})")
+    ctes.append("g2 AS (SELECT c0, c1, c2, x0, x1, xor(x2, x1) AS x2 FROM g1)")
+    turn = "0"
+    for level in range(bits - 1, 0, -1):
+        turn = f"xor({turn}, CASE WHEN x2 & {1 << level} <> 0 THEN {(1 << level) - 1} ELSE 0 END)"
+    ctes.append(f"g3 AS (SELECT c0, c1, c2, x0, x1, x2, {turn} AS t FROM g2)")
+    place = " + ".join(f"((xor(x{i}, t) >> {level}) & 1) * {1 << (3 * level + 2 - i)}" for level in range(bits - 1, -1, -1) for i in range(3))
+    ctes.append(f"curve AS (SELECT c0, c1, c2, CAST({place} AS BIGINT) AS place FROM g3)")
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    crc_rows = "crc0 AS (SELECT i, i AS c FROM (SELECT unnest(range(256)) AS i))"
+    for k in range(8):
+        crc_rows += f", crc{k + 1} AS (SELECT i, {step} AS c FROM crc{k})"
+    top = (1 << bits) - 1
+    return f"""
+WITH {crc_rows},
+lut AS (SELECT list(c ORDER BY i) AS lut FROM crc8),
+hexed AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(strlen(text), 0) + 1 AS size, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+bytes AS (SELECT rid, doc_id, source, lang, size, list_transform(range(1, size), lambda i: CAST(('0x' || hx[2 * i - 1 : 2 * i]) AS BIGINT)) AS b FROM hexed),
+d AS (
+  SELECT doc_id, source, lang, CAST(size AS BIGINT) AS size,
+    xor(list_reduce(b, lambda c, x: xor(c >> 8, lut[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS text_crc32
+  FROM bytes, lut),
+bs AS (SELECT source, (coalesce(sum(count(*)) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * {top + 1}) // (SELECT count(*) FROM d) AS q FROM d GROUP BY source),
+bl AS (SELECT lang, (coalesce(sum(count(*)) OVER (ORDER BY lang NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * {top + 1}) // (SELECT count(*) FROM d) AS q FROM d GROUP BY lang),
+p AS (
+  SELECT d.*, CAST(least(length(ltrim(bin(size), '0')) - 1, {top}) AS INT) AS c0, CAST(bs.q AS INT) AS c1, CAST(bl.q AS INT) AS c2,
+    md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', size, '|', text_crc32)) AS tie
+  FROM d JOIN bs ON d.source IS NOT DISTINCT FROM bs.source JOIN bl ON d.lang IS NOT DISTINCT FROM bl.lang),
+q AS (SELECT DISTINCT c0, c1, c2, c0 AS x0, c1 AS x1, c2 AS x2 FROM p),
+{", ".join(ctes)},
+o AS (SELECT p.*, place, row_number() OVER (ORDER BY place, tie, size, text_crc32) - 1 AS r, count(*) OVER () AS n FROM p JOIN curve USING (c0, c1, c2)),
+z AS (SELECT *, (r * {count}) // n AS shard FROM o)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard,
+  CAST(r - (shard * n + {count - 1}) // {count} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source, lang, place
+FROM z
+"""

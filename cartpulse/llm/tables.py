@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartpulse.session import checkpoint_dir, configure
@@ -47,3 +47,21 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint if ``df`` (narrow, already materialised) counts at most ``rows`` rows; else a plain shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds, for each (name, column) of ``sums``, the sum of the column over all rows before a row in ``order``.
+
+    A range-partitioned sort: one row for each partition gives the partitions'
+    offsets, and the running sum inside a partition does the rest; no task holds
+    more than a partition.  The partitioned rows are checkpointed, so both steps
+    see the same partitions.  ``order`` should be total.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    parts = rows.groupBy("_p").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    offsets = parts.select("_p", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums])
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({k: F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in sums.items()}).join(offsets, "_p")
+    return out.withColumns({k: F.col(k) + F.col(f"_{k}") for k in sums}).drop("_p", *[f"_{k}" for k in sums])
