@@ -21,8 +21,9 @@ Bands of ROWS components are bucketed; buckets never emit all pairs:
 * texts with equal words are one node from the start;
 * each node of a bucket is first compared with the bucket's smallest one (the hub);
 * nodes of buckets that still hold several components then go through an exact
-  prefix join on their rarest shingles (``prefix_pairs``), so no colliding pair
-  that could join two components is left out.
+  prefix join on their rarest shingles (``prefixes``), first with the first node
+  of each shingle only, then, where components still differ, in full; so no
+  colliding pair that could join two components is left out.
 
 Every comparison is exact: the two texts are joined and their bags intersected.
 With BANDS = 28 and ROWS = 4, a pair of similarity 0.8 shares no bucket with
@@ -206,14 +207,14 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0).slice(p.first, n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(W.signed(element)))], names=["id", "elements"])
 
 
-def prefix_pairs(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a < b) of ``nodes`` (id, label) under different labels that may reach the threshold: no such pair is missed.
+def prefixes(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(e, id, n, place): of each node's n elements, rarest among the nodes first, the e at ``place`` that a partner must share one of.
 
     Elements are ordered by the number of nodes that hold them.  Two sets of
-    similarity t share one of the first n - ceil(t n) + 1 elements of either,
-    so only those first elements are joined.  A node with enough elements of
-    its own takes no part at all: texts that share a passage and differ in
-    the rest are told apart without looking at a pair.
+    similarity t share one of the first n - ceil(t n) + 1 elements of either.
+    Elements of one node only are counted, not listed: a node with enough of
+    them has no row at all, so texts that share a passage and differ in the
+    rest are told apart without looking at a pair.
     """
     texts = docs.join(nodes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
     sets = texts.mapInArrow(_elements, "id long, elements array<long>").withColumns(
@@ -223,15 +224,25 @@ def prefix_pairs(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFra
     first = Window.partitionBy("id", "set").orderBy("df", "e")
     common = rows.join(shared, "e").withColumns({"at": F.row_number().over(first), "shared": F.count(F.lit(1)).over(Window.partitionBy("id", "set"))})
     bound = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    place = F.col("n") - F.col("shared") + F.col("at")
-    prefix = common.withColumn("place", place).filter(F.col("place") <= bound).join(nodes.distinct(), "id").select(
-        "e", "id", "n", "place", "label").checkpoint()
-    other = prefix.select("e", *[F.col(c).alias(c + "2") for c in ("id", "n", "place", "label")])
+    return common.withColumn("place", F.col("n") - F.col("shared") + F.col("at")).filter(F.col("place") <= bound).select("e", "id", "n", "place").checkpoint()
+
+
+def prefix_pairs(rows: DataFrame, label: DataFrame, threshold: float, hubs_only: bool) -> DataFrame:
+    """Distinct pairs (a < b) under different labels that share an element early enough for sets of their sizes;
+    ``hubs_only``: only pairs with the first node of the element."""
+    rows = rows.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    other = rows
+    if hubs_only:
+        # the hub must hold the element early enough for a partner of its own size
+        own = F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
+        other = rows.join(rows.filter(own).groupBy("e").agg(F.min("id").alias("hub")), "e").filter("id = hub").drop("hub")
+    other = other.select("e", *[F.col(c).alias(c + "2") for c in ("id", "n", "place", "label")])
     # the overlap that two sets of these sizes need
     need = F.ceil((F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9)
-    alike = (F.col("place") <= F.col("n") - need + 1) & (F.col("place2") <= F.col("n2") - need + 1)
-    return prefix.join(other, "e").filter((F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & alike).select(
-        F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    early = (F.col("place") <= F.col("n") - need + 1) & (F.col("place2") <= F.col("n2") - need + 1)
+    return rows.join(other, "e").filter(
+        (F.col("id") != F.col("id2") if hubs_only else F.col("id2") < F.col("id")) & (F.col("label") != F.col("label2")) & early
+    ).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -248,10 +259,13 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     known = verified(bucket.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), docs)
     links = known.filter(F.col("sim") >= threshold).select("a", "b")
     label = components(links)
-    rest = _mixed(bucket, label)
-    pairs = prefix_pairs(rest, docs, threshold).join(known.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(verified(pairs, docs).filter(F.col("sim") >= threshold).select("a", "b"))
-    label = components(links)
+    rows = prefixes(_mixed(bucket, label), docs, threshold)
+    for hubs_only in (True, False):
+        pairs = prefix_pairs(rows, label, threshold, hubs_only).join(known.select("a", "b"), ["a", "b"], "left_anti")
+        found = verified(pairs, docs)
+        known = known.unionByName(found)
+        links = links.unionByName(found.filter(F.col("sim") >= threshold).select("a", "b"))
+        label = components(links)
 
     # rows that repeat a doc_id under several texts tie those texts' classes together
     texts = signed.select("doc_id", "h1", "h2").join(nodes, ["h1", "h2"]).select("doc_id", "id")
