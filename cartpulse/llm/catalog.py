@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, contracts_sql, decontaminate, langid, mix, shard, substring
+from . import bagminhash, contracts_sql, decontaminate, langid, mix, shard, substring, toxicity
 from .tables import ready, table
 
 
@@ -33,6 +33,12 @@ def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; held-out rows are never learned from."""
+    ready(spark)
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that each document repeats from earlier documents, and what is left."""
     out = substring.duplicate_spans(table(ready(spark), sf_dir, "documents"))
@@ -47,7 +53,7 @@ def op8_budgeted_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_hilbert_shards, op3_mixture_language_id, op4_bagminhash_near_duplicates, op5_wu_manber_decontamination,
-        op7_relative_lempel_ziv, op8_budgeted_mixture)
+        op6_weak_supervision_toxicity, op7_relative_lempel_ziv, op8_budgeted_mixture)
 }
 ORACLES: dict[str, str] = {
     "op1_hilbert_shards": contracts_sql.hilbert_shards(),

@@ -15,10 +15,13 @@ neighbouring windows mostly share theirs.
 1. Each document sends its distinct anchors (about 2 of 11 words) with the
    doc_id, combined in every batch and task before the shuffle; anchors of one
    document only can have no duplicate and are dropped.
-2. Windows under the remaining anchors are indexed: (anchor, window hash) to
-   the smallest doc_id.  A key is two independent 64-bit hashes.
-3. Each document's windows under these anchors are looked up; the matches of a
-   document (never more than its words) make its factors.
+2. Under the remaining anchors, runs of windows with one anchor are indexed:
+   (anchor, hash of the run's words) to the smallest doc_id.  A run that an
+   earlier document holds is matched as a whole.
+3. Only where an anchor has different runs (a passage's ends, an edit), the
+   runs' windows are indexed and looked up one by one.  All keys are two
+   independent 64-bit hashes.
+4. The matches of a document (never more than its words) make its factors.
 
 Copies of a whole text are found first by their words' hash and parsed no
 further.  A word sequence that a third of all documents hold costs one partial
@@ -118,7 +121,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows with one anchor: (anchor, doc_id, h1, first, windows)."""
+    """Runs of windows with one anchor: (anchor, run, doc_id, h1, first, windows); run is the hash of the run's words."""
     for batch in batches:
         for p in W.pieces(batch.column(1), W.SPACED):
             at, text, window, anchor = anchored_windows(p)
@@ -130,11 +133,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
             first = np.flatnonzero(new)
             rows = text[first]
+            last = np.append(first[1:], len(text)) - 1
+            run = p.span_hashes(h, at[first], at[last] + WINDOW, 12)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(W.signed(anchor[first])), batch.column(0).take(pa.array(p.first + rows)), pa.array(W.signed(whole[rows])),
+                [pa.array(W.signed(anchor[first])), pa.array(W.signed(run)), batch.column(0).take(pa.array(p.first + rows)), pa.array(W.signed(whole[rows])),
                  pa.array((at[first] - p.bounds[rows]).astype(np.int32)),
                  pa.ListArray.from_arrays(pa.array(np.append(first, len(text)).astype(np.int32)), pa.array(W.signed(window)))],
-                names=["anchor", "doc_id", "h1", "first", "windows"])
+                names=["anchor", "run", "doc_id", "h1", "first", "windows"])
 
 
 def factors(at: np.ndarray, owner: np.ndarray, k: int = WINDOW) -> list[tuple[int, int, int]]:
@@ -157,9 +162,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             for i in range(n):
                 m = matches[p.first + i].values.flatten()
-                at, owner = m[0].to_numpy(), m[1].to_numpy()
-                order = np.argsort(at, kind="stable")
-                runs = factors(at[order], owner[order])
+                at, size, owner = (x.to_numpy().astype(np.int64) for x in m)
+                at = np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                owner = np.repeat(owner, size)
+                order = np.lexsort((owner, at))
+                at, owner = at[order], owner[order]
+                new = np.append(True, at[1:] != at[:-1])
+                runs = factors(at[new], owner[new])
                 for s, w, _ in runs:
                     step[p.bounds[i] + s] += 1
                     step[p.bounds[i] + s + w] -= 1
@@ -192,17 +201,25 @@ def duplicate_spans(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Da
         firsts.mapInArrow(_anchors, "anchor long, lo long, hi long").groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .filter("lo < hi").select("anchor").checkpoint()
     )
-    candidates = (
-        firsts.mapInArrow(_candidates, "anchor long, doc_id long, h1 long, first int, windows array<long>")
+    runs = (
+        firsts.mapInArrow(_candidates, "anchor long, run long, doc_id long, h1 long, first int, windows array<long>")
         .join(broadcast_if_small(shared, broadcast_rows), "anchor", "left_semi").checkpoint()
-        .select("anchor", "doc_id", "h1", "first", F.posexplode("windows").alias("i", "window"))
     )
-    index = candidates.groupBy("anchor", "window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
-    matches = (
-        candidates.join(index, ["anchor", "window"]).filter("owner < doc_id")
-        .groupBy("doc_id", "h1").agg(F.collect_list(F.struct((F.col("first") + F.col("i")).alias("at"), "owner")).alias("matches"))
-        .checkpoint()
+    owners = runs.groupBy("anchor", "run").agg(F.min("doc_id").alias("owner")).checkpoint()
+    whole_runs = (
+        runs.select("anchor", "run", "doc_id", "h1", F.col("first").alias("at"), F.size("windows").alias("n"))
+        .join(owners, ["anchor", "run"]).filter("owner < doc_id").select("doc_id", "h1", "at", "n", "owner")
+    )
+    # where all runs of an anchor are equal the first of them repeats nothing; else its windows are looked up one by one
+    several = owners.groupBy("anchor").agg(F.min("run").alias("a"), F.max("run").alias("b")).filter("a < b").select("anchor").checkpoint()
+    windows = (
+        runs.join(broadcast_if_small(several, broadcast_rows), "anchor", "left_semi")
+        .select("anchor", "doc_id", "h1", "first", F.posexplode("windows").alias("i", "window"))
     )
+    index = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
+    single = windows.join(index, ["anchor", "window"]).filter("owner < doc_id").select(
+        "doc_id", "h1", (F.col("first") + F.col("i")).alias("at"), F.lit(1).alias("n"), "owner")
+    matches = whole_runs.unionByName(single).groupBy("doc_id", "h1").agg(F.collect_list(F.struct("at", "n", "owner")).alias("matches")).checkpoint()
     hinted = broadcast_if_small(matches.select("doc_id").distinct(), broadcast_rows)
     whole = docs.join(hinted, "doc_id", "left_semi").mapInArrow(
         _with_hash, "doc_id long, h1 long, text string")
