@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, contracts_sql, decontaminate, langid, mix, shard, substring, toxicity
+from . import bagminhash, contracts_sql, decontaminate, forest, langid, mix, pii, shard, substring, toxicity
 from .tables import ready, table
 
 
@@ -50,10 +50,20 @@ def op8_budgeted_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixture(table(ready(spark), sf_dir, "documents"))
 
 
+def op9_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth vector."""
+    return forest.nearest(table(ready(spark), sf_dir, "embeddings"))
+
+
+def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.personal_data(table(ready(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_hilbert_shards, op3_mixture_language_id, op4_bagminhash_near_duplicates, op5_wu_manber_decontamination,
-        op6_weak_supervision_toxicity, op7_relative_lempel_ziv, op8_budgeted_mixture)
+        op6_weak_supervision_toxicity, op7_relative_lempel_ziv, op8_budgeted_mixture, op9_hash_prefix_forest, op10_bootstrapped_pii)
 }
 ORACLES: dict[str, str] = {
     "op1_hilbert_shards": contracts_sql.hilbert_shards(),
