@@ -114,7 +114,7 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, share: float = S
     # hash blocks: an id, and so every repeat of it, lies in one block
     base = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     asked = rows.filter(F.col("vec_id") % every == 0).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def answer(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(queries):

@@ -47,6 +47,8 @@ PENALTY = 2.0
 #: n-grams overlap and repeat, so a text counts as this share of its n-grams when evidence is weighed.
 EVIDENCE = 0.05
 PIECE = 1 << 18
+#: A text under this score is rejected; a text split evenly between two languages scores 0.5.
+LEAST_SCORE = 0.3
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -210,7 +212,7 @@ def predictions(docs: DataFrame) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
 
 
-def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is recognised with a score of ``least`` or more; rows never leave their partition."""
     langs, table = train(docs.filter(~held_out(F.col("doc_id"))).select("lang", "text"))
     sent = docs.sparkSession.sparkContext.broadcast(table)
