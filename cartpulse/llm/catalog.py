@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, contracts_sql, decontaminate, forest, langid, mix, pii, shard, substring, toxicity
+from . import bagminhash, contracts_sql, decontaminate, forest, langid, licenses, mix, pii, shard, substring, toxicity
 from .tables import ready, table
 
 
@@ -16,6 +16,11 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shards(table(ready(spark), sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or that of the nearest directory above."""
+    return licenses.scan(licenses.document_paths(table(ready(spark), sf_dir, "documents")))
+
+
 def op3_mixture_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; held-out rows are never trained on."""
     out = langid.predictions(table(ready(spark), sf_dir, "documents"))
@@ -62,7 +67,7 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_hilbert_shards, op3_mixture_language_id, op4_bagminhash_near_duplicates, op5_wu_manber_decontamination,
+        op1_hilbert_shards, op2_license_scan, op3_mixture_language_id, op4_bagminhash_near_duplicates, op5_wu_manber_decontamination,
         op6_weak_supervision_toxicity, op7_relative_lempel_ziv, op8_budgeted_mixture, op9_hash_prefix_forest, op10_bootstrapped_pii)
 }
 ORACLES: dict[str, str] = {
