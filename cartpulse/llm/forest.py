@@ -38,8 +38,8 @@ TREES = 16
 HASH_BITS = 32
 BLOCK_ROWS = 8192
 QUERY_ROWS = 8192
-SHARE = 1.0
-LEAST = 50
+SHARE = 2.0
+LEAST = 400
 SEED = 20240601
 
 

@@ -156,6 +156,10 @@ def _listed(spans_column: str, names: Column) -> Column:
     return F.concat_ws(",", F.transform(spans_column, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter("plain", lambda s: s["kind"] == kind)).cast("long")
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found) for every row of ``docs``."""
     rows = base_spans(docs).checkpoint()
@@ -169,5 +173,5 @@ def personal_data(docs: DataFrame) -> DataFrame:
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     out = out.withColumn("plain", plain.cast(kind)).withColumn("found", F.coalesce(F.col("more").cast(kind), F.array().cast(kind)))
     out = out.withColumn("all", F.array_sort(F.concat("plain", "found")))
-    count = [F.size(F.filter("plain", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    count = [_count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return out.select("doc_id", *count, F.sha2(_listed("plain", names), 256).alias("base_sha256"), _listed("all", names).alias("spans"), F.size("found").cast("long").alias("n_found"))
