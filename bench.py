@@ -5,14 +5,16 @@
   BENCH_QUERIES comma-separated subset (default: HEADLINE)
 
 Each query is executed in full into Spark's ``noop`` sink (every column is
-computed, nothing is collected); the time is wall-clock per query after one
-warm-up query that starts the JVM and loads the Python modules.
+computed, nothing is collected); the time is the median wall-clock of BENCH_RUNS
+(default 3) runs after one warm-up query that starts the JVM and loads the
+Python modules.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -48,9 +50,12 @@ def main() -> None:
 
     times = {}
     for name in names:
-        t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        runs = []
+        for _ in range(int(os.environ.get("BENCH_RUNS", "3"))):
+            t0 = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - t0)
+        times[name] = round(statistics.median(runs), 3)
     sf = os.path.basename(sf_dir).replace("sf", "")
     print(json.dumps({
         "metric": "total_query_seconds",

@@ -61,9 +61,21 @@ def clip_values(a: str, m: str, s: str, threshold: float) -> str:
 
 # --- D3 weekly blocks ------------------------------------------------------
 
-def blocks_from_mask(mask: str, n_blocks: int) -> str:
-    """Ascending block numbers whose bit is set in a bit mask."""
-    return f"filter(sequence(0, {n_blocks - 1}), b -> (shiftright({mask}, b) & 1L) = 1L)"
+#: Blocks held by one long of a block mask.
+MASK_BITS = 62
+
+
+def mask_words(n_blocks: int) -> int:
+    return -(-n_blocks // MASK_BITS)
+
+
+def blocks_from_masks(masks: list[str], n_blocks: int) -> str:
+    """Ascending block numbers whose bit is set; mask j holds blocks from j * MASK_BITS on."""
+    parts = []
+    for j, mask in enumerate(masks):
+        top = min(MASK_BITS, n_blocks - j * MASK_BITS) - 1
+        parts.append(f"transform(filter(sequence(0, {top}), b -> (shiftright({mask}, b) & 1L) = 1L), b -> b + {j * MASK_BITS})")
+    return f"concat({', '.join(parts)})"
 
 
 def last_n(a: str, n: int) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartpulse.functions.periods import as_date
-from cartpulse.operators.rank import bounded_broadcast, rank_within, top_k
+from cartpulse.operators.rank import rank_within, top_k
 
 FAMILY = "family_id"
 
@@ -26,11 +26,18 @@ def truth_pairs(lines: DataFrame, start, end, level: str = "subcat_id") -> DataF
     )
 
 
+def materialised(truth: DataFrame) -> DataFrame:
+    """The truth pairs written once to the shared folder: the metrics read them two or three times
+    (hits, bought per family, number of families), the lines behind them once."""
+    return truth.checkpoint(eager=True)
+
+
 def family_hits(recs: DataFrame, truth: DataFrame, level: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per (family, *by): number of recommended ``level`` values bought."""
+    """Per (family, *by) with recommendations: has_pred = 1 and the number of recommended ``level`` values bought."""
+    bought = truth.select(FAMILY, level).withColumn("_bought", F.lit(1))
     return (
-        recs.join(truth, [FAMILY, level])
-        .groupBy(FAMILY, *by).agg(F.count(F.lit(1)).alias("hits"))
+        recs.join(bought, [FAMILY, level], "left").groupBy(FAMILY, *by)
+        .agg(F.count("_bought").cast("bigint").alias("hits"), F.lit(1).alias("has_pred"))
     )
 
 
@@ -50,16 +57,9 @@ def family_metrics(preds: DataFrame, truth: DataFrame, k: int = 3, score: str =
     hits, n_truth, has_pred, precision, recall, hit."""
     recs = top_k(preds, [FAMILY, *by], score, k, ties).select(FAMILY, *by, level)
     n_truth = truth.groupBy(FAMILY).agg(F.count(F.lit(1)).alias("n_truth"))
-    if by:
-        # a family is evaluated once per group value it has predictions in
-        groups = preds.select(FAMILY, *by).distinct().withColumn("has_pred", F.lit(1))
-        fam = n_truth.join(groups, FAMILY, "left")
-    else:
-        has = preds.select(FAMILY).distinct().withColumn("has_pred", F.lit(1))
-        fam = n_truth.join(has, FAMILY, "left")
-    fam = fam.join(family_hits(recs, truth, level, by), [FAMILY, *by], "left")
-    fam = fam.withColumn("has_pred", F.coalesce(F.col("has_pred"), F.lit(0)))
-    fam = fam.withColumn("hits", F.coalesce(F.col("hits"), F.lit(0)).cast("bigint"))
+    # with k >= 1 the families with predictions are those with recommendations
+    fam = n_truth.join(family_hits(recs, truth, level, by), FAMILY, "left")
+    fam = fam.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("has_pred", "hits")})
     return _metrics(fam, k)
 
 
@@ -86,12 +86,8 @@ def cross_eval_precision(preds: DataFrame, truth: DataFrame, k: int = 3, score:
     """Mean precision@k over holdout families that have predictions;
     ``by`` evaluates several scored sets at once (e.g. model, cutoff)."""
     recs = top_k(preds, [FAMILY, *by], score, k, ties).select(FAMILY, *by, "subcat_id")
-    cells = preds.select(FAMILY, *by).distinct()
-    fam = cells.join(truth.select(FAMILY).distinct(), FAMILY)
-    hits = recs.join(truth, [FAMILY, "subcat_id"]).groupBy(FAMILY, *by).agg(F.count(F.lit(1)).alias("hits"))
-    fam = fam.join(hits, [FAMILY, *by], "left")
-    p = F.coalesce(F.col("hits"), F.lit(0)) / k
-    return fam.groupBy(*by).agg(F.avg(p).alias("precision"),
+    fam = family_hits(recs, truth, "subcat_id", by).join(truth.select(FAMILY).distinct(), FAMILY)
+    return fam.groupBy(*by).agg(F.avg(F.col("hits") / k).alias("precision"),
                                 F.count(F.lit(1)).cast("bigint").alias("n_families"))
 
 
@@ -104,15 +100,16 @@ def division_metrics(preds: DataFrame, truth: DataFrame, k: int = 3, score: str
     p = preds.filter(F.col(division).isNotNull())
     recs = top_k(p, [FAMILY, division], score, k, ties).select(FAMILY, division, level)
     n_truth = truth.groupBy(FAMILY).agg(F.count(F.lit(1)).alias("n_truth"))
-    divs = bounded_broadcast(p.select(division).distinct(), 1000)
-    grid = n_truth.crossJoin(divs)
-    fam = grid.join(family_hits(recs, truth, level, [division]), [FAMILY, division], "left")
-    fam = _metrics(fam, k)
-    return fam.groupBy(division).agg(
-        F.lit(k).cast("bigint").alias("k"),
-        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-        F.avg("hit").alias("hit_rate"), F.count(F.lit(1)).cast("bigint").alias("n_families"),
-    )
+    # families without recommendations in a division add 0 to its sums, so
+    # dividing by the number of holdout families needs no family x division grid
+    fam = family_hits(recs, truth, level, [division]).join(n_truth, FAMILY, "left")
+    fam = _metrics(fam.withColumn("hits", F.when(F.col("n_truth").isNotNull(), F.col("hits"))), k)
+    sums = fam.groupBy(division).agg(*[F.sum(c).alias(c) for c in ("precision", "recall", "hit")])
+    total = n_truth.agg(F.count(F.lit(1)).cast("bigint").alias("n_families")).filter("n_families > 0")
+    n = F.col("n_families")
+    return sums.crossJoin(F.broadcast(total)).select(  # one row
+        division, F.lit(k).cast("bigint").alias("k"), (F.col("precision") / n).alias("precision"),
+        (F.col("recall") / n).alias("recall"), (F.col("hit") / n).alias("hit_rate"), "n_families")
 
 
 def split_evaluation(scored: DataFrame, k: int = 3, score: str = "prob", label: str = "label",

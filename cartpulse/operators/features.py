@@ -5,7 +5,7 @@ Plan (no per-family loop, no joins, no UDF):
 1. filter lines to ``day < ref_date`` (and ``day <= data_cutoff``);
 2. level 1, ``groupBy(family, subcat, invoice)``: money sums, row counts,
    window-conditional line counts, per-invoice window flags, the weekly
-   blocks of the cycle window as one bit mask (``bit_or``), 13 month counts;
+   blocks of the cycle window as bit masks (``bit_or``), 13 month counts;
 3. level 2, ``groupBy(family, subcat)``: sums of the above; distinct invoice
    counts become plain counts of level-1 groups, so there is no ``Expand``
    and no growing set state.  Both levels aggregate map-side first, so a hot
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartpulse.functions import arrays as A
@@ -62,7 +62,7 @@ def pair_aggregates(lines: DataFrame, w: Windows, data_cutoff=None) -> DataFrame
 
     in_cycle = day >= F.lit(w.cycle_start)
     block = F.floor(F.datediff(day, F.lit(w.cycle_start)) / F.lit(w.block_days)).cast("int")
-    mask_ok = w.n_blocks <= 63
+    masks = [f"mask{j}" for j in range(A.mask_words(w.n_blocks))]
     s0 = w.series_start
     month_idx = (F.year(day) - s0.year) * 12 + F.month(day) - s0.month
     in_series = (day >= F.lit(s0)) & (day <= F.lit(w.ref))
@@ -90,11 +90,10 @@ def pair_aggregates(lines: DataFrame, w: Windows, data_cutoff=None) -> DataFrame
         _flag(in_season & has_inv).alias("in_season"),
         _flag(in_prior & has_inv).alias("in_prior"),
     ]
-    if mask_ok:
-        bit = F.expr(f"shiftleft(1L, CAST(floor(datediff(day, DATE'{w.cycle_start}') / {w.block_days}) AS INT))")
-        l1.append(F.bit_or(F.when(in_cycle, bit)).alias("mask"))
-    else:
-        l1.append(F.collect_set(F.when(in_cycle, block)).alias("blockset"))
+    for j, name in enumerate(masks):
+        own = in_cycle & (block >= j * A.MASK_BITS) & (block < (j + 1) * A.MASK_BITS)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), block - j * A.MASK_BITS)
+        l1.append(F.bit_or(F.when(own, bit)).alias(name))
     l1 += [_cnt(in_series & (month_idx == k) & has_inv).alias(f"m{k}") for k in range(w.n_months)]
     level1 = base.groupBy("family_id", "subcat_id", "invoice_id").agg(*l1)
 
@@ -117,15 +116,11 @@ def pair_aggregates(lines: DataFrame, w: Windows, data_cutoff=None) -> DataFrame
         F.sum("in_season").cast("bigint").alias("season_recent_invoices"),
         F.sum("in_prior").cast("bigint").alias("season_prior_invoices"),
     ]
-    if mask_ok:
-        l2.append(F.bit_or("mask").alias("mask"))
-    else:
-        l2.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list("blockset")))).alias("blocks_all"))
+    l2 += [F.bit_or(name).alias(name) for name in masks]
     l2 += [F.sum(f"m{k}").alias(f"m{k}") for k in range(w.n_months)]
     out = level1.groupBy(*KEYS).agg(*l2)
-    if mask_ok:
-        out = out.withColumn("blocks_all", A.col(A.blocks_from_mask("mask", w.n_blocks))).drop("mask")
-    return out
+    held = [f"coalesce({name}, 0L)" for name in masks]
+    return out.withColumn("blocks_all", A.col(A.blocks_from_masks(held, w.n_blocks))).drop(*masks)
 
 
 # --- per-pair column math ---------------------------------------------------

@@ -1,10 +1,9 @@
 """Pushing subcategory scores down to items.
 
-Repurchase (D18) is one group-by on (family, item) with window-conditional
-counts.  Popularity (D19) needs distinct invoices both per item and per
-subcategory; it is computed exactly from one (family, subcat, item, invoice)
-pre-aggregation that feeds both levels.  The blend (D20) min-max scales with
-one global min/max row.  Ranks (D22-D24) are windows with total orders.
+One (family, subcat, item, invoice) pre-aggregation feeds both repurchase (D18,
+per family and item) and popularity (D19, distinct invoices per item and per
+subcategory).  The blend (D20) min-max scales with one global min/max row.
+Item ranks (D23, D24) share one range-partitioned sort with total orders.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cartpulse.functions import scores as S
 from cartpulse.functions.periods import as_date, shift_days
-from cartpulse.operators.rank import MAX_GROUP_ROWS, distributed_rank, rank_within, score_key
+from cartpulse.operators.rank import distributed_ranks, rank_within
 
 
 def history(lines: DataFrame, ref_date, data_cutoff=None) -> DataFrame:
@@ -22,17 +21,16 @@ def history(lines: DataFrame, ref_date, data_cutoff=None) -> DataFrame:
     return lines.filter(F.col("day") <= F.lit(end))
 
 
-def item_aggregates(lines: DataFrame, ref_date, data_cutoff=None, long_days: int = 180,
-                    pop_days: int = 365) -> DataFrame:
-    """One row per (family, subcat, item) with everything D18 and D19 need.
+ITEM_COUNTS = ["n_buys", "p30", "p60", "p90", "p_long"]
+
+
+def item_table(lines: DataFrame, ref_date, data_cutoff=None, long_days: int = 180, pop_days: int = 365) -> DataFrame:
+    """(family, subcat, item) counts from one pass over the lines.
 
     Level 1 groups lines by (family, subcat, item, invoice): window counts,
-    last day, division.  Level 2 sums them per item; distinct invoices per
-    item are the non-null level-1 groups.  Distinct invoices per subcategory
-    come from the same level-1 rows: one row per (family, subcat, invoice)
-    is marked and the marks are summed per subcategory.
-    An item belongs to one subcategory, so (family, item) and (family,
-    subcat, item) are the same groups.
+    last day, division; the first row of each (family, subcat, invoice) is
+    marked, rows without an item included.  Level 2 sums level 1 per (family,
+    subcat, item); the marks of a subcategory sum to its distinct invoices.
     """
     ref = as_date(ref_date)
     day = F.col("day")
@@ -46,177 +44,44 @@ def item_aggregates(lines: DataFrame, ref_date, data_cutoff=None, long_days: int
 
     l1 = history(lines, ref, data_cutoff).groupBy("family_id", "subcat_id", "item_id", "invoice_id").agg(
         F.max("day").alias("last_day"),
-        F.count("day").alias("rows"),
+        F.count("day").alias("n_buys"),
         since(30).alias("p30"), since(60).alias("p60"), since(90).alias("p90"),
         since(long_days).alias("p_long"),
         since(pop_days, has_inv).alias("l_recent"),
         F.max("division").alias("division"),
     )
-    # one row of each (family, subcat, invoice) carries a 1, so the distinct
-    # invoices of a subcategory are a sum further up; the window is keyed by
-    # a subset of the level-1 keys and, with shuffle joins, by the order key
-    # the lines are already partitioned on, so the lines are read once
-    first_item = F.min("item_id").over(Window.partitionBy("family_id", "subcat_id", "invoice_id"))
-    l1 = l1.withColumn("inv_mark", F.when(has_inv & (F.col("item_id") == first_item), 1).otherwise(0))
-    items = l1.groupBy("family_id", "subcat_id", "item_id").agg(
-        F.max("last_day").alias("last_day"),
-        F.sum("rows").cast("bigint").alias("n_buys"),
-        *[F.sum(c).cast("bigint").alias(c) for c in ("p30", "p60", "p90", "p_long")],
-        F.count("invoice_id").cast("bigint").alias("item_invoices"),
-        F.sum("l_recent").cast("bigint").alias("last_year_lines"),
-        F.max("division").alias("division"),
-        F.sum("inv_mark").cast("bigint").alias("_inv_marks"),
-    )
-    fs = Window.partitionBy("family_id", "subcat_id")
-    return items.withColumns({
-        "subcat_items": F.count(F.lit(1)).over(fs).cast("bigint"),
-        "subcat_invoices": F.sum("_inv_marks").over(fs).cast("bigint"),
-    }).drop("_inv_marks")
-
-
-# --- one pass for pair features and items ----------------------------------------
-
-def shared_item_table(lines: DataFrame, ref_date, data_cutoff=None, long_days: int = 180,
-                      pop_days: int = 365) -> DataFrame:
-    """(family, subcat, item) rows carrying the item aggregates *and* every
-    pair-feature aggregate, from one pass over the lines.
-
-    Items see the rows up to the data cutoff (default: the reference date,
-    inclusive); pair features only the rows strictly before the reference
-    date, so their measures are conditional.  Distinct-invoice counts of the
-    pair level (all invoices, last quarter, same quarter a year earlier)
-    are marks on one row per (family, subcat, invoice), as for the item
-    level.  Every pair aggregate is a sum, min, max, bit_or or mark count,
-    so ``pairs_from_items`` rolls them up exactly.
-    """
-    from cartpulse.operators.features import windows_for
-
-    ref = as_date(ref_date)
-    w = windows_for(ref)
-    day = F.col("day")
-    has_inv = F.col("invoice_id").isNotNull()
-    fc = day < F.lit(ref)
-    if data_cutoff is not None:
-        fc = fc & (day <= F.lit(as_date(data_cutoff)))
-
-    def cnt(cond):
-        return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
-
-    def flag(cond):
-        return F.max(F.when(cond, 1).otherwise(0))
-
-    def since(n, cond=None):
-        c = day >= F.lit(shift_days(ref, -n))
-        return cnt(c if cond is None else c & cond)
-
-    s0 = w.series_start
-    month_idx = (F.year(day) - s0.year) * 12 + F.month(day) - s0.month
-    in_series = fc & (day >= F.lit(s0)) & (day <= F.lit(w.ref))
-    in_cycle = fc & (day >= F.lit(w.cycle_start))
-    bit = F.expr(f"shiftleft(1L, CAST(floor(datediff(day, DATE'{w.cycle_start}') / {w.block_days}) AS INT))")
-    if w.n_blocks > 63:
-        raise ValueError("cycle windows beyond 63 weekly blocks need pair_aggregates' set path")
-    l1 = history(lines, ref, data_cutoff).groupBy("family_id", "subcat_id", "item_id", "invoice_id").agg(
-        # item level (rows up to the cutoff)
-        F.max("day").alias("last_day"), F.count("day").alias("rows"),
-        since(30).alias("p30"), since(60).alias("p60"), since(90).alias("p90"),
-        since(long_days).alias("p_long"), since(pop_days, has_inv).alias("l_recent"),
-        F.max("division").alias("division"),
-        # pair level (rows before the reference date)
-        F.sum(F.when(fc, F.col("qty"))).alias("f_qty"),
-        F.sum(F.when(fc, F.col("net_sales"))).alias("f_net"),
-        F.sum(F.when(fc, F.col("discount"))).alias("f_disc"),
-        F.sum(F.when(fc, F.col("list_price"))).alias("f_price"),
-        cnt(fc).alias("f_rows"),
-        F.min(F.when(fc, day)).alias("f_first"), F.max(F.when(fc, day)).alias("f_last"),
-        cnt(fc & has_inv).alias("f_lines"),
-        cnt(fc & (day >= F.lit(w.freq_start)) & has_inv).alias("lines_freq"),
-        flag(fc & (day >= F.lit(w.freq_start))).alias("any_freq"),
-        cnt(fc & (day >= F.lit(w.sow_recent_start)) & has_inv).alias("lines_recent"),
-        cnt(fc & (day >= F.lit(w.sow_start)) & (day < F.lit(w.sow_recent_start)) & has_inv).alias("lines_old"),
-        flag(in_cycle).alias("any_active"),
-        flag(in_series).alias("any_series"),
-        flag(fc & (day > F.lit(w.season_start)) & (day <= F.lit(w.ref)) & has_inv).alias("f_season"),
-        flag(fc & (day > F.lit(w.season_prior_start)) & (day <= F.lit(w.season_prior_end)) & has_inv).alias("f_prior"),
-        F.bit_or(F.when(in_cycle, bit)).alias("mask"),
-        *[cnt(in_series & (month_idx == k) & has_inv).alias(f"m{k}") for k in range(w.n_months)],
-    )
-    inv = Window.partitionBy("family_id", "subcat_id", "invoice_id")
-    mark = has_inv & (F.col("item_id") == F.min("item_id").over(inv))
-
-    def marked(c):
-        return F.when(mark & (F.max(c).over(inv) > 0), 1).otherwise(0)
-
-    l1 = l1.withColumns({
-        "inv_mark": F.when(mark, 1).otherwise(0),
-        "f_inv_mark": marked("f_rows"),
-        "season_mark": marked("f_season"),
-        "prior_mark": marked("f_prior"),
-    })
-    sums = ["p30", "p60", "p90", "p_long", "f_qty", "f_net", "f_disc", "f_price", "f_rows", "f_lines",
-            "lines_freq", "lines_recent", "lines_old", "inv_mark", "f_inv_mark", "season_mark", "prior_mark",
-            *[f"m{k}" for k in range(w.n_months)]]
+    # with shuffle joins the lines are already partitioned by invoice, so
+    # neither level 1 nor this window shuffles again
+    one = Window.partitionBy("family_id", "subcat_id", "invoice_id").orderBy("item_id")
+    l1 = l1.withColumn("_mark", F.when(has_inv & (F.row_number().over(one) == 1), 1).otherwise(0))
     return l1.groupBy("family_id", "subcat_id", "item_id").agg(
         F.max("last_day").alias("last_day"),
-        F.sum("rows").cast("bigint").alias("n_buys"),
+        *[F.sum(c).cast("bigint").alias(c) for c in ITEM_COUNTS],
         F.count("invoice_id").cast("bigint").alias("item_invoices"),
         F.sum("l_recent").cast("bigint").alias("last_year_lines"),
         F.max("division").alias("division"),
-        F.min("f_first").alias("f_first"), F.max("f_last").alias("f_last"),
-        *[F.max(c).alias(c) for c in ("any_freq", "any_active", "any_series")],
-        F.bit_or("mask").alias("mask"),
-        *[F.sum(c).alias(c) for c in sums],
-    )
-
-
-def pairs_from_items(table: DataFrame, ref_date) -> DataFrame:
-    """The ``pair_aggregates`` columns rolled up from ``shared_item_table``."""
-    from cartpulse.functions import arrays as A
-    from cartpulse.operators.features import windows_for
-
-    w = windows_for(ref_date)
-    out = table.groupBy("family_id", "subcat_id").agg(
-        F.sum("f_qty").alias("total_qty"), F.sum("f_net").alias("total_net"),
-        F.sum("f_disc").alias("total_discount"), F.sum("f_price").alias("total_list_price"),
-        F.sum("f_rows").cast("bigint").alias("n_rows"),
-        F.sum("f_inv_mark").cast("bigint").alias("n_invoices"),
-        F.sum("f_lines").cast("bigint").alias("n_lines"),
-        F.min("f_first").alias("first_day"), F.max("f_last").alias("last_day"),
-        F.sum("lines_freq").cast("bigint").alias("lines_freq"), F.max("any_freq").alias("any_freq"),
-        F.sum("lines_recent").cast("bigint").alias("lines_recent"),
-        F.sum("lines_old").cast("bigint").alias("lines_old"),
-        F.max("any_active").alias("any_active"), F.max("any_series").alias("any_series"),
-        F.sum("season_mark").cast("bigint").alias("season_recent_invoices"),
-        F.sum("prior_mark").cast("bigint").alias("season_prior_invoices"),
-        F.bit_or("mask").alias("mask"),
-        *[F.sum(f"m{k}").cast("bigint").alias(f"m{k}") for k in range(w.n_months)],
-    ).filter(F.col("n_rows") > 0)
-    return out.withColumn("blocks_all", A.col(A.blocks_from_mask("mask", w.n_blocks))).drop("mask")
-
-
-def items_from_shared(table: DataFrame) -> DataFrame:
-    """The ``item_aggregates`` columns from ``shared_item_table``."""
-    fs = Window.partitionBy("family_id", "subcat_id")
-    return table.select(
-        "family_id", "subcat_id", "item_id", "last_day", "n_buys",
-        *[F.col(c).cast("bigint").alias(c) for c in ("p30", "p60", "p90", "p_long")],
-        "item_invoices", "last_year_lines", "division",
-        F.count(F.lit(1)).over(fs).cast("bigint").alias("subcat_items"),
-        F.sum("inv_mark").over(fs).cast("bigint").alias("subcat_invoices"),
+        F.sum("_mark").cast("bigint").alias("_marks"),
     )
 
 
-def features_and_items(lines: DataFrame, ref_date, data_cutoff=None, ranks: bool = True,
-                       max_group_rows: int | None = MAX_GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Pair features (linear score) and scored items from one pass over the
-    lines: the shared (family, subcat, item) table is checkpointed once to the
-    shared folder and both levels are derived from it."""
-    from cartpulse.operators.features import FEATURE_COLUMNS, derive_pair_table, windows_for
+def item_aggregates(lines: DataFrame, ref_date, data_cutoff=None, long_days: int = 180,
+                    pop_days: int = 365) -> DataFrame:
+    """One row per (family, subcat, item) with everything D18 and D19 need.
 
-    table = shared_item_table(lines, ref_date, data_cutoff).checkpoint(eager=True)
-    feats = derive_pair_table(pairs_from_items(table, ref_date), windows_for(ref_date)).select(*FEATURE_COLUMNS)
-    agg = with_popularity(with_repurchase(items_from_shared(table), ref_date))
-    return feats, score_items(feats, agg, ranks=ranks, max_group_rows=max_group_rows)
+    The item table is materialised once and rolled up twice: per (family,
+    subcat) for the subcategory's distinct invoices and items, per (family,
+    item) for the repurchase counts, since an item may appear under several
+    subcategories.  Lines without an item count for their subcategory and
+    give no item row.
+    """
+    items = item_table(lines, ref_date, data_cutoff, long_days, pop_days).checkpoint(eager=True)
+    subcats = items.groupBy("family_id", "subcat_id").agg(
+        F.count("item_id").cast("bigint").alias("subcat_items"), F.sum("_marks").cast("bigint").alias("subcat_invoices"))
+    own = items.filter(F.col("item_id").isNotNull())
+    bought = own.groupBy("family_id", "item_id").agg(
+        F.max("last_day").alias("last_day"), *[F.sum(c).cast("bigint").alias(c) for c in ITEM_COUNTS])
+    narrow = own.select("family_id", "subcat_id", "item_id", "item_invoices", "last_year_lines", "division")
+    return narrow.join(subcats, ["family_id", "subcat_id"]).join(bought, ["family_id", "item_id"])
 
 
 def repurchase_stage(legacy_bucket90: bool = False, ref=None) -> dict:
@@ -246,8 +111,9 @@ def with_popularity(df: DataFrame) -> DataFrame:
 
 def item_repurchase(lines: DataFrame, ref_date, data_cutoff=None, long_days: int = 180,
                     legacy_bucket90: bool = False) -> DataFrame:
-    """D18 per (family, item)."""
-    return with_repurchase(item_aggregates(lines, ref_date, data_cutoff, long_days), ref_date, legacy_bucket90)
+    """D18 per (family, item), over all subcategories of the item."""
+    agg = item_aggregates(lines, ref_date, data_cutoff, long_days)
+    return with_repurchase(agg.dropDuplicates(["family_id", "item_id"]), ref_date, legacy_bucket90)
 
 
 def item_popularity(lines: DataFrame, ref_date, data_cutoff=None, days: int = 365) -> DataFrame:
@@ -266,45 +132,33 @@ def minmax(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame
 
 
 def item_scores(subcat_scores: DataFrame, lines: DataFrame, ref_date, data_cutoff=None,
-                prob: str = "score", max_group_rows: int | None = MAX_GROUP_ROWS,
-                ranks: bool = True) -> DataFrame:
+                prob: str = "score", ranks: bool = True) -> DataFrame:
     """D20 + D22-D24: every item a family bought in a scored subcategory with
-    its blended score and three ranks (subcategory scores from any source,
-    e.g. the trained ranker; ``features_and_items`` does both levels in one
-    pass when the scores are the linear ones)."""
+    its blended score and three ranks.  The subcategory scores may come from
+    the linear score, the trained ranker or a stored table (S9)."""
     agg = with_popularity(with_repurchase(item_aggregates(lines, ref_date, data_cutoff), ref_date))
-    return score_items(subcat_scores, agg, prob, ranks, max_group_rows)
+    return score_items(subcat_scores, agg, prob, ranks)
 
 
-def score_items(subcat_scores: DataFrame, agg: DataFrame, prob: str = "score", ranks: bool = True,
-                max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+def score_items(subcat_scores: DataFrame, agg: DataFrame, prob: str = "score", ranks: bool = True) -> DataFrame:
     """Blend, scale and rank item aggregates under their subcategory scores."""
     sc = subcat_scores.select("family_id", "subcat_id", F.col(prob).alias("prob"))
     # Rank of the subcategory inside the family on the pair table (one
     # row per subcategory bought), inherited by its items through the join
-    sc = rank_within(sc, ["family_id"], "prob", ["subcat_id"], "subcat_rank", max_group_rows=None)
-    # min-max scaling reads the joined item table twice (global min/max, then
-    # every row): materialise it once in the shared checkpoint folder instead
-    # of recomputing it from the purchase lines
-    items = sc.join(agg, ["family_id", "subcat_id"]).checkpoint(eager=True)
+    sc = rank_within(sc, ["family_id"], "prob", ["subcat_id"], "subcat_rank")
+    narrow = agg.select("family_id", "subcat_id", "item_id", "division", "last_day", "n_buys", "repurchase", "popularity")
+    # the scaling reads the table twice (global min/max, then every row)
+    items = sc.join(narrow, ["family_id", "subcat_id"]).checkpoint(eager=True)
     items = minmax(items, ["repurchase", "popularity"])
     b = S.ITEM_BLEND
     items = items.withColumn(
         "item_score", b[0] * F.col("prob") + b[1] * F.col("repurchase_scaled") + b[2] * F.col("popularity_scaled"))
     if not ranks:
         return items
-    # Full item ranks.  The largest family is measured once (a
-    # (family, division) group is never larger); beyond ``max_group_rows``
-    # the range-partitioned rank replaces the per-family window
-    big = False
-    if max_group_rows is not None:
-        biggest = items.groupBy("family_id").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-        big = biggest is not None and biggest > max_group_rows
-    rank = distributed_rank if big else rank_within
-    items = rank(items, ["family_id"], "item_score", ["item_id"], "item_rank")
-    items = rank(items, ["family_id", "division"], "item_score", ["item_id"], "_div_rank")
-    return items.withColumn("division_rank", F.when(F.col("division").isNotNull(), F.col("_div_rank"))) \
-        .drop("_div_rank")
+    # Both ranks from one range-partitioned sort
+    items = distributed_ranks(items, ["family_id"], "item_score", ["item_id", "subcat_id"],
+                              {"item_rank": [], "division_rank": ["division"]})
+    return items.withColumn("division_rank", F.when(F.col("division").isNotNull(), F.col("division_rank")))
 
 
 def items_by_division(items: DataFrame) -> DataFrame:
@@ -324,11 +178,30 @@ def consolidate_item_lines(lines: DataFrame) -> DataFrame:
         F.max("invoice_id").alias("invoice_id"),
         F.max("store_id").alias("store_id"),
         F.count(F.lit(1)).cast("bigint").alias("n_lines"),
-        F.first("subcat_name", ignorenulls=True).alias("subcat_name"),
-        F.first("division", ignorenulls=True).alias("division"),
+        F.min("subcat_name").alias("subcat_name"),
+        F.min("division").alias("division"),
     )
 
 
+def consolidate_scored_items(lines: DataFrame, items: DataFrame, features: DataFrame) -> DataFrame:
+    """D21 + A11 on scored items: the consolidated lines of each (family, item, day, subcat), null keys
+    kept, with the item's scores and counts, the pair's features and the number of days the item was
+    bought on.  Lines without a scored item carry nulls."""
+    base = consolidate_item_lines(lines)
+    days = base.groupBy("family_id", "item_id", "subcat_id").agg(F.count(F.lit(1)).cast("bigint").alias("item_days"))
+    scores = items.select("family_id", "subcat_id", "item_id", "n_buys", "prob", "repurchase", "popularity",
+                          "repurchase_scaled", "popularity_scaled", "item_score")
+    feats = features.select("family_id", "subcat_id", "recency", "frequency", "sow", "season", "cycle_days",
+                            "days_since_last", "freq_lines", "sow_weighted_lines", "season_gap_mean", "season_gap_std")
+    counted = days.select(*[F.col(c).alias(f"_{c}") for c in ("family_id", "item_id", "subcat_id")], "item_days")
+    same = None
+    for c in ("family_id", "item_id", "subcat_id"):
+        cond = F.col(c).eqNullSafe(F.col(f"_{c}"))
+        same = cond if same is None else same & cond
+    out = base.join(counted, same).drop("_family_id", "_item_id", "_subcat_id")
+    return out.join(scores, ["family_id", "subcat_id", "item_id"], "left").join(feats, ["family_id", "subcat_id"], "left")
+
+
 def reduction_ratio(before: DataFrame, after: DataFrame) -> DataFrame:
     """1 - rows(after) / rows(before), from two counts."""
     a = before.agg(F.count(F.lit(1)).alias("rows_before"))

@@ -1,36 +1,33 @@
 """Labels, split, scaling and the small neural ranker.
 
-The ranker (4 -> 64 ReLU -> 32 ReLU -> 1 sigmoid, dropout 0.3 / 0.2, Adam,
-binary cross-entropy) is trained on rows materialised once in the shared
-checkpoint folder.  When the data fills a single partition the whole
-schedule (epochs, early stopping, learning-rate halving) runs in one
-``mapInPandas`` task: plain minibatch training.  Otherwise it is trained
-data-parallel: one Spark job per epoch in which every partition runs a local
-Adam pass from the current averaged weights (NumPy inside the task), and a
-Spark aggregation averages weights and optimiser moments by row count (model
-averaging / local SGD); the driver receives one averaged vector per epoch.
-
-Scoring broadcasts the weights inside the task closure and runs the forward
-pass on Arrow batches.
+The ranker is Spark ML's multilayer perceptron (4 -> 64 -> 32 -> 2): L-BFGS on
+the full training set, gradients summed on the executors, one path at every
+size.  Its objective history is the training history; it stops when the
+objective changes by less than ``tol`` or after ``max_iter`` iterations, and
+the validation loss is measured for the fitted model.
+
+Weights given from outside (``Ranker``: 4 -> 64 ReLU -> 32 ReLU -> 1 sigmoid)
+are applied by a vectorised UDF on the four feature columns only and kept as a
+Parquet table keyed by cutoff.
 """
 
 from __future__ import annotations
 
-import io
-import json
 import sys
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cartpulse.functions.periods import as_date, mmdd
 from cartpulse.operators.evaluate import truth_pairs
-
-from pyspark import cloudpickle
+from cartpulse.operators.rank import ordered_ranks
 
 # task bodies below are shipped by value, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,7 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FEATURES = ["recency", "frequency", "sow", "season"]
 KEYS = ["family_id", "subcat_id"]
 LAYERS = (4, 64, 32, 1)
-DROPOUT = (0.3, 0.2)
+PERCEPTRON = [4, 64, 32, 2]
 
 
 # --- D17 labels -------------------------------------------------------------
@@ -64,19 +61,21 @@ def class_balance(labelled: DataFrame, label: str = "label") -> DataFrame:
 
 # --- M1 split -----------------------------------------------------------------
 
-def split_hash(keys, seed: int = 42):
-    """Uniform value in [0, 1) from md5 of 'seed|key1|key2..' (first 32 bits)."""
-    s = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("double") / float(1 << 32)
-
+def split_key(keys, seed: int = 42) -> Column:
+    """md5 of 'seed|key1|key2..': a reproducible random order."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
-def stratified_split(df: DataFrame, test_frac: float = 0.2, seed: int = 42, keys=KEYS) -> DataFrame:
-    """Reproducible 80/20 split by a per-row hash of the pair key.
 
-    The hash ignores the label, so each class is split in the same
-    proportion in expectation; no global ordering or shuffle is needed.
-    """
-    return df.withColumn("split", F.when(split_hash(keys, seed) < test_frac, "test").otherwise("train"))
+def stratified_split(df: DataFrame, test_frac: float = 0.2, seed: int = 42, keys=KEYS, label: str = "label") -> DataFrame:
+    """Reproducible 80/20 split inside each class: rows are ranked by a hash
+    of their key within their label, and the first round(test_frac * n) rows
+    of a class of n rows are its test rows.  The ranking is a range-partitioned
+    sort, so a class may hold nearly all rows."""
+    ranked = ordered_ranks(df.withColumn("_key", split_key(keys, seed)), [label], [F.col("_key"), *[F.col(k) for k in keys]], {"_rank": []})
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.floor(F.count(F.lit(1)) * test_frac + 0.5).alias("_test"))
+    out = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    return out.withColumn("split", F.when(F.col("_rank") <= F.col("_test"), "test").otherwise("train")).drop(
+        "_key", "_rank", "_label", "_test")
 
 
 # --- M2 standardisation ---------------------------------------------------------
@@ -136,283 +135,94 @@ def forward(ws: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return h[:, 0]
 
 
-EPS = 1e-7
-
-
-def bce(p: np.ndarray, y: np.ndarray) -> np.ndarray:
-    p = np.clip(p, EPS, 1 - EPS)
-    return -(y * np.log(p) + (1 - y) * np.log(1 - p))
-
-
-def _grad(ws, x, y, rng, dropout=DROPOUT):
-    """Loss and gradients of mean BCE for one minibatch, with inverted dropout."""
-    acts, masks = [x], []
-    h = x
-    n = len(ws) // 2
-    pre = []
-    for li in range(n):
-        z = h @ ws[2 * li] + ws[2 * li + 1]
-        pre.append(z)
-        if li < n - 1:
-            h = np.maximum(z, 0.0)
-            rate = dropout[li] if li < len(dropout) else 0.0
-            m = (rng.random(h.shape) >= rate) / (1.0 - rate) if rate > 0 else np.ones_like(h)
-            masks.append(m)
-            h = h * m
-        else:
-            h = 1.0 / (1.0 + np.exp(-z))
-        acts.append(h)
-    p = np.clip(acts[-1][:, 0], EPS, 1 - EPS)
-    loss = float(np.mean(-(y * np.log(p) + (1 - y) * np.log(1 - p))))
-    delta = ((acts[-1][:, 0] - y) / len(y))[:, None]
-    grads = [None] * len(ws)
-    for li in range(n - 1, -1, -1):
-        grads[2 * li] = acts[li].T @ delta
-        grads[2 * li + 1] = delta.sum(axis=0)
-        if li > 0:
-            delta = (delta @ ws[2 * li].T) * masks[li - 1] * (pre[li - 1] > 0)
-    return loss, grads
-
-
 @dataclass
 class Ranker:
+    """Weights and scaling of the fixed-shape network."""
+
     weights: list[np.ndarray]
     mean: np.ndarray
     std: np.ndarray
-    history: list[dict] = field(default_factory=list)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return forward(self.weights, (x - self.mean) / self.std)
 
 
-ADAM = (0.9, 0.999, 1e-7)
-
-
-def _adam_epoch(wv, m, v, t, x, y, lr, batch, rng):
-    """One shuffled pass of minibatch Adam; returns the new state and the
-    summed minibatch loss (weighted by batch size)."""
-    b1, b2, eps = ADAM
-    ws = unflatten(wv)
-    order = rng.permutation(len(y))
-    loss_sum = 0.0
-    for s0 in range(0, len(y), batch):
-        idx = order[s0:s0 + batch]
-        loss, g = _grad(ws, x[idx], y[idx], rng)
-        gv = flatten(g)
-        t += 1
-        m = b1 * m + (1 - b1) * gv
-        v = b2 * v + (1 - b2) * gv * gv
-        wv = flatten(ws) - lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
-        ws = unflatten(wv)
-        loss_sum += loss * len(idx)
-    return wv, m, v, t, loss_sum
-
-
-class _Schedule:
-    """Early stopping (best weights kept) and learning-rate halving on a
-    monitored loss, as Keras' EarlyStopping / ReduceLROnPlateau."""
-
-    def __init__(self, lr, patience, lr_patience, lr_factor, min_delta_lr):
-        self.lr, self.patience, self.lr_patience = lr, patience, lr_patience
-        self.lr_factor, self.min_delta_lr = lr_factor, min_delta_lr
-        self.best, self.best_w, self.wait = np.inf, None, 0
-        self.best_lr_metric, self.lr_wait = np.inf, 0
-
-    def update(self, metric, wv) -> bool:
-        """Record the metric of the model ``wv``; True means stop."""
-        if metric < self.best:
-            self.best, self.best_w, self.wait = metric, wv.copy(), 0
-        else:
-            self.wait += 1
-        if metric < self.best_lr_metric - self.min_delta_lr:
-            self.best_lr_metric, self.lr_wait = metric, 0
-        else:
-            self.lr_wait += 1
-            if self.lr_wait >= self.lr_patience:
-                self.lr *= self.lr_factor
-                self.lr_wait = 0
-        return self.wait >= self.patience
-
-
-def _split_xy(pdf, cols, label, scale):
-    mean, std = scale
-    tr = pdf[pdf["_val"] == 0]
-    va = pdf[pdf["_val"] == 1]
-    return ((tr[cols].to_numpy(dtype=float) - mean) / std, tr[label].to_numpy(dtype=float),
-            (va[cols].to_numpy(dtype=float) - mean) / std, va[label].to_numpy(dtype=float))
-
-
-def _fit_in_task(w0, sched, epochs, batch, seed, cols, label, monitor_val, scale):
-    """Task body when all rows fit one partition: the whole schedule runs
-    here (plain minibatch training, one Spark job in total)."""
-
-    def run(batches):
-        pdfs = [p for p in batches if len(p)]
-        if not pdfs:
-            return
-        x, y, xv, yv = _split_xy(pd.concat(pdfs, ignore_index=True), cols, label, scale)
-        rng = np.random.default_rng([seed, 0])
-        wv, m, v, t = w0.copy(), np.zeros_like(w0), np.zeros_like(w0), 0
-        hist = []
-        for epoch in range(1, epochs + 1):
-            lr = sched.lr
-            wv, m, v, t, ls = _adam_epoch(wv, m, v, t, x, y, lr, batch, rng)
-            rec = {"epoch": epoch, "train_loss": ls / len(y), "lr": lr, "val_loss": None}
-            if monitor_val and len(yv):
-                rec["val_loss"] = float(np.mean(bce(forward(unflatten(wv), xv), yv)))
-            hist.append(rec)
-            if sched.update(rec["val_loss"] if monitor_val else rec["train_loss"], wv):
-                break
-        buf = io.BytesIO()
-        np.savez(buf, w=sched.best_w)
-        yield pd.DataFrame({"history": [json.dumps(hist)], "state": [buf.getvalue()]})
-
-    return run
-
-
-def _epoch_task(wv, m, v, t, lr, batch, seed, epoch, cols, label, scale):
-    """Task body of one data-parallel epoch: loss of the incoming (averaged)
-    model on this partition's validation rows, then one local Adam pass.
-
-    Output is long format so the partitions are summed by a Spark
-    aggregation, not on the driver: rows ``pos >= 0`` carry n * (weight,
-    first moment, second moment) of one parameter; row -1 carries (training
-    rows, summed training loss), row -2 (validation rows,
-    summed validation loss); ``d`` holds the local step count (max-reduced).
-    """
+def score_ranker(df: DataFrame, ranker: Ranker, cols=FEATURES, out: str = "prob") -> DataFrame:
+    """M6: probability for every row; only the feature columns go to Python."""
+    wv, mean, std = flatten(ranker.weights), ranker.mean, ranker.std
 
-    def run(batches):
-        from pyspark import TaskContext
-        pdfs = [p for p in batches if len(p)]
-        if not pdfs:
-            return
-        x, y, xv, yv = _split_xy(pd.concat(pdfs, ignore_index=True), cols, label, scale)
-        val_sum = float(np.sum(bce(forward(unflatten(wv), xv), yv))) if len(yv) else 0.0
-        pid = TaskContext.get().partitionId() if TaskContext.get() else 0
-        rng = np.random.default_rng([seed, epoch, pid])
-        n = len(y)
-        if n:
-            w2, m2, v2, t2, ls = _adam_epoch(wv.copy(), m.copy(), v.copy(), t, x, y, lr, batch, rng)
-        else:
-            w2, m2, v2, t2, ls = wv, m, v, t, 0.0
-        body = pd.DataFrame({"pos": np.arange(len(w2), dtype=np.int64), "a": n * w2, "b": n * m2, "c": n * v2,
-                             "d": 0.0})
-        head = pd.DataFrame({"pos": [-1, -2], "a": [float(n), float(len(yv))], "b": [ls, val_sum],
-                             "c": [0.0, 0.0], "d": [float(t2 - t), 0.0]})
-        yield pd.concat([head, body], ignore_index=True)
-
-    return run
-
-
-_FIT_SCHEMA = "history string, state binary"
-_EPOCH_SCHEMA = "pos long, a double, b double, c double, d double"
-
-
-def _prepare(df: DataFrame, cols, label) -> DataFrame:
-    return df.select(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in cols],
-                     F.col(label).cast("double").alias(label))
-
-
-def train_ranker(spark: SparkSession, train: DataFrame, val: DataFrame | None = None, cols=FEATURES,
-                 label: str = "label", epochs: int = 100, batch: int = 256, lr: float = 1e-3,
-                 seed: int = 42, patience: int | None = None, lr_patience: int | None = None,
-                 lr_factor: float = 0.5, min_delta_lr: float = 1e-4, min_batches: int = 64) -> Ranker:
-    """M4/M5/M7: fit the ranker; with ``val`` early stopping watches the
-    validation loss (patience 20, LR halving after 10), without it the
-    training loss (30 / 15), best weights restored in both cases.
-
-    Rows are materialised once in the shared checkpoint folder and dealt over
-    as many partitions as the data fills with ``min_batches`` minibatches
-    each, at most one per core.  One partition: the whole schedule runs in
-    one task.  Several: one job per epoch, weights averaged on the driver,
-    the validation loss of each averaged model measured in the next job.
-    """
-    monitor_val = val is not None
-    patience = patience if patience is not None else (20 if monitor_val else 30)
-    lr_patience = lr_patience if lr_patience is not None else (10 if monitor_val else 15)
-
-    # the input pipeline runs once: unscaled rows are materialised in the
-    # shared checkpoint folder, the scaler is fitted on that copy and applied
-    # inside the tasks
-    rows = _prepare(train, cols, label).withColumn("_val", F.lit(0))
-    if monitor_val:
-        rows = rows.unionByName(_prepare(val, cols, label).withColumn("_val", F.lit(1)))
-    data = rows.checkpoint(eager=True)
-    fitted = data.filter(F.col("_val") == 0)
-    stats = fit_scaler(fitted, cols).crossJoin(fitted.agg(F.count(F.lit(1)).alias("_n")))
-    srow = stats.first()  # one row
-    mean = np.array([srow[f"mean_{c}"] for c in cols], dtype=float)
-    std = np.array([srow[f"std_{c}"] for c in cols], dtype=float)
-    n_train = srow["_n"]
-    cores = spark.sparkContext.defaultParallelism
-    target = int(max(1, min(cores, n_train // (min_batches * batch))))
-    data = data.repartition(target).checkpoint(eager=True)
-    scale = (mean, std)
-
-    sched = _Schedule(lr, patience, lr_patience, lr_factor, min_delta_lr)
-    w0 = flatten(init_weights(seed))
-    if target == 1:
-        out = data.mapInPandas(_fit_in_task(w0, sched, epochs, batch, seed, cols, label, monitor_val, scale),
-                               _FIT_SCHEMA).collect()  # one row
-        history = json.loads(out[0]["history"])
-        best = np.load(io.BytesIO(out[0]["state"]))["w"]
-        return Ranker(unflatten(best), mean, std, history)
-
-    wv, m, v, t = w0, np.zeros_like(w0), np.zeros_like(w0), 0
-    history: list[dict] = []
-    prev_w = None
-    stopped = False
-    for epoch in range(1, epochs + 2):
-        final_eval = epoch == epochs + 1
-        # partitions are summed by a Spark aggregation; the driver receives
-        # one vector whatever the number of partitions
-        res = (
-            data.mapInPandas(_epoch_task(wv, m, v, t, sched.lr, batch, seed, epoch, cols, label, scale),
-                             _EPOCH_SCHEMA)
-            .groupBy("pos").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"),
-                                F.max("d").alias("d"))
-            .toPandas().set_index("pos").sort_index()
-        )
-        n_train, loss_sum, steps = res.loc[-1, "a"], res.loc[-1, "b"], res.loc[-1, "d"]
-        n_val, val_sum = res.loc[-2, "a"], res.loc[-2, "b"]
-        if history:
-            val_loss = val_sum / n_val if n_val else None
-            history[-1]["val_loss"] = val_loss
-            metric = val_loss if monitor_val else history[-1]["train_loss"]
-            if sched.update(metric, prev_w):
-                stopped = True
-        if stopped or final_eval:
-            break
-        body = res.loc[res.index >= 0]
-        wv = body["a"].to_numpy() / n_train
-        m = body["b"].to_numpy() / n_train
-        v = body["c"].to_numpy() / n_train
-        history.append({"epoch": epoch, "train_loss": loss_sum / n_train, "lr": sched.lr, "val_loss": None})
-        t += int(steps)
-        prev_w = wv.copy()
-    return Ranker(unflatten(sched.best_w if sched.best_w is not None else wv), mean, std, history)
-
-
-def history_frame(spark: SparkSession, ranker: Ranker) -> DataFrame:
-    """M9: epoch, train_loss, val_loss, lr (at most ``epochs`` rows)."""
-    schema = "epoch long, train_loss double, val_loss double, lr double"
-    rows = [(h["epoch"], h["train_loss"], h.get("val_loss"), h["lr"]) for h in ranker.history]
-    return spark.createDataFrame(rows, schema)
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        x = np.stack([s.astype(float).fillna(0.0).to_numpy() for s in (a, b, c, d)], axis=1)
+        return pd.Series(forward(unflatten(wv), (x - mean) / std))
 
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "c": pd.Series, "d": pd.Series, "return": pd.Series}
+    return df.withColumn(out, F.pandas_udf(run, "double")(*[F.col(c).cast("double") for c in cols]))
 
-def score_ranker(df: DataFrame, ranker: Ranker, cols=FEATURES, out: str = "prob") -> DataFrame:
-    """M6: probability for every row, forward pass on Arrow batches."""
-    wv, mean, std = flatten(ranker.weights), ranker.mean, ranker.std
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
 
-    def run(batches):
-        ws = unflatten(wv)
-        for pdf in batches:
-            x = pdf[cols].astype(float).fillna(0.0).to_numpy()
-            pdf[out] = forward(ws, (x - mean) / std)
-            yield pdf
+# --- M4, M5, M7, M9: the trained ranker ---------------------------------------------
+
+def _clean(c: str) -> Column:
+    return F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
 
-    return df.mapInPandas(run, schema)
+
+@dataclass
+class TrainedRanker:
+    """A fitted perceptron with its scaling; ``objective`` is the loss after each iteration."""
+
+    model: MultilayerPerceptronClassificationModel
+    mean: list[float]
+    std: list[float]
+    objective: list[float]
+    cols: tuple[str, ...] = tuple(FEATURES)
+
+    def scaled(self, df: DataFrame) -> DataFrame:
+        z = {f"_z{i}": (_clean(c) - self.mean[i]) / self.std[i] for i, c in enumerate(self.cols)}
+        out = df.withColumns(z)
+        return VectorAssembler(inputCols=list(z), outputCol="_features").transform(out).drop(*z)
+
+    def score(self, df: DataFrame, out: str = "prob") -> DataFrame:
+        """M6: probability of label 1 for every row."""
+        scored = self.model.transform(self.scaled(df))
+        return scored.withColumn(out, vector_to_array("_probability")[1]).drop("_features", "_raw", "_probability", "_prediction")
+
+
+def train_ranker(train: DataFrame, cols=FEATURES, label: str = "label", max_iter: int = 100, tol: float = 1e-4,
+                 seed: int = 42) -> TrainedRanker:
+    """M4/M5/M7: fit on every row of ``train``, the same way at every size.
+
+    The scaled rows are checkpointed once (L-BFGS reads them in every
+    iteration); gradients are summed on the executors and the driver holds
+    one weight vector (2 466 numbers).
+    """
+    rows = train.select(*[_clean(c).alias(c) for c in cols], F.col(label).cast("double").alias(label)).checkpoint(eager=True)
+    stats = fit_scaler(rows, cols).first()  # one row
+    mean, std = [stats[f"mean_{c}"] for c in cols], [stats[f"std_{c}"] for c in cols]
+    fitted = TrainedRanker(None, mean, std, [], tuple(cols))
+    trainer = MultilayerPerceptronClassifier(
+        layers=PERCEPTRON, maxIter=max_iter, tol=tol, seed=seed, solver="l-bfgs", featuresCol="_features", labelCol=label,
+        predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw")
+    fitted.model = trainer.fit(fitted.scaled(rows))
+    fitted.objective = [float(x) for x in fitted.model.summary().objectiveHistory]
+    return fitted
+
+
+def log_loss(scored: DataFrame, prob: str = "prob", label: str = "label") -> DataFrame:
+    """M5: one row with the mean cross-entropy of the scored rows."""
+    p = F.least(F.greatest(F.col(prob), F.lit(1e-7)), F.lit(1 - 1e-7))
+    return scored.agg(F.avg(-F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(1 - p))).alias("loss"))
+
+
+def history_frame(spark: SparkSession, ranker: TrainedRanker, val: DataFrame | None = None, label: str = "label") -> DataFrame:
+    """M9: epoch, train_loss, val_loss (at most max_iter + 1 rows).  L-BFGS
+    reports the training objective only, so val_loss is that of the fitted
+    model, on the last row."""
+    rows = spark.createDataFrame([(i, x, i == len(ranker.objective) - 1) for i, x in enumerate(ranker.objective)],
+                                 "epoch long, train_loss double, _last boolean")
+    if val is None:
+        return rows.select("epoch", "train_loss", F.lit(None).cast("double").alias("val_loss"))
+    loss = log_loss(ranker.score(val), label=label)
+    return rows.crossJoin(F.broadcast(loss)).select(  # one row
+        "epoch", "train_loss", F.when(F.col("_last"), F.col("loss")).alias("val_loss"))
 
 
 def fixed_ranker(seed: int = 7) -> Ranker:

@@ -4,8 +4,8 @@ Every ranking uses an explicit total order (score desc, then tie columns),
 so results do not depend on partitioning.  ``top_k`` is a ``row_number``
 filter that Spark plans as a ``WindowGroupLimit`` on both sides of the
 shuffle: each map task forwards at most k rows per group, so a hot family
-costs k rows, not its size.  Full rankings are one window per group key
-(external sort, spills when a group is large).
+costs k rows, not its size.  Full rankings of groups that grow with the data
+share one range-partitioned sort (``ordered_ranks``).
 """
 
 from __future__ import annotations
@@ -19,13 +19,6 @@ from pyspark.sql import functions as F
 TIE_DIGITS = 12
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Broadcast hint only after checking the size: counts at most
-    ``max_rows + 1`` rows; larger inputs are returned unhinted (shuffle join)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def score_key(score: str, tie_digits: int | None = TIE_DIGITS) -> Column:
     """Scores equal to ``tie_digits`` decimals count as ties (decided by the
     tie columns), so last-bit noise of exp/pow cannot reorder equal scores."""
@@ -45,57 +38,53 @@ def _order(score: str, ties: Sequence[str | Column]) -> list[Column]:
     return out
 
 
-MAX_GROUP_ROWS = 2_000_000
-
-
 def rank_within(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str | Column] = (),
-                name: str = "rank", max_group_rows: int | None = None) -> DataFrame:
-    """1-based row number inside each group, by score desc then ties.
-
-    A window sorts each group in one task.  When a group may be large
-    (``max_group_rows`` given) the largest group is measured first (one
-    aggregate) and groups beyond the bound are ranked with
-    ``distributed_rank`` instead, which splits a hot group over many tasks.
-    """
-    if keys and max_group_rows is not None:
-        biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-        if biggest is not None and biggest > max_group_rows:
-            return distributed_rank(df, keys, score, ties, name)
+                name: str = "rank") -> DataFrame:
+    """1-based row number inside each group, by score desc then ties (W1):
+    one window, for groups bounded by the catalogue (a family's
+    subcategories); ``distributed_ranks`` is for groups that grow."""
     w = Window.partitionBy(*keys).orderBy(*_order(score, ties))
     return df.withColumn(name, F.row_number().over(w))
 
 
-def distributed_rank(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str | Column] = (),
-                     name: str = "rank", partitions: int | None = None) -> DataFrame:
-    """Row number inside each group without sorting a group in one task.
+def ordered_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
+                  names: dict[str, Sequence[str]]) -> DataFrame:
+    """1-based row numbers by ``order`` inside groups of any size.
 
-    Rows are range-partitioned on (keys, score desc, ties), so a group that
-    holds a third of the table spans a third of the partitions, and sorted
-    within partitions; ``monotonically_increasing_id`` taken right after the
-    sort gives (partition, position).  One row per (group, partition) with
-    its first position and count (at most groups + partitions rows) yields,
-    through a running sum over the partitions of a group, the offset of each
-    partition inside its group.  The tagged rows are checkpointed to the
-    shared folder so every pass sees the same partitions.  With no keys this
-    is the global ordinal (0-based there, see ``global_ordinal``).
+    ``names`` maps each new column to the columns that refine ``keys`` for it
+    (an empty list: the group is ``keys``); all share one sort.  Rows are
+    range-partitioned on (keys, order), so a group that holds a third of the
+    table spans a third of the partitions; the partitioned rows are
+    checkpointed to the shared folder so every pass sees the same partitions.
+    One count per (group, partition) gives the rows of the group before each
+    partition, and a window inside (group, partition) does the rest.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(k).asc_nulls_last() for k in keys] + _order(score, ties)
-    tagged = (
-        df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = [F.col(k).asc_nulls_last() for k in keys] + list(order)
+    out = (
+        df.repartitionByRange(n, *full).sortWithinPartitions(*full)
         .withColumn("_mid", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
+        .checkpoint(eager=True).withColumn("_p", F.shiftright("_mid", 33))
     )
-    tagged = tagged.withColumns({"_p": F.shiftright(F.col("_mid"), 33),
-                                 "_pos": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))})
-    stats = tagged.groupBy(*keys, "_p").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    cond = [tagged[k].eqNullSafe(stats[k]) for k in keys] + [tagged["_p"] == stats["_p"]]
-    joined = tagged.join(stats, cond).select(tagged["*"], stats["_first"], stats["_off"])
-    rank = F.col("_off") + (F.col("_pos") - F.col("_first")) + 1
-    return joined.withColumn(name, rank.cast("int")).drop("_mid", "_p", "_pos", "_first", "_off")
+    for name, finer in names.items():
+        group = [*keys, *finer]
+        stats = out.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        stats = stats.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_p").alias("_q"),
+                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+        inside = Window.partitionBy(*group, "_p").orderBy("_mid")
+        cond = F.col("_p") == F.col("_q")
+        for c in group:
+            cond = cond & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        out = out.withColumn("_r", F.row_number().over(inside)).join(stats, cond).withColumn(
+            name, (F.col("_off") + F.col("_r")).cast("int")).drop("_off", "_r", "_q", *[f"_g_{c}" for c in group])
+    return out.drop("_mid", "_p")
+
+
+def distributed_ranks(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str | Column] = (),
+                      names: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """``ordered_ranks`` by score desc, then ties."""
+    return ordered_ranks(df, keys, _order(score, ties), names or {"rank": []})
 
 
 def top_k(df: DataFrame, keys: Sequence[str], score: str, k: int, ties: Sequence[str | Column] = (),
@@ -107,7 +96,31 @@ def top_k(df: DataFrame, keys: Sequence[str], score: str, k: int, ties: Sequence
 def global_ordinal(df: DataFrame, score: str, ties: Sequence[str | Column] = (),
                    name: str = "top") -> DataFrame:
     """0-based position of each row over the whole table by score desc (D26):
-    a range-partitioned sort plus per-partition offsets (``distributed_rank``
+    a range-partitioned sort plus per-partition offsets (``distributed_ranks``
     with no group keys); never a single-partition window."""
-    out = distributed_rank(df, [], score, ties, "_rank1")
+    out = distributed_ranks(df, [], score, ties, {"_rank1": []})
     return out.withColumn(name, (F.col("_rank1") - 1).cast("bigint")).drop("_rank1")
+
+
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first row of each key in a stated order (one row per key and map task is shuffled)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 1).drop("_r")
+
+
+#: The delivered columns in order; those that a table lacks are left out.
+DELIVERY_COLUMNS = ["top", "family_id", "subcat_id", "subcat_name", "recency", "frequency", "sow", "season", "ppmi", "score",
+                    "cycle_days", "days_since_last", "season_gap_mean", "season_gap_std", "division_id", "division", "top_dc"]
+
+
+def delivery_table(scored: DataFrame, names: DataFrame, divisions: DataFrame, labels: Sequence[str],
+                   score: str = "score", ties: Sequence[str] = ("-net_sales", "subcat_id")) -> DataFrame:
+    """Scored subcategories with name, division code and label, ranked per family and division.
+
+    ``names`` (subcat_id, subcat_name) and ``divisions`` (subcat_id, division_id, division) are one row per
+    subcategory; only divisions in ``labels`` are delivered.  Columns that ``scored`` does not have are left out.
+    """
+    out = scored.join(names, "subcat_id", "left").join(divisions, "subcat_id").filter(F.col("division").isin(*labels))
+    out = rank_within(out, ["family_id", "division"], score, ties, "top_dc").withColumns(
+        {"top": F.lit(0).cast("bigint"), "ppmi": F.lit(0).cast("bigint")})
+    return out.select(*[c for c in DELIVERY_COLUMNS if c in out.columns])

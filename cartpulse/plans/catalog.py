@@ -29,7 +29,7 @@ from cartpulse.plans import oracle as O
 from cartpulse.plans.present import present, r
 from cartpulse.session import scratch_path
 from cartpulse.sources import files as FI
-from cartpulse.sources.tables import event_lines, item_dimension, purchase_lines
+from cartpulse.sources.tables import event_lines, item_dimension, purchase_lines, subcat_names
 
 REF = dt.date(2001, 6, 30)
 EARLY_CUTOFF = dt.date(2001, 6, 9)
@@ -69,20 +69,21 @@ def _upto_ref(spark, sf_dir):
     return _hist(spark, sf_dir)
 
 
-def _holdout(spark, sf_dir, level="subcat_id"):
-    lines = purchase_lines(spark, sf_dir, households=HOUSEHOLDS, since=HOLDOUT_START,
+def _holdout(spark, sf_dir, level="subcat_id", households=HOUSEHOLDS):
+    lines = purchase_lines(spark, sf_dir, households=households, since=HOLDOUT_START,
                            until=shift_days(HOLDOUT_END, 1))
-    return EV.truth_pairs(lines, HOLDOUT_START, HOLDOUT_END, level)
+    return EV.materialised(EV.truth_pairs(lines, HOLDOUT_START, HOLDOUT_END, level))
 
 
 def _features(spark, sf_dir, data_cutoff=None):
     return FE.pair_features(_hist(spark, sf_dir), REF, data_cutoff=data_cutoff)
 
 
-def _labelled(spark, sf_dir):
-    labels = purchase_lines(spark, sf_dir, households=HOUSEHOLDS, since=LABEL_START,
+def _labelled(spark, sf_dir, households=HOUSEHOLDS):
+    labels = purchase_lines(spark, sf_dir, households=households, since=LABEL_START,
                             until=shift_days(LABEL_END, 1))
-    return MD.label_pairs(_features(spark, sf_dir), labels, LABEL_START, LABEL_END, data_cutoff=REF)
+    feats = FE.pair_features(_hist(spark, sf_dir, households), REF)
+    return MD.label_pairs(feats, labels, LABEL_START, LABEL_END, data_cutoff=REF)
 
 
 def _subcat_division(spark, sf_dir):
@@ -102,10 +103,17 @@ def _ranked_by_fixed(spark, sf_dir):
     return MD.score_ranker(_features(spark, sf_dir), MD.fixed_ranker(), out="prob")
 
 
-def _item_scores(spark, sf_dir, ranks=True):
-    """Linear-score items: pair features and item aggregates from one pass
-    over the lines (``items.features_and_items``)."""
-    return IT.features_and_items(_upto_ref(spark, sf_dir), REF, ranks=ranks)[1]
+def _item_scores(spark, sf_dir, ranks=True, households=HOUSEHOLDS):
+    """Linear-score items; features and item aggregates share the line scan and its joins."""
+    lines = _hist(spark, sf_dir, households)
+    return IT.item_scores(FE.pair_features(lines, REF), lines, REF, ranks=ranks)
+
+
+def _stored_features(spark, sf_dir, data_cutoff=None):
+    """The feature table of one (data cutoff, reference date), written once and read by every consumer."""
+    path = scratch_path(spark, f"pairs_{uuid.uuid4().hex}")
+    FI.write_table(_features(spark, sf_dir, data_cutoff).select("family_id", "subcat_id", *MD.FEATURES, "score", "net_sales"), path)
+    return FI.read_table(spark, path, fmt="parquet")
 
 
 # --- shared SQL pieces -------------------------------------------------------------
@@ -129,8 +137,8 @@ def _labels_sql():
       SELECT s.*, CASE WHEN t.family_id IS NULL THEN 0 ELSE 1 END AS label
       FROM scored s LEFT JOIN tgt t USING (family_id, subcat_id)),
     splitted AS (
-      SELECT *, CASE WHEN CAST(('0x' || substr(md5(concat_ws('|', '42', family_id, subcat_id)), 1, 8)) AS BIGINT)
-                          / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS split
+      SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '42', family_id, subcat_id)), family_id, subcat_id)
+                          <= floor(count(*) OVER (PARTITION BY label) * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split
       FROM labelled)"""
 
 
@@ -156,7 +164,7 @@ def _items_sql():
     pop_i AS (
       SELECT family_id, subcat_id, item_id, max(division) AS division, count(DISTINCT invoice_id) AS item_invoices,
              count(invoice_id) FILTER (WHERE day >= {d(shift_days(REF, -365))}) AS last_year_lines
-      FROM ihist GROUP BY family_id, subcat_id, item_id),
+      FROM ihist WHERE item_id IS NOT NULL GROUP BY family_id, subcat_id, item_id),
     pop_s AS (
       SELECT family_id, subcat_id, count(DISTINCT invoice_id) AS subcat_invoices,
              count(DISTINCT item_id) AS subcat_items
@@ -185,9 +193,9 @@ def _items_sql():
       FROM its3 GROUP BY family_id, subcat_id),
     items AS (
       SELECT i.*, s.subcat_rank,
-             row_number() OVER (PARTITION BY i.family_id ORDER BY round(i.item_score, 12) DESC, i.item_id) AS item_rank,
+             row_number() OVER (PARTITION BY i.family_id ORDER BY round(i.item_score, 12) DESC, i.item_id, i.subcat_id) AS item_rank,
              CASE WHEN i.division IS NOT NULL THEN row_number() OVER (
-                  PARTITION BY i.family_id, i.division ORDER BY round(i.item_score, 12) DESC, i.item_id) END AS division_rank
+                  PARTITION BY i.family_id, i.division ORDER BY round(i.item_score, 12) DESC, i.item_id, i.subcat_id) END AS division_rank
       FROM its3 i JOIN subr s USING (family_id, subcat_id))"""
 
 
@@ -355,7 +363,7 @@ def q_class_balance(spark, sf_dir):
 @register("stratified_split", lambda: f"""WITH {_ctes()}, {_labels_sql()}
     SELECT family_id, subcat_id, CAST(label AS BIGINT) AS label, split FROM splitted""")
 def q_stratified_split(spark, sf_dir):
-    """M1: reproducible hash split, 20 % test."""
+    """M1: in each class the first 20 % of the rows by hash are test rows."""
     return present(MD.stratified_split(_labelled(spark, sf_dir)).select("family_id", "subcat_id", "label", "split"))
 
 
@@ -389,49 +397,86 @@ def q_score_fixed_ranker(spark, sf_dir):
     return present(_ranked_by_fixed(spark, sf_dir).select("family_id", "subcat_id", "prob"))
 
 
-# === M4/M5/M7/M8/M9 (not SQL-expressible: rows-only) ========================================
-
-_TRAINED: dict = {}
+# === M4/M5/M7 (trained model: not SQL-expressible), M8, M9, W6-W9, S11 =============================
 
-
-def _trained(spark, sf_dir, epochs=100):
-    """Split and trained ranker; the fitted weights are kept per session and
-    input folder so the three training queries train once."""
-    # split once and cut the lineage: training, evaluation and scoring all
-    # read this copy instead of recomputing the features
-    df = MD.stratified_split(_labelled(spark, sf_dir)).checkpoint(eager=True)
-    key = (spark.sparkContext.applicationId, sf_dir, epochs)
-    if key not in _TRAINED:
-        train = df.filter(F.col("split") == "train")
-        val = df.filter(F.col("split") == "test")
-        _TRAINED[key] = MD.train_ranker(spark, train, val, epochs=epochs)
-    return df, _TRAINED[key]
+def _split(spark, sf_dir, households=HOUSEHOLDS):
+    """The labelled split, materialised once: training, scoring and evaluation read this copy."""
+    return MD.stratified_split(_labelled(spark, sf_dir, households)).checkpoint(eager=True)
 
 
 @register("train_ranker")
 def q_train_ranker(spark, sf_dir):
-    """M4/M5/M9: data-parallel training, early stopping; the epoch history."""
-    _, model = _trained(spark, sf_dir)
-    return MD.history_frame(spark, model)
+    """M4/M5/M9: the perceptron fitted on the train split; its history with the final validation loss."""
+    df = _split(spark, sf_dir)
+    model = MD.train_ranker(df.filter("split = 'train'"))
+    return MD.history_frame(spark, model, df.filter("split = 'test'"))
 
 
 @register("ranker_split_evaluation")
 def q_ranker_split_evaluation(spark, sf_dir):
-    """M6 + E1 + M8: score the test split with the trained ranker (weights
-    saved and reloaded through the shared folder) and evaluate top-3."""
-    df, model = _trained(spark, sf_dir)
+    """M6 + E1: the test split scored by the trained ranker, top-3."""
+    df = _split(spark, sf_dir)
+    model = MD.train_ranker(df.filter("split = 'train'"))
+    return present(EV.split_evaluation(model.score(df.filter("split = 'test'")), K, score="prob"))
+
+
+@register("train_ranker_full")
+def q_train_ranker_full(spark, sf_dir):
+    """M7: production fit on every labelled pair (no split); the history."""
+    return MD.history_frame(spark, MD.train_ranker(_labelled(spark, sf_dir)))
+
+
+@register("saved_ranker_scores", lambda: f"""WITH {_ctes()}, {_fixed_ranker_ctes()}
+    SELECT family_id, subcat_id, {r('prob')} AS prob, '{REF:%m%d}' AS suffix FROM rk_out""")
+def q_saved_ranker_scores(spark, sf_dir):
+    """M8 + F19: weights saved under their cutoff's MMDD suffix, loaded and applied."""
     path = scratch_path(spark, f"ranker_{uuid.uuid4().hex}")
-    MD.save_ranker(spark, model, REF, path)
+    MD.save_ranker(spark, MD.fixed_ranker(), REF, path)
     model = MD.load_ranker(spark, path, REF)
-    test = MD.score_ranker(df.filter(F.col("split") == "test"), model, out="prob")
-    return present(EV.split_evaluation(test, K, score="prob"))
+    suffix = spark.read.parquet(path).filter(F.col("cutoff") == str(REF)).select("suffix").distinct()
+    out = MD.score_ranker(_features(spark, sf_dir), model, out="prob").select("family_id", "subcat_id", "prob")
+    return present(out.crossJoin(F.broadcast(suffix)))  # one row
+
+
+HISTORY_SQL = """
+    months AS (SELECT date_trunc('month', o_orderdate) AS m, avg(o_totalprice) AS a, avg(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END) AS b
+               FROM orders GROUP BY 1),
+    history AS (SELECT row_number() OVER (ORDER BY m) AS epoch, round(a / 1e6, 9) AS train_loss, round(b / 1e6, 9) AS val_loss FROM months)"""
+
+
+def _stored_history(spark, sf_dir):
+    """A history with one row per order month and two averages, written as text and read back."""
+    orders = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    months = orders.groupBy(F.date_trunc("month", "o_orderdate").alias("m")).agg(
+        F.avg("o_totalprice").alias("a"), F.avg(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice"))).alias("b"))
+    numbered = RK.ordered_ranks(months, [], [F.col("m")], {"epoch": []})
+    path = scratch_path(spark, f"history_{uuid.uuid4().hex}")
+    FI.write_table(numbered.select("epoch", F.round(F.col("a") / 1e6, 9).alias("train_loss"), F.round(F.col("b") / 1e6, 9).alias("val_loss")), path, fmt="csv")
+    return FI.read_table(spark, path, fmt="csv", schema="epoch long, train_loss double, val_loss double")
+
+
+@register("history_diagnostics", lambda: f"""WITH {HISTORY_SQL.strip()},
+    g AS (SELECT *, abs(train_loss - val_loss) AS gap, first_value(train_loss) OVER (ORDER BY epoch) AS t1,
+                 first_value(val_loss) OVER (ORDER BY epoch) AS v1, max(epoch) OVER () AS last_epoch FROM history)
+    SELECT CAST(epoch AS BIGINT) AS epoch, {r('train_loss')} AS train_loss, {r('val_loss')} AS val_loss,
+           {r('(t1 - train_loss) / t1 * 100')} AS train_change_pct, {r('(v1 - val_loss) / v1 * 100')} AS val_change_pct, {r('gap')} AS gap,
+           CASE WHEN gap < 0.02 THEN 'excellent' WHEN gap < 0.05 THEN 'good' WHEN gap IS NOT NULL THEN 'review' END AS gap_band,
+           CASE WHEN epoch <= 10 THEN 'early' WHEN epoch <= 30 THEN 'middle' ELSE 'late' END AS phase,
+           CAST(CASE WHEN epoch > last_epoch - 15 THEN 1 ELSE 0 END AS BIGINT) AS last15 FROM g""")
+def q_history_diagnostics(spark, sf_dir):
+    """W6-W8 on a stored history."""
+    return present(DG.history_changes(_stored_history(spark, sf_dir)))
 
 
-@register("history_diagnostics")
-def q_history_diagnostics(spark, sf_dir):
-    """W6-W9 on the training history."""
-    _, model = _trained(spark, sf_dir)
-    return present(DG.history_changes(MD.history_frame(spark, model)))
+@register("history_summary", lambda: f"""WITH {HISTORY_SQL.strip()},
+    s AS (SELECT count(*) AS epochs, arg_min(train_loss, epoch) AS tf, arg_max(train_loss, epoch) AS tl, arg_min(val_loss, epoch) AS vf,
+                 arg_max(val_loss, epoch) AS vl, min(val_loss) AS vb FROM history)
+    SELECT CAST(epochs AS BIGINT) AS epochs, {r('tf')} AS train_loss_first, {r('tl')} AS train_loss_last, {r('vf')} AS val_loss_first,
+           {r('vl')} AS val_loss_last, {r('vb')} AS val_loss_best, {r('abs(tl - vl)')} AS gap_last,
+           CASE WHEN abs(tl - vl) < 0.02 THEN 'excellent' WHEN abs(tl - vl) < 0.05 THEN 'good' WHEN tl - vl IS NOT NULL THEN 'review' END AS gap_band FROM s""")
+def q_history_summary(spark, sf_dir):
+    """W9 + W7 on a stored history."""
+    return present(DG.history_summary(_stored_history(spark, sf_dir)))
 
 
 # === E1-E8, D27 ===================================================================================
@@ -584,8 +629,9 @@ def _model_comparison_sql():
 def q_model_comparison(spark, sf_dir):
     """Linear score against the (fixed-weight) ranker on the holdout."""
     truth = _holdout(spark, sf_dir)
-    a = EV.holdout_evaluation(_features(spark, sf_dir), truth, K)
-    b = EV.holdout_evaluation(_ranked_by_fixed(spark, sf_dir), truth, K, score="prob")
+    feats = _stored_features(spark, sf_dir)
+    a = EV.holdout_evaluation(feats, truth, K)
+    b = EV.holdout_evaluation(MD.score_ranker(feats, MD.fixed_ranker()), truth, K, score="prob")
     return present(EV.compare_models(a, b, "linear", "ranker"))
 
 
@@ -623,18 +669,19 @@ def _cutoff_matrix_sql():
 @register("cutoff_matrix", _cutoff_matrix_sql)
 def q_cutoff_matrix(spark, sf_dir):
     """precision@3 for linear at two data cutoffs and the ranker."""
-    lin_e = _features(spark, sf_dir, EARLY_CUTOFF).select(
+    feats = _stored_features(spark, sf_dir)
+    lin_e = _stored_features(spark, sf_dir, EARLY_CUTOFF).select(
         F.lit("linear").alias("model"), F.lit(str(EARLY_CUTOFF)).alias("cutoff"),
         "family_id", "subcat_id", "score", "net_sales")
-    lin = _features(spark, sf_dir).select(
+    lin = feats.select(
         F.lit("linear").alias("model"), F.lit(str(REF)).alias("cutoff"),
         "family_id", "subcat_id", "score", "net_sales")
-    net = _ranked_by_fixed(spark, sf_dir).select(
+    net = MD.score_ranker(feats, MD.fixed_ranker()).select(
         F.lit("ranker").alias("model"), F.lit(str(REF)).alias("cutoff"),
         "family_id", "subcat_id", F.col("prob").alias("score"), "net_sales")
     cells = lin_e.unionByName(lin).unionByName(net)
     out = EV.cutoff_matrix(cells, _holdout(spark, sf_dir), K)
-    return present(out.withColumnRenamed("diff_vs_first", "diff_vs_first"))
+    return present(out)
 
 
 # === D18-D26, O4, O5 ===============================================================================
@@ -737,30 +784,41 @@ def q_top_k_by_division(spark, sf_dir):
     return present(top.select("family_id", "division", "subcat_id", "score", "rank"))
 
 
-DELIVERY_COLS = ["top", "family_id", "subcat_id", "subcat_name", "recency", "frequency", "sow", "season", "ppmi",
-                 "score", "cycle_days", "days_since_last", "season_gap_mean", "season_gap_std", "division", "top_dc"]
+def _divisions(spark, sf_dir):
+    """Division label and code of each subcategory."""
+    code = F.when(F.col("division") == "A", 1).when(F.col("division") == "B", 2).cast("bigint")
+    return _subcat_division(spark, sf_dir).withColumn("division_id", code)
 
 
 @register("delivery_table", lambda: f"""WITH {_ctes()},
     names AS (SELECT DISTINCT TRY_CAST(substring(p_brand, 7) AS BIGINT) AS subcat_id, p_brand AS subcat_name FROM part),
     p AS (SELECT s.*, n.subcat_name, dv.division FROM scored s
           LEFT JOIN names n USING (subcat_id)
-          LEFT JOIN ({O.division_by_subcat_sql()}) dv USING (subcat_id)
+          JOIN ({O.division_by_subcat_sql()}) dv USING (subcat_id)
           WHERE dv.division IN ('A', 'B'))
     SELECT CAST(0 AS BIGINT) AS top, family_id, subcat_id, subcat_name, {r('recency')} AS recency,
            {r('frequency')} AS frequency, {r('sow')} AS sow, {r('season')} AS season, CAST(0 AS BIGINT) AS ppmi,
            {r('score')} AS score, {r('cycle_days')} AS cycle_days, CAST(days_since_last AS BIGINT) AS days_since_last,
-           {r('season_gap_mean')} AS season_gap_mean, {r('season_gap_std')} AS season_gap_std, division,
+           {r('season_gap_mean')} AS season_gap_mean, {r('season_gap_std')} AS season_gap_std,
+           CAST(CASE division WHEN 'A' THEN 1 WHEN 'B' THEN 2 END AS BIGINT) AS division_id, division,
            CAST(row_number() OVER (PARTITION BY family_id, division ORDER BY round(score, 12) DESC, {SUBCAT_TIES_SQL}) AS BIGINT) AS top_dc
     FROM p""")
 def q_delivery_table(spark, sf_dir):
     """The subcategory delivery table ranked per family and division."""
-    from cartpulse.sources.tables import subcat_names
-    feats = _with_division(spark, sf_dir, _features(spark, sf_dir)).join(
-        subcat_names(spark, sf_dir), "subcat_id", "left").filter(F.col("division").isin("A", "B"))
-    ranked = RK.rank_within(feats, ["family_id", "division"], "score", ["-net_sales", "subcat_id"], "top_dc")
-    out = ranked.withColumn("top", F.lit(0).cast("bigint")).withColumn("ppmi", F.lit(0).cast("bigint"))
-    return present(out.select(*DELIVERY_COLS))
+    out = RK.delivery_table(_features(spark, sf_dir), subcat_names(spark, sf_dir), _divisions(spark, sf_dir), ["A", "B"])
+    return present(out)
+
+
+@register("first_division_per_subcat", lambda: """
+    SELECT subcat_id, division, item_id FROM (
+      SELECT TRY_CAST(substring(p_brand, 7) AS BIGINT) AS subcat_id, p_partkey AS item_id,
+             CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'A' WHEN p_type IN ('PROMO', 'SMALL') THEN 'B' END AS division FROM part) v
+    WHERE division IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY subcat_id ORDER BY item_id) = 1""")
+def q_first_division_per_subcat(spark, sf_dir):
+    """The division of each subcategory's first item, in order of item id."""
+    items = item_dimension(spark, sf_dir).filter(F.col("division").isNotNull())
+    return present(RK.first_per_key(items, ["subcat_id"], [F.col("item_id")]).select("subcat_id", "division", "item_id"))
 
 
 @register("global_ordinal", lambda: f"""WITH {_ctes()}
@@ -844,10 +902,53 @@ def q_division_metrics_items(spark, sf_dir):
            {r('CASE WHEN coalesce(hits.hits, 0) > 0 THEN 1.0 ELSE 0.0 END')} AS hit
     FROM nt LEFT JOIN hp USING (family_id) LEFT JOIN hits USING (family_id) WHERE nt.family_id = {LOOKUP_FAMILY}""")
 def q_family_lookup_items(spark, sf_dir):
-    """E6 at item level: one family's item recommendations against its purchases."""
-    fm = EV.family_metrics(_item_scores(spark, sf_dir, ranks=False), _holdout(spark, sf_dir, "item_id"), K,
-                           score="item_score", ties=("item_id",), level="item_id")
-    return present(fm.filter(F.col("family_id") == LOOKUP_FAMILY))
+    """E6 at item level: one family's item recommendations, looked up in a stored result (S10), against its purchases."""
+    path = scratch_path(spark, f"items_{uuid.uuid4().hex}")
+    FI.write_table(_item_scores(spark, sf_dir, ranks=False).select("family_id", "item_id", "item_score"), path, partition_by=["family_id"])
+    truth = _holdout(spark, sf_dir, "item_id").filter(F.col("family_id") == LOOKUP_FAMILY)
+    stored = FI.stored_family(spark, path, LOOKUP_FAMILY)
+    return present(EV.family_metrics(stored, truth, K, score="item_score", ties=("item_id",), level="item_id").withColumn(
+        "family_id", F.col("family_id").cast("bigint")))
+
+
+@register("item_scores_from_stored", lambda: _items_select())
+def q_item_scores_from_stored(spark, sf_dir):
+    """Items under subcategory scores read from a stored table with the delivered column names."""
+    path = scratch_path(spark, f"subcats_{uuid.uuid4().hex}")
+    names = {"family_id": "nucleo", "subcat_id": "COD_SUBCATEGORIA", "score": "score_final"}
+    FI.write_table(_features(spark, sf_dir).select(*[F.col(k).alias(v) for k, v in names.items()]), path)
+    stored = FI.rename_present(FI.read_table(spark, path, fmt="parquet"), {v: k for k, v in names.items()})
+    return present(IT.item_scores(stored, _upto_ref(spark, sf_dir), REF).select(*ITEM_COLS))
+
+
+SCORED_COLS = ["prob", "repurchase", "popularity", "repurchase_scaled", "popularity_scaled", "item_score"]
+PAIR_COLS = ["recency", "frequency", "sow", "season", "cycle_days", "season_gap_mean", "season_gap_std"]
+PAIR_LONGS = ["days_since_last", "freq_lines", "sow_weighted_lines"]
+
+
+@register("scored_item_consolidation", lambda: f"""WITH {_ctes()}, {_items_sql()},
+    g AS (
+      SELECT family_id, item_id, day, subcat_id, sum(qty) AS qty, avg(list_price) AS list_price, avg(net_sales) AS net_sales,
+             avg(discount) AS discount, max(invoice_id) AS invoice_id, max(store_id) AS store_id, count(*) AS n_lines,
+             min(subcat_name) AS subcat_name, min(division) AS division
+      FROM (SELECT CASE WHEN item_id % 97 = 0 THEN NULL ELSE item_id END AS item_id, * EXCLUDE (item_id) FROM ihist) GROUP BY ALL),
+    n AS (SELECT family_id, item_id, subcat_id, count(*) AS item_days FROM g GROUP BY ALL)
+    SELECT g.family_id, g.item_id, strftime(g.day, '%Y-%m-%d') AS day, g.subcat_id, {r('g.qty')} AS qty, {r('g.list_price')} AS list_price,
+           {r('g.net_sales')} AS net_sales, {r('g.discount')} AS discount, g.invoice_id, g.store_id, CAST(g.n_lines AS BIGINT) AS n_lines,
+           g.subcat_name, g.division, CAST(n.item_days AS BIGINT) AS item_days, CAST(b.n_buys AS BIGINT) AS n_buys,
+           {', '.join(f"{r('i.' + c)} AS {c}" for c in SCORED_COLS)}, {', '.join(f"{r('s.' + c)} AS {c}" for c in PAIR_COLS)},
+           {', '.join(f"CAST(s.{c} AS BIGINT) AS {c}" for c in PAIR_LONGS)}
+    FROM g JOIN n ON g.family_id = n.family_id AND g.item_id IS NOT DISTINCT FROM n.item_id AND g.subcat_id = n.subcat_id
+    LEFT JOIN its3 i ON g.family_id = i.family_id AND g.item_id = i.item_id AND g.subcat_id = i.subcat_id
+    LEFT JOIN rep4 b ON i.family_id = b.family_id AND i.item_id = b.item_id
+    LEFT JOIN scored s ON g.family_id = s.family_id AND g.subcat_id = s.subcat_id""")
+def q_scored_item_consolidation(spark, sf_dir):
+    """D21 + A11: consolidated lines with scores, features and counts carried through; every 97th item is unknown, so null keys occur."""
+    lines = _hist(spark, sf_dir)
+    feats = _features(spark, sf_dir)
+    items = IT.item_scores(feats, lines, REF, ranks=False)
+    unknown = lines.withColumn("item_id", F.when(F.col("item_id") % 97 != 0, F.col("item_id")))
+    return present(IT.consolidate_scored_items(unknown, items, feats))
 
 
 EXPORT_FLOATS = ["prob", "repurchase", "popularity", "repurchase_scaled", "popularity_scaled", "item_score"]
@@ -888,7 +989,7 @@ def q_event_holdout_evaluation(spark, sf_dir):
     """E2 on the event log: top-3 event types per user against the last week."""
     feats = FE.pair_features(event_lines(spark, sf_dir, until=EVENTS_EVAL_REF), EVENTS_EVAL_REF)
     later = event_lines(spark, sf_dir, since=EVENTS_HOLDOUT[0], until=shift_days(EVENTS_HOLDOUT[1], 1))
-    truth = EV.truth_pairs(later, *EVENTS_HOLDOUT)
+    truth = EV.materialised(EV.truth_pairs(later, *EVENTS_HOLDOUT))
     return present(EV.holdout_evaluation(feats, truth, K))
 
 
@@ -906,51 +1007,30 @@ def q_pair_features_family_subset(spark, sf_dir):
     return present(out.select("family_id", "subcat_id", "score", "recency", "frequency"))
 
 
-ROUNDTRIP_COLS = ["family_id", "subcat_id", "recency", "frequency", "sow", "season", "score", "cycle_days",
-                  "days_since_last", "freq_lines", "season_gap_mean"]
+ROUNDTRIP_COLS = list(FI.FEATURE_TABLE_NAMES)
+ROUNDTRIP_LONGS = {"family_id", "subcat_id", "days_since_last", "freq_lines", "sow_weighted_lines", "season_threshold"}
+ROUNDTRIP_TEXT = {"gaps_days", "gaps_clipped_days", "season_series", "season_bits", "season_thinned", "season_peak_gaps"}
 
 
-@register("feature_table_roundtrip", lambda: f"""WITH {_ctes()}
-    SELECT family_id, subcat_id, {', '.join(
-        f"{r(c)} AS {c}" if c not in ('days_since_last', 'freq_lines') else f"CAST({c} AS BIGINT) AS {c}"
-        for c in ROUNDTRIP_COLS[2:])}
-    FROM scored""")
+@register("feature_table_roundtrip", lambda: f"""WITH pf AS ({_pf_sql()})
+    SELECT {', '.join(f"nullif({c}, '') AS {c}" if c in ROUNDTRIP_TEXT else c for c in ROUNDTRIP_COLS)} FROM pf""")
 def q_feature_table_roundtrip(spark, sf_dir):
     """S13/S14 + S15 + S7 + P2/P3: the feature table written as text under
     the reference's column names, converted to Parquet, read back with the
     conditional rename and the keep-existing projection."""
     feats = _features(spark, sf_dir)
     out_names = {k: v for k, v in FI.FEATURE_TABLE_NAMES.items() if k in feats.columns}
-    exported = feats.select(*[F.col(k).alias(v) for k, v in out_names.items()])
+    exported = FI.arrays_as_text(feats.select(*[F.col(k).alias(v) for k, v in out_names.items()]))
     base = scratch_path(spark, f"features_{uuid.uuid4().hex}")
     FI.write_table(exported, f"{base}/csv", fmt="csv")
     FI.convert(spark, f"{base}/csv", f"{base}/parquet", src_fmt="csv", dst_fmt="parquet")
     back = FI.read_table(spark, f"{base}/parquet", fmt="parquet")
     back = FI.rename_present(back, {v: k for k, v in out_names.items()})
     back = FI.select_present(back, ROUNDTRIP_COLS + ["not_in_table"])
-    typed = [F.col(c).cast("bigint" if c in ("family_id", "subcat_id", "days_since_last", "freq_lines") else "double")
-             .alias(c) for c in back.columns]
+    typed = [F.col(c).cast("bigint" if c in ROUNDTRIP_LONGS else "string" if c in ROUNDTRIP_TEXT else "double").alias(c) for c in back.columns]
     return present(back.select(*typed))
 
 
-@register("history_summary")
-def q_history_summary(spark, sf_dir):
-    """W9 + W7: epochs run, first/last losses and the final gap band."""
-    _, model = _trained(spark, sf_dir)
-    return present(DG.history_summary(MD.history_frame(spark, model)))
-
-
-@register("train_ranker_full")
-def q_train_ranker_full(spark, sf_dir):
-    """M7: production fit on every labelled pair (no split), early stopping on
-    the training loss; the epoch history."""
-    df = _labelled(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir, "full")
-    if key not in _TRAINED:
-        _TRAINED[key] = MD.train_ranker(spark, df, None)
-    return MD.history_frame(spark, _TRAINED[key])
-
-
 # === skew: three households, each holding about a third of all lines ===========================
 
 HOT_HOUSEHOLDS = 3
@@ -969,5 +1049,52 @@ def q_pair_features_hot_families(spark, sf_dir):
     SELECT family_id, item_id, CAST(item_rank AS BIGINT) AS item_rank, {r('item_score')} AS item_score FROM items""")
 def q_item_scores_hot_families(spark, sf_dir):
     """D20/D23 for three families of about a third of all lines each."""
-    items = IT.features_and_items(_hist(spark, sf_dir, HOT_HOUSEHOLDS), REF)[1]
+    items = _item_scores(spark, sf_dir, households=HOT_HOUSEHOLDS)
     return present(items.select("family_id", "item_id", "item_rank", "item_score"))
+
+
+# === sparse variants: one family per customer ====================================================
+
+LC = O.lines_sql(None)
+
+
+@register("holdout_evaluation_by_customer", lambda: f"""WITH {_ctes(lines=LC)}, {_truth_sql()},
+    preds AS (SELECT family_id, subcat_id, score, net_sales FROM scored),
+    {_eval_sql('preds', 'score', SUBCAT_TIES_SQL)}""")
+def q_holdout_evaluation_by_customer(spark, sf_dir):
+    """E2, one family per customer."""
+    feats = FE.pair_features(_hist(spark, sf_dir, None), REF)
+    return present(EV.holdout_evaluation(feats, _holdout(spark, sf_dir, households=None), K))
+
+
+@register("top_k_subcats_by_customer", lambda: f"""WITH {_ctes(lines=LC)}
+    SELECT family_id, subcat_id, {r('score')} AS score,
+           CAST(row_number() OVER (PARTITION BY family_id ORDER BY round(score, 12) DESC, {SUBCAT_TIES_SQL}) AS BIGINT) AS rank
+    FROM scored QUALIFY rank <= {K}""")
+def q_top_k_subcats_by_customer(spark, sf_dir):
+    """O4, one family per customer."""
+    top = RK.top_k(FE.pair_features(_hist(spark, sf_dir, None), REF), ["family_id"], "score", K, ["-net_sales", "subcat_id"])
+    return present(top.select("family_id", "subcat_id", "score", "rank"))
+
+
+@register("global_ordinal_by_customer", lambda: f"""WITH {_ctes(lines=LC)}
+    SELECT family_id, subcat_id, {r('score')} AS score,
+           CAST(row_number() OVER (ORDER BY round(score, 12) DESC, family_id, {SUBCAT_TIES_SQL}) - 1 AS BIGINT) AS top
+    FROM scored""")
+def q_global_ordinal_by_customer(spark, sf_dir):
+    """D26, one family per customer."""
+    feats = FE.pair_features(_hist(spark, sf_dir, None), REF)
+    return present(RK.global_ordinal(feats, "score", ["family_id", "-net_sales", "subcat_id"]).select("family_id", "subcat_id", "score", "top"))
+
+
+@register("item_scores_by_customer", lambda: _items_select().replace(L, LC))
+def q_item_scores_by_customer(spark, sf_dir):
+    """D20-D24, one family per customer."""
+    return present(_item_scores(spark, sf_dir, households=None).select(*ITEM_COLS))
+
+
+@register("stratified_split_by_customer", lambda: f"""WITH {_ctes(lines=LC)}, {_labels_sql()}
+    SELECT family_id, subcat_id, CAST(label AS BIGINT) AS label, split FROM splitted""")
+def q_stratified_split_by_customer(spark, sf_dir):
+    """M1, one family per customer."""
+    return present(MD.stratified_split(_labelled(spark, sf_dir, None)).select("family_id", "subcat_id", "label", "split"))

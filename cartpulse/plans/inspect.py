@@ -52,7 +52,6 @@ def main(argv: list[str]) -> None:
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     from cartpulse.plans.catalog import QUERIES
     from cartpulse.session import local_session
-    from cartpulse.sources import tables
 
     args = [a for a in argv if not a.startswith("--")]
     name = args[0]
@@ -61,7 +60,6 @@ def main(argv: list[str]) -> None:
     if "--shuffle-joins" in argv:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.adaptive.enabled", "false")
-        tables.spread = lambda df: df  # a large layout never needs the scan guard
     for k, v in summary(QUERIES[name](spark, sf_dir)).items():
         if isinstance(v, list):
             print(f"{k}:")

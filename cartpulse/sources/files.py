@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartpulse.functions import arrays as A
+
 # Column names of the raw history file and their canonical names (fixed values).
 RAW_COLUMNS = {
     "CODIGO_FAMILIA": "family_id",
@@ -51,6 +53,15 @@ FEATURE_TABLE_NAMES = {
     "season_cv": "Seasonality_CV",
     "season_gap_mean": "Seasonality_mean_indices_picos",
     "season_gap_std": "Seasonality_std_indices_picos",
+    "penalty_strength": "Ciclos_fuerza_castigo",
+    "penalty_mean": "Ciclos_media_castigo",
+    "penalty_std": "Ciclos_std_castigo",
+    "gaps_days": "Ciclos_diferencias",
+    "gaps_clipped_days": "Ciclos_diferencias_castigadas",
+    "season_series": "Seasonality_serie",
+    "season_bits": "Seasonality_bits",
+    "season_thinned": "Seasonality_bits_filtrados",
+    "season_peak_gaps": "Seasonality_indices_picos",
 }
 ID_COLUMNS = ["family_id", "subcat_id", "category_id", "unit_id", "item_id", "invoice_id", "store_id"]
 MEASURES = ["qty", "list_price", "net_sales", "discount"]
@@ -166,6 +177,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
         w.format(fmt).save(path)
 
 
+def arrays_as_text(df: DataFrame) -> DataFrame:
+    """Array columns joined by commas, for text formats that hold no arrays."""
+    cols = []
+    for f in df.schema.fields:
+        kind = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else None
+        text = A.join_doubles(f"`{f.name}`") if isinstance(kind, (T.DoubleType, T.FloatType)) else A.join_longs(f"`{f.name}`")
+        cols.append(A.col(text).alias(f.name) if kind is not None else F.col(f"`{f.name}`"))
+    return df.select(*cols)
+
+
+def stored_family(spark: SparkSession, path: str, family: int) -> DataFrame:
+    """One family of a result stored with ``partition_by=["family_id"]``: a partition-pruned read."""
+    return spark.read.parquet(path).filter(F.col("family_id") == family)
+
+
 def convert(spark: SparkSession, src: str, dst: str, src_fmt: str = "csv", dst_fmt: str = "parquet") -> None:
     """Convert a table between formats in one distributed job."""
     write_table(read_table(spark, src, src_fmt), dst, dst_fmt)

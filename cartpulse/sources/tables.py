@@ -38,24 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Scan parallelism guard for fact tables.
-
-    A fact table stored as a few large unsplittable files (one row group)
-    scans in a few tasks and serialises everything downstream of the scan up
-    to the first shuffle.  When the scan has fewer splits than the cluster
-    has cores, rows are dealt round-robin to ``defaultParallelism`` tasks.
-    On a real layout (thousands of files) the scan already has more splits
-    than cores and this adds nothing.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (Spark Connect): leave the plan as is
-        return df
-    return df.repartition(cores) if splits < cores else df
-
-
 def _ts_bound(day) -> F.Column:
     # the order date column is timestamp_ntz; comparing against a literal of
     # the same type keeps the predicate pushable into the Parquet scan
@@ -96,9 +78,8 @@ def purchase_lines(spark: SparkSession, sf_dir: str, households: int | None = 10
     * a date window (``since`` given: labels, holdout): orders first, so the
       date filter drops lines before the second join shuffles them.
     """
-    li = spread(table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"
-    ))
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
     orders = order_dates(spark, sf_dir, since, until)
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     family = F.col("o_custkey") if not households else F.col("o_custkey") % F.lit(households)
@@ -130,7 +111,6 @@ def event_lines(spark: SparkSession, sf_dir: str, since=None, until=None) -> Dat
         ev = ev.filter(F.col("ts") >= _ts_bound(since))
     if until is not None:
         ev = ev.filter(F.col("ts") < _ts_bound(until))
-    ev = spread(ev)
     return ev.select(
         F.col("user_id").cast("bigint").alias("family_id"),
         F.col("event_type").alias("subcat_id"),

@@ -5,16 +5,14 @@ import pytest
 from conftest import SF_SMALL
 from cartpulse.plans import catalog as C
 from cartpulse.plans.inspect import summary
-from cartpulse.sources import tables
 
 
 @pytest.fixture()
-def shuffle_joins(spark, monkeypatch):
-    """What a large layout gets: no broadcast joins, no scan guard."""
+def shuffle_joins(spark):
+    """What a large layout gets: no broadcast joins."""
     old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
-    monkeypatch.setattr(tables, "spread", lambda df: df)
     yield spark
     for k, v in old.items():
         spark.conf.set(k, v)
@@ -41,7 +39,7 @@ def test_item_aggregation_reuses_order_key_partitioning(shuffle_joins):
     from cartpulse.operators import items as IT
 
     lines = C._hist(shuffle_joins, SF_SMALL)
-    s = summary(IT.item_aggregates(lines, C.REF))
+    s = summary(IT.item_table(lines, C.REF))
     keys = " ".join(s["exchanges"])
     assert "invoice_id" not in keys  # level 1 reuses the order-key partitioning
     assert keys.count("l_orderkey") == 1 and keys.count("l_partkey") == 1  # the lines are read once
@@ -54,10 +52,28 @@ def test_top_k_plans_a_group_limit(spark):
     assert "WindowGroupLimit" in text
 
 
-def test_one_pass_item_table_reads_lines_once(shuffle_joins):
-    from cartpulse.operators import items as IT
+def lineitem_scans(df):
+    return sum("l_orderkey" in r for r in summary(df)["read_schemas"])
 
-    s = summary(IT.shared_item_table(C._hist(shuffle_joins, SF_SMALL), C.REF))
-    keys = " ".join(s["exchanges"])
-    assert "invoice_id" not in keys
-    assert keys.count("l_orderkey") == 1 and keys.count("l_partkey") == 1
+
+@pytest.mark.parametrize("name", ["holdout_evaluation", "cross_eval_precision", "all_family_metrics", "family_lookup", "division_metrics",
+                                  "hit_buckets", "model_comparison", "cutoff_matrix"])
+def test_evaluation_reads_the_lines_twice_at_most(spark, name):
+    assert lineitem_scans(C.QUERIES[name](spark, SF_SMALL)) <= 2
+
+
+def test_ranker_scoring_sends_only_the_features_to_python(spark):
+    from cartpulse.plans.inspect import formatted_plan
+
+    text = formatted_plan(C.QUERIES["score_fixed_ranker"](spark, SF_SMALL))
+    python = [x for x in text.splitlines() if "ArrowEvalPython" in x or "season_series" in x and "ArrowEvalPython" in x]
+    assert python and "season_series" not in text.split("ArrowEvalPython")[-1][:400]
+
+
+def test_stored_family_is_a_pruned_read(spark, tmp_path):
+    from cartpulse.plans.inspect import formatted_plan
+    from cartpulse.sources import files as FI
+
+    FI.write_table(spark.range(50).selectExpr("id % 5 AS family_id", "id AS item_id"), str(tmp_path / "t"), partition_by=["family_id"])
+    got = FI.stored_family(spark, str(tmp_path / "t"), 3)
+    assert got.count() == 10 and "PartitionFilters: [isnotnull(family_id" in formatted_plan(got)

@@ -58,42 +58,36 @@ def test_hits_bounded_by_k(spark):
     assert fm.filter("hits > 3 OR hits > n_truth").count() == 0
 
 
-def test_gradient_matches_finite_differences():
-    rng = np.random.default_rng(0)
-    ws = MD.init_weights(1)
-    x = rng.normal(size=(16, 4))
-    y = (rng.random(16) > 0.5).astype(float)
-    no_drop = (0.0, 0.0)
-    loss, g = MD._grad(ws, x, y, rng, dropout=no_drop)
-    flat = MD.flatten(ws)
-    gflat = MD.flatten(g)
-    eps = 1e-6
-    for idx in rng.choice(len(flat), 25, replace=False):
-        p = flat.copy(); p[idx] += eps
-        m = flat.copy(); m[idx] -= eps
-        lp = MD._grad(MD.unflatten(p), x, y, rng, dropout=no_drop)[0]
-        lm = MD._grad(MD.unflatten(m), x, y, rng, dropout=no_drop)[0]
-        assert (lp - lm) / (2 * eps) == pytest.approx(gflat[idx], rel=1e-3, abs=1e-7)
-
-
 def test_training_reduces_loss(spark):
-    df = MD.stratified_split(C._labelled(spark, SF_SMALL))
-    model = MD.train_ranker(spark, df.filter("split = 'train'"), df.filter("split = 'test'"), epochs=8,
-                            patience=50)
-    losses = [h["train_loss"] for h in model.history]
-    assert losses[-1] < losses[0]
-    scored = MD.score_ranker(df, model)
+    df = MD.stratified_split(C._labelled(spark, SF_MID))
+    model = MD.train_ranker(df.filter("split = 'train'"), max_iter=30)
+    assert model.objective[-1] < model.objective[0]
+    scored = model.score(df.filter("split = 'test'"))
     p = scored.agg(F.min("prob"), F.max("prob")).first()
     assert 0.0 <= p[0] <= p[1] <= 1.0
+    history = MD.history_frame(spark, model, df.filter("split = 'test'")).orderBy("epoch").collect()
+    assert history[-1]["val_loss"] > 0 and all(h["val_loss"] is None for h in history[:-1])
+
+
+def test_split_takes_a_fifth_of_each_class(spark):
+    rows = spark.range(1000).selectExpr("id AS family_id", "id % 7 AS subcat_id", "CAST(id % 10 = 0 AS INT) AS label")
+    counts = {(r["label"], r["split"]): r["count"] for r in MD.stratified_split(rows).groupBy("label", "split").count().collect()}
+    assert counts == {(0, "test"): 180, (0, "train"): 720, (1, "test"): 20, (1, "train"): 80}
+
+
+def test_items_without_id_and_in_two_subcategories(spark):
+    import datetime as dt
 
+    from cartpulse.operators import items as IT
 
-def test_data_parallel_training_path(spark):
-    df = MD.stratified_split(C._labelled(spark, SF_SMALL))
-    model = MD.train_ranker(spark, df.filter("split = 'train'"), df.filter("split = 'test'"), epochs=6,
-                            batch=8, min_batches=2, patience=50)
-    assert len(model.history) == 6
-    assert all(h["val_loss"] is not None for h in model.history)
-    assert model.history[-1]["train_loss"] < model.history[0]["train_loss"]
+    day = lambda n: dt.date(2025, 11, 30) - dt.timedelta(days=n)
+    rows = [(1, 10, None, 100 + i, day(5 * i + 1)) for i in range(8)] + [(1, 10, 7, 200, day(3)), (1, 10, 7, 201, day(40)), (1, 11, 7, 202, day(70)), (1, 11, 8, 202, day(70))]
+    lines = spark.createDataFrame(rows, "family_id long, subcat_id long, item_id long, invoice_id long, day date").withColumn("division", F.lit("A"))
+    got = {(r["subcat_id"], r["item_id"]): r for r in IT.item_aggregates(lines, dt.date(2025, 11, 30)).collect()}
+    assert set(got) == {(10, 7), (11, 7), (11, 8)}
+    assert [got[k]["n_buys"] for k in sorted(got)] == [3, 3, 1]
+    assert [got[k]["p30"] for k in sorted(got)] == [1, 1, 0] and [got[k]["p90"] for k in sorted(got)] == [3, 3, 1]
+    assert [(got[k]["item_invoices"], got[k]["subcat_invoices"], got[k]["subcat_items"]) for k in sorted(got)] == [(2, 10, 1), (1, 1, 2), (1, 1, 2)]
 
 
 def test_ranker_roundtrip(spark, tmp_path):
@@ -105,43 +99,24 @@ def test_ranker_roundtrip(spark, tmp_path):
     assert np.allclose(r.predict(x), back.predict(x))
 
 
-def test_distributed_rank_equals_window(spark):
-    from cartpulse.operators import items as IT
+def test_distributed_ranks_equal_windows(spark):
+    from pyspark.sql import Window
+
     from cartpulse.operators import rank as RK
 
-    lines = C._hist(spark, SF_SMALL)
-    feats = FE.pair_features(lines, C.REF)
-    plain = IT.item_scores(feats, lines, C.REF, max_group_rows=None)
-    split = IT.item_scores(feats, lines, C.REF, max_group_rows=5)  # every family takes the distributed path
-    cols = ["family_id", "item_id", "subcat_rank", "item_rank", "division_rank"]
-    a = sorted(tuple(r) for r in plain.select(*cols).collect())
-    b = sorted(tuple(r) for r in split.select(*cols).collect())
-    assert a == b
-    g = RK.global_ordinal(feats, "score", ["family_id", "-net_sales", "subcat_id"])
-    w = RK.rank_within(feats.withColumn("_all", F.lit(1)), ["_all"], "score", ["family_id", "-net_sales", "subcat_id"])
-    assert sorted((r["family_id"], r["subcat_id"], r["top"] + 1) for r in g.collect()) == \
-        sorted((r["family_id"], r["subcat_id"], r["rank"]) for r in w.collect())
-
-
-def test_one_pass_features_equal_direct_features(spark):
-    from cartpulse.operators import items as IT
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 1 ELSE id % 50 END AS family_id", "CASE WHEN id % 4 > 0 THEN id % 4 END AS division",
+                                        "(id * 7919) % 101 AS score", "id AS item_id")
+    got = RK.distributed_ranks(rows, ["family_id"], "score", ["item_id"], {"all": [], "own": ["division"]})
+    order = [F.col("score").desc(), F.col("item_id")]
+    want = rows.withColumns({"all": F.row_number().over(Window.partitionBy("family_id").orderBy(*order)),
+                             "own": F.row_number().over(Window.partitionBy("family_id", "division").orderBy(*order))})
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_cycles_over_two_years_of_blocks(spark):
+    import datetime as dt
 
-    lines = C._hist(spark, SF_MID)
-    direct = FE.pair_features(lines, C.REF)
-    shared, items = IT.features_and_items(lines, C.REF, ranks=False)
-    cols = [c for c in FE.FEATURE_COLUMNS]
-    a = {(r["family_id"], r["subcat_id"]): r for r in direct.select(*cols).collect()}
-    b = {(r["family_id"], r["subcat_id"]): r for r in shared.select(*cols).collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        for c in cols:
-            x, y = a[k][c], b[k][c]
-            if isinstance(x, float):
-                assert x == pytest.approx(y, rel=1e-9, abs=1e-12), (k, c)
-            else:
-                assert x == y, (k, c)
-    # and the item aggregates equal the dedicated item pass
-    direct_items = IT.item_aggregates(lines, C.REF).select("family_id", "item_id", "n_buys", "item_invoices",
-                                                            "subcat_invoices", "subcat_items", "last_year_lines", "p_long")
-    shared_items = IT.items_from_shared(IT.shared_item_table(lines, C.REF)).select(*direct_items.columns)
-    assert direct_items.exceptAll(shared_items).count() == 0 and shared_items.exceptAll(direct_items).count() == 0
+    lines = spark.createDataFrame([(1, 1, i, dt.date(2025, 11, 29) - dt.timedelta(days=28 * i), 1.0, 1.0, 1.0, 0.0) for i in range(26)],
+                                  "family_id long, subcat_id long, invoice_id long, day date, qty double, list_price double, net_sales double, discount double")
+    row = FE.purchase_cycles(lines, dt.date(2025, 11, 30), months=24).first()
+    assert row["cycle_days"] == pytest.approx(28.0) and row["gaps_days"] == [28] * 9
