@@ -441,7 +441,7 @@ def q_saved_ranker_scores(spark, sf_dir):
 HISTORY_SQL = """
     months AS (SELECT date_trunc('month', o_orderdate) AS m, avg(o_totalprice) AS a, avg(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END) AS b
                FROM orders GROUP BY 1),
-    history AS (SELECT row_number() OVER (ORDER BY m) AS epoch, round(a / 1e6, 9) AS train_loss, round(b / 1e6, 9) AS val_loss FROM months)"""
+    history AS (SELECT row_number() OVER (ORDER BY m) AS epoch, round(a / 1e6, 6) AS train_loss, round(b / 1e6, 6) AS val_loss FROM months)"""
 
 
 def _stored_history(spark, sf_dir):
@@ -451,7 +451,7 @@ def _stored_history(spark, sf_dir):
         F.avg("o_totalprice").alias("a"), F.avg(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice"))).alias("b"))
     numbered = RK.ordered_ranks(months, [], [F.col("m")], {"epoch": []})
     path = scratch_path(spark, f"history_{uuid.uuid4().hex}")
-    FI.write_table(numbered.select("epoch", F.round(F.col("a") / 1e6, 9).alias("train_loss"), F.round(F.col("b") / 1e6, 9).alias("val_loss")), path, fmt="csv")
+    FI.write_table(numbered.select("epoch", F.round(F.col("a") / 1e6, 6).alias("train_loss"), F.round(F.col("b") / 1e6, 6).alias("val_loss")), path, fmt="csv")
     return FI.read_table(spark, path, fmt="csv", schema="epoch long, train_loss double, val_loss double")
 
 
