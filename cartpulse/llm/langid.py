@@ -171,6 +171,22 @@ def mixture(logs: np.ndarray, count: np.ndarray, penalty: float = PENALTY, evide
     return out, posterior
 
 
+def judge(texts: pa.Array, languages: int, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, float]]:
+    """(row, share of every language, score) of each text, in order; no shares for a text without a letter."""
+    nothing = np.zeros(0)
+    for p in W.pieces(texts, BYTES, PIECE):
+        text, slot, count = grams(p)
+        cuts = np.searchsorted(text, np.arange(len(p.rows)))
+        for i in range(len(p.rows) - 1):
+            value = texts[p.first + i].as_py()
+            if not languages or value is None or not LETTER.search(value):
+                yield p.first + i, nothing, 0.0
+                continue
+            a, b = cuts[i], cuts[i + 1]
+            share, posterior = mixture(table[slot[a:b]], count[a:b].astype(np.float32))
+            yield p.first + i, share, min(1.0, float(share.max()) * posterior)
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """(doc_id, lang_pred, score, languages) for every row of ``docs``; languages maps each kept language to its share."""
     langs, table = model
@@ -179,28 +195,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            for p in W.pieces(texts, BYTES, PIECE):
-                n = len(p.rows) - 1
-                text, slot, count = grams(p)
-                cuts = np.searchsorted(text, np.arange(n + 1))
-                pred, score, shares = [], [], []
-                for i in range(n):
-                    value = texts[p.first + i].as_py()
-                    if not langs or value is None or not LETTER.search(value):
-                        pred.append("und")
-                        score.append(0.0)
-                        shares.append([])
-                        continue
-                    a, b = cuts[i], cuts[i + 1]
-                    share, posterior = mixture(sent.value[slot[a:b]], count[a:b].astype(np.float32))
-                    top = int(np.argmax(share))
-                    pred.append(langs[top])
-                    score.append(min(1.0, float(share[top]) * posterior))
-                    shares.append([(langs[j], float(share[j])) for j in np.flatnonzero(share)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(p.first, n), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, kind)],
-                    names=["doc_id", "lang_pred", "score", "languages"])
+            pred, score, shares = [], [], []
+            for _, share, value in judge(batch.column(1), len(langs), sent.value):
+                pred.append(langs[int(np.argmax(share))] if len(share) else "und")
+                score.append(value)
+                shares.append([(langs[j], float(share[j])) for j in np.flatnonzero(share)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, kind)],
+                names=["doc_id", "lang_pred", "score", "languages"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, languages map<string,double>")
@@ -221,16 +223,8 @@ def identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(len(batch), bool)
-            texts = batch.column(at)
-            for p in W.pieces(texts, BYTES, PIECE):
-                text, slot, count = grams(p)
-                cuts = np.searchsorted(text, np.arange(len(p.rows)))
-                for i in range(len(p.rows) - 1):
-                    value = texts[p.first + i].as_py()
-                    if langs and value is not None and LETTER.search(value):
-                        a, b = cuts[i], cuts[i + 1]
-                        share, posterior = mixture(sent.value[slot[a:b]], count[a:b].astype(np.float32))
-                        good[p.first + i] = float(share.max()) * posterior >= least
+            for row, share, score in judge(batch.column(at), len(langs), sent.value):
+                good[row] = len(share) > 0 and score >= least
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(keep, docs.schema)
