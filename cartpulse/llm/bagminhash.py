@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
+from .tables import broadcast_if_small
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -54,6 +55,8 @@ BANDS, ROWS = 28, 4
 SIGNATURE = BANDS * ROWS
 #: Bytes of text (both sides) whose bags are held at once in a comparison.
 SLICE_BYTES = 2 << 20
+#: doc_ids that are broadcast, counted before, to pick texts; more are shuffled.
+BROADCAST_IDS = 4_000_000
 
 
 def bag(piece: W.Piece, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,14 +178,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, sim) of the pairs (a, b) of doc_ids, checkpointed; repeated ids give the best similarity."""
-    texts = docs.select("doc_id", "text")
+    """(a, b, sim) of the distinct pairs (a, b) of doc_ids, checkpointed; several rows where an id is repeated.
+
+    Only the texts that some pair names are moved to the pairs.
+    """
+    pairs = pairs.checkpoint()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().checkpoint()
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi")
     rows = (
         pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
         .join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
         .select("a", "b", "ta", "tb")
     )
-    return rows.mapInArrow(_verify, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")).checkpoint()
+    return rows.mapInArrow(_verify, "a long, b long, sim double").checkpoint()
 
 
 def _mixed(bucket: DataFrame, label: DataFrame) -> DataFrame:
@@ -216,7 +224,8 @@ def prefixes(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     them has no row at all, so texts that share a passage and differ in the
     rest are told apart without looking at a pair.
     """
-    texts = docs.join(nodes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    ids = nodes.select(F.col("id").alias("doc_id")).distinct().checkpoint()
+    texts = docs.join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", "text")
     sets = texts.mapInArrow(_elements, "id long, elements array<long>").withColumns(
         {"n": F.size("elements"), "set": F.xxhash64("id", "elements")}).checkpoint()
     rows = sets.select("id", "set", "n", F.explode("elements").alias("e"))
@@ -264,16 +273,20 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
         pairs = prefix_pairs(rows, label, threshold, hubs_only).join(known.select("a", "b"), ["a", "b"], "left_anti")
         found = verified(pairs, docs)
         known = known.unionByName(found)
-        links = links.unionByName(found.filter(F.col("sim") >= threshold).select("a", "b"))
-        label = components(links)
+        fresh = found.filter(F.col("sim") >= threshold).select("a", "b")
+        links = links.unionByName(fresh)
+        if fresh.take(1):
+            label = components(links)
 
     # rows that repeat a doc_id under several texts tie those texts' classes together
     texts = signed.select("doc_id", "h1", "h2").join(nodes, ["h1", "h2"]).select("doc_id", "id")
     joined = texts.join(label, "id", "left").select("doc_id", F.coalesce("label", "id").alias("label"))
-    several = joined.groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-    merged = components(several.filter("a < b").select("a", "b").unionByName(
-        joined.join(several.filter("a < b").select("doc_id"), "doc_id").join(several.select("doc_id", "a"), "doc_id").select("a", F.col("label").alias("b"))))
-    final = several.join(merged, several["a"] == merged["id"], "left").select("doc_id", F.coalesce(merged["label"], several["a"]).alias("class_id"))
+    final = joined.groupBy("doc_id").agg(F.min("label").alias("class_id"), F.max("label").alias("last")).checkpoint()
+    torn = final.filter("class_id < last").select("doc_id", F.col("class_id").alias("a"))
+    if torn.take(1):
+        merged = components(joined.join(torn, "doc_id").select("a", F.col("label").alias("b")))
+        final = final.join(merged, F.col("class_id") == F.col("id"), "left").select("doc_id", F.coalesce("label", "class_id").alias("class_id"))
+    final = final.select("doc_id", "class_id")
     out = docs.select("doc_id").join(final, "doc_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
@@ -282,9 +295,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the first (smallest doc_id) of their class, one row for each
     doc_id; rows with null doc_id stay."""
     classes = near_duplicate_classes(docs)
-    gone = classes.filter("doc_id != class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = docs.select("doc_id").filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    gone = classes.filter("doc_id != class_id").select("doc_id").distinct().checkpoint()
+    kept = docs.join(broadcast_if_small(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    again = docs.select("doc_id").filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id").checkpoint()
+    if not again.take(1):
+        return kept
+    again = broadcast_if_small(again, BROADCAST_IDS)
     single = kept.join(again, "doc_id", "left_anti")
     twice = kept.join(again, "doc_id", "left_semi")
     cols = [c for c in docs.columns if c != "doc_id"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -23,21 +23,23 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         .filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("u") != F.col("v")))
         .distinct().checkpoint()
     )
-    mark = _mark(edges)
+    mark = None
     while True:
-        edges = _small_star(_large_star(edges)).checkpoint()
-        now = _mark(edges)
-        if now == mark:
+        edges, now = _written(_small_star(_large_star(edges)))
+        if now == mark or not now[0]:
             break
         mark = now
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
     return stars.unionByName(stars.select(F.col("label").alias("id"), "label").distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Same for the same set of edges (count and sum of their hashes)."""
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(20,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges checkpointed, and a value that is the same for the same set of edges (their count and
+    the sum of their hashes), gathered while they are written."""
+    seen = Observation()
+    h = F.xxhash64("u", "v").cast("decimal(38,0)")
+    out = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")).checkpoint()
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
