@@ -47,8 +47,8 @@ PENALTY = 2.0
 #: n-grams overlap and repeat, so a text counts as this share of its n-grams when evidence is weighed.
 EVIDENCE = 0.05
 PIECE = 1 << 18
-#: A text under this score is rejected; a text split evenly between two languages scores 0.5.
-LEAST_SCORE = 0.3
+#: A text under this score is rejected; a text split evenly between two languages scores 0.25 or more.
+LEAST_SCORE = 0.2
 LETTER = regex.compile(r"\p{L}")
 
 
