@@ -7,10 +7,14 @@ patterns.  Candidates are other tokens that mix digits into at least
 LEAST_CHARS characters.  Patterns and instances (distinct values) form a graph that
 is scored in rounds:
 
-* a pattern's score is the confidence of its instances over their number + 1,
-  if at least LEAST_SUPPORT of them are confident;
+* a pattern's score is the confidence of its confident instances over the number
+  of all its instances + 1, if at least LEAST_SUPPORT of them are confident;
 * a candidate's confidence is 1 - product of (1 - score) over its patterns, and
-  candidates of ACCEPT or more count as confident in the next round.
+  candidates of ACCEPT or more count as confident in the next round, also for
+  patterns without any seed.
+
+More confident instances only raise scores, so confidences never fall; the rounds
+end when no value is newly accepted and no accepted one gains more than SETTLED.
 
 Every round is two grouped joins over distinct (pattern, instance) edges, so a
 pattern that a third of all seeds share costs one partial sum for each task.
@@ -52,7 +56,7 @@ LEAST_CHARS = 8
 LEAST_DIGITS = 2
 LEAST_SUPPORT = 5
 ACCEPT = 0.8
-ROUNDS = 3
+SETTLED = 1e-6
 
 
 def spans(text: Column, pattern: str, gate: Column) -> Column:
@@ -133,23 +137,26 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "h", "base", F.concat(seeds, candidates).alias("near"))
 
 
-def bootstrap(near: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(near: DataFrame) -> DataFrame:
     """(value, seed, patterns) rows to accepted candidate values with their confidence."""
     instances = near.groupBy("value").agg(F.max("seed").alias("seed")).withColumn("conf", F.col("seed").cast("double")).checkpoint()
     edges = (
         near.select("value", F.explode("patterns").alias("pattern")).filter("length(pattern) > 3").distinct()
     )
-    # patterns of candidates only can never score
-    useful = edges.join(instances.filter("seed").select("value"), "value").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_SUPPORT).select("pattern")
+    # a pattern with fewer instances can never have LEAST_SUPPORT confident ones
+    useful = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_SUPPORT).select("pattern")
     edges = edges.join(useful, "pattern").checkpoint()
-    for _ in range(rounds):
-        scored = edges.join(instances, "value").groupBy("pattern").agg(
-            F.sum(F.when(F.col("conf") >= ACCEPT, F.col("conf")).otherwise(0)).alias("f"), F.count(F.lit(1)).alias("n"))
-        scored = scored.filter(F.col("f") >= LEAST_SUPPORT).select("pattern", (F.col("f") / (F.col("n") + 1)).alias("score"))
+    sure, gain = F.col("conf") >= ACCEPT, 1.0
+    while gain > SETTLED:
+        scored = edges.join(instances.select("value", "conf"), "value").groupBy("pattern").agg(
+            F.sum(F.when(sure, F.col("conf")).otherwise(0)).alias("f"), F.count_if(sure).alias("support"), F.count(F.lit(1)).alias("n"))
+        scored = scored.filter(F.col("support") >= LEAST_SUPPORT).select("pattern", (F.col("f") / (F.col("n") + 1)).alias("score"))
         better = edges.join(scored, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("new"))
+        before = F.when(sure, F.col("conf")).otherwise(0.0)
         instances = instances.join(better, "value", "left").select(
-            "value", "seed", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("new", F.lit(0.0))).alias("conf")).checkpoint()
-    return instances.filter((~F.col("seed")) & (F.col("conf") >= ACCEPT)).select("value", "conf")
+            "value", "seed", before.alias("before"), F.greatest("conf", F.coalesce("new", F.lit(0.0))).alias("conf")).checkpoint()
+        gain = instances.filter(sure).agg(F.max(F.col("conf") - F.col("before"))).first()[0] or 0.0
+    return instances.filter((~F.col("seed")) & sure).select("value", "conf")
 
 
 def _listed(spans_column: str, names: Column) -> Column:

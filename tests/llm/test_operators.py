@@ -449,6 +449,19 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert got[100] == "id:23:34" and got[101] == "" and got[3].startswith("email:")
 
 
+def test_found_identifiers_lead_to_further_identifiers(spark):
+    ready(spark)
+    rows = [(i, f"please write to member p{i}@site{i}.org today thanks") for i in range(30)]
+    rows += [(100 + i, f"please write to member QX{i}0-7Z-00 today thanks") for i in range(8)]
+    # the identifiers of a step stand in its context and, found, open that of the next; no seed stands there
+    for step in range(6):
+        rows += [(1000 * (step + 1) + i, f"left{step} mark{step} QX{i}0-7Z-{step}{step} right{step}") for i in range(8)]
+        rows += [(1000 * (step + 1) + 100 + i, f"left{step} mark{step} QX{i}0-7Z-{step + 1}{step + 1} right{step}") for i in range(8)]
+    rows += [(9000, "we shipped version 2.0.1-beta9 quietly yesterday")]
+    got = {r["doc_id"]: r["n_found"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(100 <= i < 9000) for i, _ in rows}
+
+
 # pipeline
 
 
