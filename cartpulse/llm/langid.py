@@ -14,12 +14,20 @@ language) is kept.  Where even all languages together cannot beat the best
 single one, the sets between are not fitted.  The prediction is the language with the largest share,
 ties to the smaller name; the score is that share times the posterior of the
 language in the first place (how far the best single language stands above the
-others, tempered by the repetition of n-grams), so short or foreign texts score
-low.
-
-Defined cases.  A null text or one without any letter (Unicode category L) is
-``und`` with score 0 and has no shares.  Training ignores null texts and null
-languages.  Without any training row every document is ``und``.  Repeated rows
+others, tempered by the repetition of n-grams), so short texts score low.
+
+The score compares languages with each other; whether any of them explains the
+text at all is decided apart.  A text's fit is its mean gain per n-gram: the
+log-likelihood under its mixture over that of a background where every slot is
+equally likely, plus the entropy of the shares (a mixture does not know the
+language of an n-gram), plus SLACK standard errors of that mean.  The bar is the
+fit that all but REJECTED of the training rows reach, each judged by the counts
+of the others.  Texts under the bar are ``und``: garbled, or in no learned
+language.  With fewer than 1 / REJECTED training rows the bar is their least fit.
+
+Defined cases.  A null text, one without any letter (Unicode category L) or one
+under the bar is ``und`` with score 0 and has no shares.  Training ignores null
+texts and null languages.  Without any training row every document is ``und``.  Repeated rows
 count as often as they occur.  An empty table gives an empty result.  Columns
 other than doc_id, text and (for training) lang are ignored.
 """
@@ -27,6 +35,7 @@ other than doc_id, text and (for training) lang are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +56,12 @@ PENALTY = 2.0
 #: n-grams overlap and repeat, so a text counts as this share of its n-grams when evidence is weighed.
 EVIDENCE = 0.05
 PIECE = 1 << 18
-#: A text under this score is rejected; a text split evenly between two languages scores 0.25 or more.
-LEAST_SCORE = 0.2
+#: The score rejects nothing; texts that no language explains have no shares.
+LEAST_SCORE = 0.0
+SLACK = 3.0
+#: The share of the training rows that may lie under the bar, and the width of the bins their fits are counted in.
+REJECTED = 1e-4
+BIN = 0.01
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -113,11 +126,22 @@ def _flush(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots), pa.string()), pa.array(slots), pa.array(n[slots])], names=["lang", "slot", "n"])
 
 
-def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their log-likelihoods (slots x languages, less the largest of each slot) from (lang, text) rows."""
+class Model(NamedTuple):
+    """Languages in order, their log-likelihoods (slots x languages) less the largest of each slot,
+    that largest one over the background's, the n-grams of each language (smoothed), and the least fit that is accepted."""
+
+    langs: list[str]
+    table: np.ndarray
+    base: np.ndarray
+    total: np.ndarray
+    bar: float = -np.inf
+
+
+def train(rows: DataFrame) -> Model:
+    """The model of (lang, text) rows."""
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = (
-        rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-        .mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).checkpoint()
+        rows.mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).checkpoint()
     )
     langs = [r[0] for r in counts.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(langs) > MAX_LANGUAGES:
@@ -128,8 +152,54 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
         place = {x: i for i, x in enumerate(langs)}
         at = np.array([place[x] for x in got["lang"].to_pylist()], np.int64)
         table[got["slot"].to_numpy(), at] += got["n"].to_numpy()
-    logs = np.log(table / table.sum(axis=0))
-    return langs, (logs - logs.max(axis=1, keepdims=True)).astype(np.float32)
+    total = table.sum(axis=0)
+    logs = np.log(table / total)
+    top = logs.max(axis=1, keepdims=True)
+    model = Model(langs, (logs - top).astype(np.float32), (top[:, 0] + np.log(len(logs))).astype(np.float32), total)
+    return model._replace(bar=_bar(rows, model)) if langs else model
+
+
+def _without(model: Model, slot: np.ndarray, count: np.ndarray, own: int) -> np.ndarray:
+    """Log-likelihoods (slots x languages, relative) of a training text's slots without its own counts in its language."""
+    logs = model.table[slot]
+    seen = np.exp(logs[:, own] + model.base[slot].astype(np.float64)) / len(model.table) * model.total[own]
+    rest = np.maximum(seen - count, SMOOTHING) / max(model.total[own] - count.sum(), SMOOTHING * len(model.table))
+    logs[:, own] = np.log(rest * len(model.table)) - model.base[slot]
+    return logs
+
+
+def fitness(logs: np.ndarray, base: np.ndarray, count: np.ndarray, share: np.ndarray) -> float:
+    """Mean gain of a text's mixture over the background per n-gram, with the entropy of the shares and SLACK standard errors."""
+    n = float(count.sum())
+    gain = np.log(np.exp(logs.astype(np.float64)) @ share) + base
+    mean = float(count @ gain) / n
+    error = np.sqrt(max(float(count @ (gain - mean) ** 2), 0.0)) / n
+    some = share[share > 0]
+    return mean - float(some @ np.log(some)) + SLACK * error
+
+
+def _bar(rows: DataFrame, model: Model) -> float:
+    """The fit that all but REJECTED of the training rows with a letter reach, rounded down to a bin."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        place = {x: i for i, x in enumerate(own.langs)}
+        for batch in batches:
+            at = []
+            langs = batch.column(0).to_pylist()
+            for row, slot, count in _bags(batch.column(1)):
+                if slot is not None:
+                    logs = _without(own, slot, count, place[langs[row]])
+                    at.append(int(np.floor(fitness(logs, own.base[slot], count, mixture(logs, count)[0]) / BIN)))
+            bins, n = np.unique(np.array(at, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), pa.array(n, pa.int64())], names=["at", "n"])
+
+    got = rows.mapInArrow(fits, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toArrow()
+    if not got.num_rows:
+        return -np.inf
+    upto = np.cumsum(got["n"].to_numpy())
+    return float(got["at"].to_numpy()[np.searchsorted(upto, int(REJECTED * upto[-1]), side="right")] * BIN)
 
 
 def _shares(like: np.ndarray, count: np.ndarray, share: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float]:
@@ -171,32 +241,45 @@ def mixture(logs: np.ndarray, count: np.ndarray, penalty: float = PENALTY, evide
     return out, posterior
 
 
-def judge(texts: pa.Array, languages: int, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, float]]:
-    """(row, share of every language, score) of each text, in order; no shares for a text without a letter."""
-    nothing = np.zeros(0)
+def _bags(texts: pa.Array) -> Iterator[tuple[int, np.ndarray | None, np.ndarray | None]]:
+    """(row, slots, counts) of each text, in order; None for a text without a letter."""
     for p in W.pieces(texts, BYTES, PIECE):
         text, slot, count = grams(p)
         cuts = np.searchsorted(text, np.arange(len(p.rows)))
         for i in range(len(p.rows) - 1):
             value = texts[p.first + i].as_py()
-            if not languages or value is None or not LETTER.search(value):
-                yield p.first + i, nothing, 0.0
+            if value is None or not LETTER.search(value):
+                yield p.first + i, None, None
                 continue
             a, b = cuts[i], cuts[i + 1]
-            share, posterior = mixture(table[slot[a:b]], count[a:b].astype(np.float32))
-            yield p.first + i, share, min(1.0, float(share.max()) * posterior)
+            yield p.first + i, slot[a:b], count[a:b].astype(np.float32)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def judge(texts: pa.Array, model: Model) -> Iterator[tuple[int, np.ndarray, float]]:
+    """(row, share of every language, score) of each text, in order; no shares for a text without a letter or under the bar."""
+    nothing = np.zeros(0)
+    for row, slot, count in _bags(texts):
+        if not model.langs or slot is None:
+            yield row, nothing, 0.0
+            continue
+        logs = model.table[slot]
+        share, posterior = mixture(logs, count)
+        if fitness(logs, model.base[slot], count, share) < model.bar:
+            yield row, nothing, 0.0
+            continue
+        yield row, share, min(1.0, float(share.max()) * posterior)
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, languages) for every row of ``docs``; languages maps each kept language to its share."""
-    langs, table = model
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    langs = model.langs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.map_(pa.string(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pred, score, shares = [], [], []
-            for _, share, value in judge(batch.column(1), len(langs), sent.value):
+            for _, share, value in judge(batch.column(1), sent.value):
                 pred.append(langs[int(np.argmax(share))] if len(share) else "und")
                 score.append(value)
                 shares.append([(langs[j], float(share[j])) for j in np.flatnonzero(share)])
@@ -214,17 +297,16 @@ def predictions(docs: DataFrame) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
 
 
-def identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with a score of ``least`` or more; rows never leave their partition."""
-    langs, table = train(docs.filter(~held_out(F.col("doc_id"))).select("lang", "text"))
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+def identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text a learned language or a mixture of them explains; rows never leave their partition."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~held_out(F.col("doc_id"))).select("lang", "text")))
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(len(batch), bool)
-            for row, share, score in judge(batch.column(at), len(langs), sent.value):
-                good[row] = len(share) > 0 and score >= least
+            for row, share, _ in judge(batch.column(at), sent.value):
+                good[row] = len(share) > 0
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(keep, docs.schema)

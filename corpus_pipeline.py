@@ -6,7 +6,7 @@ Between the stages the rows are written to the shared folder and read again, so
 a lost executor costs no more than the stage it worked on.
 
 * language_id: documents whose language is not recognised go (no letter, null
-  text, or a score under 0.2: no language explains the text).
+  text, or a fit under that of nearly all training rows: no language explains the text).
 * near_duplicates: of each class of near-duplicates the smallest doc_id stays.
 * decontamination: documents that hold a benchmark window go.
 * mixture: documents stay whole and appear as often as the mix takes them

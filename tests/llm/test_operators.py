@@ -185,6 +185,22 @@ def test_mixture_of_two_languages(spark):
     assert set(got[2]) == {"fr"}
 
 
+def test_foreign_and_garbled_texts_are_rejected_and_mixtures_kept(spark):
+    docs = table(spark, SF_MID, "documents")
+    by = {r["lang"]: r["text"] for r in docs.filter("length(text) BETWEEN 2000 AND 3000").collect()}
+    letters = list("".join(by.values())[:2000])
+    np.random.default_rng(1).shuffle(letters)
+    texts = ["Litwo Ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił " * 5, "".join(letters), "xq zv wk qj " * 40,
+             *by.values(), " ".join(by[x][:600] for x in sorted(by)), " ".join(by[x][:900] for x in sorted(by)[:3]), by["en"][:1500] + " " + by["de"][:1500]]
+    more = spark.createDataFrame([(5 * 10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    both = docs.select("doc_id", "text", "lang").unionByName(more, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in langid.identified(both).select("doc_id").collect()}
+    assert [i - 5 * 10**6 for i in sorted(kept) if i >= 5 * 10**6] == list(range(3, len(texts)))
+    assert len(kept) >= 0.99 * docs.filter("text IS NOT NULL").count()
+    got = {r["doc_id"]: r for r in langid.predictions(both).filter("doc_id >= 5000000").collect()}
+    assert all((r["lang_pred"] == "und", r["score"] == 0, r["languages"] == {}) == (i not in kept,) * 3 for i, r in got.items())
+
+
 def test_language_of_odd_rows(odd, none):
     rows = langid.predictions(odd).collect()
     assert len(rows) == odd.count()
