@@ -9,7 +9,8 @@ precision).
 
 The index is sharded: every vector goes by hash of vec_id to one of the blocks
 of about BLOCK_ROWS vectors, each block holds the forest of its own vectors, and
-queries, in blocks of about QUERY_ROWS, visit every block.  A task holds one
+queries, in blocks of about QUERY_ROWS, visit every block.  Rows that repeat a
+vec_id are reduced to one before blocks are counted, so a task holds one
 block of vectors, its trees and one block of queries, whatever the data; a
 block's answer is a query's k best, and the k best of all blocks are its result.
 
@@ -98,9 +99,9 @@ class Forest:
 
 
 def _usable(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and their vectors, in order of id."""
-    frame = frame.assign(key=[tuple(v) for v in frame["vector"]]).sort_values(["vec_id", "key"]).drop_duplicates("vec_id")
-    return frame["vec_id"].to_numpy(np.int64), np.array(frame["key"].tolist(), float)
+    """Ids and their vectors, in order of id."""
+    frame = frame.sort_values("vec_id")
+    return frame["vec_id"].to_numpy(np.int64), np.array(frame["vector"].tolist(), float)
 
 
 def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, share: float = SHARE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -108,10 +109,10 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, share: float = S
     vector = F.transform("embedding", lambda x: x.cast("double"))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).filter("vec_id IS NOT NULL AND size(vector) > 0")
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = rows.filter(fine).withColumn("dim", F.size("vector")).checkpoint()
+    # one row for each id before the blocks are counted and built; repeats are reduced where they are read
+    rows = rows.filter(fine).withColumn("dim", F.size("vector")).groupBy("dim", "vec_id").agg(F.min("vector").alias("vector")).checkpoint()
     n = rows.count()
     blocks, parts = max(1, -(-n // block_rows)), max(1, -(-n // (every * query_rows)))
-    # hash blocks: an id, and so every repeat of it, lies in one block
     base = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     asked = rows.filter(F.col("vec_id") % every == 0).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))

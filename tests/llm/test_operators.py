@@ -17,6 +17,7 @@ from cartpulse.llm import bagminhash, catalog, components, decontaminate, forest
 from cartpulse.llm import words as W
 from cartpulse.llm.tables import prefix_sums, ready, table
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 LONG = " ".join(f"w{i % 97}x{i}" for i in range(12000))
 
@@ -423,6 +424,29 @@ def test_forest_of_odd_vectors(spark):
     assert forest.nearest(vectors.filter("false")).count() == 0
 
 
+def test_repeats_of_a_vector_reach_no_block(spark, monkeypatch):
+    ready(spark)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(1, 101)] + [(50, rng.standard_normal(8).tolist()) for _ in range(2000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    least = min(v for i, v in rows if i == 50)
+    want = spark.createDataFrame([r for r in rows if r[0] != 50] + [(50, least)], vectors.schema)
+    want = [tuple(r) for r in forest.nearest(want).orderBy("query_id", "rank").collect()]
+    handed, apply = spark.sparkContext.accumulator(0), PandasCogroupedOps.applyInPandas
+
+    def counted(self, func, schema):
+        def count(own, queries):
+            handed.add(len(own))
+            return func(own, queries)
+
+        return apply(self, count, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", counted)
+    got = forest.nearest(vectors)
+    assert [tuple(r) for r in got.coalesce(1).sortWithinPartitions("query_id", "rank").collect()] == want
+    assert handed.value == 100
+
+
 # op10
 
 PATTERNS = {
