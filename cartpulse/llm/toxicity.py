@@ -4,8 +4,11 @@ Features of a text are its distinct words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F
 after lower-casing A-Z) and their first 4, 5 and 6 bytes, as 64-bit hashes.
 
 1. Voters.  Lexicons (general insults of four languages), patterns over their
-   hits (several, several different, a share of the words) and learned voters:
-   the features most over-represented in training rows labelled toxic.  A voter
+   hits (several, several different, a share of the words) and learned voters.
+   Every feature of the training rows is counted in both classes in Spark.  Those
+   over-represented in rows labelled toxic are marked: the LEARNED_VOTERS
+   strongest are voters of their own, and all marked features vote in groups of
+   like strength (Z_BOUNDS).  A voter
    fires or not.  A training row's own label is one more voter, since labels
    err too.
 2. Label model.  Expectation-maximisation over the votes of all documents that
@@ -15,7 +18,8 @@ after lower-casing A-Z) and their first 4, 5 and 6 bytes, as 64-bit hashes.
    divided by 1 + the sum of its correlations, so a word and its stem do not
    count twice.  Documents with equal votes are one row with a count; each
    round is one Spark aggregation whose result does not grow with the data.
-3. Classifier.  Logistic regression on CLASSIFIER_FEATURES features, fitted by
+3. Classifier.  Logistic regression on the CLASSIFIER_FEATURES strongest features
+   and the groups, which cover every marked feature, fitted by
    Newton steps to the posterior labels of at most SAMPLE_ROWS labelled
    training rows (the smallest md5 of their doc_id).  This bounded sample is the
    only one; all counts, voters and the label model cover all training rows.
@@ -50,8 +54,9 @@ LEXICONS = {
     "es": "idiota estúpido estúpida imbécil basura patético asqueroso inútil tonto perdedor escoria payaso",
 }
 PREFIXES = (4, 5, 6)
-#: Features of toxic training rows that are counted in both classes; the most frequent ones.
-COUNTED_FEATURES = 1 << 16
+#: Marked features are grouped by how far the rates stand apart; those without a weight of their own have that of their group.
+Z_BOUNDS = (2.0, 2.5, 3.0, 4.0, 6.0, 9.0, 14.0)
+GROUPS = len(Z_BOUNDS) + 1
 LEARNED_VOTERS = 40
 LEAST_SUPPORT = 5
 CLASSIFIER_FEATURES = 256
@@ -95,51 +100,58 @@ def find(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, at[hit]
 
 
-def _toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic) to (feature, clean, toxic): texts of each class that hold the feature."""
     for batch in batches:
+        label = batch.column(1).to_numpy()
         for p in W.pieces(batch.column(0), W.ALNUM):
-            h, n = np.unique(features(p)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(W.signed(h)), pa.array(n)], names=["feature", "n"])
+            text, h = features(p)
+            known, at = np.unique(h, return_inverse=True)
+            toxic = np.bincount(at[label[p.first + text] == 1], minlength=len(known))
+            clean = np.bincount(at, minlength=len(known)) - toxic
+            yield pa.RecordBatch.from_arrays([pa.array(W.signed(known)), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], names=["feature", "clean", "toxic"])
 
 
-def weigh(train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, rows with each in clean and toxic training rows as two columns, rows of each class), most frequent in toxic rows."""
-    top = (
-        train.filter("toxic = 1").select("text").mapInArrow(_toxic_features, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= LEAST_SUPPORT).orderBy(F.desc("n"), "feature").limit(COUNTED_FEATURES).toArrow()
-    )
-    known = np.sort(top["feature"].to_numpy().view(W.U)) if top.num_rows else np.zeros(0, W.U)
-    sent = train.sparkSession.sparkContext.broadcast(known)
+class Groups:
+    """All marked features, sorted, and the group (from 0) of each."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, len(sent.value) + 1), np.int64)  # the last column counts rows
-        for batch in batches:
-            label = batch.column(1).to_numpy()
-            for p in W.pieces(batch.column(0), W.ALNUM):
-                text, h = features(p)
-                hit, which = find(sent.value, h)
-                np.add.at(seen, (label[p.first + text[hit]], which), 1)
-                seen[:, -1] += np.bincount(label[p.first : p.first + len(p.bounds) - 1], minlength=2)
-        y, at = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(at), pa.array(seen[y, at])], names=["toxic", "at", "n"])
-
-    got = train.select("text", "toxic").mapInArrow(count, "toxic long, at long, n long").groupBy("toxic", "at").agg(F.sum("n").alias("n")).toArrow()
-    seen = np.zeros((len(known) + 1, 2))
-    seen[got["at"].to_numpy(), got["toxic"].to_numpy()] = got["n"].to_numpy()
-    return known, seen[:-1], seen[-1]
-
-
-def choose(known: np.ndarray, seen: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(voters, classifier features), both sorted: by how far the rates in the two classes stand apart."""
-    if not len(known) or rows.min() == 0:
-        return np.zeros(0, W.U), np.zeros(0, W.U)
-    rate = (seen + 0.5) / (rows + 1)
-    z = (rate[:, 1] - rate[:, 0]) / np.sqrt(rate[:, 1] * (1 - rate[:, 1]) / rows[1] + rate[:, 0] * (1 - rate[:, 0]) / rows[0])
-    marked = (seen[:, 1] >= LEAST_SUPPORT) & (np.log(rate[:, 1] / rate[:, 0]) > 1.5)
-    order = np.argsort(-np.where(marked, z, -np.inf), kind="stable")
-    voters = np.sort(known[order[: min(LEARNED_VOTERS, int(marked.sum()))]])
-    strong = np.argsort(-np.abs(z) - 1e6 * marked, kind="stable")[:CLASSIFIER_FEATURES]
-    return voters, np.sort(known[strong])
+    def __init__(self, known: np.ndarray, group: np.ndarray) -> None:
+        order = np.argsort(known)
+        self.known, self.group = known[order], group[order].astype(np.int8)
+
+    def of(self, n: int, text: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Groups that occur in each text as a boolean matrix (texts x GROUPS)."""
+        out = np.zeros((n, GROUPS), bool)
+        hit, which = find(self.known, h)
+        out[text[hit], self.group[which]] = True
+        return out
+
+
+def weigh(train: DataFrame) -> DataFrame | None:
+    """(feature, z, marked) of every feature of LEAST_SUPPORT or more toxic training rows; z: how far its rates in the two classes stand apart."""
+    rows = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
+    if len(rows) < 2:
+        return None
+    counts = train.select("text", "toxic").mapInArrow(_class_counts, "feature long, clean long, toxic long").groupBy("feature").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= LEAST_SUPPORT)
+    yes, no = (F.col("toxic") + 0.5) / (rows[1] + 1), (F.col("clean") + 0.5) / (rows[0] + 1)
+    z = (yes - no) / F.sqrt(yes * (1 - yes) / rows[1] + no * (1 - no) / rows[0])
+    return counts.select("feature", z.alias("z"), (F.log(yes / no) > 1.5).alias("marked")).checkpoint()
+
+
+def choose(weighed: DataFrame | None) -> tuple[np.ndarray, np.ndarray, Groups]:
+    """(voters, classifier features), both sorted, and the groups of all marked features."""
+    if weighed is None:
+        return np.zeros(0, W.U), np.zeros(0, W.U), Groups(np.zeros(0, W.U), np.zeros(0))
+
+    def known(top: DataFrame) -> np.ndarray:
+        return np.sort(top.toArrow()["feature"].to_numpy().view(W.U))
+
+    voters = weighed.filter("marked").orderBy(F.desc("z"), "feature").limit(LEARNED_VOTERS).select("feature")
+    strong = weighed.orderBy(F.desc("marked"), F.desc(F.abs("z")), "feature").limit(CLASSIFIER_FEATURES).select("feature")
+    marked = weighed.filter("marked").select("feature", "z").toArrow()
+    groups = Groups(marked["feature"].to_numpy().view(W.U), np.searchsorted(Z_BOUNDS, marked["z"].to_numpy(), side="right"))
+    return known(voters), known(strong), groups
 
 
 class Votes:
@@ -147,10 +159,10 @@ class Votes:
 
     PATTERNS = 3
 
-    def __init__(self, learned: np.ndarray) -> None:
-        self.learned = learned
+    def __init__(self, learned: np.ndarray, groups: Groups) -> None:
+        self.learned, self.groups = learned, groups
         self.lexicons = [np.sort(_hashes(w)) for w in LEXICONS.values()]
-        self.count = len(learned) + len(self.lexicons) + self.PATTERNS
+        self.count = len(learned) + len(self.lexicons) + GROUPS + self.PATTERNS
 
     def of(self, p: W.Piece, text: np.ndarray, h: np.ndarray) -> np.ndarray:
         n = len(p.bounds) - 1
@@ -164,6 +176,7 @@ class Votes:
             out[word_text[found], len(self.learned) + i] = True
             hits = np.maximum(hits, np.bincount(word_text[found], minlength=n))
             kinds = np.maximum(kinds, np.bincount(text[find(lexicon, h)[0]], minlength=n))
+        out[:, -self.PATTERNS - GROUPS : -self.PATTERNS] = self.groups.of(n, text, h)
         out[:, -3] = hits >= 2
         out[:, -2] = kinds >= 2
         out[:, -1] = hits * 100 >= np.maximum(np.diff(p.bounds), 1)
@@ -268,11 +281,11 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = broadcast_if_small(marks.filter(~held_out(F.col("doc_id"))).checkpoint(), BROADCAST_LABELS)
     open_rows = docs.filter(~held_out(F.col("doc_id")))
     train = open_rows.join(marks, "doc_id")
-    known, seen, rows = weigh(train)
-    learned, chosen = choose(known, seen, rows)
-    votes = Votes(learned)
+    learned, chosen, groups = choose(weigh(train))
+    votes = Votes(learned, groups)
     if not len(chosen):
         chosen = np.unique(np.concatenate(votes.lexicons))
+    width = len(chosen) + GROUPS
     sent = sc.broadcast((votes, chosen))
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,8 +297,9 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 text, h = features(p)
                 fired = sent.value[0].of(p, text, h)
                 hit, which = find(sent.value[1], h)
-                has = np.zeros((n, len(sent.value[1])), bool)
+                has = np.zeros((n, width), bool)
                 has[text[hit], which] = True
+                has[:, -GROUPS:] = sent.value[0].groups.of(n, text, h)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(p.first, n), batch.column(2).slice(p.first, n),
                      pa.array([np.flatnonzero(r).astype(np.int32) for r in fired], ints), pa.array([np.flatnonzero(r).astype(np.int32) for r in has], ints)],
@@ -296,25 +310,25 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     patterns = seen_rows.groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     model = fit_label_model(patterns, votes.count)
     sample = seen_rows.filter("label >= 0").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE_ROWS).select("votes", "label", "has").toArrow().combine_chunks()
-    x, p = np.zeros((0, len(chosen)), np.float32), np.zeros(0)
+    x, p = np.zeros((0, width), np.float32), np.zeros(0)
     if sample.num_rows:
         fired, label, has = (sample[c].combine_chunks() if isinstance(sample[c], pa.ChunkedArray) else sample[c] for c in ("votes", "label", "has"))
-        x = _matrix(has, len(chosen)).astype(np.float32)
+        x = _matrix(has, width).astype(np.float32)
         p = model.posterior(_matrix(fired, votes.count), label.to_numpy())
     else:
         # without labels the label model's lexicon votes alone set the weights
-        x = np.vstack([np.zeros((20, len(chosen))), np.eye(len(chosen))]).astype(np.float32)
+        x = np.vstack([np.zeros((20, width)), np.eye(len(chosen), width)]).astype(np.float32)
         p = np.concatenate([np.zeros(20), np.full(len(chosen), 0.9)])
-    weights = sc.broadcast((chosen, fit_classifier(x, p)))
+    weights = sc.broadcast((chosen, fit_classifier(x, p), groups))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w = weights.value
+        known, w, groups = weights.value
         for batch in batches:
             for p in W.pieces(batch.column(1), W.ALNUM):
                 n = len(p.bounds) - 1
                 text, h = features(p)
                 hit, which = find(known, h)
-                odds = w[-1] + np.bincount(text[hit], w[which], minlength=n)
+                odds = w[-1] + np.bincount(text[hit], w[which], minlength=n) + groups.of(n, text, h) @ w[-1 - GROUPS : -1]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.first, n), pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))))], names=["doc_id", "score"])
 
     out = docs.mapInArrow(score, "doc_id long, score double")

@@ -317,6 +317,22 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.scores(none, labels).count() == 0
 
 
+def test_many_rarer_toxic_words_are_all_learned(spark):
+    ready(spark)
+    rng = np.random.default_rng(8)
+    common = [f"common{i}" for i in range(200)]
+    bad = ["".join(rng.choice(list("abcdefghij"), 9)) for _ in range(200)]
+    rows, marks = [], []
+    for i in range(12000):
+        toxic = i % 4 == 0
+        words = list(rng.choice(common, 12)) + ([bad[i // 4 % 200]] if toxic else [])
+        rows.append((i, " ".join(rng.permutation(words))))
+        marks.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, labels).filter("held_out").collect()}
+    assert len(got) > 2000 and np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in got]) >= 0.97
+
+
 def test_label_model_recovers_rates():
     rng = np.random.default_rng(2)
     y = rng.random(20000) < 0.2
