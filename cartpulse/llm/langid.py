@@ -10,8 +10,8 @@ A document's text is explained as a mixture: EM estimates the share of each
 language, starting from equal shares.  The languages are then dropped one by
 one, least share first; each set is fitted again, and the set with the best
 penalised likelihood (log-likelihood minus PENALTY * ln(n-grams) for each
-language) is kept.  Where even all languages together cannot beat the best
-single one, the sets between are not fitted.  The prediction is the language with the largest share,
+language) is kept.  Where no shares of any languages can beat the best single
+one (a bound, since the rounds may stop short), the other sets are not fitted.  The prediction is the language with the largest share,
 ties to the smaller name; the score is that share times the posterior of the
 language in the first place (how far the best single language stands above the
 others, tempered by the repetition of n-grams), so short texts score low.
@@ -225,8 +225,9 @@ def mixture(logs: np.ndarray, count: np.ndarray, penalty: float = PENALTY, evide
     cost = penalty * np.log(float(count.sum()) + 1)
     out = np.zeros(n)
     share, fit = _shares(like, count, np.full(n, 1 / n, np.float32))
-    # no set of two or more fits better than all languages together
-    if evidence * fit - 2 * cost <= alone[top] - cost:
+    # the log-likelihood is concave in the shares, so no shares of any set fit better than this, however many rounds
+    gain = (count / (like @ share)) @ like / count.sum()
+    if evidence * (fit + float(count.sum()) * max(0.0, float(np.log(gain.max())))) - 2 * cost <= alone[top] - cost:
         out[top] = 1
         return out, posterior
     best = (alone[top] - cost, np.array([top]), np.ones(1))

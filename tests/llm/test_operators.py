@@ -202,6 +202,13 @@ def test_foreign_and_garbled_texts_are_rejected_and_mixtures_kept(spark):
     assert all((r["lang_pred"] == "und", r["score"] == 0, r["languages"] == {}) == (i not in kept,) * 3 for i, r in got.items())
 
 
+def test_two_languages_are_found_among_many():
+    logs = np.full((40, 400), -1.2, np.float32)
+    logs[:20, 7], logs[20:, 7], logs[:20, 300], logs[20:, 300] = 0, -4, -4, 0
+    share, _ = langid.mixture(logs, np.full(40, 30, np.float32))
+    assert set(np.flatnonzero(share)) == {7, 300}
+
+
 def test_language_of_odd_rows(odd, none):
     rows = langid.predictions(odd).collect()
     assert len(rows) == odd.count()
