@@ -434,6 +434,21 @@ def test_forest_recall_and_exact_scores(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_forest_recall_on_a_full_block():
+    v = np.random.default_rng(1).standard_normal((forest.BLOCK_ROWS, 64))
+    ids = np.arange(len(v))
+    q = ids[::50]
+    assert 5 * forest.LEAST < len(v)
+    found = defaultdict(set)
+    for i, j, _ in zip(*forest.Forest(v).search(ids, v[q], q, 5)):
+        found[i].add(j)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit[q] @ unit.T
+    near[np.arange(len(q)), q] = -2
+    best = np.argsort(-near, axis=1)[:, :5]
+    assert np.mean([len(found[i] & set(b.tolist())) / 5 for i, b in zip(q.tolist(), best)]) >= 0.95
+
+
 def test_forest_of_odd_vectors(spark):
     ready(spark)
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]),
