@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, contracts_sql, decontaminate, forest, langid, licenses, mix, pii, shard, substring, toxicity
+from . import bagminhash, contracts_sql, decontaminate, forest, langid, licenses, mix, phrases, pii, ranked, shard, substring, toxicity, urls
 from .tables import ready, table
 
 
@@ -65,14 +65,34 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(ready(spark), sf_dir, "documents"))
 
 
+def op11_de_bruijn_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language."""
+    return phrases.collocations(table(ready(spark), sf_dir, "documents")).drop("path_words")
+
+
+def op12_segmented_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return urls.judged(table(ready(spark), sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op13_shared_subexpression_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    ready(spark)
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_hilbert_shards, op2_license_scan, op3_mixture_language_id, op4_bagminhash_near_duplicates, op5_wu_manber_decontamination,
-        op6_weak_supervision_toxicity, op7_relative_lempel_ziv, op8_budgeted_mixture, op9_hash_prefix_forest, op10_bootstrapped_pii)
+        op6_weak_supervision_toxicity, op7_relative_lempel_ziv, op8_budgeted_mixture, op9_hash_prefix_forest, op10_bootstrapped_pii,
+        op11_de_bruijn_phrases, op12_segmented_url_filter, op13_shared_subexpression_search)
 }
 ORACLES: dict[str, str] = {
     "op1_hilbert_shards": contracts_sql.hilbert_shards(),
     "op8_budgeted_mixture": contracts_sql.MIXTURE,
     "op5_wu_manber_decontamination": contracts_sql.DECONTAMINATION,
     "op7_relative_lempel_ziv": contracts_sql.SUBSTRINGS,
+    "op11_de_bruijn_phrases": contracts_sql.PHRASES,
+    "op12_segmented_url_filter": contracts_sql.url_filter(),
+    "op13_shared_subexpression_search": contracts_sql.RANKED,
 }

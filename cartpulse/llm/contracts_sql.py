@@ -112,3 +112,112 @@ SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CA
   CAST(r - (shard * n + {count - 1}) // {count} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source, lang, place
 FROM z
 """
+
+PHRASES = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+kept AS (
+  SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c AS o WHERE o.lang = c.lang AND o.k > c.k AND 100 * o.a >= 100 * c.a AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+cut AS (SELECT *, unnest(range(1, k)) AS pos FROM kept),
+s AS (
+  SELECT cut.lang, cut.phrase, cut.a, l.f AS l, r.f AS r, n.n, pos,
+    CAST((1000::HUGEINT * cut.a * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cut JOIN n ON n.lang = cut.lang
+  JOIN f AS l ON l.lang = cut.lang AND l.phrase = array_to_string(cut.w[1 : pos], ' ')
+  JOIN f AS r ON r.lang = cut.lang AND r.phrase = array_to_string(cut.w[pos + 1 : cut.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a,
+  CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+FROM b QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({ALNUM_WORDS}, []) AS w FROM documents),
+st AS (SELECT count(*) FILTER (len(w) > 0) AS nd, CAST(sum(len(w)) AS BIGINT) AS nl FROM d),
+q AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest({ALNUM_WORDS}) AS t FROM benchmark) GROUP BY item_id, t),
+tf AS (
+  SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY rid, t),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), st),
+x AS (
+  SELECT rid, doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * nd) // nl))) AS part
+  FROM tf JOIN d USING (rid) JOIN wt USING (t), st),
+s AS (SELECT item_id, rid, any_value(doc_id) AS doc_id, CAST(sum(q * part) AS BIGINT) AS score FROM x JOIN q USING (t) GROUP BY item_id, rid)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 20
+"""
+
+
+def url_filter() -> str:
+    """Rules, Viterbi as a recursion over the letters of distinct runs, and naive Bayes."""
+    from .urls import LONGEST, RULES, SEEDS
+
+    fits = [(v, h, p, f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))") for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for _, h, p, f in fits) + " END"
+    says = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for v, _, _, f in fits) + " END"
+    seeds = ", ".join(f"'{s}'" for s in SEEDS)
+    token = "'[a-z]+|[0-9]+|[^\\x00-\\x7F]+'"
+    return f"""
+WITH RECURSIVE u AS (
+  SELECT page_id, html, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3 :] ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, coalesce(rest, '') AS rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw FROM u),
+r AS (
+  SELECT row_number() OVER () AS rid, page_id, html, translate(raw, '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(rest[length(raw) + 1 :], '^[^?#]*') AS path FROM h),
+j AS (
+  SELECT rid, page_id, host, path, {rule} AS rule, {says} AS verdict,
+    regexp_replace(translate(path, '{UPPER}', '{LOWER}'), '[0-9]+', '0', 'g') AS shape FROM r),
+seen AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(translate(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM r)
+  WHERE regexp_full_match(word, '[a-z]{{1,{LONGEST}}}') GROUP BY word),
+tot AS (SELECT CAST(coalesce(sum(n), 0) + 1 AS BIGINT) AS total FROM seen),
+uni AS (
+  SELECT word, max(n) AS n FROM (SELECT word, n FROM seen UNION ALL SELECT unnest([{seeds}]) AS word, total // 10000 + 1 AS n FROM tot) GROUP BY word),
+hr AS (SELECT host, unnest(regexp_extract_all(host, {token})) AS run FROM (SELECT DISTINCT host FROM j)),
+runs AS (SELECT DISTINCT run FROM hr WHERE regexp_matches(run, '^[a-z]')),
+sub AS (
+  SELECT run, b, e, run[b + 1 : e] AS word
+  FROM (SELECT run, b, unnest(range(b + 1, least(length(run), b + {LONGEST}) + 1)) AS e FROM (SELECT run, unnest(range(0, length(run))) AS b FROM runs))),
+cost AS (
+  SELECT run, e, list({{'b': b, 'c': CASE WHEN n IS NOT NULL THEN CAST(floor(1000 * (ln(total) - ln(n))) AS BIGINT)
+    ELSE CAST(floor(1000 * ln(total)) AS BIGINT) + 2303 * (e - b - 1) END}}) AS ways
+  FROM sub LEFT JOIN uni USING (word), tot GROUP BY run, e),
+v(run, e, best, back) AS (
+  SELECT run, CAST(0 AS BIGINT), [CAST(0 AS BIGINT)], [CAST(0 AS BIGINT)] FROM runs
+  UNION ALL
+  SELECT run, e, list_append(best, choice.c), list_append(back, choice.b) FROM (
+    SELECT v.run, v.e + 1 AS e, v.best, v.back, list_sort(list_transform(ways, lambda x: {{'c': v.best[x.b + 1] + x.c, 'b': x.b}}))[1] AS choice
+    FROM v JOIN cost ON cost.run = v.run AND cost.e = v.e + 1)),
+tail(run, e, back, word) AS (
+  SELECT run, back[e + 1], back, run[back[e + 1] + 1 : e] FROM v WHERE e = length(run)
+  UNION ALL
+  SELECT run, back[e + 1], back, run[back[e + 1] + 1 : e] FROM tail WHERE e > 0),
+ht AS (
+  SELECT host, 'h:' || word AS token FROM hr JOIN tail USING (run)
+  UNION ALL
+  SELECT host, 'h:' || CASE WHEN regexp_matches(run, '^[0-9]') THEN '0' ELSE run END FROM hr WHERE NOT regexp_matches(run, '^[a-z]')),
+st AS (SELECT shape, 'p:' || unnest(regexp_extract_all(shape, {token})) AS token FROM (SELECT DISTINCT shape FROM j)),
+jt AS (SELECT rid, verdict, token FROM j JOIN ht USING (host) UNION ALL SELECT rid, verdict, token FROM j JOIN st USING (shape)),
+cnt AS (SELECT token, count(*) FILTER (verdict = 'block') AS b, count(*) FILTER (verdict = 'allow') AS a FROM jt WHERE verdict IS NOT NULL GROUP BY token),
+ful AS (
+  SELECT token, CAST(sum(b) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a FROM (
+    SELECT * FROM cnt UNION ALL SELECT 'h:' || unnest([{seeds}]), (SELECT CAST(coalesce(sum(b), 0) AS BIGINT) // 100 + 1 FROM cnt), 0) GROUP BY token),
+sms AS (SELECT sum(b) AS all_b, sum(a) AS all_a, count(*) AS v FROM ful),
+model AS (
+  SELECT token, CAST(floor(1000 * ln((b + 1)::DOUBLE / (all_b + v))) - floor(1000 * ln((a + 1)::DOUBLE / (all_a + v))) AS BIGINT) AS weight FROM ful, sms),
+prior AS (
+  SELECT CAST(floor(1000 * ln((count(*) FILTER (verdict = 'block') + 1)::DOUBLE / (count(*) FILTER (verdict = 'allow') + 1))) AS BIGINT) AS prior FROM j),
+sc AS (SELECT rid, sum(weight) AS s FROM jt JOIN model USING (token) WHERE verdict IS NULL GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(s, 0) + prior > 0 THEN 'block' ELSE 'allow' END) AS verdict,
+  CASE WHEN verdict IS NULL THEN CAST(coalesce(s, 0) + prior AS BIGINT) END AS score
+FROM j LEFT JOIN sc USING (rid), prior
+"""

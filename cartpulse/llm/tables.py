@@ -49,6 +49,28 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Share of all rows from which a key is hot; there are at most 1 / HOT such keys.
+HOT = 0.001
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """Left join of ``rows`` to ``table`` (one row for each key) in which no hot key goes to one task.
+
+    Keys with a share HOT of all rows or more are joined by broadcast (their
+    number is bounded by that share), all others by shuffle.  ``counts`` (key, n)
+    gives the rows of each key where that is known already.
+    """
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(key, "n").checkpoint()
+    total = counts.agg(F.sum("n")).first()[0] or 0  # one row
+    keys = counts.filter(F.col("n") >= total * HOT).select(key)
+    hot = table.join(F.broadcast(keys), key, "left_semi").withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    rest = marked.filter("_hot IS NULL").select(*rows.columns).join(table, key, "left")
+    return marked.filter("_hot").drop("_hot").unionByName(rest)
+
+
 def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
     """Adds, for each (name, column) of ``sums``, the sum of the column over all rows before a row in ``order``.
 
