@@ -41,7 +41,11 @@ def history_changes(history: DataFrame) -> DataFrame:
 
 
 def history_summary(history: DataFrame) -> DataFrame:
-    """W9 + W7: epochs run, first/last/min losses and the final gap band."""
+    """W9 + W7: epochs run, first/last/min losses and the final gap band.
+
+    First and last are the losses of the first and last epoch, null where that epoch has none
+    (a loss of an earlier epoch never stands in); then the gap and its band are null.
+    """
     out = history.agg(
         F.count(F.lit(1)).cast("bigint").alias("epochs"),
         F.min_by("train_loss", "epoch").alias("train_loss_first"),

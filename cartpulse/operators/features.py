@@ -53,8 +53,8 @@ def restrict(lines: DataFrame, w: Windows, data_cutoff=None) -> DataFrame:
     return out
 
 
-def pair_aggregates(lines: DataFrame, w: Windows, data_cutoff=None) -> DataFrame:
-    """Level-1 and level-2 aggregation; one row per (family, subcat)."""
+def pair_aggregates(lines: DataFrame, w: Windows, data_cutoff=None, by=()) -> DataFrame:
+    """Level-1 and level-2 aggregation; one row per (family, subcat), and per value of the columns ``by``."""
     day = F.col("day")
     inv = F.col("invoice_id")
     has_inv = inv.isNotNull()
@@ -95,7 +95,7 @@ def pair_aggregates(lines: DataFrame, w: Windows, data_cutoff=None) -> DataFrame
         bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), block - j * A.MASK_BITS)
         l1.append(F.bit_or(F.when(own, bit)).alias(name))
     l1 += [_cnt(in_series & (month_idx == k) & has_inv).alias(f"m{k}") for k in range(w.n_months)]
-    level1 = base.groupBy("family_id", "subcat_id", "invoice_id").agg(*l1)
+    level1 = base.groupBy(*by, "family_id", "subcat_id", "invoice_id").agg(*l1)
 
     l2 = [
         F.sum("qty").alias("total_qty"),
@@ -118,7 +118,7 @@ def pair_aggregates(lines: DataFrame, w: Windows, data_cutoff=None) -> DataFrame
     ]
     l2 += [F.bit_or(name).alias(name) for name in masks]
     l2 += [F.sum(f"m{k}").alias(f"m{k}") for k in range(w.n_months)]
-    out = level1.groupBy(*KEYS).agg(*l2)
+    out = level1.groupBy(*by, *KEYS).agg(*l2)
     held = [f"coalesce({name}, 0L)" for name in masks]
     return out.withColumn("blocks_all", A.col(A.blocks_from_masks(held, w.n_blocks))).drop(*masks)
 
@@ -284,7 +284,7 @@ def pair_table(lines: DataFrame, ref_date, data_cutoff=None, families: DataFrame
     return derive_pair_table(pair_aggregates(lines, w, data_cutoff), w, keep_inactive)
 
 
-def derive_pair_table(df: DataFrame, w: Windows, keep_inactive: bool = False) -> DataFrame:
+def derive_pair_table(df: DataFrame, w: Windows, keep_inactive: bool = False, by=()) -> DataFrame:
     """Feature columns from the pair aggregates (any producer with the
     ``pair_aggregates`` columns, e.g. the item-level roll-up in ``items``)."""
     per_pair = merge_stages(
@@ -293,7 +293,7 @@ def derive_pair_table(df: DataFrame, w: Windows, keep_inactive: bool = False) ->
         series_stages(w),
     )
     df = apply_stages(df, per_pair)
-    fam = Window.partitionBy("family_id")
+    fam = Window.partitionBy(*by, "family_id")
     df = df.withColumns({
         "_fam_any_freq": F.max("any_freq").over(fam),
         "_fam_active": F.max("any_active").over(fam),
@@ -320,6 +320,19 @@ def pair_features(lines: DataFrame, ref_date, data_cutoff=None, families: DataFr
     return pair_table(lines, ref_date, data_cutoff, families, keep_inactive, windows).select(*FEATURE_COLUMNS)
 
 
+def pair_features_asof(lines: DataFrame, ref_date, cutoffs, keep_inactive: bool = False) -> DataFrame:
+    """The feature table as of each of several data cutoffs (column ``cutoff``), all seen from ``ref_date``.
+
+    One pass over the lines: a line counts for every cutoff on or after its day.  The copies are made
+    on the lines' invoice partitioning, right before level 1 folds them, so they cost no shuffle.
+    """
+    w = windows_for(ref_date)
+    dates = F.array(*[F.lit(as_date(c)) for c in cutoffs])
+    each = restrict(lines, w).withColumn("cutoff", F.explode(F.filter(dates, lambda c: F.col("day") <= c)))
+    table = derive_pair_table(pair_aggregates(each, w, by=("cutoff",)), w, keep_inactive, by=("cutoff",))
+    return table.select("cutoff", *FEATURE_COLUMNS)
+
+
 # --- standalone operators (projections of the same plan; Catalyst prunes the
 # aggregates and window columns a projection does not use) -------------------
 

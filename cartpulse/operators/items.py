@@ -2,13 +2,13 @@
 
 One (family, subcat, item, invoice) pre-aggregation feeds both repurchase (D18,
 per family and item) and popularity (D19, distinct invoices per item and per
-subcategory).  The blend (D20) min-max scales with one global min/max row.
+subcategory).  The blend (D20) min-max scales by extremes observed while the joined table is written.
 Item ranks (D23, D24) share one range-partitioned sort with total orders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cartpulse.functions import scores as S
@@ -68,20 +68,20 @@ def item_aggregates(lines: DataFrame, ref_date, data_cutoff=None, long_days: int
                     pop_days: int = 365) -> DataFrame:
     """One row per (family, subcat, item) with everything D18 and D19 need.
 
-    The item table is materialised once and rolled up twice: per (family,
-    subcat) for the subcategory's distinct invoices and items, per (family,
-    item) for the repurchase counts, since an item may appear under several
-    subcategories.  Lines without an item count for their subcategory and
-    give no item row.
+    Two windows over the item table, so the lines are aggregated once and
+    nothing is stored: per (family, subcat) the subcategory's distinct invoices
+    and items (a partition is at most the catalogue of that subcategory), per
+    (family, item) the repurchase counts, since an item may appear under
+    several subcategories.  Lines without an item count for their subcategory
+    and give no item row.
     """
-    items = item_table(lines, ref_date, data_cutoff, long_days, pop_days).checkpoint(eager=True)
-    subcats = items.groupBy("family_id", "subcat_id").agg(
-        F.count("item_id").cast("bigint").alias("subcat_items"), F.sum("_marks").cast("bigint").alias("subcat_invoices"))
-    own = items.filter(F.col("item_id").isNotNull())
-    bought = own.groupBy("family_id", "item_id").agg(
-        F.max("last_day").alias("last_day"), *[F.sum(c).cast("bigint").alias(c) for c in ITEM_COUNTS])
-    narrow = own.select("family_id", "subcat_id", "item_id", "item_invoices", "last_year_lines", "division")
-    return narrow.join(subcats, ["family_id", "subcat_id"]).join(bought, ["family_id", "item_id"])
+    items = item_table(lines, ref_date, data_cutoff, long_days, pop_days)
+    subcat, item = Window.partitionBy("family_id", "subcat_id"), Window.partitionBy("family_id", "item_id")
+    items = items.withColumns({
+        "subcat_items": F.count("item_id").over(subcat).cast("bigint"), "subcat_invoices": F.sum("_marks").over(subcat).cast("bigint")})
+    own = items.filter(F.col("item_id").isNotNull()).withColumns(
+        {"last_day": F.max("last_day").over(item)} | {c: F.sum(c).over(item).cast("bigint") for c in ITEM_COUNTS})
+    return own.drop("_marks")
 
 
 def repurchase_stage(legacy_bucket90: bool = False, ref=None) -> dict:
@@ -122,13 +122,18 @@ def item_popularity(lines: DataFrame, ref_date, data_cutoff=None, days: int = 36
 
 
 def minmax(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame:
-    """M3: global min-max scaling to [0, 1]; a constant column becomes 0."""
-    stats = df.agg(*[F.min(c).alias(f"_min_{c}") for c in cols], *[F.max(c).alias(f"_max_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(stats))  # exactly one row
+    """M3: global min-max scaling to [0, 1]; a constant column becomes 0.
+
+    The rows are written once to the shared folder; their extremes are observed
+    during that write, so no second pass and no join is needed.
+    """
+    seen = Observation()
+    rows = df.observe(seen, *[f(c).alias(f"{f.__name__}_{c}") for c in cols for f in (F.min, F.max)]).checkpoint(eager=True)
+    scaled = {}
     for c in cols:
-        lo, hi = F.col(f"_min_{c}"), F.col(f"_max_{c}")
-        out = out.withColumn(f"{c}{suffix}", F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(0.0))
-    return out.drop(*[f"_min_{c}" for c in cols], *[f"_max_{c}" for c in cols])
+        lo, hi = seen.get[f"min_{c}"], seen.get[f"max_{c}"]
+        scaled[f"{c}{suffix}"] = (F.col(c) - lo) / (hi - lo) if lo is not None and hi > lo else F.lit(0.0)
+    return rows.withColumns(scaled)
 
 
 def item_scores(subcat_scores: DataFrame, lines: DataFrame, ref_date, data_cutoff=None,
@@ -147,9 +152,7 @@ def score_items(subcat_scores: DataFrame, agg: DataFrame, prob: str = "score", r
     # row per subcategory bought), inherited by its items through the join
     sc = rank_within(sc, ["family_id"], "prob", ["subcat_id"], "subcat_rank")
     narrow = agg.select("family_id", "subcat_id", "item_id", "division", "last_day", "n_buys", "repurchase", "popularity")
-    # the scaling reads the table twice (global min/max, then every row)
-    items = sc.join(narrow, ["family_id", "subcat_id"]).checkpoint(eager=True)
-    items = minmax(items, ["repurchase", "popularity"])
+    items = minmax(sc.join(narrow, ["family_id", "subcat_id"]), ["repurchase", "popularity"])
     b = S.ITEM_BLEND
     items = items.withColumn(
         "item_score", b[0] * F.col("prob") + b[1] * F.col("repurchase_scaled") + b[2] * F.col("popularity_scaled"))

@@ -1,32 +1,23 @@
-"""Labels, split, scaling and the small neural ranker.
+"""Labels, split, scaling, scoring and storing of the small neural ranker.
 
-The ranker is Spark ML's multilayer perceptron (4 -> 64 -> 32 -> 2): L-BFGS on
-the full training set, gradients summed on the executors, one path at every
-size.  Its objective history is the training history; it stops when the
-objective changes by less than ``tol`` or after ``max_iter`` iterations, and
-the validation loss is measured for the fitted model.
-
-Weights given from outside (``Ranker``: 4 -> 64 ReLU -> 32 ReLU -> 1 sigmoid)
-are applied by a vectorised UDF on the four feature columns only and kept as a
-Parquet table keyed by cutoff.
+Training (M4, M5, M7, M9) is in ``training``.  A ranker, trained or given, is
+applied by a vectorised UDF on the four feature columns only and kept as a
+Parquet table of its weights and scaling, keyed by cutoff.
 """
 
 from __future__ import annotations
 
 import sys
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartpulse.functions.periods import as_date, mmdd
 from cartpulse.operators.evaluate import truth_pairs
+from cartpulse.operators.network import LAYERS, Ranker, flatten, forward, init_weights, unflatten
 from cartpulse.operators.rank import ordered_ranks
 
 # task bodies below are shipped by value, so executors need no copy of this package
@@ -34,8 +25,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FEATURES = ["recency", "frequency", "sow", "season"]
 KEYS = ["family_id", "subcat_id"]
-LAYERS = (4, 64, 32, 1)
-PERCEPTRON = [4, 64, 32, 2]
 
 
 # --- D17 labels -------------------------------------------------------------
@@ -100,52 +89,7 @@ def apply_scaler(df: DataFrame, stats: DataFrame, cols=FEATURES, suffix: str = "
     return out.drop(*[f"mean_{c}" for c in cols], *[f"std_{c}" for c in cols])
 
 
-
-
-# --- the network ----------------------------------------------------------------
-
-def init_weights(seed: int = 42, layers=LAYERS) -> list[np.ndarray]:
-    """Glorot-uniform kernels, zero biases."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for i, o in zip(layers[:-1], layers[1:]):
-        lim = np.sqrt(6.0 / (i + o))
-        out += [rng.uniform(-lim, lim, size=(i, o)), np.zeros(o)]
-    return out
-
-
-def flatten(ws: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([w.ravel() for w in ws])
-
-
-def unflatten(v: np.ndarray, layers=LAYERS) -> list[np.ndarray]:
-    out, pos = [], 0
-    for i, o in zip(layers[:-1], layers[1:]):
-        out.append(v[pos:pos + i * o].reshape(i, o)); pos += i * o
-        out.append(v[pos:pos + o].copy()); pos += o
-    return out
-
-
-def forward(ws: list[np.ndarray], x: np.ndarray) -> np.ndarray:
-    h = x
-    n = len(ws) // 2
-    for li in range(n):
-        h = h @ ws[2 * li] + ws[2 * li + 1]
-        h = np.maximum(h, 0.0) if li < n - 1 else 1.0 / (1.0 + np.exp(-h))
-    return h[:, 0]
-
-
-@dataclass
-class Ranker:
-    """Weights and scaling of the fixed-shape network."""
-
-    weights: list[np.ndarray]
-    mean: np.ndarray
-    std: np.ndarray
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return forward(self.weights, (x - self.mean) / self.std)
-
+# --- M6 scoring -------------------------------------------------------------------
 
 def score_ranker(df: DataFrame, ranker: Ranker, cols=FEATURES, out: str = "prob") -> DataFrame:
     """M6: probability for every row; only the feature columns go to Python."""
@@ -159,51 +103,28 @@ def score_ranker(df: DataFrame, ranker: Ranker, cols=FEATURES, out: str = "prob"
     return df.withColumn(out, F.pandas_udf(run, "double")(*[F.col(c).cast("double") for c in cols]))
 
 
-# --- M4, M5, M7, M9: the trained ranker ---------------------------------------------
-
-def _clean(c: str) -> Column:
-    return F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
-
-
-@dataclass
-class TrainedRanker:
-    """A fitted perceptron with its scaling; ``objective`` is the loss after each iteration."""
-
-    model: MultilayerPerceptronClassificationModel
-    mean: list[float]
-    std: list[float]
-    objective: list[float]
-    cols: tuple[str, ...] = tuple(FEATURES)
+def score_stored(df: DataFrame, model: DataFrame, cols=FEATURES, out: str = "prob") -> DataFrame:
+    """M6 without Python: the forward pass as array expressions on the stored rows of one ranker (``model``).
 
-    def scaled(self, df: DataFrame) -> DataFrame:
-        z = {f"_z{i}": (_clean(c) - self.mean[i]) / self.std[i] for i, c in enumerate(self.cols)}
-        out = df.withColumns(z)
-        return VectorAssembler(inputCols=list(z), outputCol="_features").transform(out).drop(*z)
-
-    def score(self, df: DataFrame, out: str = "prob") -> DataFrame:
-        """M6: probability of label 1 for every row."""
-        scored = self.model.transform(self.scaled(df))
-        return scored.withColumn(out, vector_to_array("_probability")[1]).drop("_features", "_raw", "_probability", "_prediction")
-
-
-def train_ranker(train: DataFrame, cols=FEATURES, label: str = "label", max_iter: int = 100, tol: float = 1e-4,
-                 seed: int = 42) -> TrainedRanker:
-    """M4/M5/M7: fit on every row of ``train``, the same way at every size.
-
-    The scaled rows are checkpointed once (L-BFGS reads them in every
-    iteration); gradients are summed on the executors and the driver holds
-    one weight vector (2 466 numbers).
+    The rows become one row of arrays (2 441 numbers), which is the broadcast side of a one-row join.
     """
-    rows = train.select(*[_clean(c).alias(c) for c in cols], F.col(label).cast("double").alias(label)).checkpoint(eager=True)
-    stats = fit_scaler(rows, cols).first()  # one row
-    mean, std = [stats[f"mean_{c}"] for c in cols], [stats[f"std_{c}"] for c in cols]
-    fitted = TrainedRanker(None, mean, std, [], tuple(cols))
-    trainer = MultilayerPerceptronClassifier(
-        layers=PERCEPTRON, maxIter=max_iter, tol=tol, seed=seed, solver="l-bfgs", featuresCol="_features", labelCol=label,
-        predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw")
-    fitted.model = trainer.fit(fitted.scaled(rows))
-    fitted.objective = [float(x) for x in fitted.model.summary().objectiveHistory]
-    return fitted
+    part = lambda name: F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("idx", "value")))), lambda x: x["value"])
+    n = len(LAYERS) - 1
+    one = model.agg(*[part(f"w{i}").alias(f"_w{i}") for i in range(2 * n)], part("mean").alias("_mean"), part("std").alias("_std"))
+    rows = df.crossJoin(F.broadcast(one))  # one row
+    h = F.array(*[(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) - F.element_at("_mean", i + 1)) / F.element_at("_std", i + 1)
+                  for i, c in enumerate(cols)])
+    rows = rows.withColumn("_h", h)
+    for layer in range(n):
+        width = LAYERS[layer + 1]
+        unit = lambda j: F.aggregate(  # noqa: E731, B023
+            F.transform("_h", lambda x, i: x * F.element_at(f"_w{2 * layer}", (i * width + j + 1).cast("int"))),  # noqa: B023
+            F.element_at(f"_w{2 * layer + 1}", (j + 1).cast("int")), lambda acc, x: acc + x)  # noqa: B023
+        z = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), unit)
+        act = (lambda x: F.greatest(x, F.lit(0.0))) if layer < n - 1 else (lambda x: 1.0 / (1.0 + F.exp(-x)))
+        rows = rows.withColumn("_h", F.transform(z, act))
+    return rows.withColumn(out, F.element_at("_h", 1)).drop("_h", "_mean", "_std", *[f"_w{i}" for i in range(2 * n)])
 
 
 def log_loss(scored: DataFrame, prob: str = "prob", label: str = "label") -> DataFrame:
@@ -212,19 +133,6 @@ def log_loss(scored: DataFrame, prob: str = "prob", label: str = "label") -> Dat
     return scored.agg(F.avg(-F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(1 - p))).alias("loss"))
 
 
-def history_frame(spark: SparkSession, ranker: TrainedRanker, val: DataFrame | None = None, label: str = "label") -> DataFrame:
-    """M9: epoch, train_loss, val_loss (at most max_iter + 1 rows).  L-BFGS
-    reports the training objective only, so val_loss is that of the fitted
-    model, on the last row."""
-    rows = spark.createDataFrame([(i, x, i == len(ranker.objective) - 1) for i, x in enumerate(ranker.objective)],
-                                 "epoch long, train_loss double, _last boolean")
-    if val is None:
-        return rows.select("epoch", "train_loss", F.lit(None).cast("double").alias("val_loss"))
-    loss = log_loss(ranker.score(val), label=label)
-    return rows.crossJoin(F.broadcast(loss)).select(  # one row
-        "epoch", "train_loss", F.when(F.col("_last"), F.col("loss")).alias("val_loss"))
-
-
 def fixed_ranker(seed: int = 7) -> Ranker:
     """A deterministic untrained ranker with unit scaling (for checks)."""
     ws = init_weights(seed)

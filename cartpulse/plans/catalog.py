@@ -25,6 +25,7 @@ from cartpulse.operators import features as FE
 from cartpulse.operators import items as IT
 from cartpulse.operators import model as MD
 from cartpulse.operators import rank as RK
+from cartpulse.operators import training as TR
 from cartpulse.plans import oracle as O
 from cartpulse.plans.present import present, r
 from cartpulse.session import scratch_path
@@ -404,26 +405,63 @@ def _split(spark, sf_dir, households=HOUSEHOLDS):
     return MD.stratified_split(_labelled(spark, sf_dir, households)).checkpoint(eager=True)
 
 
+def _trained(spark, sf_dir, households=HOUSEHOLDS):
+    """The split and the ranker trained on its train rows, its test rows steering the training."""
+    df = _split(spark, sf_dir, households)
+    return df, TR.train_ranker(df.filter("split = 'train'"), df.filter("split = 'test'"))
+
+
 @register("train_ranker")
 def q_train_ranker(spark, sf_dir):
-    """M4/M5/M9: the perceptron fitted on the train split; its history with the final validation loss."""
-    df = _split(spark, sf_dir)
-    model = MD.train_ranker(df.filter("split = 'train'"))
-    return MD.history_frame(spark, model, df.filter("split = 'test'"))
+    """M4/M5/M9: the network trained on the train split; its losses and rate by epoch, from the epoch log."""
+    return TR.history_frame(spark, _trained(spark, sf_dir)[1])
+
+
+@register("train_ranker_by_customer")
+def q_train_ranker_by_customer(spark, sf_dir):
+    """M4/M5/M9 with one family per customer."""
+    return TR.history_frame(spark, _trained(spark, sf_dir, None)[1])
 
 
 @register("ranker_split_evaluation")
 def q_ranker_split_evaluation(spark, sf_dir):
     """M6 + E1: the test split scored by the trained ranker, top-3."""
-    df = _split(spark, sf_dir)
-    model = MD.train_ranker(df.filter("split = 'train'"))
-    return present(EV.split_evaluation(model.score(df.filter("split = 'test'")), K, score="prob"))
+    df, model = _trained(spark, sf_dir)
+    return present(EV.split_evaluation(MD.score_ranker(df.filter("split = 'test'"), model), K, score="prob"))
 
 
 @register("train_ranker_full")
 def q_train_ranker_full(spark, sf_dir):
     """M7: production fit on every labelled pair (no split); the history."""
-    return MD.history_frame(spark, MD.train_ranker(_labelled(spark, sf_dir)))
+    return TR.history_frame(spark, TR.train_ranker(_labelled(spark, sf_dir)))
+
+
+@register("ranker_full_classes", lambda: f"""WITH {_ctes()}, {_labels_sql()}
+    SELECT CAST(label AS BIGINT) AS label, CAST(count(*) AS BIGINT) AS n_pairs, CAST(1 AS BIGINT) AS on_its_side FROM labelled GROUP BY label""")
+def q_ranker_full_classes(spark, sf_dir):
+    """M7: pairs by label under the production fit, and whether their mean probability lies on their side of the mean over all."""
+    df = _labelled(spark, sf_dir).checkpoint(eager=True)
+    scored = MD.score_ranker(df, TR.train_ranker(df)).checkpoint(eager=True)
+    whole = scored.agg(F.avg("prob").alias("mean"))  # one row
+    sides = scored.groupBy("label").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("prob").alias("own")).crossJoin(F.broadcast(whole))
+    right = F.when(F.col("label") == 1, F.col("own") > F.col("mean")).otherwise(F.col("own") < F.col("mean"))
+    return present(sides.select(F.col("label").cast("bigint").alias("label"), "n_pairs", right.cast("bigint").alias("on_its_side")))
+
+
+@register("stored_ranker_agreement", lambda: f"""WITH {_ctes()}, {_labels_sql()}
+    SELECT split, CAST(label AS BIGINT) AS label, CAST(count(*) AS BIGINT) AS n_pairs, CAST(0 AS BIGINT) AS differ FROM splitted GROUP BY split, label""")
+def q_stored_ranker_agreement(spark, sf_dir):
+    """M8: the trained ranker saved under its cutoff, loaded and applied; pairs whose probability differs from that of the
+    original, or from a forward pass in plain SQL on the stored rows by more than 1e-9."""
+    df, model = _trained(spark, sf_dir)
+    path = scratch_path(spark, f"ranker_{uuid.uuid4().hex}")
+    MD.save_ranker(spark, model, REF, path)
+    loaded = MD.load_ranker(spark, path, REF)
+    scored = MD.score_ranker(MD.score_ranker(df, model, out="a"), loaded, out="b")
+    scored = MD.score_stored(scored, spark.read.parquet(path).filter(F.col("cutoff") == str(REF)), out="c")
+    off = (F.col("a") != F.col("b")) | (F.abs(F.col("a") - F.col("c")) > 1e-9)
+    return present(scored.groupBy("split", F.col("label").cast("bigint").alias("label")).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if(off).alias("differ")))
 
 
 @register("saved_ranker_scores", lambda: f"""WITH {_ctes()}, {_fixed_ranker_ctes()}
@@ -469,8 +507,8 @@ def q_history_diagnostics(spark, sf_dir):
 
 
 @register("history_summary", lambda: f"""WITH {HISTORY_SQL.strip()},
-    s AS (SELECT count(*) AS epochs, arg_min(train_loss, epoch) AS tf, arg_max(train_loss, epoch) AS tl, arg_min(val_loss, epoch) AS vf,
-                 arg_max(val_loss, epoch) AS vl, min(val_loss) AS vb FROM history)
+    s AS (SELECT count(*) AS epochs, arg_min_null(train_loss, epoch) AS tf, arg_max_null(train_loss, epoch) AS tl, arg_min_null(val_loss, epoch) AS vf,
+                 arg_max_null(val_loss, epoch) AS vl, min(val_loss) AS vb FROM history)
     SELECT CAST(epochs AS BIGINT) AS epochs, {r('tf')} AS train_loss_first, {r('tl')} AS train_loss_last, {r('vf')} AS val_loss_first,
            {r('vl')} AS val_loss_last, {r('vb')} AS val_loss_best, {r('abs(tl - vl)')} AS gap_last,
            CASE WHEN abs(tl - vl) < 0.02 THEN 'excellent' WHEN abs(tl - vl) < 0.05 THEN 'good' WHEN tl - vl IS NOT NULL THEN 'review' END AS gap_band FROM s""")
@@ -635,6 +673,22 @@ def q_model_comparison(spark, sf_dir):
     return present(EV.compare_models(a, b, "linear", "ranker"))
 
 
+@register("model_comparison_trained")
+def q_model_comparison_trained(spark, sf_dir):
+    """Linear score against the trained ranker, saved and loaded, on the holdout."""
+    truth = _holdout(spark, sf_dir)
+    feats = _stored_features(spark, sf_dir)
+    a = EV.holdout_evaluation(feats, truth, K)
+    b = EV.holdout_evaluation(MD.score_ranker(feats, _trained_and_stored(spark, sf_dir)), truth, K, score="prob")
+    return present(EV.compare_models(a, b, "linear", "ranker"))
+
+
+def _trained_and_stored(spark, sf_dir):
+    path = scratch_path(spark, f"ranker_{uuid.uuid4().hex}")
+    MD.save_ranker(spark, _trained(spark, sf_dir)[1], REF, path)
+    return MD.load_ranker(spark, path, REF)
+
+
 def _cutoff_matrix_sql():
     early = O.pair_features_ctes(W, L, EARLY_CUTOFF).replace("lines AS (", "lines_e AS (", 1)
     # rename every CTE of the early chain with an _e suffix
@@ -669,19 +723,25 @@ def _cutoff_matrix_sql():
 @register("cutoff_matrix", _cutoff_matrix_sql)
 def q_cutoff_matrix(spark, sf_dir):
     """precision@3 for linear at two data cutoffs and the ranker."""
-    feats = _stored_features(spark, sf_dir)
-    lin_e = _stored_features(spark, sf_dir, EARLY_CUTOFF).select(
-        F.lit("linear").alias("model"), F.lit(str(EARLY_CUTOFF)).alias("cutoff"),
-        "family_id", "subcat_id", "score", "net_sales")
-    lin = feats.select(
-        F.lit("linear").alias("model"), F.lit(str(REF)).alias("cutoff"),
-        "family_id", "subcat_id", "score", "net_sales")
-    net = MD.score_ranker(feats, MD.fixed_ranker()).select(
-        F.lit("ranker").alias("model"), F.lit(str(REF)).alias("cutoff"),
-        "family_id", "subcat_id", F.col("prob").alias("score"), "net_sales")
-    cells = lin_e.unionByName(lin).unionByName(net)
-    out = EV.cutoff_matrix(cells, _holdout(spark, sf_dir), K)
-    return present(out)
+    return _cutoff_matrix(spark, sf_dir, MD.fixed_ranker())
+
+
+@register("cutoff_matrix_trained")
+def q_cutoff_matrix_trained(spark, sf_dir):
+    """D27 with the trained ranker, saved and loaded."""
+    return _cutoff_matrix(spark, sf_dir, _trained_and_stored(spark, sf_dir))
+
+
+def _cutoff_matrix(spark, sf_dir, ranker):
+    """The cells of the matrix from one feature table as of both cutoffs: one pass over the lines, written once."""
+    path = scratch_path(spark, f"asof_{uuid.uuid4().hex}")
+    feats = FE.pair_features_asof(_hist(spark, sf_dir), REF, [EARLY_CUTOFF, REF])
+    FI.write_table(feats.select(F.date_format("cutoff", "yyyy-MM-dd").alias("cutoff"), "family_id", "subcat_id", *MD.FEATURES, "score", "net_sales"), path)
+    feats = FI.read_table(spark, path, fmt="parquet")
+    keys = ["cutoff", "family_id", "subcat_id", "net_sales"]
+    net = MD.score_ranker(feats.filter(F.col("cutoff") == str(REF)), ranker).select(*keys, F.col("prob").alias("score"), F.lit("ranker").alias("model"))
+    cells = feats.select(*keys, "score", F.lit("linear").alias("model")).unionByName(net)
+    return present(EV.cutoff_matrix(cells, _holdout(spark, sf_dir), K))
 
 
 # === D18-D26, O4, O5 ===============================================================================
@@ -849,6 +909,31 @@ def q_csv_roundtrip(spark, sf_dir):
                                "day", "qty", "list_price", "net_sales", "discount"))
 
 
+@register("ingest_rejects", lambda: f"""WITH lines AS ({L}),
+    t AS (SELECT *, CASE WHEN invoice_id % 11 = 0 THEN 'day' WHEN invoice_id % 13 = 0 THEN 'family' WHEN item_id % 17 = 0 THEN 'subcat' END AS reason FROM lines)
+    SELECT coalesce(reason, 'accepted') AS reason, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_observed,
+           {r("sum(CASE WHEN reason IS NULL AND item_id % 5 > 0 THEN net_sales ELSE 0 END)")} AS net_sales
+    FROM t GROUP BY 1""")
+def q_ingest_rejects(spark, sf_dir):
+    """S3 + S5: a damaged text history split into accepted and rejected rows in one pass; rows by reason, as stored and as
+    observed during the split, and the accepted net sales."""
+    lines = purchase_lines(spark, sf_dir, households=HOUSEHOLDS).drop("division")
+    path, out = scratch_path(spark, f"damaged_{uuid.uuid4().hex}"), scratch_path(spark, f"split_{uuid.uuid4().hex}")
+    FI.write_purchases_text(lines, path)
+    text = FI.text_table(spark, path)
+    key = lambda c, n: F.col(c).cast("bigint") % n == 0
+    text = text.withColumns({
+        "DIM_PERIODO": F.when(key("DIM_FACTURA", 11), "2001-31-12").otherwise(F.col("DIM_PERIODO")),
+        "CODIGO_FAMILIA": F.when(key("DIM_FACTURA", 13), "").otherwise(F.col("CODIGO_FAMILIA")),
+        "COD_SUBCATEGORIA": F.when(key("COD_ITEM", 17), "n/a").otherwise(F.col("COD_SUBCATEGORIA")),
+        "VENTA_NETA": F.when(key("COD_ITEM", 5), "-").otherwise(F.col("VENTA_NETA"))})
+    accepted, rejected, counts = FI.split_purchases(text, out)
+    sides = accepted.select(F.lit("accepted").alias("reason"), "net_sales").unionByName(rejected.select("reason", F.lit(0.0).alias("net_sales")))
+    seen = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])
+    return present(sides.groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("net_sales").alias("net_sales")).withColumn(
+        "n_observed", F.element_at(seen, F.col("reason")).cast("bigint")))
+
+
 @register("table_profile", lambda: f"""WITH lines AS ({L})
     SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT family_id) AS BIGINT) AS families,
            strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day FROM lines""")
@@ -903,14 +988,41 @@ def q_division_metrics_items(spark, sf_dir):
     FROM nt LEFT JOIN hp USING (family_id) LEFT JOIN hits USING (family_id) WHERE nt.family_id = {LOOKUP_FAMILY}""")
 def q_family_lookup_items(spark, sf_dir):
     """E6 at item level: one family's item recommendations, looked up in a stored result (S10), against its purchases."""
-    path = scratch_path(spark, f"items_{uuid.uuid4().hex}")
-    FI.write_table(_item_scores(spark, sf_dir, ranks=False).select("family_id", "item_id", "item_score"), path, partition_by=["family_id"])
     truth = _holdout(spark, sf_dir, "item_id").filter(F.col("family_id") == LOOKUP_FAMILY)
-    stored = FI.stored_family(spark, path, LOOKUP_FAMILY)
+    stored = FI.stored_families(spark, _item_store(spark, sf_dir), [LOOKUP_FAMILY])
     return present(EV.family_metrics(stored, truth, K, score="item_score", ties=("item_id",), level="item_id").withColumn(
         "family_id", F.col("family_id").cast("bigint")))
 
 
+def _item_store(spark, sf_dir, households=HOUSEHOLDS):
+    """The item scores of all families, stored once for look-ups."""
+    path = scratch_path(spark, f"items_{uuid.uuid4().hex}")
+    FI.write_family_store(_item_scores(spark, sf_dir, ranks=False, households=households).select("family_id", "item_id", "item_score"), path, buckets=64)
+    return path
+
+
+@register("family_lookup_items_by_customer", lambda: f"""WITH {_ctes(lines=O.lines_sql(None))}, {_items_sql()}, {_truth_sql('item_id')},
+    nt AS (SELECT family_id, count(*) AS n_truth FROM truth GROUP BY family_id),
+    busy AS (SELECT * FROM nt ORDER BY n_truth DESC, family_id LIMIT 5),
+    recs AS (SELECT * FROM items QUALIFY row_number() OVER (
+               PARTITION BY family_id ORDER BY round(item_score, 12) DESC, item_id) <= {K}),
+    hp AS (SELECT DISTINCT family_id FROM items),
+    hits AS (SELECT family_id, count(*) AS hits FROM recs JOIN truth USING (family_id, item_id) GROUP BY family_id)
+    SELECT busy.family_id, CAST(busy.n_truth AS BIGINT) AS n_truth,
+           CAST(CASE WHEN hp.family_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS has_pred,
+           CAST(coalesce(hits.hits, 0) AS BIGINT) AS hits,
+           {r(f'coalesce(hits.hits, 0) / {K}.0')} AS precision,
+           {r('coalesce(hits.hits, 0) / busy.n_truth')} AS recall,
+           {r('CASE WHEN coalesce(hits.hits, 0) > 0 THEN 1.0 ELSE 0.0 END')} AS hit
+    FROM busy LEFT JOIN hp USING (family_id) LEFT JOIN hits USING (family_id)""")
+def q_family_lookup_items_by_customer(spark, sf_dir):
+    """E6/S10 with one family per customer: the five customers with most holdout items, looked up in one stored result."""
+    truth = _holdout(spark, sf_dir, "item_id", None)
+    busy = [x["family_id"] for x in truth.groupBy("family_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "family_id").limit(5).collect()]
+    stored = FI.stored_families(spark, _item_store(spark, sf_dir, None), busy)
+    return present(EV.family_metrics(stored, truth.filter(F.col("family_id").isin(busy)), K, score="item_score", ties=("item_id",), level="item_id"))
+
+
 @register("item_scores_from_stored", lambda: _items_select())
 def q_item_scores_from_stored(spark, sf_dir):
     """Items under subcategory scores read from a stored table with the delivered column names."""

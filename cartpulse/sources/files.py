@@ -8,7 +8,7 @@ inference pass) and parsed with try-functions, so bad cells become null
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,15 +80,12 @@ def two_digit_year_pivot(day, date_format: str):
     return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
 
 
-def parse_purchases(raw: DataFrame, date_format: str = DEFAULT_DATE_FORMAT,
-                    names: dict[str, str] | None = None) -> DataFrame:
-    """S3-S5 on a text table: rename, parse dates (bad -> null), coerce
-    measures (bad -> 0.0), ids to long, drop rows without day/family/subcat."""
-    names = names or RAW_COLUMNS
-    df = raw
-    for src, dst in names.items():
-        if src in df.columns and src != dst:
-            df = df.withColumnRenamed(src, dst)
+def _named(raw: DataFrame, names: dict[str, str] | None) -> DataFrame:
+    return raw.withColumnsRenamed({k: v for k, v in (names or RAW_COLUMNS).items() if k in raw.columns and k != v})
+
+
+def _typed(df: DataFrame, date_format: str) -> list:
+    """One column for each column of a renamed text table: dates (bad -> null), measures (bad -> 0.0), ids to long."""
     cols = []
     for c in df.columns:
         if c in ID_COLUMNS:
@@ -100,7 +97,47 @@ def parse_purchases(raw: DataFrame, date_format: str = DEFAULT_DATE_FORMAT,
                 F.to_date(F.expr(f"try_to_timestamp(trim(`{c}`), '{date_format}')")), date_format).alias(c))
         else:
             cols.append(F.col(f"`{c}`"))
-    return df.select(*cols).dropna(subset=["day", "family_id", "subcat_id"])
+    return cols
+
+
+def parse_purchases(raw: DataFrame, date_format: str = DEFAULT_DATE_FORMAT,
+                    names: dict[str, str] | None = None) -> DataFrame:
+    """S3-S5 on a text table: rename, parse dates (bad -> null), coerce
+    measures (bad -> 0.0), ids to long, drop rows without day/family/subcat."""
+    df = _named(raw, names)
+    return df.select(*_typed(df, date_format)).dropna(subset=["day", "family_id", "subcat_id"])
+
+
+#: Why a row is rejected, by the first of its required columns that does not parse.
+REASONS = {"day": "day", "family": "family_id", "subcat": "subcat_id"}
+
+
+def split_purchases(raw: DataFrame, path: str, date_format: str = DEFAULT_DATE_FORMAT,
+                    names: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """S3-S5 in one pass: (accepted lines, rejected rows with their reason, counts).
+
+    The text is read once: every row is written under ``path`` as accepted (typed) or rejected
+    (as text, with the reason), and the counts of accepted rows and of each reason
+    are observed during that write.  Reading either side opens its own files only.
+    """
+    df = _named(raw, names)
+    typed = df.select(F.struct(*_typed(df, date_format)).alias("line"), F.struct(*df.columns).alias("text"))
+    why = F.coalesce(*[F.when(F.col(f"line.{c}").isNull(), reason) for reason, c in REASONS.items()])
+    rows = typed.withColumn("reason", why).select(
+        F.when(F.col("reason").isNull(), F.col("line")).alias("line"), F.when(F.col("reason").isNotNull(), F.col("text")).alias("text"), "reason",
+        F.when(F.col("reason").isNull(), "accepted").otherwise("rejected").alias("side"))
+    seen = Observation()
+    counts = [F.count_if(F.col("reason").isNull()).alias("accepted"), *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS]]
+    rows.observe(seen, *counts).write.mode("overwrite").partitionBy("side").parquet(path)
+    stored = raw.sparkSession.read.schema(rows.schema).parquet(path)
+    accepted = stored.filter("side = 'accepted'").select("line.*")
+    rejected = stored.filter("side = 'rejected'").select("text.*", "reason")
+    return accepted, rejected, {k: int(v) for k, v in seen.get.items()}
+
+
+def text_table(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", sep: str = ",") -> DataFrame:
+    """The raw columns of a delimited text with a header, all as text."""
+    return spark.read.option("header", True).option("encoding", encoding).option("sep", sep).csv(path)
 
 
 def read_purchases(spark: SparkSession, path: str, date_format: str = DEFAULT_DATE_FORMAT,
@@ -187,9 +224,32 @@ def arrays_as_text(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def stored_family(spark: SparkSession, path: str, family: int) -> DataFrame:
-    """One family of a result stored with ``partition_by=["family_id"]``: a partition-pruned read."""
-    return spark.read.parquet(path).filter(F.col("family_id") == family)
+def write_family_store(df: DataFrame, path: str, buckets: int = 256, key: str = "family_id") -> None:
+    """A result stored for look-ups by family.
+
+    Rows go to directories ``of=<buckets>/bucket=<hash of the family>``; the number of
+    directories does not grow with the families.  Inside a bucket the rows are sorted by family, over
+    as many files as the range partitioning gives (a family of a third of the table spans several), so a look-up
+    opens one bucket and skips the row groups of other families by their statistics.
+    """
+    rows = df.withColumns({"of": F.lit(buckets), "bucket": family_bucket(F.col(key), buckets)})
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["bucket", key, *[c for c in df.columns if c != key]]
+    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("of", "bucket").parquet(path)
+
+
+def family_bucket(family, buckets: int):
+    return F.pmod(F.xxhash64(family.cast("bigint")), F.lit(buckets)).cast("int")
+
+
+def stored_families(spark: SparkSession, path: str, families, key: str = "family_id") -> DataFrame:
+    """The rows of some families of a store: a read of their buckets only, pruned further by row group."""
+    store = spark.read.parquet(path)
+    hit = F.lit(False)
+    for f in families:
+        one = F.lit(int(f)).cast("bigint")
+        hit = hit | ((F.col("bucket") == F.pmod(F.xxhash64(one), F.col("of"))) & (F.col(key) == one))
+    return store.filter(hit).drop("of", "bucket")
 
 
 def convert(spark: SparkSession, src: str, dst: str, src_fmt: str = "csv", dst_fmt: str = "parquet") -> None:

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from conftest import ROOT, SF_SMALL
+from conftest import ROOT, SF_MID, SF_SMALL
 from harness import compare
 
 spec = importlib.util.spec_from_file_location("spark_entry", os.path.join(ROOT, "__spark_entry__.py"))
@@ -16,7 +16,7 @@ from cartpulse.plans import catalog  # noqa: E402
 
 QUERIES = {k: v for k, v in entry_mod.queries().items() if k in catalog.QUERIES}
 ORACLES = {k: v for k, v in entry_mod.oracle_sql().items() if k in catalog.ORACLES}
-TRAINED = {"train_ranker", "ranker_split_evaluation", "train_ranker_full"}
+TRAINED = {"train_ranker", "train_ranker_by_customer", "ranker_split_evaluation", "train_ranker_full", "model_comparison_trained", "cutoff_matrix_trained"}
 
 
 def test_every_query_has_an_oracle_or_is_declared_rows_only():
@@ -30,6 +30,13 @@ def test_query_matches_oracle(spark, name):
     assert ok, msg
 
 
+def test_history_summary_with_a_null_last_epoch(spark):
+    df = QUERIES["history_summary"](spark, SF_MID)
+    assert df.first()["val_loss_last"] is None
+    ok, msg = compare(df, ORACLES["history_summary"], SF_MID)
+    assert ok, msg
+
+
 def test_entry_runs(spark):
     df = entry_mod.entry(spark)
     assert df.count() > 0
@@ -37,5 +44,6 @@ def test_entry_runs(spark):
 
 
 @pytest.mark.skipif(os.environ.get("CARTPULSE_FAST") == "1", reason="training queries skipped")
-def test_training_query_returns_rows(spark):
-    assert QUERIES["train_ranker"](spark, SF_SMALL).count() > 0
+@pytest.mark.parametrize("name", ["train_ranker", "model_comparison_trained", "cutoff_matrix_trained"])
+def test_training_query_returns_rows(spark, name):
+    assert QUERIES[name](spark, SF_SMALL).count() > 0

@@ -70,10 +70,48 @@ def test_ranker_scoring_sends_only_the_features_to_python(spark):
     assert python and "season_series" not in text.split("ArrowEvalPython")[-1][:400]
 
 
-def test_stored_family_is_a_pruned_read(spark, tmp_path):
+def test_stored_families_read_their_buckets_only(spark, tmp_path):
+    from pyspark.sql import functions as F
+
     from cartpulse.plans.inspect import formatted_plan
     from cartpulse.sources import files as FI
 
-    FI.write_table(spark.range(50).selectExpr("id % 5 AS family_id", "id AS item_id"), str(tmp_path / "t"), partition_by=["family_id"])
-    got = FI.stored_family(spark, str(tmp_path / "t"), 3)
-    assert got.count() == 10 and "PartitionFilters: [isnotnull(family_id" in formatted_plan(got)
+    path = str(tmp_path / "t")
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id % 400 END AS family_id", "id AS item_id")
+    FI.write_family_store(rows, path, buckets=16)
+    got = FI.stored_families(spark, path, [7, 8])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.filter("family_id IN (7, 8)").collect()))
+    text = formatted_plan(got)
+    assert "PartitionFilters: [" in text and "bucket#" in text.split("PartitionFilters:")[1].split("\n")[0] and "family_id" in text.split("PushedFilters:")[1].split("\n")[0]
+    # the scan itself opens the files of one bucket
+    one = FI.stored_families(spark, path, [8])
+    opened = {x[0] for x in spark.read.parquet(path).filter(F.col("bucket") == F.pmod(F.xxhash64(F.lit(8).cast("bigint")), F.col("of"))).select(F.input_file_name()).distinct().collect()}
+    assert one.count() > 0 and 0 < len(opened) < len(spark.read.parquet(path).inputFiles())
+    # a family of a third of the rows spans several files
+    assert spark.read.parquet(path).filter("family_id = 7").select(F.input_file_name()).distinct().count() > 1
+
+
+def test_cutoff_matrix_features_read_the_lines_once(spark):
+    from cartpulse.operators import features as FE
+
+    df = FE.pair_features_asof(C._hist(spark, SF_SMALL), C.REF, [C.EARLY_CUTOFF, C.REF])
+    assert lineitem_scans(df) == 1
+    for cutoff in (C.EARLY_CUTOFF, C.REF):
+        want = FE.pair_features(C._hist(spark, SF_SMALL), C.REF, data_cutoff=cutoff).select("family_id", "subcat_id", "score", "net_sales")
+        got = df.filter(f"cutoff = DATE'{cutoff}'").select(*want.columns)
+        key = lambda d: sorted((r[0], r[1], round(r[2], 9), round(r[3], 4)) for r in d.collect())
+        assert key(got) == key(want)
+
+
+def test_split_of_a_text_history_reads_it_once(spark, tmp_path):
+    from cartpulse.sources import files as FI
+
+    rows = [("1", "10", "24-Nov-25", "1"), ("1", "10", "04-11-2025", "1"), ("", "10", "24-Nov-25", "1"), ("1", "x", "24-Nov-25", "1"),
+            ("", "x", None, "1"), ("2", "11", "1-Jan-95", "bad"), (None, None, None, None)]
+    raw = spark.createDataFrame(rows, "CODIGO_FAMILIA string, COD_SUBCATEGORIA string, DIM_PERIODO string, CANTIDAD_SUELTA string")
+    accepted, rejected, counts = FI.split_purchases(raw, str(tmp_path / "s"))
+    assert counts == {"accepted": 2, "day": 3, "family": 1, "subcat": 1}
+    assert sorted((r["family_id"], str(r["day"]), r["qty"]) for r in accepted.collect()) == [(1, "2025-11-24", 1.0), (2, "1995-01-01", 0.0)]
+    assert sorted(r["reason"] for r in rejected.collect()) == ["day"] * 3 + ["family", "subcat"]
+    assert {r["subcat_id"] for r in rejected.collect()} == {"10", "x", None}
+    assert FI.split_purchases(raw.filter("false"), str(tmp_path / "e"))[2] == {"accepted": 0, "day": 0, "family": 0, "subcat": 0}

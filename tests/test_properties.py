@@ -58,17 +58,6 @@ def test_hits_bounded_by_k(spark):
     assert fm.filter("hits > 3 OR hits > n_truth").count() == 0
 
 
-def test_training_reduces_loss(spark):
-    df = MD.stratified_split(C._labelled(spark, SF_MID))
-    model = MD.train_ranker(df.filter("split = 'train'"), max_iter=30)
-    assert model.objective[-1] < model.objective[0]
-    scored = model.score(df.filter("split = 'test'"))
-    p = scored.agg(F.min("prob"), F.max("prob")).first()
-    assert 0.0 <= p[0] <= p[1] <= 1.0
-    history = MD.history_frame(spark, model, df.filter("split = 'test'")).orderBy("epoch").collect()
-    assert history[-1]["val_loss"] > 0 and all(h["val_loss"] is None for h in history[:-1])
-
-
 def test_split_takes_a_fifth_of_each_class(spark):
     rows = spark.range(1000).selectExpr("id AS family_id", "id % 7 AS subcat_id", "CAST(id % 10 = 0 AS INT) AS label")
     counts = {(r["label"], r["split"]): r["count"] for r in MD.stratified_split(rows).groupBy("label", "split").count().collect()}
