@@ -61,7 +61,7 @@ def stratified_split(df: DataFrame, test_frac: float = 0.2, seed: int = 42, keys
     of a class of n rows are its test rows.  The ranking is a range-partitioned
     sort, so a class may hold nearly all rows."""
     ranked = ordered_ranks(df.withColumn("_key", split_key(keys, seed)), [label], [F.col("_key"), *[F.col(k) for k in keys]], {"_rank": []})
-    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.floor(F.count(F.lit(1)) * test_frac + 0.5).alias("_test"))
+    sizes = ranked.groupBy(F.col(label).alias("_label")).agg(F.floor(F.count(F.lit(1)) * test_frac + 0.5).alias("_test"))
     out = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
     return out.withColumn("split", F.when(F.col("_rank") <= F.col("_test"), "test").otherwise("train")).drop(
         "_key", "_rank", "_label", "_test")

@@ -401,8 +401,9 @@ def q_score_fixed_ranker(spark, sf_dir):
 # === M4/M5/M7 (trained model: not SQL-expressible), M8, M9, W6-W9, S11 =============================
 
 def _split(spark, sf_dir, households=HOUSEHOLDS):
-    """The labelled split, materialised once: training, scoring and evaluation read this copy."""
-    return MD.stratified_split(_labelled(spark, sf_dir, households)).checkpoint(eager=True)
+    """The labelled split, materialised once: training, scoring and evaluation read this copy.
+    The labelled pairs are written first, since the split's range partitioning reads them twice."""
+    return MD.stratified_split(_labelled(spark, sf_dir, households).checkpoint(eager=True)).checkpoint(eager=True)
 
 
 def _trained(spark, sf_dir, households=HOUSEHOLDS):
