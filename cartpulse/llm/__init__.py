@@ -1,3 +1,4 @@
 """Operators of a training-data pipeline: sharding, licences, language ID,
 near-duplicates, decontamination, toxicity, substring dedup, mixing, nearest
-neighbours and personal data.  Nothing outside this folder imports it."""
+neighbours, personal data, collocations, URL filter and ranked search.
+Nothing outside this folder imports it."""

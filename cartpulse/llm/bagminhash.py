@@ -19,7 +19,7 @@ of the document: about n + M ln M points are drawn, not n * M.
 Bands of ROWS components are bucketed; buckets never emit all pairs:
 
 * texts with equal words are one node from the start;
-* each node of a bucket is first compared with the bucket's smallest one (the hub);
+* each node is first compared with one hub, the smallest node that any of its buckets holds;
 * nodes of buckets that still hold several components then go through an exact
   prefix join on their rarest shingles (``prefixes``), first with the first node
   of each shingle only, then, where components still differ, in full; so no
@@ -46,7 +46,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .components import components
+from .components import components, jumped, relabelled
+from .marks import Marks, marked, no_bits
 from .tables import broadcast_if_small
 
 SHINGLE = 5
@@ -55,7 +56,7 @@ BANDS, ROWS = 28, 4
 SIGNATURE = BANDS * ROWS
 #: Bytes of text (both sides) whose bags are held at once in a comparison.
 SLICE_BYTES = 2 << 20
-#: doc_ids that are broadcast, counted before, to pick texts; more are shuffled.
+#: doc_ids that are broadcast, counted before, to drop the copies; more are shuffled.
 BROADCAST_IDS = 4_000_000
 
 
@@ -177,14 +178,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(sims))], names=["a", "b", "sim"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, sim) of the distinct pairs (a, b) of doc_ids, checkpointed; several rows where an id is repeated.
-
-    Only the texts that some pair names are moved to the pairs.
-    """
-    pairs = pairs.checkpoint()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().checkpoint()
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, sim) of the distinct pairs (a, b) of ids, checkpointed; several rows where an id is repeated."""
     rows = (
         pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
         .join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
@@ -193,11 +188,27 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verify, "a long, b long, sim double").checkpoint()
 
 
+def _picker(marks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Marks(marks.value)
+        for batch in batches:
+            yield batch.filter(pa.array(table.has(batch.column(2).to_numpy().view(W.U)))).select(["doc_id", "text"])
+
+    return run
+
+
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The texts of ``ids`` (id), and a few more, checkpointed: a filter of fixed size picks them before anything is shuffled."""
+    h = F.xxhash64("id").alias("h")
+    marks = docs.sparkSession.sparkContext.broadcast(marked(no_bits(), ids.select(h)))
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_picker(marks), "doc_id long, text string").checkpoint()
+
+
 def _mixed(bucket: DataFrame, label: DataFrame) -> DataFrame:
-    """Nodes (id, label) of the buckets whose nodes, the hub aside, belong to several components."""
+    """Nodes (id, label) of the buckets (key, id) whose nodes belong to several components."""
     named = bucket.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    return named.join(several, "key").select("id", "label").distinct()
+    return named.join(several, "key").select("id", "label").distinct().checkpoint()
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +226,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0).slice(p.first, n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(W.signed(element)))], names=["id", "elements"])
 
 
-def prefixes(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def prefixes(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(e, id, n, place): of each node's n elements, rarest among the nodes first, the e at ``place`` that a partner must share one of.
 
     Elements are ordered by the number of nodes that hold them.  Two sets of
@@ -224,9 +235,8 @@ def prefixes(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     them has no row at all, so texts that share a passage and differ in the
     rest are told apart without looking at a pair.
     """
-    ids = nodes.select(F.col("id").alias("doc_id")).distinct().checkpoint()
-    texts = docs.join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(_elements, "id long, elements array<long>").withColumns(
+    mine = texts.join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    sets = mine.mapInArrow(_elements, "id long, elements array<long>").withColumns(
         {"n": F.size("elements"), "set": F.xxhash64("id", "elements")}).checkpoint()
     rows = sets.select("id", "set", "n", F.explode("elements").alias("e"))
     shared = rows.groupBy("e").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -254,29 +264,40 @@ def prefix_pairs(rows: DataFrame, label: DataFrame, threshold: float, hubs_only:
     ).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
+def _contracted(links: DataFrame, label: DataFrame) -> DataFrame:
+    """The links between the labels of their ends."""
+    end = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
+    ends = links.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    return ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) for every row of ``docs``; class_id is the smallest doc_id of the class."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(
         _sign, "doc_id long, h1 long, h2 long, bands array<long>").checkpoint()
-    nodes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
-    bands = signed.join(nodes.select("id").distinct(), signed["doc_id"] == F.col("id"), "left_semi").select(
-        F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
+    # equal texts have equal bands
+    nodes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")).checkpoint()
+    # several texts of one doc_id may lie in one bucket
+    bands = nodes.select(F.explode("bands").alias("key"), "id")
     hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub")
-    bucket = bands.join(hubs, "key").filter("id != hub").checkpoint()
-
-    known = verified(bucket.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), docs)
-    links = known.filter(F.col("sim") >= threshold).select("a", "b")
-    label = components(links)
-    rows = prefixes(_mixed(bucket, label), docs, threshold)
+    bucket = bands.join(hubs, "key").checkpoint()
+    texts = texts_of(bucket.select("id"), docs)
+
+    # one hub for each node; the links make a forest
+    nearest = bucket.filter("hub < id").groupBy("id").agg(F.min("hub").alias("hub"))
+    known = verified(nearest.select(F.col("hub").alias("a"), F.col("id").alias("b")), texts)
+    linked = known.filter(F.col("sim") >= threshold)
+    label = jumped(linked.select(F.col("b").alias("id"), F.col("a").alias("up")).distinct())
+    nodes_left = _mixed(bucket, label)
+    rows = prefixes(nodes_left, texts, threshold)
     for hubs_only in (True, False):
         pairs = prefix_pairs(rows, label, threshold, hubs_only).join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = verified(pairs, docs)
+        found = verified(pairs, texts)
         known = known.unionByName(found)
         fresh = found.filter(F.col("sim") >= threshold).select("a", "b")
-        links = links.unionByName(fresh)
         if fresh.take(1):
-            label = components(links)
+            label = relabelled(label, components(_contracted(fresh, label)).filter("id != label"))
 
     # rows that repeat a doc_id under several texts tie those texts' classes together
     texts = signed.select("doc_id", "h1", "h2").join(nodes, ["h1", "h2"]).select("doc_id", "id")

@@ -1,4 +1,4 @@
-"""Connected components of a link table, by label propagation with shortcuts."""
+"""Connected components of a link table, by hooking and pointer jumping."""
 
 from __future__ import annotations
 
@@ -6,58 +6,54 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
+def jumped(pointers: DataFrame) -> DataFrame:
+    """(id, label): the end of the chain of pointers (id, up), up < id, from every id; one pointer for each id.
+
+    Each round doubles the length a pointer spans, so the rounds follow the
+    logarithm of the longest chain.  A popular ``up`` costs a join with one row
+    on its other side, which Spark splits by size.
+    """
+    at = pointers.select("id", "up").checkpoint()
+    while True:
+        over = at.select(F.col("id").alias("up"), F.col("up").alias("up2"))
+        seen = Observation()
+        at = (
+            at.join(over, "up", "left").observe(seen, F.count("up2").alias("moved"))
+            .select("id", F.coalesce("up2", "up").alias("up")).checkpoint()
+        )
+        if not seen.get["moved"]:
+            return at.select("id", F.col("up").alias("label"))
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(id, label) for every id of ``links``: label is the smallest id of its component.
 
     Links may repeat, point either way and name an id twice; null ends are
-    ignored.  Each round turns the graph into stars around the smallest
-    neighbour (every node with its neighbours points at the least of them),
-    first over all neighbours that are larger, then over all that are smaller,
-    until a round changes nothing; the number of rounds follows the logarithm
-    of the longest chain.  A node linked to a third of all rows costs one
-    partial minimum for each task and a join that Spark splits by size.  Each
-    round is checkpointed to the shared folder.
+    ignored.  In a pass every node points at its smallest smaller neighbour, the
+    pointers are followed to their ends, and the links are redrawn between
+    these; it ends when no link joins two ends.  A node linked to a third of all rows
+    costs one partial minimum for each task and joins that Spark splits
+    by size.  Each step is checkpointed to the shared folder.
     """
-    edges = (
+    links = (
         links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
         .filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("u") != F.col("v")))
         .distinct().checkpoint()
     )
-    mark = None
-    while True:
-        edges, now = _written(_small_star(_large_star(edges)))
-        if now == mark or not now[0]:
-            break
-        mark = now
-    stars = edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
-    return stars.unionByName(stars.select(F.col("label").alias("id"), "label").distinct())
-
-
-def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges checkpointed, and a value that is the same for the same set of edges (their count and
-    the sum of their hashes), gathered while they are written."""
-    seen = Observation()
-    h = F.xxhash64("u", "v").cast("decimal(38,0)")
-    out = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")).checkpoint()
-    return out, (seen.get["n"], seen.get["h"])
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Links every larger neighbour of a node to the least of the node and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).select("n", F.least("n", "m").alias("m"))
-    return (
-        both.join(least, both["u"] == least["n"]).filter(F.col("v") > F.col("u"))
-        .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-    )
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Links every smaller neighbour of a node, and the node, to the least of them."""
-    least = edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-    joined = edges.join(least, edges["u"] == least["n"])
-    return (
-        joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v")))
-        .filter("u != v").distinct()
-    )
+    labels = None
+    while labels is None or links.take(1):
+        new = jumped(links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("up")))
+        labels = new if labels is None else relabelled(labels, new)
+        links = (
+            links.join(new.select(F.col("id").alias("u"), F.col("label").alias("a")), "u")
+            .join(new.select(F.col("id").alias("v"), F.col("label").alias("b")), "v", "left")
+            .select(F.col("a"), F.coalesce("b", "v").alias("b")).filter("a != b")
+            .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+        )
+    return labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
+
+
+def relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """``labels`` (id, label; an id that is its own label has no row) after the labels of ``merged`` (id, label) have moved."""
+    moved = labels.join(merged.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left")
+    return moved.select("id", F.coalesce("to", "label").alias("label")).unionByName(merged).checkpoint()

@@ -15,8 +15,8 @@ Cuts.  A phrase that occurs LEAST times consists of words, pairs and triples
 that occur LEAST times, so pieces may be cut wherever one of these is rarer,
 without touching any phrase sought.  Words, pairs and triples are counted one
 after the other (exactly, by grouped sums), and the frequent ones are marked in
-one table of ``2 ** SLOT_BITS`` bits by their hash.  The table has the same size
-for every corpus; a wrong mark leaves a piece uncut and costs time only.  What
+one table of bits by their hash (``marks``), of the same size for every corpus; a
+wrong mark leaves a piece uncut and costs time only.  What
 remains of the text for the edges is little more than its repetitions.
 
 Unary paths.  Edges that follow one another through nodes with one edge in and
@@ -45,12 +45,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .marks import Marks, marked, no_bits
 
 ORDER = 5
 LEAST = 100
 #: Rows of the result for each language.
 TOP = 2000
-SLOT_BITS = 27
 #: Runs gathered in a task before they are counted and passed on.
 HELD_RUNS = 2_000_000
 
@@ -98,15 +98,8 @@ def _run_hash(w: np.ndarray, k: int) -> np.ndarray:
     return W.mix(out ^ W.U(k))
 
 
-class Marks:
-    """Which words, pairs and triples are frequent: a table of bits by hash, never wrong about a frequent one."""
-
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits = bits
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        slot = h >> W.U(64 - SLOT_BITS)
-        return (self.bits[slot >> W.U(6)] >> (slot & W.U(63))) & W.U(1) == 1
+class RunMarks(Marks):
+    """Which words, pairs and triples are frequent."""
 
     def runs(self, w: np.ndarray, on: np.ndarray, longest: int) -> np.ndarray:
         """Number of words (up to ``longest``) from each word on before the next cut; runs of up to
@@ -130,7 +123,7 @@ def _counted(runs: list[np.ndarray]) -> pa.RecordBatch:
 
 def _run_counter(k: int, marks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = Marks(marks.value), []
+        table, held = RunMarks(marks.value), []
         for batch in batches:
             for _, _, w, on in _pieces(batch):
                 held.append(_run_hash(w, k)[table.runs(w, on, k)[: max(len(w) - k + 1, 0)] == k])
@@ -159,7 +152,7 @@ WORD_COLUMNS = [f"w{i + 1}" for i in range(ORDER)]
 
 def _edge_counter(marks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, sizes = Marks(marks.value), [], []
+        table, held, sizes = RunMarks(marks.value), [], []
         for batch in batches:
             for _, _, w, on in _pieces(batch):
                 n = table.runs(w, on, ORDER)
@@ -167,7 +160,7 @@ def _edge_counter(marks):
                 wide = np.concatenate([w, np.zeros(ORDER, W.U)])
                 held.append(np.where(np.arange(ORDER) < n[at, None], wide[at[:, None] + np.arange(ORDER)], W.U(0)))
                 sizes.append(n[at])
-                if sum(map(len, held)) >= HELD_RUNS // ORDER:
+                if sum(map(len, held)) >= HELD_RUNS:
                     yield _edge_rows(np.concatenate(held), np.concatenate(sizes))
                     held, sizes = [], []
         if held:
@@ -176,17 +169,6 @@ def _edge_counter(marks):
     return run
 
 
-def _marked(bits: np.ndarray, frequent: DataFrame) -> np.ndarray:
-    """``bits`` with the hashes of ``frequent`` (h) set; at most 2 ** (SLOT_BITS - 6) rows reach the driver."""
-    slot = F.shiftrightunsigned("h", 64 - SLOT_BITS)
-    rows = frequent.select(F.shiftright(slot, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit"))
-    got = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    at = got.column("at").to_numpy()
-    out = bits.copy()
-    out[at] |= got.column("bits").to_numpy().view(W.U)
-    return out
-
-
 def graph(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Edges and end runs (w1 .. w5, n), and the vocabulary (lang, w, word, n), both written to the shared folder."""
     spark = docs.sparkSession
@@ -196,11 +178,11 @@ def graph(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     )
     # the first look-up is by word; its hash is that of a run of one
     words = vocabulary.filter(F.col("n") >= least).select("w").mapInArrow(_word_runs, "h long")
-    bits = _marked(np.zeros(1 << (SLOT_BITS - 6), W.U), words)
+    bits = marked(no_bits(), words)
     for k in (2, 3):
         marks = spark.sparkContext.broadcast(bits)
         counts = texts.mapInArrow(_run_counter(k, marks), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        bits = _marked(bits, counts.filter(F.col("n") >= least).select("h"))
+        bits = marked(bits, counts.filter(F.col("n") >= least).select("h"))
     marks = spark.sparkContext.broadcast(bits)
     schema = ", ".join(f"{c} long" for c in [*WORD_COLUMNS, "n"])
     edges = texts.mapInArrow(_edge_counter(marks), schema).groupBy(*WORD_COLUMNS).agg(F.sum("n").alias("n"))

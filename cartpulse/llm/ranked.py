@@ -167,7 +167,7 @@ def _held(p: W.Piece, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 def _frequencies(block):
     """(text) to (t, n, words): documents that hold term t; the row of null t has the documents with terms and their terms."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = block.value.terms
+        terms = block.value["terms"]
         df, full, total = np.zeros(len(terms), np.int64), 0, 0
         for batch in batches:
             for p in W.pieces(batch.column(0), W.ALNUM):
@@ -220,7 +220,7 @@ class Best:
 def _scorer(block, weights, n_docs: int, n_words: int, top: int):
     """(doc_id, text) to (k, doc_id, score): the best documents of the task for each item number k."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, w = block.value, weights.value
+        b, w = Block(**block.value), weights.value
         best = Best(len(b.items), top)
         at_once = max(CELLS // max(b.n_classes + len(b.parent) + len(b.rest_class), 1), 1)
         for batch in batches:
@@ -258,7 +258,7 @@ def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, block_terms: int =
         inside = mine.select(F.explode("path.class").alias("class")).distinct()
         terms = classes.join(inside, "class", "left_semi")
         block = block_of(mine.orderBy("item").collect(), terms.toArrow())  # bounded by block_terms or one item
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(vars(block))
         stats = docs.select("text").mapInArrow(_frequencies(shared), "t long, n long, words long").groupBy("t").agg(F.sum("n"), F.sum("words")).toArrow()
         t, count, words = (stats.column(i).to_pylist() for i in range(3))
         whole = dict(zip(t, zip(count, words, strict=True), strict=True)).get(None, (0, 0))

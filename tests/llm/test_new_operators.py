@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartpulse.llm import phrases, ranked, urls
+from cartpulse.llm import marks, phrases, ranked, urls
 from cartpulse.llm.tables import hot_join, ready
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -96,14 +96,13 @@ def test_a_repeated_passage_is_one_path(spark, texts):
     assert sorted(r["place"] for r in first) == list(range(11)) and len({r["path"] for r in first}) == 1
 
 
-def test_every_frequent_run_is_marked():
+def test_marked_hashes_are_found(spark):
+    ready(spark)
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 1000).astype(phrases.W.U) * phrases.W.U(2)
-    bits = np.zeros(1 << (phrases.SLOT_BITS - 6), phrases.W.U)
-    slot = h >> phrases.W.U(64 - phrases.SLOT_BITS)
-    np.bitwise_or.at(bits, (slot >> phrases.W.U(6)).astype(np.int64), phrases.W.U(1) << (slot & phrases.W.U(63)))
-    assert phrases.Marks(bits).has(h).all()
-    assert phrases.Marks(bits).has(phrases.W.mix(h + phrases.W.U(1))).mean() < 0.01
+    bits = marks.marked(marks.no_bits(), spark.createDataFrame([(int(x),) for x in h.view(np.int64)], "h long"))
+    assert marks.Marks(bits).has(h).all()
+    assert marks.Marks(bits).has(marks.W.mix(h + marks.W.U(1))).mean() < 0.01
 
 
 # op12
