@@ -22,11 +22,12 @@ log-likelihood under its mixture over that of a background where every slot is
 equally likely, plus the entropy of the shares (a mixture does not know the
 language of an n-gram), plus SLACK standard errors of that mean.  The bar is the
 fit that all but REJECTED of the training rows reach, each judged by the counts
-of the others.  Texts under the bar are ``und``: garbled, or in no learned
-language.  With fewer than 1 / REJECTED training rows the bar is their least fit.
+of the others.  Texts under the bar are not ``explained``: garbled, or in no learned
+language.  They still get the learned languages that fit best; the stage of the
+pipeline drops them.  With fewer than 1 / REJECTED training rows the bar is their least fit.
 
-Defined cases.  A null text, one without any letter (Unicode category L) or one
-under the bar is ``und`` with score 0 and has no shares.  Training ignores null
+Defined cases.  A null text or one without any letter (Unicode category L) is
+``und`` with score 0, has no shares and is not explained.  Training ignores null
 texts and null languages.  Without any training row every document is ``und``.  Repeated rows
 count as often as they occur.  An empty table gives an empty result.  Columns
 other than doc_id, text and (for training) lang are ignored.
@@ -256,46 +257,49 @@ def _bags(texts: pa.Array) -> Iterator[tuple[int, np.ndarray | None, np.ndarray
             yield p.first + i, slot[a:b], count[a:b].astype(np.float32)
 
 
-def judge(texts: pa.Array, model: Model) -> Iterator[tuple[int, np.ndarray, float]]:
-    """(row, share of every language, score) of each text, in order; no shares for a text without a letter or under the bar."""
+def judge(texts: pa.Array, model: Model) -> Iterator[tuple[int, np.ndarray, float, bool]]:
+    """(row, share of every language, score, explained) of each text, in order; no shares for a text without a letter.
+
+    A text is explained if its fit reaches the bar; one that is not still gets the languages that fit best.
+    """
     nothing = np.zeros(0)
     for row, slot, count in _bags(texts):
         if not model.langs or slot is None:
-            yield row, nothing, 0.0
+            yield row, nothing, 0.0, False
             continue
         logs = model.table[slot]
         share, posterior = mixture(logs, count)
-        if fitness(logs, model.base[slot], count, share) < model.bar:
-            yield row, nothing, 0.0
-            continue
-        yield row, share, min(1.0, float(share.max()) * posterior)
+        explained = bool(fitness(logs, model.base[slot], count, share) >= model.bar)
+        yield row, share, min(1.0, float(share.max()) * posterior), explained
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score, languages) for every row of ``docs``; languages maps each kept language to its share."""
+    """(doc_id, lang_pred, score, languages, explained) for every row of ``docs``; languages maps each kept language to its
+    share, explained says whether the text's fit reaches the bar."""
     langs = model.langs
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.map_(pa.string(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score, shares = [], [], []
-            for _, share, value in judge(batch.column(1), sent.value):
+            pred, score, shares, fits = [], [], [], []
+            for _, share, value, explained in judge(batch.column(1), sent.value):
                 pred.append(langs[int(np.argmax(share))] if len(share) else "und")
                 score.append(value)
                 shares.append([(langs[j], float(share[j])) for j in np.flatnonzero(share)])
+                fits.append(explained)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, kind)],
-                names=["doc_id", "lang_pred", "score", "languages"])
+                [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, kind), pa.array(fits, pa.bool_())],
+                names=["doc_id", "lang_pred", "score", "languages", "explained"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, languages map<string,double>")
+    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, languages map<string,double>, explained boolean")
 
 
 def predictions(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, languages): trained on the rows that are not held out."""
+    """(doc_id, held_out, lang_pred, score, languages, explained): trained on the rows that are not held out."""
     model = train(docs.filter(~held_out(F.col("doc_id"))).select("lang", "text"))
-    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages", "explained")
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -306,8 +310,8 @@ def identified(docs: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(len(batch), bool)
-            for row, share, _ in judge(batch.column(at), sent.value):
-                good[row] = len(share) > 0
+            for row, _, _, explained in judge(batch.column(at), sent.value):
+                good[row] = explained
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -118,6 +118,7 @@ def cosines(segment: np.ndarray, term: np.ndarray, n: int, vocabulary: Vocabular
 
 def own_licenses(files: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COSINE) -> DataFrame:
     """Adds ``license`` and ``cosine`` (both null where no template is near enough) to the rows (path, text, ...); text goes."""
+    files = files.drop("license", "cosine")
     vocabulary = Vocabulary(templates or TEMPLATES)
     seen, lines = line_frequencies(files.select("text"), vocabulary)
     idf = np.log((lines + 1) / (seen + 1)) + 1
@@ -155,8 +156,11 @@ def _directory(path: Column) -> Column:
 
 
 def inherited(files: DataFrame) -> DataFrame:
-    """(path, license, cosine, ...) rows with ``origin`` (own, inherited or null) and ``from_dir``; licences filled from the nearest directory above."""
-    rows = files.withColumn("dir", _directory(F.col("path"))).checkpoint()
+    """(path, license, cosine, ...) rows with ``origin`` (own, inherited or null) and ``from_dir``; licences filled from the nearest
+    directory above.  Columns of these names that ``files`` has already are replaced; all others travel as one struct."""
+    kept = [c for c in files.columns if c not in ("license", "cosine", "origin", "from_dir")]
+    rows = files.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "path", "license", "cosine", _directory(F.col("path")).alias("dir")).checkpoint()
     named = rows.filter(F.lower(F.regexp_extract("path", "([^/]*)$", 1)).rlike("^(license|licence|copying|notice)([.].*)?$") & F.col("license").isNotNull())
     holders = named.groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best")).select(
         F.col("dir").alias("from_dir"), F.col("best.license").alias("dir_license"), (-F.col("best.c")).alias("dir_cosine")).checkpoint()
@@ -170,7 +174,7 @@ def inherited(files: DataFrame) -> DataFrame:
     out = rows.join(broadcast_if_small(nearest, BROADCAST_DIRS), "dir", "left")
     own = F.col("license").isNotNull()
     return out.select(
-        *[c for c in files.columns if c not in ("license", "cosine")], F.coalesce("license", "dir_license").alias("license"), F.coalesce("cosine", "dir_cosine").alias("cosine"),
+        "row.*", F.coalesce("license", "dir_license").alias("license"), F.coalesce("cosine", "dir_cosine").alias("cosine"),
         F.when(own, "own").when(F.col("dir_license").isNotNull(), "inherited").alias("origin"), F.when(~own, F.col("from_dir")).alias("from_dir"))
 
 

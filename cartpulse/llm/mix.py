@@ -99,12 +99,16 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, whole, each as often as the mix takes it (wordless rows: once for each full epoch of their source)."""
-    sized = docs.select(F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), key(F.col("doc_id"), F.col("text")).alias("key")).checkpoint()
-    plan = broadcast_if_small(cuts(sized).select(F.col("source").alias("_source"), "epochs", "cut_key", "left", "unit"), BROADCAST_SOURCES)
-    rows = docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col("_source")), "left")
-    own = key(F.col("doc_id"), F.col("text"))
-    once_more = F.coalesce((own < F.col("cut_key")) | ((own == F.col("cut_key")) & (F.col("left") * 2 >= F.col("unit"))), F.lit(False))
-    copies = F.col("epochs") + F.when(once_more & (words(F.col("text")) > 0), 1).otherwise(0)
-    rows = rows.withColumn("_copies", copies).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The rows of ``docs``, whole, each as often as the mix takes it (wordless rows: once for each full epoch of their source).
+
+    The rows travel as one struct, so no column of theirs can clash with one of the plan.
+    """
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("source"),
+        words(F.col("text")).alias("size"), key(F.col("doc_id"), F.col("text")).alias("key"))
+    plan = cuts(rows.select("source", "size", "key").checkpoint()).select("source", "epochs", "cut_key", "left", "unit")
+    rows = null_safe(rows, broadcast_if_small(plan, BROADCAST_SOURCES), ["source"], "left")
+    once_more = F.coalesce((F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & (F.col("left") * 2 >= F.col("unit"))), F.lit(False))
+    copies = F.col("epochs") + F.when(once_more & (F.col("size") > 0), 1).otherwise(0)
+    rows = rows.select("row", copies.cast("int").alias("copies")).filter("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
