@@ -1,13 +1,16 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance along paths.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; terms
-are words and pairs of neighbouring words of one line.  Segments of a text are
-each of its lines (a header's notice) and the text as a whole (a licence file).
-A segment's vector holds term frequency times inverse line frequency, counted
+are words and pairs of neighbouring words.  Segments of a text are its lines,
+the text as a whole, and windows of WINDOWS words across line ends, each size
+at every quarter of its length: so a notice is found where it is wrapped over comment
+lines, stands inside a long line, or opens a full licence text.  A segment's vector holds term frequency times inverse line frequency, counted
 over all lines of all texts; terms of no template share the weight of a term
 never seen, so only the templates' vocabulary (a fixed size) is ever counted and
-sent.  A file's own licence is the template with the largest cosine over its
-segments, if that is at least LEAST_COSINE; ties go to the template's name.
+sent.  A file's own licence is that of the template with the largest cosine over its
+segments, if that is at least LEAST_COSINE; ties go to the smaller name.  A licence
+may have several templates.  Windows without a rare term of a template are skipped
+where the common terms of no template can reach LEAST_COSINE alone, so no match is lost.
 
 A file without a licence of its own inherits from the nearest directory above
 it that holds a licence file (base name LICENSE, LICENCE, COPYING or NOTICE,
@@ -38,18 +41,23 @@ LEAST_COSINE = 0.5
 BROADCAST_DIRS = 1_000_000
 # fixed values: the customary notices of common licences
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "AGPL-3.0": "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004"),
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-4.0": "This work is licensed under CC BY 4.0, Creative Commons Attribution",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "GPL-2.0": "GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+                "GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     "ISC": "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3",
+                 "GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    "MIT": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "Unlicense": "This is free and unencumbered software released into the public domain",
 }
+#: Words of the windows laid over a text.
+WINDOWS = (8, 16, 32)
 
 
 def terms(p: W.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,11 +72,12 @@ def terms(p: W.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """Terms of all templates and their counts in each (terms x templates)."""
+    """Terms of all templates and their counts in each (terms x templates); template t is one of licence ``names[t]``."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
-        self.names = sorted(templates)
-        found = [terms(p) for p in W.pieces(pa.array([templates[n] for n in self.names]), W.ALNUM)]
+    def __init__(self, templates: dict[str, str | tuple[str, ...]]) -> None:
+        listed = [(name, x) for name in sorted(templates) for x in ((templates[name],) if isinstance(templates[name], str) else templates[name])]
+        self.names = [name for name, _ in listed]
+        found = [terms(p) for p in W.pieces(pa.array([x for _, x in listed]), W.ALNUM)]
         text, _, term = (np.concatenate(x) for x in zip(*found, strict=True))
         self.terms, at = np.unique(term, return_inverse=True)
         self.counts = np.zeros((len(self.terms), len(self.names)))
@@ -102,21 +111,72 @@ def line_frequencies(texts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarr
     return out[:-1], int(out[-1])
 
 
-def cosines(segment: np.ndarray, term: np.ndarray, n: int, vocabulary: Vocabulary, idf: np.ndarray, unseen: float) -> np.ndarray:
-    """Cosine of each segment (0 to n - 1) to each template (n x templates)."""
-    weights = vocabulary.counts * idf[:, None]
-    weights = weights / np.sqrt((weights**2).sum(axis=0))
-    hit, which = vocabulary.find(term)
-    key, tf = np.unique(segment[hit] * len(idf) + which, return_counts=True)
-    own, which = key // len(idf), key % len(idf)
-    value = tf * idf[which]
-    other = np.bincount(segment, minlength=n) - np.bincount(segment[hit], minlength=n)
-    norm = np.sqrt(np.bincount(own, value**2, minlength=n) + other * unseen**2)
-    dots = np.stack([np.bincount(own, value * weights[which, t], minlength=n) for t in range(weights.shape[1])], axis=1)
-    return dots / np.maximum(norm, 1e-12)[:, None]
-
-
-def own_licenses(files: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COSINE) -> DataFrame:
+class Scorer:
+    """Cosines of segments to the templates, under given line frequencies."""
+
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, unseen: float, least: float) -> None:
+        self.vocabulary, self.idf, self.unseen = vocabulary, idf, unseen
+        weights = vocabulary.counts * idf[:, None]
+        self.weights = weights / np.sqrt((weights**2).sum(axis=0))
+        rare = idf >= unseen / 2
+        alone = np.sqrt((self.weights[~rare] ** 2).sum(axis=0)).max(initial=0.0)
+        #: terms of which a window must hold one to be a match
+        self.rare = rare if alone < least else np.ones(len(idf), bool)
+
+    def cosines(self, segment: np.ndarray, which: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Cosine of each segment to each template; its vocabulary terms are (segment, which), all its terms ``sizes`` many."""
+        n, width = len(sizes), len(self.idf)
+        key, tf = np.unique(segment * width + which, return_counts=True)
+        own, which = key // width, key % width
+        value = tf * self.idf[which]
+        norm = np.sqrt(np.bincount(own, value**2, minlength=n) + (sizes - np.bincount(segment, minlength=n)) * self.unseen**2)
+        dots = np.stack([np.bincount(own, value * self.weights[which, t], minlength=n) for t in range(self.weights.shape[1])], axis=1)
+        return dots / np.maximum(norm, 1e-12)[:, None]
+
+    def best(self, p: W.Piece) -> np.ndarray:
+        """The largest cosine of each text of a piece to each template, over its lines, its whole and its windows."""
+        n = len(p.bounds) - 1
+        out = np.zeros((n, len(self.vocabulary.names)))
+        text, line, term = terms(p)
+        if not len(term):
+            return out
+        hit, which = self.vocabulary.find(term)
+        numbers, line = np.unique(line, return_inverse=True)
+        of_line = np.zeros(len(numbers), np.int64)
+        of_line[line] = text
+        np.maximum.at(out, of_line, self.cosines(line[hit], which, np.bincount(line, minlength=len(numbers))))
+        out = np.maximum(out, self.cosines(text[hit], which, np.bincount(text, minlength=n)))
+        for owner, found in self._windows(p):
+            np.maximum.at(out, owner, found)
+        return out
+
+    def _windows(self, p: W.Piece) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text of each, cosines) of the windows of one size and phase that can match."""
+        text, h = p.text_of_word(), p.word_hashes()
+        place = np.arange(len(h)) - p.bounds[text]
+        single, which = self.vocabulary.find(h)
+        pair = np.flatnonzero(text[1:] == text[:-1])
+        both, which2 = self.vocabulary.find(W.mix(h[pair] * W.U(0x9E3779B97F4A7C15) ^ h[pair + 1]))
+        at, span = np.concatenate([single, pair[both]]), np.concatenate([np.zeros(len(single), np.int64), np.ones(len(both), np.int64)])
+        which = np.concatenate([which, which2])
+        for size in WINDOWS:
+            for phase in range(0, size, size // 4):
+                # a window begins ``phase`` words after a multiple of its size; words before the first belong to one cut off
+                k = (place[at] - phase) // size
+                inside = (place[at] + span - phase) // size == k
+                key = text[at] * (1 << 40) + k + 1
+                live = np.unique(key[inside & self.rare[which]])
+                slot = np.minimum(np.searchsorted(live, key), max(len(live) - 1, 0))
+                mine = np.flatnonzero(inside & (live[slot] == key)) if len(live) else np.zeros(0, np.int64)
+                if not len(mine):
+                    continue
+                owner, first = live >> 40, ((live & ((1 << 40) - 1)) - 1) * size + phase
+                total = p.bounds[owner + 1] - p.bounds[owner]
+                length = np.minimum(first + size, total) - np.maximum(first, 0)
+                yield owner, self.cosines(slot[mine], which[mine], 2 * length - 1)
+
+
+def own_licenses(files: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None, least: float = LEAST_COSINE) -> DataFrame:
     """Adds ``license`` and ``cosine`` (both null where no template is near enough) to the rows (path, text, ...); text goes."""
     files = files.drop("license", "cosine")
     vocabulary = Vocabulary(templates or TEMPLATES)
@@ -126,20 +186,14 @@ def own_licenses(files: DataFrame, templates: dict[str, str] | None = None, leas
     at = files.columns.index("text")
     rest = [c for c in files.columns if c != "text"]
 
+    scorer = Scorer(vocabulary, idf, unseen, least)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             others = batch.select([i for i in range(batch.num_columns) if i != at])
             for p in W.pieces(batch.column(at), W.ALNUM):
                 n = len(p.bounds) - 1
-                text, line, term = terms(p)
-                best = np.zeros((n, len(vocabulary.names)))
-                if len(term):
-                    lines_, line = np.unique(line, return_inverse=True)
-                    of_line = np.zeros(len(lines_), np.int64)
-                    of_line[line] = text
-                    np.maximum.at(best, of_line, cosines(line, term, len(lines_), vocabulary, idf, unseen))
-                    best = np.maximum(best, cosines(text, term, n, vocabulary, idf, unseen))
-                best = np.round(best, 9)
+                best = np.round(scorer.best(p), 9)
                 top = best.argmax(axis=1)
                 value = best[np.arange(n), top]
                 none = value < least

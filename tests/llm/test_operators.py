@@ -161,6 +161,74 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(files.filter("false")).count() == 0
 
 
+GPL_HEADER = """# Copyright (C) 2020 Somebody Else
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+import os
+"""
+MIT_TEXT = """Copyright (c) 2020 Somebody Else
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+def test_wrapped_headers_full_texts_and_notices_in_long_lines(spark):
+    ready(spark)
+    filler = [f"word{i % 61}x{i % 7}" for i in range(130)]
+    inside = " ".join(filler[:70] + ["Released under the MIT License."] + filler[70:])
+    rows = [(f"src/f{i}.txt", " ".join(np.roll(filler, i)) + " the license of the house and permission") for i in range(60)]
+    rows += [("a/x.py", GPL_HEADER), ("b/LICENSE", MIT_TEXT), ("b/c/y.py", "import os"), ("d/LICENSE", inside), ("d/z.py", None),
+             ("e/x.c", GPL_HEADER.replace("version 3", "version 2").replace("#", " *")), ("long", " ".join(filler * 400) + "\n" + GPL_HEADER)]
+    got = {r["path"]: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string").repartition(3)).collect()}
+    assert {p: r["license"] for p, r in got.items() if r["license"]} == {
+        "a/x.py": "GPL-3.0", "b/LICENSE": "MIT", "b/c/y.py": "MIT", "d/LICENSE": "MIT", "d/z.py": "MIT", "e/x.c": "GPL-2.0", "long": "GPL-3.0"}
+    # the same cosines by hand: every line, the whole text and every window of every text
+    vocabulary, bag = licenses.Vocabulary(licenses.TEMPLATES), lambda w: Counter(w) + Counter(zip(w, w[1:]))
+    listed = [x for n in sorted(licenses.TEMPLATES) for x in ([licenses.TEMPLATES[n]] if isinstance(licenses.TEMPLATES[n], str) else licenses.TEMPLATES[n])]
+    words = lambda t: ALNUM.findall(lower(t))
+    lines = [bag(words(x)) for _, t in rows for x in (t or "").split("\n") if words(x)]
+    known = {t for x in listed for t in bag(words(x))}
+    idf = {t: np.log((len(lines) + 1) / (sum(t in x for x in lines) + 1)) + 1 for t in known}
+    unseen = np.log(len(lines) + 1) + 1
+
+    def cosine(a, b):
+        weigh = lambda c: {t: n * idf[t] for t, n in c.items() if t in idf}
+        a_, b_ = weigh(a), weigh(b)
+        rest = sum(n for t, n in a.items() if t not in idf) * unseen**2
+        return sum(v * b_.get(t, 0) for t, v in a_.items()) / np.sqrt(sum(v * v for v in a_.values()) + rest) / np.sqrt(sum(v * v for v in b_.values()))
+
+    for path, text in rows[-7:-1]:
+        w = words(text)
+        if not w:
+            continue
+        segments = [bag(words(x)) for x in text.split("\n") if words(x)] + [Counter(w) + sum((Counter(zip(v, v[1:])) for v in map(words, text.split("\n"))), Counter())]
+        for size in licenses.WINDOWS:
+            for phase in range(0, size, size // 4):
+                cuts = [0, *range(phase or size, len(w), size), len(w)]
+                segments += [bag(w[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b]
+        scores = [(cosine(s, bag(words(x))), n) for n, x in zip(vocabulary.names, listed, strict=True) for s in segments]
+        best = max(c for c, _ in scores)
+        if got[path]["origin"] == "own":
+            assert got[path]["cosine"] == pytest.approx(best, abs=1e-8)
+        else:
+            assert best < licenses.LEAST_COSINE
+
+
 def test_licence_query_finds_all_notices_and_nothing_else(spark):
     got = catalog.QUERIES["op2_license_scan"](spark, SF_MID).collect()
     text = {r["doc_id"]: r["text"] for r in table(spark, SF_MID, "documents").collect()}
