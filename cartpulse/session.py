@@ -7,8 +7,11 @@ and the benchmark.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -54,6 +57,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}"
 
 
+def ship_package(spark: SparkSession) -> str:
+    """Adds this package to the session's executors, for clusters whose workers do not have it.
+
+    The sources are zipped into the shared folder and added with ``addPyFile``; ``--py-files`` does the same for a whole application.
+    """
+    here = os.path.dirname(os.path.abspath(__file__))
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.join(os.path.basename(here), os.path.relpath(full, here)))
+    sc = spark.sparkContext
+    path = scratch_path(spark, f"package-{uuid.uuid4().hex}/cartpulse.zip")
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at)
+    out.write(raw.getvalue())
+    out.close()
+    sc.addPyFile(path)
+    return path
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in PLAN_DEFAULTS.items():
         if spark.conf.get(key, None) is None:

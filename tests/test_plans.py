@@ -115,3 +115,38 @@ def test_split_of_a_text_history_reads_it_once(spark, tmp_path):
     assert sorted(r["reason"] for r in rejected.collect()) == ["day"] * 3 + ["family", "subcat"]
     assert {r["subcat_id"] for r in rejected.collect()} == {"10", "x", None}
     assert FI.split_purchases(raw.filter("false"), str(tmp_path / "e"))[2] == {"accepted": 0, "day": 0, "family": 0, "subcat": 0}
+
+
+def test_a_family_look_up_computes_one_family(spark):
+    from cartpulse.plans.inspect import formatted_plan
+
+    text = formatted_plan(C.QUERIES["family_lookup"](spark, SF_SMALL))
+    filters = [x for x in text.splitlines() if x.startswith("Condition") and "o_custkey" in x]
+    assert filters and all(f"% {C.HOUSEHOLDS}) = {C.LOOKUP_FAMILY}" in x for x in filters)
+
+
+def test_the_package_is_shipped_to_executors(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    # a driver that knows the package, workers that do not: they run in another folder
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from cartpulse.session import local_session, ship_package
+from pyspark.sql import functions as F
+spark = local_session(2, 2)
+if sys.argv[1] == "ship":
+    ship_package(spark)
+@F.udf("string")
+def name(x):
+    import cartpulse.functions.scores
+    return cartpulse.functions.scores.__name__
+print("got", spark.range(2).select(name("id")).distinct().collect()[0][0])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = lambda how: subprocess.run([sys.executable, "-c", code, how], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300).stdout
+    assert "got cartpulse.functions.scores" in run("ship") and "got" not in run("no")
