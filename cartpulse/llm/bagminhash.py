@@ -23,7 +23,9 @@ Bands of ROWS components are bucketed; buckets never emit all pairs:
 * nodes of buckets that still hold several components then go through an exact
   prefix join on their rarest shingles (``prefixes``), first with the first node
   of each shingle only, then, where components still differ, in full; so no
-  colliding pair that could join two components is left out.
+  colliding pair that could join two components is left out.  A sketch of 256
+  bits for each node tells, before any text moves, that most pairs of such
+  nodes differ in too many shingles.
 
 Every comparison is exact: the two texts are joined and their bags intersected.
 With BANDS = 28 and ROWS = 4, a pair of similarity 0.8 shares no bucket with
@@ -226,8 +228,25 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0).slice(p.first, n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(W.signed(element)))], names=["id", "elements"])
 
 
+SKETCH = [f"s{i}" for i in range(4)]
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_elements`` with a sketch of each set: 256 bits, each the parity of the elements that hash to it.
+
+    Two sets differ in at least as many elements as their sketches in bits.
+    """
+    for batch in _elements(batches):
+        lists, n = batch.column(1), len(batch)
+        owner = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+        slot = W.mix(lists.flatten().to_numpy().view(W.U)) >> W.U(56)
+        odd = np.bincount(owner * 256 + slot.astype(np.int64), minlength=n * 256).astype(np.uint8) & 1
+        bits = np.packbits(odd.reshape(n, 256), axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)]], names=["id", "elements", *SKETCH])
+
+
 def prefixes(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(e, id, n, place): of each node's n elements, rarest among the nodes first, the e at ``place`` that a partner must share one of.
+    """(e, id, n, place, sketch): of each node's n elements, rarest among the nodes first, the e at ``place`` that a partner must share one of.
 
     Elements are ordered by the number of nodes that hold them.  Two sets of
     similarity t share one of the first n - ceil(t n) + 1 elements of either.
@@ -236,14 +255,14 @@ def prefixes(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     rest are told apart without looking at a pair.
     """
     mine = texts.join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = mine.mapInArrow(_elements, "id long, elements array<long>").withColumns(
+    sets = mine.mapInArrow(_sets, "id long, elements array<long>, " + ", ".join(f"{c} long" for c in SKETCH)).withColumns(
         {"n": F.size("elements"), "set": F.xxhash64("id", "elements")}).checkpoint()
-    rows = sets.select("id", "set", "n", F.explode("elements").alias("e"))
+    rows = sets.select("id", "set", "n", *SKETCH, F.explode("elements").alias("e"))
     shared = rows.groupBy("e").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     first = Window.partitionBy("id", "set").orderBy("df", "e")
     common = rows.join(shared, "e").withColumns({"at": F.row_number().over(first), "shared": F.count(F.lit(1)).over(Window.partitionBy("id", "set"))})
     bound = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    return common.withColumn("place", F.col("n") - F.col("shared") + F.col("at")).filter(F.col("place") <= bound).select("e", "id", "n", "place").checkpoint()
+    return common.withColumn("place", F.col("n") - F.col("shared") + F.col("at")).filter(F.col("place") <= bound).select("e", "id", "n", "place", *SKETCH).checkpoint()
 
 
 def prefix_pairs(rows: DataFrame, label: DataFrame, threshold: float, hubs_only: bool) -> DataFrame:
@@ -255,10 +274,13 @@ def prefix_pairs(rows: DataFrame, label: DataFrame, threshold: float, hubs_only:
         # the hub must hold the element early enough for a partner of its own size
         own = F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
         other = rows.join(rows.filter(own).groupBy("e").agg(F.min("id").alias("hub")), "e").filter("id = hub").drop("hub")
-    other = other.select("e", *[F.col(c).alias(c + "2") for c in ("id", "n", "place", "label")])
+    other = other.select("e", *[F.col(c).alias(c + "2") for c in ("id", "n", "place", "label", *SKETCH)])
     # the overlap that two sets of these sizes need
     need = F.ceil((F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9)
     early = (F.col("place") <= F.col("n") - need + 1) & (F.col("place2") <= F.col("n2") - need + 1)
+    # sets that overlap so far differ in few elements, and their sketches in no more bits
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "2"))) for c in SKETCH), F.lit(0))
+    early = early & (apart <= F.col("n") + F.col("n2") - 2 * need)
     return rows.join(other, "e").filter(
         (F.col("id") != F.col("id2") if hubs_only else F.col("id2") < F.col("id")) & (F.col("label") != F.col("label2")) & early
     ).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()

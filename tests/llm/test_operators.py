@@ -336,6 +336,29 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert bagminhash.near_duplicate_classes(none).count() == 0
 
 
+def test_pairs_of_a_group_just_under_the_threshold_grow_with_the_group(spark):
+    ready(spark)
+    rng = np.random.default_rng(11)
+    counts = []
+    for m in (250, 1000):
+        base = [f"w{i}" for i in range(90)]
+        texts = []
+        for i in range(m):
+            w = list(base)
+            for at in rng.choice(90, 3, replace=False):
+                w[at] = f"n{i}x{at}"
+            texts.append((i, " ".join(w)))
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        nodes = docs.selectExpr("doc_id AS id", "doc_id AS label")
+        rows = bagminhash.prefixes(nodes, docs, 0.8)
+        found = {(r["a"], r["b"]) for r in bagminhash.prefix_pairs(rows, nodes.filter("false"), 0.8, False).collect()}
+        counts.append(len(found))
+        bags = [shingles(t) for _, t in texts]
+        near = {(a, b) for a in range(0, m, 5) for b in range(a + 1, m) if (x := sum((bags[a] & bags[b]).values())) >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - x)}
+        assert near <= found
+    assert counts[1] <= 4 * max(counts[0], 50)
+
+
 # op5
 
 
