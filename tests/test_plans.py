@@ -150,3 +150,40 @@ print("got", spark.range(2).select(name("id")).distinct().collect()[0][0])
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = lambda how: subprocess.run([sys.executable, "-c", code, how], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300).stdout
     assert "got cartpulse.functions.scores" in run("ship") and "got" not in run("no")
+
+
+def test_shuffles_follow_the_number_of_lines(spark, tmp_path, monkeypatch):
+    from cartpulse import session as SE
+    from cartpulse.operators.rank import ordered_ranks
+    from pyspark.sql import functions as F
+
+    ids = spark.range(3_000)
+    ids.selectExpr("id AS l_orderkey", "id % 50 AS l_partkey", "id AS l_suppkey", "1D AS l_quantity", "2D AS l_extendedprice",
+                   "0D AS l_discount").write.parquet(f"{tmp_path}/lineitem.parquet")
+    ids.selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "timestamp_ntz'2001-05-05' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(50).selectExpr("id AS p_partkey", "'Brand#11' AS p_brand", "'PROMO' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    own = ("spark.sql.autoBroadcastJoinThreshold", SE.ADVISORY, SE.INITIAL)
+    old = {k: spark.conf.get(k, None) for k in own}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set(SE.ADVISORY, "128MB")
+        for each, partitions in ((1_000, 8), (100, 30)):  # 8: the session's own number
+            monkeypatch.setattr(SE, "ROWS_PER_PARTITION", each)
+            lines = C._hist(spark, str(tmp_path), None)
+            table = C.FE.pair_features(lines, C.REF)
+            assert len(table.collect()) == 7
+            dealt = [x for x in summary(table)["exchanges"] if "hashpartitioning" in x]
+            assert dealt and all(f", {partitions})" in x or f", {partitions}," in x for x in dealt), dealt
+        assert SE.size_in_bytes(spark.conf.get(SE.ADVISORY)) <= 16 << 20
+        ranked = ordered_ranks(ids.withColumn("g", F.lit(1)), ["g"], [F.col("id")], {"rank": []})
+        assert ranked.filter("rank != id + 1").count() == 0
+        assert SE.shuffle_partitions(spark) == 30
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_sizes_are_read_as_spark_writes_them():
+    from cartpulse.session import size_in_bytes
+
+    assert [size_in_bytes(x) for x in ("16m", "64MB", "1g", "1048576", "1048576b", "16k")] == [16 << 20, 64 << 20, 1 << 30, 1 << 20, 1 << 20, 16 << 10]
