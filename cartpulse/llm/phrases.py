@@ -5,11 +5,10 @@ these into words ``[^\\x20\\x09]+``; every count is per language (null: ``und``)
 
 The graph.  An edge is a run of ORDER (5) words, it leads from the node of its
 first four words to the node of its last four, and its weight is the number of
-its occurrences.  Where a piece ends (or is cut, see below) before five words,
-the shorter run is kept as a correction of that end.  The count of a shorter
-phrase is then the flow out of it: the weights of all edges and end runs that
-begin with it.  Only edges are counted over the text; all shorter counts are
-sums over the graph.
+its occurrences.  Where a piece ends (or is cut, see below) after four words,
+that node is kept as a correction of its end.  The count of a node is then the
+flow out of it: the weights of all edges and end runs that begin with it.
+Words, pairs and triples are counted for the cuts anyway.
 
 Cuts.  A phrase that occurs LEAST times consists of words, pairs and triples
 that occur LEAST times, so pieces may be cut wherever one of these is rarer,
@@ -17,7 +16,10 @@ without touching any phrase sought.  Words, pairs and triples are counted one
 after the other (exactly, by grouped sums), and the frequent ones are marked in
 one table of bits by their hash (``marks``), of the same size for every corpus; a
 wrong mark leaves a piece uncut and costs time only.  What
-remains of the text for the edges is little more than its repetitions.
+remains of the text for the edges is little more than its repetitions.  Pairs
+and triples are counted by hash, with a code of the run before the last word;
+the few that are frequent get their words by a join on it (``spelt_out``), so
+no task lists the frequent pairs of its text once more.
 
 Unary paths.  Edges that follow one another through nodes with one edge in and
 one out, of the same weight, and no end are compacted into one path
@@ -53,6 +55,8 @@ LEAST = 100
 TOP = 2000
 #: Runs gathered in a task before they are counted and passed on.
 HELD_RUNS = 2_000_000
+#: Bits that tell which run a longer one continues; runs that share them by chance cost a row of a join.
+CODE_BITS = 24
 
 _BYTE = np.arange(256)
 _END = np.isin(_BYTE, [ord(c) for c in ".,;:!?"]) | ((_BYTE >= 0x0A) & (_BYTE <= 0x0D))
@@ -90,12 +94,17 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(1).take(pa.array(p.first + text[first])), pa.array(W.signed(kinds)), word, pa.array(n)], names=["lang", "w", "word", "n"])
 
 
+def _turned(h: np.ndarray) -> np.ndarray:
+    """What the hash of a run adds to that of its next word."""
+    return W.mix(h * W.U(0x9E3779B97F4A7C15) + W.U(1))
+
+
 def _run_hash(w: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k words from each word on."""
-    out = w[: len(w) - k + 1].copy() if len(w) >= k else w[:0].copy()
+    """Hash of the k words from each word on; with that of the first k - 1 it tells the last word."""
+    out = w[: max(len(w) - k + 1, 0)]
     for i in range(1, k):
-        out = W.mix(out * W.U(0x9E3779B97F4A7C15) + w[i : i + len(out)])
-    return W.mix(out ^ W.U(k))
+        out = _turned(out) ^ w[i : i + len(out)]
+    return out
 
 
 class RunMarks(Marks):
@@ -116,26 +125,51 @@ class RunMarks(Marks):
         return n
 
 
-def _counted(runs: list[np.ndarray]) -> pa.RecordBatch:
-    kinds, n = np.unique(np.concatenate(runs), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(W.signed(kinds)), pa.array(n)], names=["h", "n"])
+def _counted(runs: list[np.ndarray], codes: list[np.ndarray]) -> pa.RecordBatch:
+    h = np.concatenate(runs)
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
+    n = np.diff(first, append=len(h))
+    return pa.RecordBatch.from_arrays([pa.array(W.signed(h[first])), pa.array(np.concatenate(codes)[order[first]]), pa.array(n)], names=["h", "code", "n"])
 
 
 def _run_counter(k: int, marks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = RunMarks(marks.value), []
+        table, held, codes = RunMarks(marks.value), [], []
         for batch in batches:
             for _, _, w, on in _pieces(batch):
-                held.append(_run_hash(w, k)[table.runs(w, on, k)[: max(len(w) - k + 1, 0)] == k])
+                at = np.flatnonzero(table.runs(w, on, k) == k)
+                before = _run_hash(w, k - 1)[at]
+                held.append(_turned(before) ^ w[at + k - 1])
+                codes.append((before & W.U((1 << CODE_BITS) - 1)).astype(np.int32))
                 if sum(map(len, held)) >= HELD_RUNS:
-                    yield _counted(held)
-                    held = []
+                    yield _counted(held, codes)
+                    held, codes = [], []
         if held:
-            yield _counted(held)
+            yield _counted(held, codes)
 
     return run
 
 
+def _continued():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(W.U)
+            code = (h & W.U((1 << CODE_BITS) - 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(W.signed(_turned(h))), batch.column(1)], names=["code", "turned", "begun"])
+
+    return run
+
+
+def spelt_out(counts: DataFrame, shorter: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(h, words, n): the words of the runs of ``counts`` (h, code, n), each a run of ``shorter`` (h, words) and a word
+    of ``frequent`` (w).  Of several runs with its code, only the right one leaves a word."""
+    begun = shorter.select("h", "words").mapInArrow(_continued(), "code int, turned long, begun array<long>")
+    last = F.col("h").bitwiseXOR(F.col("turned"))
+    return counts.join(begun, "code").withColumn("w", last).join(frequent, "w", "left_semi").select("h", F.concat("begun", F.array("w")).alias("words"), "n")
+
+
 def _edge_rows(runs: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
     """Distinct rows of ``runs`` (five words, those past ``size`` zero) with their counts."""
     key = size.astype(W.U)
@@ -156,7 +190,7 @@ def _edge_counter(marks):
         for batch in batches:
             for _, _, w, on in _pieces(batch):
                 n = table.runs(w, on, ORDER)
-                at = np.flatnonzero(n >= 2)
+                at = np.flatnonzero(n >= ORDER - 1)
                 wide = np.concatenate([w, np.zeros(ORDER, W.U)])
                 held.append(np.where(np.arange(ORDER) < n[at, None], wide[at[:, None] + np.arange(ORDER)], W.U(0)))
                 sizes.append(n[at])
@@ -170,36 +204,36 @@ def _edge_counter(marks):
 
 
 def graph(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Edges and end runs (w1 .. w5, n), and the vocabulary (lang, w, word, n), both written to the shared folder."""
+    """Edges, end runs of four words, and the frequent pairs and triples with their whole counts (w1 .. w5, n); and the
+    vocabulary (lang, w, word, n).  Both are written to the shared folder."""
     spark = docs.sparkSession
     texts = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")).filter("text IS NOT NULL")
     vocabulary = (
         texts.mapInArrow(_words, "lang string, w long, word string, n long").groupBy("lang", "w", "word").agg(F.sum("n").alias("n")).checkpoint()
     )
-    # the first look-up is by word; its hash is that of a run of one
-    words = vocabulary.filter(F.col("n") >= least).select("w").mapInArrow(_word_runs, "h long")
-    bits = marked(no_bits(), words)
+    frequent = vocabulary.filter(F.col("n") >= least).select("w")
+    # the hash of a run of one is its word's
+    runs = frequent.select(F.col("w").alias("h"), F.array("w").alias("words"))
+    bits, known = marked(no_bits(), runs.select("h")), []
     for k in (2, 3):
         marks = spark.sparkContext.broadcast(bits)
-        counts = texts.mapInArrow(_run_counter(k, marks), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        bits = marked(bits, counts.filter(F.col("n") >= least).select("h"))
+        counts = texts.mapInArrow(_run_counter(k, marks), "h long, code int, n long").groupBy("h", "code").agg(F.sum("n").alias("n"))
+        counts = counts.filter(F.col("n") >= least).checkpoint()
+        bits = marked(bits, counts.select("h"))
+        runs = spelt_out(counts, runs, frequent).checkpoint()
+        known.append(runs.select(*[F.get("words", F.lit(i)).alias(c) for i, c in enumerate(WORD_COLUMNS)], "n"))
     marks = spark.sparkContext.broadcast(bits)
     schema = ", ".join(f"{c} long" for c in [*WORD_COLUMNS, "n"])
     edges = texts.mapInArrow(_edge_counter(marks), schema).groupBy(*WORD_COLUMNS).agg(F.sum("n").alias("n"))
-    return edges.checkpoint(), vocabulary
-
-
-def _word_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        w = batch.column(0).to_numpy().view(W.U)
-        yield pa.RecordBatch.from_arrays([pa.array(W.signed(_run_hash(w, 1)))], names=["h"])
+    return edges.unionByName(known[0]).unionByName(known[1]).checkpoint(), vocabulary
 
 
 def flows(edges: DataFrame, least: int) -> DataFrame:
-    """(words, a): every run of 2 to ORDER words that occurs ``least`` times, from the flow out of it."""
+    """(words, a): every run of 2 to ORDER words that occurs ``least`` times; those of four words from the flow out of them."""
     run = F.array(*WORD_COLUMNS)
     size = F.size(F.array_compact(run))
-    begun = edges.select(F.explode(F.transform(F.sequence(F.lit(2), size), lambda k: F.slice(run, F.lit(1), k))).alias("words"), "n")
+    shortest = F.least(size, F.lit(ORDER - 1))
+    begun = edges.select(F.explode(F.transform(F.sequence(shortest, size), lambda k: F.slice(run, F.lit(1), k))).alias("words"), "n")
     return begun.groupBy("words").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
 
 

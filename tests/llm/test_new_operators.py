@@ -3,8 +3,10 @@
 import math
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,29 @@ def test_a_repeated_passage_is_one_path(spark, texts):
     assert sorted(r["place"] for r in first) == list(range(11)) and len({r["path"] for r in first}) == 1
 
 
+def test_tasks_list_no_frequent_pairs_for_the_edges(spark):
+    ready(spark)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(30)], 40)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * 200)], names=["text", "lang"])
+    # every word and pair is frequent and no triple: counted before, they leave nothing for the edges
+    runs = np.unique(np.concatenate([phrases._run_hash(w, k) for _, _, w, _ in phrases._pieces(batch) for k in (1, 2)]))
+    bits = marks.marked(marks.no_bits(), spark.createDataFrame([(int(x),) for x in runs.view(np.int64)], "h long"))
+    made = phrases._edge_counter(SimpleNamespace(value=bits))(iter([batch]))
+    assert sum(b.num_rows for b in made) <= 1
+    edges, _ = phrases.graph(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(7), 5)
+    pairs = Counter(p for t in texts for p in zip(t.split(), t.split()[1:], strict=False))
+    got = edges.filter("w2 IS NOT NULL AND w3 IS NULL").collect()
+    assert sorted(r["n"] for r in got) == sorted(n for n in pairs.values() if n >= 5) and len({(r["w1"], r["w2"]) for r in got}) == len(got)
+
+
+def test_runs_that_share_a_code_get_their_own_words(spark, texts, monkeypatch):
+    ready(spark)
+    monkeypatch.setattr(phrases, "CODE_BITS", 1)
+    df = spark.createDataFrame(texts, "text string, lang string").repartition(3)
+    assert _rows(phrases.collocations(df, 3)) == phrases_by_hand(texts, 3)
+
+
 def test_marked_hashes_are_found(spark):
     ready(spark)
     rng = np.random.default_rng(1)
