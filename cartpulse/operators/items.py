@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cartpulse.functions import scores as S
 from cartpulse.functions.periods import as_date, shift_days
 from cartpulse.operators.rank import distributed_ranks, rank_within
+from cartpulse.session import stored
 
 
 def history(lines: DataFrame, ref_date, data_cutoff=None) -> DataFrame:
@@ -21,6 +22,7 @@ def history(lines: DataFrame, ref_date, data_cutoff=None) -> DataFrame:
     return lines.filter(F.col("day") <= F.lit(end))
 
 
+ITEM_KEYS = ["family_id", "subcat_id", "item_id"]
 ITEM_COUNTS = ["n_buys", "p30", "p60", "p90", "p_long"]
 
 
@@ -128,7 +130,7 @@ def minmax(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame
     during that write, so no second pass and no join is needed.
     """
     seen = Observation()
-    rows = df.observe(seen, *[f(c).alias(f"{f.__name__}_{c}") for c in cols for f in (F.min, F.max)]).checkpoint(eager=True)
+    rows = stored(df.observe(seen, *[f(c).alias(f"{f.__name__}_{c}") for c in cols for f in (F.min, F.max)]))
     scaled = {}
     for c in cols:
         lo, hi = seen.get[f"min_{c}"], seen.get[f"max_{c}"]
@@ -189,20 +191,18 @@ def consolidate_item_lines(lines: DataFrame) -> DataFrame:
 def consolidate_scored_items(lines: DataFrame, items: DataFrame, features: DataFrame) -> DataFrame:
     """D21 + A11 on scored items: the consolidated lines of each (family, item, day, subcat), null keys
     kept, with the item's scores and counts, the pair's features and the number of days the item was
-    bought on.  Lines without a scored item carry nulls."""
-    base = consolidate_item_lines(lines)
-    days = base.groupBy("family_id", "item_id", "subcat_id").agg(F.count(F.lit(1)).cast("bigint").alias("item_days"))
+    bought on.  Lines without a scored item carry nulls.
+
+    The lines are dealt once by (family, subcat, item): the consolidation, the count of days and the
+    join with the scores all keep that partitioning."""
+    base = consolidate_item_lines(lines.repartition(*ITEM_KEYS))
+    days = F.count(F.lit(1)).over(Window.partitionBy(*ITEM_KEYS)).cast("bigint")
     scores = items.select("family_id", "subcat_id", "item_id", "n_buys", "prob", "repurchase", "popularity",
                           "repurchase_scaled", "popularity_scaled", "item_score")
     feats = features.select("family_id", "subcat_id", "recency", "frequency", "sow", "season", "cycle_days",
                             "days_since_last", "freq_lines", "sow_weighted_lines", "season_gap_mean", "season_gap_std")
-    counted = days.select(*[F.col(c).alias(f"_{c}") for c in ("family_id", "item_id", "subcat_id")], "item_days")
-    same = None
-    for c in ("family_id", "item_id", "subcat_id"):
-        cond = F.col(c).eqNullSafe(F.col(f"_{c}"))
-        same = cond if same is None else same & cond
-    out = base.join(counted, same).drop("_family_id", "_item_id", "_subcat_id")
-    return out.join(scores, ["family_id", "subcat_id", "item_id"], "left").join(feats, ["family_id", "subcat_id"], "left")
+    out = base.withColumn("item_days", days)
+    return out.join(scores, ITEM_KEYS, "left").join(feats, ["family_id", "subcat_id"], "left")
 
 
 def reduction_ratio(before: DataFrame, after: DataFrame) -> DataFrame:

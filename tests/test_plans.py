@@ -187,3 +187,64 @@ def test_sizes_are_read_as_spark_writes_them():
     from cartpulse.session import size_in_bytes
 
     assert [size_in_bytes(x) for x in ("16m", "64MB", "1g", "1048576", "1048576b", "16k")] == [16 << 20, 64 << 20, 1 << 30, 1 << 20, 1 << 20, 16 << 10]
+
+
+def scored_lines(spark):
+    """Lines with unknown items, subcategories and families, scored items and features made by hand."""
+    lines = spark.createDataFrame(
+        [(f, s, i, inv, day, q) for f, s, i, inv, day, q in [
+            (1, 10, 5, 100, "2001-01-01", 1.0), (1, 10, 5, 101, "2001-01-01", 2.0), (1, 10, 5, 102, "2001-01-02", 4.0), (1, 10, None, 103, "2001-01-02", 1.0),
+            (1, 10, None, 104, "2001-01-03", 1.0), (1, 10, None, 105, "2001-01-03", 1.0), (1, None, 5, 106, "2001-01-03", 1.0), (None, 10, 5, 107, "2001-01-03", 1.0),
+            (2, 11, 6, None, "2001-01-04", 1.0), (2, 11, 6, None, None, 1.0)]],
+        "family_id long, subcat_id long, item_id long, invoice_id long, day string, qty double").selectExpr(
+        "family_id", "subcat_id", "concat('s', subcat_id) AS subcat_name", "item_id", "invoice_id", "7L AS store_id", "to_date(day) AS day", "qty",
+        "qty AS list_price", "qty AS net_sales", "0D AS discount", "IF(item_id = 5, 'A', NULL) AS division")
+    items = spark.createDataFrame([(1, 10, 5, 3, 0.5), (1, None, 5, 9, 0.1)], "family_id long, subcat_id long, item_id long, n_buys long, prob double").selectExpr(
+        "*", *[f"prob * 2 AS {c}" for c in ("repurchase", "popularity", "repurchase_scaled", "popularity_scaled", "item_score")])
+    feats = spark.createDataFrame([(1, 10, 0.25)], "family_id long, subcat_id long, recency double").selectExpr(
+        "*", *[f"1D AS {c}" for c in ("frequency", "sow", "season", "cycle_days", "season_gap_mean", "season_gap_std")],
+        *[f"1L AS {c}" for c in ("days_since_last", "freq_lines", "sow_weighted_lines")])
+    return lines, items, feats
+
+
+def test_scored_lines_are_dealt_once(shuffle_joins):
+    lines, items, feats = scored_lines(shuffle_joins)
+    out = C.IT.consolidate_scored_items(lines, items, feats)
+    # lines and scores by item, then both sides of the features' join by pair
+    assert len(summary(out)["exchanges"]) == 4
+    small = C.IT.consolidate_scored_items(lines, items, feats.hint("broadcast"))
+    assert len(summary(small)["exchanges"]) == 2
+
+
+def test_scored_lines_keep_null_keys(spark):
+    out = C.IT.consolidate_scored_items(*scored_lines(spark))
+    got = {(r["family_id"], r["subcat_id"], r["item_id"], str(r["day"])): (r["n_lines"], r["item_days"], r["qty"], r["invoice_id"], r["n_buys"], r["prob"], r["recency"])
+           for r in out.collect()}
+    assert got == {
+        (1, 10, 5, "2001-01-01"): (2, 2, 3.0, 101, 3, 0.5, 0.25), (1, 10, 5, "2001-01-02"): (1, 2, 4.0, 102, 3, 0.5, 0.25),
+        (1, 10, None, "2001-01-02"): (1, 2, 1.0, 103, None, None, 0.25), (1, 10, None, "2001-01-03"): (2, 2, 2.0, 105, None, None, 0.25),
+        (1, None, 5, "2001-01-03"): (1, 1, 1.0, 106, None, None, None), (None, 10, 5, "2001-01-03"): (1, 1, 1.0, 107, None, None, None),
+        (2, 11, 6, "2001-01-04"): (1, 2, 1.0, None, None, None, None), (2, 11, 6, "None"): (1, 2, 1.0, None, None, None, None)}
+    assert out.count() == len(got)
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from cartpulse.session import CLEANUP, stored
+    from pyspark.sql import functions as F
+
+    def files():
+        all_ = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (all_.apply(i).getName() for i in range(all_.size())) if n.startswith("shuffle_") and n.endswith(".data")}
+
+    rows = spark.range(1000).repartition(4).groupBy((F.col("id") % 10).alias("k")).agg(F.sum("id").alias("repurchase"), F.lit(None).cast("string").alias("s"))
+    before = files()
+    scaled = C.IT.minmax(rows, ["repurchase"])
+    for _ in range(40):
+        if files() <= before:
+            break
+        time.sleep(0.25)
+    assert files() <= before
+    assert sorted((r["k"], r["repurchase"], r["s"], round(r["repurchase_scaled"], 9)) for r in scaled.collect()) == [(k, 49500 + 100 * k, None, round(k / 9, 9)) for k in range(10)]
+    assert stored(rows.filter("k > 99")).count() == 0 and spark.conf.get(CLEANUP) == "false"
